@@ -77,21 +77,22 @@ def _spans(
     return over_keys(_ends(intervals, keys, depths), keys, ["pos"], sweep, rows_per_task)
 
 
-_ONE = F.lit(1).cast("bigint")
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
 def coalesce_intervals(
     intervals: DataFrame, keys: Sequence[str] = ("owner", "source"), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Overlapping and adjacent intervals merged."""
-    return _spans(intervals, list(keys), {"n": _ONE}, lambda depth: depth("n") > 0, rows_per_task)
+    return _spans(intervals, list(keys), {"n": _long(1)}, lambda depth: depth("n") > 0, rows_per_task)
 
 
 def _sides(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str]) -> DataFrame:
     """Intervals of both members of each pair, marked 1 for the side they come from."""
     own = list(pair_key)
-    mine = pairs.select(*own, F.col("a").alias("owner"), _ONE.alias("in_a"), (_ONE * 0).alias("in_b"))
-    theirs = pairs.select(*own, F.col("b").alias("owner"), (_ONE * 0).alias("in_a"), _ONE.alias("in_b"))
+    mine = pairs.select(*own, F.col("a").alias("owner"), _long(1).alias("in_a"), _long(0).alias("in_b"))
+    theirs = pairs.select(*own, F.col("b").alias("owner"), _long(0).alias("in_a"), _long(1).alias("in_b"))
     return intervals.join(mine.unionByName(theirs), "owner").drop("owner")
 
 

@@ -44,6 +44,98 @@ VIEWS = {
         UNION ALL SELECT archive_id, unnest(['binlog/server-/full/' || name,
                                              'binlog2/server-' || lineage || '/binlog/' || name,
                                              'x/' || name]) FROM segments WHERE status = 'lost'""",
+    "member_views": """
+        SELECT cluster, round, observer, member_id, CASE WHEN e.value >= 1 THEN 'host-' || member_id END AS host,
+               CASE e.event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'RECOVERING'
+                    WHEN 'click' THEN 'UNREACHABLE' ELSE 'ONLINE' END AS state,
+               CASE WHEN e.event_id % 3 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role
+        FROM (SELECT user_id // 5 AS cluster, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) // 7 AS round,
+                     'm' || (user_id % 5) AS observer, 'm' || (event_id % 5) AS member_id,
+                     arg_max({event_id: event_id, event_type: event_type, value: value}, event_id) AS e
+              FROM events GROUP BY ALL)""",
+    "reports": """
+        SELECT cluster, round, 'm' || seed_rank AS node, seed_rank, state,
+               CASE WHEN e.event_id % 3 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
+               state IN ('ONLINE', 'RECOVERING') AND round % 3 = 0 AS group_active,
+               CASE WHEN e.value < 1 THEN NULL WHEN e.value BETWEEN 3 AND 8 THEN ' '
+                    ELSE 'c' || cluster || ':1-' || progress || CASE WHEN e.value > 100 THEN E',\n m' || seed_rank || ':1' ELSE '' END
+                    END AS txn_set,
+               CASE WHEN e.value < 1 OR e.value BETWEEN 3 AND 8 THEN 0 ELSE progress END AS upto, e.value > 100 AS errant,
+               e.event_id % 4 = 0 AS prelog, progress % 3 AS generation,
+               CASE WHEN e.value >= 2 THEN CASE WHEN seed_rank % 2 = 0 THEN 'U' ELSE 'u' END || cluster || '-' || (seed_rank % 3) END AS uuid,
+               CASE WHEN e.event_id % 5 <> 0 THEN 'g' || (e.event_id % 2) END AS group_name,
+               e.event_id % 7 = 0 AS pinned, e.event_id % 3 = 1 AS fresh, e.event_id % 10 <> 0 AS checked
+        FROM (SELECT *, (round - 19723) * 4 + hour(e.ts) // 6 + 1 AS progress,
+                     CASE e.event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'RECOVERING'
+                          WHEN 'click' THEN 'UNREACHABLE' ELSE 'ONLINE' END AS state
+              FROM (SELECT user_id // 5 AS cluster, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round,
+                           user_id % 5 AS seed_rank,
+                           arg_max({event_id: event_id, event_type: event_type, value: value, ts: ts}, event_id) AS e
+                    FROM events GROUP BY ALL))""",
+    "answers": """
+        SELECT p.cluster, p.round, p.observer, p.peer, p.seed_rank, p.answer,
+               CASE WHEN answer = 'state' THEN r.group_active END AS group_active,
+               CASE WHEN answer = 'state' THEN r.role END AS role,
+               CASE WHEN answer = 'state' THEN r.txn_set END AS txn_set,
+               CASE WHEN answer = 'state' THEN r.upto END AS upto,
+               CASE WHEN answer = 'state' THEN r.errant END AS errant,
+               CASE WHEN answer = 'state' THEN r.prelog END AS prelog,
+               CASE WHEN answer = 'state' THEN r.generation END AS generation,
+               CASE WHEN answer = 'state' THEN r.uuid END AS uuid,
+               CASE WHEN answer = 'state' THEN r.group_name END AS group_name
+        FROM (SELECT h.*, CASE WHEN h.heard <> 'state' THEN h.heard WHEN r.node IS NULL THEN 'unreachable'
+                               WHEN NOT r.checked THEN 'not_ready' ELSE 'state' END AS answer
+              FROM (SELECT cluster, round, observer, 'm' || seed_rank AS peer, seed_rank,
+                           CASE WHEN e.event_type = 'click' THEN 'unreachable'
+                                WHEN e.event_type = 'error' AND e.event_id % 2 = 0 THEN 'not_ready' ELSE 'state' END AS heard
+                    FROM (SELECT user_id // 5 AS cluster, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round,
+                                 'm' || (user_id % 5) AS observer, (user_id % 5 + 1 + event_id % 4) % 5 AS seed_rank,
+                                 arg_max({event_id: event_id, event_type: event_type}, event_id) AS e
+                          FROM events GROUP BY ALL)) h
+              LEFT JOIN reports r ON r.cluster = h.cluster AND r.round = h.round AND r.node = h.peer) p
+        LEFT JOIN reports r ON r.cluster = p.cluster AND r.round = p.round AND r.node = p.peer""",
+    "relations": """
+        SELECT a.cluster, a.round, a.observer, a.peer, a.seed_rank, a.group_active, a.prelog,
+               coalesce(a.generation, 0) AS generation, r.seed_rank AS my_rank, r.prelog AS my_prelog,
+               r.generation AS my_generation,
+               CASE WHEN a.txn_set IS NULL THEN 'Unknown'
+                    WHEN a.upto <= mine AND NOT peer_errant THEN CASE WHEN mine <= a.upto AND NOT my_errant THEN 'Equal' ELSE 'Behind' END
+                    WHEN mine <= a.upto AND NOT my_errant THEN 'Ahead' ELSE 'Diverged' END AS relation
+        FROM (SELECT *, errant AND txn_set LIKE '%m%' AS peer_errant FROM answers) a
+        JOIN (SELECT *, upto AS mine, coalesce(errant AND txn_set LIKE '%m%', false) AS my_errant FROM reports) r
+          ON r.cluster = a.cluster AND r.round = a.round AND r.node = a.observer""",
+    "settled": """
+        SELECT *, CASE WHEN relation = 'Diverged' THEN
+                       CASE WHEN generation <> my_generation THEN generation > my_generation ELSE seed_rank < my_rank END
+                  END AS peer_wins
+        FROM relations""",
+    "writable": """
+        SELECT cluster, round, observer,
+               count(*) FILTER (WHERE state <> 'UNREACHABLE') * 2 > count(*)
+               AND bool_or(member_id = observer AND state = 'ONLINE' AND role = 'PRIMARY') AS writable
+        FROM member_views GROUP BY cluster, round, observer""",
+    "txn_rows": """
+        SELECT unnest(['all', 'copy']) AS owner, l_returnflag AS source, l_orderkey AS lo, l_orderkey + l_linenumber % 2 AS hi FROM lineitem
+        UNION ALL SELECT 'bulk', l_returnflag, l_orderkey, l_orderkey + l_linenumber % 2 FROM lineitem WHERE l_quantity > 5
+        UNION ALL SELECT 'paid', l_returnflag, l_orderkey, l_orderkey + l_linenumber % 2 FROM lineitem WHERE l_discount > 0.01
+        UNION ALL SELECT 'both', l_returnflag, l_orderkey, l_orderkey + l_linenumber % 2 FROM lineitem
+                  WHERE l_quantity > 5 AND l_discount > 0.01""",
+    "points": "SELECT DISTINCT owner, source, unnest(range(lo, hi + 1)) AS n FROM txn_rows",
+    "islands": """
+        SELECT owner, source, min(n) AS lo, max(n) AS hi FROM (
+            SELECT *, n - row_number() OVER (PARTITION BY owner, source ORDER BY n) AS island FROM points)
+        GROUP BY owner, source, island""",
+    "pairs": """
+        SELECT a, b FROM (SELECT unnest(['all', 'both', 'bulk', 'copy', 'none', 'paid']) AS a)
+        JOIN (SELECT unnest(['all', 'both', 'bulk', 'copy', 'none', 'paid']) AS b) ON a < b""",
+    "missing": """
+        SELECT p.a, p.b, m.source, m.n FROM pairs p JOIN points m ON m.owner = p.a
+        LEFT JOIN points o ON o.owner = p.b AND o.source = m.source AND o.n = m.n WHERE o.n IS NULL""",
+    "surplus": """
+        SELECT p.a, p.b, m.source, m.n FROM pairs p JOIN points m ON m.owner = p.b
+        LEFT JOIN points o ON o.owner = p.a AND o.source = m.source AND o.n = m.n WHERE o.n IS NULL""",
+    "node_configs": """
+        SELECT s_suppkey AS node, 'host-' || s_suppkey AS self, s_acctbal > 8000 AS unlisted FROM supplier""",
     "snapshot": """
         SELECT 'n' || (c_custkey % 8) AS lineage, c_custkey AS key, c_acctbal AS image FROM customer""",
 }
@@ -60,6 +152,19 @@ NEEDS = {
     "targets": ["change_log"],
     "objects": ["fulls", "archived"],
     "snapshot": [],
+    "member_views": [],
+    "reports": [],
+    "answers": ["reports"],
+    "relations": ["answers"],
+    "settled": ["relations"],
+    "writable": ["member_views"],
+    "txn_rows": [],
+    "points": ["txn_rows"],
+    "islands": ["points"],
+    "pairs": [],
+    "missing": ["points", "pairs"],
+    "surplus": ["points", "pairs"],
+    "node_configs": [],
 }
 
 

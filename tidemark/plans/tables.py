@@ -171,3 +171,161 @@ class Tables:
         return self.read("customer").select(
             text("n", mod("c_custkey", 8)).alias("lineage"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("image")
         )
+
+    # Membership. Five users form a cluster; a round is a day, or a week for member views.
+
+    @cached_property
+    def member_views(self) -> DataFrame:
+        day = F.unix_date(F.to_date("ts"))
+        last = self.events.groupBy(
+            div("user_id", 5).alias("cluster"),
+            F.floor(day / 7).alias("round"),
+            text("m", mod("user_id", 5)).alias("observer"),
+            text("m", mod("event_id", 5)).alias("member_id"),
+        ).agg(F.max(F.struct("event_id", "event_type", "value")).alias("e"))
+        return last.select(
+            "cluster",
+            "round",
+            "observer",
+            "member_id",
+            F.when(F.col("e.value") >= 1, F.concat(F.lit("host-"), "member_id")).alias("host"),
+            member_state(F.col("e.event_type")).alias("state"),
+            F.when(F.col("e.event_id") % 3 == 0, "PRIMARY").otherwise("SECONDARY").alias("role"),
+        )
+
+    @cached_property
+    def reports(self) -> DataFrame:
+        """What each node said of itself: its last event of the day decides everything."""
+        last = self.events.groupBy(
+            div("user_id", 5).alias("cluster"),
+            F.unix_date(F.to_date("ts")).cast("bigint").alias("round"),
+            mod("user_id", 5).cast("int").alias("seed_rank"),
+        ).agg(F.max(F.struct("event_id", "event_type", "value", "ts")).alias("e"))
+        node = text("m", F.col("seed_rank"))
+        own = F.when(F.col("e.value") > 100, text(",\n ", node, ":1")).otherwise("")
+        progress = (F.col("round") - 19723) * 4 + F.floor(F.hour("e.ts") / 6) + 1
+        state = member_state(F.col("e.event_type"))
+        nth = lambda n: F.col("e.event_id") % n
+        return last.select(
+            "cluster",
+            "round",
+            node.alias("node"),
+            "seed_rank",
+            state.alias("state"),
+            F.when(nth(3) == 0, "PRIMARY").otherwise("SECONDARY").alias("role"),
+            (state.isin("ONLINE", "RECOVERING") & (F.col("round") % 3 == 0)).alias("group_active"),
+            F.when(F.col("e.value") < 1, None)
+            .when(F.col("e.value").between(3, 8), " ")
+            .otherwise(F.concat(text("c", F.col("cluster"), ":1-", progress), own))
+            .alias("txn_set"),
+            (nth(4) == 0).alias("prelog"),
+            (progress % 3).alias("generation"),
+            F.when(F.col("e.value") >= 2, text(F.when(F.col("seed_rank") % 2 == 0, "U").otherwise("u"), F.col("cluster"), "-", F.col("seed_rank") % 3)).alias("uuid"),
+            F.when(nth(5) != 0, text("g", nth(2))).alias("group_name"),
+            (nth(7) == 0).alias("pinned"),
+            (nth(3) == 1).alias("fresh"),
+            (nth(10) != 0).alias("checked"),
+        )
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        """Polls between the nodes of a cluster, the last of each day, joined with the peer's report."""
+        peer = ((mod("user_id", 5) + 1 + mod("event_id", 4)) % 5).cast("int")
+        last = self.events.groupBy(
+            div("user_id", 5).alias("cluster"),
+            F.unix_date(F.to_date("ts")).cast("bigint").alias("round"),
+            text("m", mod("user_id", 5)).alias("observer"),
+            peer.alias("seed_rank"),
+        ).agg(F.max(F.struct("event_id", "event_type")).alias("e"))
+        polls = last.select(
+            "cluster", "round", "observer", text("m", F.col("seed_rank")).alias("peer"), "seed_rank",
+            F.when(F.col("e.event_type") == "click", "unreachable")
+            .when((F.col("e.event_type") == "error") & (F.col("e.event_id") % 2 == 0), "not_ready")
+            .otherwise("state")
+            .alias("heard"),
+        )
+        fields = ["group_active", "state", "role", "txn_set", "prelog", "generation", "uuid", "group_name"]
+        said = self.reports.select("cluster", "round", F.col("node").alias("peer"), "checked", *fields)
+        answer = (
+            F.when(F.col("heard") != "state", F.col("heard"))
+            .when(F.col("checked").isNull(), "unreachable")
+            .when(~F.col("checked"), "not_ready")
+            .otherwise("state")
+        )
+        return (
+            polls.join(said, ["cluster", "round", "peer"], "left")
+            .withColumn("answer", answer)
+            .select(
+                "cluster", "round", "observer", "peer", "seed_rank", "answer",
+                *[F.when(F.col("answer") == "state", F.col(c)).alias(c) for c in fields],
+            )
+        )
+
+    @cached_property
+    def node_configs(self) -> DataFrame:
+        """One seed list per supplier, naming itself and two neighbours in changing case and spacing."""
+        host = lambda n: text("host-", F.col("s_suppkey") + n)
+        seeds = F.concat(host(1), F.lit(":3306, "), F.upper(host(0)), F.lit(":3306,, "), host(2), F.lit(" "))
+        declared = F.when(F.col("s_acctbal") > 8000, F.concat(host(1), F.lit(","), host(2))).otherwise(seeds)
+        return self.read("supplier").select(F.col("s_suppkey").alias("node"), host(0).alias("self"), declared.alias("seeds"))
+
+    @cached_property
+    def progress_parts(self) -> DataFrame:
+        part = F.when(F.col("event_type") == "signup", "copy").otherwise("received")
+        rows = self.events.select(
+            F.col("user_id").alias("node"),
+            F.unix_date(F.to_date("ts")).cast("bigint").alias("round"),
+            part.alias("part"),
+            text(F.col("event_type"), ":", F.floor(F.col("value") / 20)).alias("detail"),
+        )
+        executed = self.reports.where(F.col("txn_set").isNotNull()).select(
+            (F.col("cluster") * 5 + F.col("seed_rank")).alias("node"), "round", F.lit("executed").alias("part"), F.col("txn_set").alias("detail")
+        )
+        return rows.unionByName(executed)
+
+    # Transaction sets: what six replicas hold of the line items
+
+    @cached_property
+    def txn_intervals(self) -> DataFrame:
+        lines = self.read("lineitem")
+        bulk, paid = F.col("l_quantity") > 5, F.col("l_discount") > 0.01
+        owners = F.array_compact(
+            F.array(
+                F.lit("all"),
+                F.lit("copy"),
+                F.when(bulk, "bulk"),
+                F.when(paid, "paid"),
+                F.when(bulk & paid, "both"),
+            )
+        )
+        return lines.select(
+            F.explode(owners).alias("owner"),
+            F.col("l_returnflag").alias("source"),
+            F.col("l_orderkey").alias("lo"),
+            (F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("hi"),
+        )
+
+    @cached_property
+    def owner_pairs(self) -> DataFrame:
+        names = ["all", "both", "bulk", "copy", "none", "paid"]
+        return self.spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string")
+
+    @cached_property
+    def txn_texts(self) -> DataFrame:
+        """A set text per line item, with white space, a list of spans, a single and a tagged source."""
+        key = F.col("l_orderkey")
+        body = text(
+            " ", F.col("l_returnflag"), ":", key, "-", key + F.col("l_linenumber"), ":", key + 20, ",\n", F.col("l_linestatus"), ":tag:", key, ":old:", key + 7, "-", key + 9
+        )
+        return self.read("lineitem").select(
+            "l_suppkey", F.when(F.col("l_tax") == 0, "").otherwise(body).alias("txn_set")
+        )
+
+
+def member_state(event_type: Column) -> Column:
+    return (
+        F.when(event_type == "error", "ERROR")
+        .when(event_type == "signup", "RECOVERING")
+        .when(event_type == "click", "UNREACHABLE")
+        .otherwise("ONLINE")
+    )
