@@ -95,3 +95,19 @@ def fnv1a_32(text: Column) -> Column:
         lambda acc, i: (acc.bitwiseXOR(byte(i)) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(4294967295)),
     )
     return F.when(folded == 0, F.lit(1).cast("bigint")).otherwise(folded)
+
+
+def heal_ledger(raw: Column) -> Column:
+    """(attempts, last_unix) from ledger text. No text is a clean ledger; garbage is a spent one."""
+    shape = r"^\s*(\d+)\s+(\d+)(\s|$)"
+    attempts = F.regexp_extract(raw, shape, 1).try_cast("int")
+    last = F.regexp_extract(raw, shape, 2).try_cast("bigint")
+    spent = F.struct(F.lit(2147483647).alias("attempts"), F.lit(None).cast("bigint").alias("last_unix"))
+    clean = F.struct(F.lit(0).alias("attempts"), F.lit(0).cast("bigint").alias("last_unix"))
+    read = F.struct(attempts.alias("attempts"), last.alias("last_unix"))
+    return F.when(raw.isNull(), clean).when(attempts.isNotNull() & last.isNotNull(), read).otherwise(spent)
+
+
+def counter_or_zero(raw: Column) -> Column:
+    """A stored counter; absent or garbled text counts as 0."""
+    return F.coalesce(F.trim(raw).try_cast("bigint"), F.lit(0).cast("bigint"))

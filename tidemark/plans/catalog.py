@@ -8,11 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.plans import archive_oracle, archive_queries, membership_oracle, membership_queries
+from tidemark.plans import (
+    archive_oracle,
+    archive_queries,
+    membership_oracle,
+    membership_queries,
+    temporal_oracle,
+    temporal_queries,
+)
 from tidemark.plans.tables import Tables
 
-_BUILDERS = {**archive_queries.QUERIES, **membership_queries.QUERIES}
-_SQL = {**archive_oracle.ORACLE, **membership_oracle.ORACLE}
+_BUILDERS = {**archive_queries.QUERIES, **membership_queries.QUERIES, **temporal_queries.QUERIES}
+_SQL = {**archive_oracle.ORACLE, **membership_oracle.ORACLE, **temporal_oracle.ORACLE}
 
 
 def without_zone(df: DataFrame) -> DataFrame:

@@ -136,6 +136,24 @@ VIEWS = {
         LEFT JOIN points o ON o.owner = p.a AND o.source = m.source AND o.n = m.n WHERE o.n IS NULL""",
     "node_configs": """
         SELECT s_suppkey AS node, 'host-' || s_suppkey AS self, s_acctbal > 8000 AS unlisted FROM supplier""",
+    "polls": """
+        SELECT user_id AS node, epoch_us(ts) AS at_us, event_id, ts,
+               CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'RECOVERING' WHEN 'click' THEN 'OFFLINE'
+                    ELSE 'ONLINE' END AS state,
+               CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS signature,
+               CASE WHEN event_id % 3 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
+               CASE event_type WHEN 'purchase' THEN 'ready' WHEN 'view' THEN 'planned_stop' ELSE 'start' END AS event,
+               event_type = 'error' AS gone, event_type IN ('view', 'purchase', 'signup') AS passed, value,
+               row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn
+        FROM events""",
+    "telemetry": """
+        SELECT event_id, ts, user_id, value, event_type, 'm' || user_id AS node, props,
+               CASE WHEN event_id % 2 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
+               CASE WHEN event_id % 3 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS new_role,
+               CASE event_type WHEN 'signup' THEN 'fleet.node_started' WHEN 'click' THEN 'fleet.role_changed'
+                    WHEN 'error' THEN 'fleet.process_died' WHEN 'purchase' THEN 'fleet.no_primary'
+                    ELSE 'fleet.component_error' END AS kind
+        FROM events""",
     "snapshot": """
         SELECT 'n' || (c_custkey % 8) AS lineage, c_custkey AS key, c_acctbal AS image FROM customer""",
 }
@@ -151,6 +169,8 @@ NEEDS = {
     "fulls": ["change_log"],
     "targets": ["change_log"],
     "objects": ["fulls", "archived"],
+    "polls": [],
+    "telemetry": [],
     "snapshot": [],
     "member_views": [],
     "reports": [],

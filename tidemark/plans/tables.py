@@ -283,6 +283,110 @@ class Tables:
         )
         return rows.unionByName(executed)
 
+    # Polls of single nodes: an event is a poll of its user
+
+    @cached_property
+    def polls(self) -> DataFrame:
+        kind = F.col("event_type")
+        return self.events.select(
+            F.col("user_id").alias("node"),
+            F.unix_micros("ts").alias("at_us"),
+            "event_id",
+            F.when(kind == "error", "gone").otherwise("exists_or_unknown").alias("verdict"),
+            F.when(kind == "click", "OFFLINE").otherwise(member_state(kind)).alias("state"),
+            F.floor(F.col("value") / 50).cast("string").alias("signature"),
+            F.when(F.col("event_id") % 3 == 0, "PRIMARY").otherwise("SECONDARY").alias("role"),
+            F.when(kind == "purchase", "ready")
+            .when(kind == "view", "planned_stop")
+            .otherwise("start")
+            .alias("event"),
+            F.when(kind != "error", kind.isin("view", "purchase", "signup")).alias("primary_up"),
+            kind.isin("view", "purchase", "signup").alias("passed"),
+            (kind == "error").alias("attempt"),
+            "value",
+        )
+
+    # Telemetry
+
+    @cached_property
+    def telemetry(self) -> DataFrame:
+        kind = F.col("event_type")
+        node = text("m", F.col("user_id"))
+        role = lambda n: F.when(F.col("event_id") % n == 0, "PRIMARY").otherwise("SECONDARY")
+        return self.events.select(
+            "event_id",
+            "ts",
+            F.when(kind == "signup", "NodeStarted")
+            .when(kind == "click", "RoleChanged")
+            .when(kind == "error", "ProcessDied")
+            .when(kind == "purchase", "NoPrimary")
+            .otherwise("ComponentError")
+            .alias("type"),
+            node.alias("node"),
+            role(2).alias("role"),
+            role(2).alias("old_role"),
+            role(3).alias("new_role"),
+            F.lit("server").alias("process"),
+            F.when(F.col("value") >= 10, F.floor(F.col("value")).cast("int")).alias("exit_code"),
+            F.when(F.col("value") > 90, F.array(F.lit("edge"), node)).otherwise(F.array(node)).alias("backends"),
+            F.lit("archiver").alias("component"),
+            F.col("props").alias("error"),
+            text("step ", F.col("event_id") % 4).alias("context"),
+        )
+
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        value = F.col("value")
+        return self.events.select(
+            "ts",
+            F.when(value < 10, 503).when(value < 15, 400).when(value < 20, 204).otherwise(200).alias("status"),
+            F.when(F.col("event_type") == "error", F.lit('{"errors": []}'))
+            .when(F.col("event_type") == "click", F.lit("errors: none"))
+            .otherwise(F.lit('{"data": true}'))
+            .alias("body"),
+        )
+
+    @cached_property
+    def edge_lines(self) -> DataFrame:
+        """One statistics line per event; a poll is an hour of a cluster."""
+        middle = F.repeat(F.lit(","), 16)
+        server = F.when(F.col("event_type") == "view", "BACKEND").otherwise(text("server-", F.col("user_id")))
+        status = F.when(F.col("value") > 80, "UP 1/2").when(F.col("value") > 30, "DOWN").otherwise("UP")
+        proxy = F.when(F.col("event_type") == "click", "reads").otherwise("primary_backend")
+        line = F.concat(proxy, F.lit(","), server, middle, status, F.lit(",,"))
+        return self.events.select(
+            text(div("user_id", 5), "@", F.date_format("ts", "yyyyMMddHH")).alias("poll"),
+            F.when(F.col("value") < 5, F.lit("primary_backend,short,UP")).otherwise(line).alias("line"),
+        )
+
+    @cached_property
+    def log_lines(self) -> DataFrame:
+        """A structured log line per segment of the archive; the shipped ones are no loss."""
+        lost = F.col("status") == "lost"
+        message = F.when(lost, F.concat(F.lit("log lost from disk before upload: "), "name")).otherwise("log uploaded")
+        line = F.to_json(F.struct(F.lit("INFO").alias("level"), message.alias("message"), F.col("name").alias("file")))
+        torn = F.when(F.col("status") == "pending", "not json").otherwise(line)
+        return self.segments.select("lineage", torn.alias("line"))
+
+    @cached_property
+    def volumes(self) -> DataFrame:
+        return self.read("orders").select(F.col("o_orderkey").alias("volume"))
+
+    @cached_property
+    def markers(self) -> DataFrame:
+        """Markers of the orders below top priority: open ones are in progress, some are torn."""
+        orders = self.read("orders").where(F.col("o_orderpriority") != "1-URGENT")
+        status = F.when(F.col("o_orderstatus") == "O", "in_progress").otherwise("completed")
+        day = F.date_format("o_orderdate", "yyyy-MM-dd'T00:00:00Z'")
+        marker = F.to_json(F.struct(status.alias("status"), day.alias("target_time"), day.alias("updated_at")))
+        return orders.select(
+            F.col("o_orderkey").alias("volume"),
+            F.when(F.col("o_totalprice") < 100000, F.substring(marker, 1, 12))
+            .when(F.col("o_totalprice") < 120000, "")
+            .otherwise(marker)
+            .alias("marker_text"),
+        )
+
     # Transaction sets: what six replicas hold of the line items
 
     @cached_property
