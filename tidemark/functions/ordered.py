@@ -42,6 +42,10 @@ def lowest(value: Column, inclusive: bool = True) -> Carry:
     return Carry("lowest", value, inclusive)
 
 
+def highest(value: Column, inclusive: bool = True) -> Carry:
+    return Carry("highest", value, inclusive)
+
+
 def latest(value: Column, inclusive: bool = True) -> Carry:
     """The last non-null value seen."""
     return Carry("latest", value, inclusive)
@@ -93,7 +97,8 @@ class Ordered:
 
 
 def _fold(kind: str) -> Callable[[Column], Column]:
-    return {"total": F.sum, "lowest": F.min, "latest": lambda c: F.last(c, ignorenulls=True)}[kind]
+    folds = {"total": F.sum, "lowest": F.min, "highest": F.max, "latest": lambda c: F.last(c, ignorenulls=True)}
+    return folds[kind]
 
 
 def _merge(kind: str, handed: Column, own: Column) -> Column:
@@ -101,7 +106,14 @@ def _merge(kind: str, handed: Column, own: Column) -> Column:
         return F.when(handed.isNull() & own.isNull(), None).otherwise(
             F.coalesce(handed, F.lit(0)) + F.coalesce(own, F.lit(0))
         )
-    return F.least(handed, own) if kind == "lowest" else F.coalesce(own, handed)
+    best = {"lowest": F.least, "highest": F.greatest, "latest": lambda early, late: F.coalesce(late, early)}
+    return best[kind](handed, own)
+
+
+def none_above(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
+    """Does every key have at most ``rows`` rows? One aggregate over the key columns."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > rows).limit(1).count() == 0
 
 
 def over_keys(
@@ -110,13 +122,17 @@ def over_keys(
     order: Sequence[str],
     build: Callable[[Ordered], DataFrame],
     rows_per_task: int = ROWS_PER_TASK,
+    known_small: bool = False,
 ) -> DataFrame:
     """``build`` over each key's rows: one window stage, plus a chunked branch if keys are hot.
 
-    Counts rows per key first, which runs ``df`` once for its key columns. ``order`` names
-    ascending columns; the first one must cast to a number or a timestamp.
+    Counts rows per key first, which runs ``df`` once for its key columns, unless the caller
+    has shown on something cheaper that no key is above the bound. ``order`` names ascending
+    columns; the first one must cast to a number or a timestamp.
     """
     columns = [F.col(c) for c in order]
+    if known_small:
+        return build(Ordered(df, keys, columns))
     position = columns[0].cast("double")
     hot = (
         df.groupBy(*keys)

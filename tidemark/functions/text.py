@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Text formats of backup metadata, log headers and dump heads.
 RFC3339_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 RFC3339_SHAPE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-EVENT_HEADER = r"^#(\d{2})(\d{2})(\d{2})\s+(\d+):(\d+):(\d+)\s+server\s+id(\s|$)"
+EVENT_HEADER = r"^#\d{6}\s*\d+:\d+:\d+\s+server\s+id(\s|$)"
 COORDINATE_MARKS = ("CHANGE MASTER TO", "CHANGE REPLICATION SOURCE TO")
 FILE_KEYS = r"(?:MASTER_LOG_FILE|SOURCE_LOG_FILE)='([^']*)'"
 POSITION_KEYS = r"(?:MASTER_LOG_POS|SOURCE_LOG_POS)=(\d+)"
@@ -55,22 +55,26 @@ def is_uuid(text: Column) -> Column:
     return F.coalesce(text.rlike(UUID_SHAPE), F.lit(False))
 
 
-def header_time(line: Column) -> Column:
-    """Instant of one decoded event header line, else NULL.
+def header_times(line: Column) -> Column:
+    """The instant of a decoded event header line, as an array of one, or none for other text.
 
     Two-digit years 70-99 are 19xx. The epoch itself marks an artificial event, not a time.
+    The line must match ``EVENT_HEADER``.
     """
-    part = lambda i: F.regexp_extract(line, EVENT_HEADER, i)
-    year = part(1).try_cast("int")
-    stamp = F.try_make_timestamp(
-        F.when(year >= 70, year + 1900).otherwise(year + 2000),
-        part(2).try_cast("int"),
-        part(3).try_cast("int"),
-        part(4).try_cast("int"),
-        part(5).try_cast("int"),
-        F.when(part(6).try_cast("int") < 60, part(6).try_cast("decimal(16,6)")),
+    number = lambda start: F.substring(line, start, 2).try_cast("int")
+    clock = F.split(F.trim(F.substring(line, 8, 64)), r"[:\s]+")
+    stamps = F.transform(
+        F.array(clock),
+        lambda hms: F.try_make_timestamp(
+            F.when(number(2) >= 70, number(2) + 1900).otherwise(number(2) + 2000),
+            number(4),
+            number(6),
+            hms[0].try_cast("int"),
+            hms[1].try_cast("int"),
+            F.when(hms[2].try_cast("int") < 60, hms[2].try_cast("decimal(16,6)")),
+        ),
     )
-    return F.when(line.rlike(EVENT_HEADER) & (F.unix_seconds(stamp) > 0), stamp)
+    return F.filter(stamps, lambda s: F.unix_seconds(s) > 0)
 
 
 def names_coordinate(line: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, latest, over_keys, previous, total
+from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, total
 
 
 def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
@@ -23,19 +23,19 @@ def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     source keeps its tag in ``source``.
     """
     keep = [c for c in sets.columns if c != text]
-    packed = F.regexp_replace(F.col(text), r"\s+", "")
+    packed = F.translate(F.col(text), " \t\r\n", "")
     entries = sets.select(*keep, F.explode(F.split(packed, ",")).alias("_entry")).where(F.col("_entry") != "")
-    # A tag may be followed by further tags of the same source: src:t1:1-5:t2:7.
-    tagged = r":([A-Za-z_][A-Za-z0-9_]{0,31}):"
-    uuid = F.substring_index("_entry", ":", 1)
-    marked = F.split(F.regexp_replace("_entry", tagged, "\n$1:"), "\n")
-    parts = entries.select(*keep, uuid.alias("_uuid"), F.posexplode(marked).alias("_at", "_part"))
+    # A tag starts a new part of the entry: src:1-3:t1:1-5:t2:7.
+    marked = F.split("_entry", ":(?=[A-Za-z_])")
+    parts = entries.select(
+        *keep, F.substring_index("_entry", ":", 1).alias("_id"), F.posexplode(marked).alias("_at", "_part")
+    )
+    tagged = F.concat_ws(":", "_id", F.substring_index("_part", ":", 1))
+    spans = F.split("_part", ":")
     named = parts.select(
         *keep,
-        F.when(F.col("_at") == 0, F.col("_uuid"))
-        .otherwise(F.concat_ws(":", "_uuid", F.substring_index("_part", ":", 1)))
-        .alias("source"),
-        F.explode(F.filter(F.split("_part", ":"), lambda p, i: (i > 0) & p.rlike(r"^\d+(-\d+)?$"))).alias("_span"),
+        F.when(F.col("_at") == 0, F.col("_id")).otherwise(tagged).alias("source"),
+        F.explode(F.slice(spans, 2, F.size(spans))).alias("_span"),
     )
     return named.select(
         *keep,
@@ -62,6 +62,7 @@ def _spans(
     depths: dict[str, Column],
     wanted: Callable[[Callable[[str], Column]], Column],
     rows_per_task: int,
+    known_small: bool,
 ) -> DataFrame:
     """Maximal (keys, lo, hi) on which ``wanted`` holds; ``wanted`` reads depths by name."""
 
@@ -74,7 +75,12 @@ def _spans(
         spans = closed.where(F.col("_before")).df
         return spans.select(*keys, F.col("_open").alias("lo"), (F.col("pos") - 1).alias("hi"))
 
-    return over_keys(_ends(intervals, keys, depths), keys, ["pos"], sweep, rows_per_task)
+    return over_keys(_ends(intervals, keys, depths), keys, ["pos"], sweep, rows_per_task, known_small)
+
+
+def _pairs_small(intervals: DataFrame, rows_per_task: int) -> bool:
+    """No pair can have a hot source: it has two owners and two ends for each of their intervals."""
+    return none_above(intervals, ["owner", "source"], rows_per_task // 4)
 
 
 def _long(n: int) -> Column:
@@ -84,8 +90,20 @@ def _long(n: int) -> Column:
 def coalesce_intervals(
     intervals: DataFrame, keys: Sequence[str] = ("owner", "source"), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Overlapping and adjacent intervals merged."""
-    return _spans(intervals, list(keys), {"n": _long(1)}, lambda depth: depth("n") > 0, rows_per_task)
+    """Overlapping and adjacent intervals merged.
+
+    An interval opens a new stretch when it starts past everything before it.
+    """
+
+    def walk(rows: Ordered) -> DataFrame:
+        rows = rows.carry(_reach=highest(F.col("hi"), inclusive=False))
+        opens = F.col("_reach").isNull() | (F.col("lo") > F.col("_reach") + 1)
+        rows = rows.columns(_opens=F.when(opens, F.col("lo"))).carry(_open=latest(F.col("_opens")))
+        return rows.df.select(*keys, "_open", "hi")
+
+    stretches = over_keys(intervals.select(*keys, "lo", "hi"), keys, ["lo", "hi"], walk, rows_per_task)
+    merged = stretches.groupBy(*keys, "_open").agg(F.max("hi").alias("hi"))
+    return merged.select(*keys, F.col("_open").alias("lo"), "hi")
 
 
 def _sides(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str]) -> DataFrame:
@@ -110,6 +128,7 @@ def txn_subtract(
         depths,
         lambda depth: (depth("in_a") > 0) & (depth("in_b") == 0),
         rows_per_task,
+        _pairs_small(intervals, rows_per_task),
     )
 
 
@@ -135,7 +154,9 @@ def txn_relation(
             ((F.col("_b") > 0) & (F.col("_a") == 0)).alias("b_extra"),
         )
 
-    spans = over_keys(_ends(_sides(intervals, pairs, pair_key), keys, depths), keys, ["pos"], extras, rows_per_task)
+    small = _pairs_small(intervals, rows_per_task)
+    ends = _ends(_sides(intervals, pairs, pair_key), keys, depths)
+    spans = over_keys(ends, keys, ["pos"], extras, rows_per_task, small)
     found = spans.groupBy(*pair_key).agg(F.bool_or("a_extra").alias("a_extra"), F.bool_or("b_extra").alias("b_extra"))
     a_more, b_more = F.coalesce("a_extra", F.lit(False)), F.coalesce("b_extra", F.lit(False))
     return (
@@ -171,4 +192,5 @@ def interval_containment(
         .where(F.col("side") == 1)
         .df.select(*pair_key, "source", "lo", "hi", F.coalesce(F.col("reach") >= F.col("hi"), F.lit(False)).alias("contained")),
         rows_per_task,
+        _pairs_small(intervals, rows_per_task),
     )

@@ -51,7 +51,8 @@ def event_header_scan(t: Tables) -> DataFrame:
         .when(F.col("op") == "insert", padded)
         .otherwise(plain)
     )
-    return S.event_header_scan(t.change_log.select("lineage", "seq", "pos", line.alias("line")))
+    # The explode keeps the text from being built again for every place that reads it.
+    return S.event_header_scan(t.change_log.select("lineage", "seq", "pos", F.explode(F.array(line)).alias("line")))
 
 
 def dump_coordinate_scan(t: Tables) -> DataFrame:

@@ -9,6 +9,7 @@ from tidemark.functions.text import fnv1a_32
 from tidemark.operators import membership as M
 from tidemark.operators import txnset as X
 from tidemark.plans.tables import Tables
+from tidemark.session import written
 
 
 def txn_parse(t: Tables) -> DataFrame:
@@ -22,16 +23,21 @@ def coalesce_intervals(t: Tables) -> DataFrame:
     return X.coalesce_intervals(t.txn_intervals)
 
 
+def _merged(t: Tables) -> DataFrame:
+    """The sets as a replica fleet would store them: merged once, compared often."""
+    return written(X.coalesce_intervals(t.txn_intervals))
+
+
 def interval_containment(t: Tables) -> DataFrame:
-    return X.interval_containment(X.coalesce_intervals(t.txn_intervals), t.owner_pairs)
+    return X.interval_containment(_merged(t), t.owner_pairs)
 
 
 def txn_relation(t: Tables) -> DataFrame:
-    return X.txn_relation(X.coalesce_intervals(t.txn_intervals), t.owner_pairs)
+    return X.txn_relation(_merged(t), t.owner_pairs)
 
 
 def txn_subtract(t: Tables) -> DataFrame:
-    return X.txn_subtract(X.coalesce_intervals(t.txn_intervals), t.owner_pairs)
+    return X.txn_subtract(_merged(t), t.owner_pairs)
 
 
 def member_view_scan(t: Tables) -> DataFrame:

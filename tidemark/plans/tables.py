@@ -412,7 +412,8 @@ class Tables:
     @cached_property
     def owner_pairs(self) -> DataFrame:
         names = ["all", "both", "bulk", "copy", "none", "paid"]
-        return self.spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a string, b string")
+        pairs = ", ".join(f"('{a}', '{b}')" for a in names for b in names if a < b)
+        return self.spark.sql(f"SELECT * FROM VALUES {pairs} AS p(a, b)")
 
     @cached_property
     def txn_texts(self) -> DataFrame:
@@ -422,7 +423,7 @@ class Tables:
             " ", F.col("l_returnflag"), ":", key, "-", key + F.col("l_linenumber"), ":", key + 20, ",\n", F.col("l_linestatus"), ":tag:", key, ":old:", key + 7, "-", key + 9
         )
         return self.read("lineitem").select(
-            "l_suppkey", F.when(F.col("l_tax") == 0, "").otherwise(body).alias("txn_set")
+            "l_suppkey", F.explode(F.array(F.when(F.col("l_tax") == 0, "").otherwise(body))).alias("txn_set")
         )
 
 

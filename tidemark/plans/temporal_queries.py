@@ -10,7 +10,7 @@ from tidemark.operators import membership as M
 from tidemark.operators import telemetry as E
 from tidemark.operators import temporal as T
 from tidemark.plans.tables import Tables, text
-from tidemark.session import shared_folder
+from tidemark.session import shared_folder, written
 from tidemark.sources import logs as S
 from tidemark.sources.versioned import VersionedTable
 
@@ -22,7 +22,7 @@ def continuous_dwell(t: Tables) -> DataFrame:
 
 
 def stable_verdict(t: Tables) -> DataFrame:
-    return T.stable_verdict(M.bootstrap_verdict(t.answers, t.reports), 2)
+    return T.stable_verdict(written(M.bootstrap_verdict(t.answers, t.reports)), 2)
 
 
 def stuck_member(t: Tables) -> DataFrame:

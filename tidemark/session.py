@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +43,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach; a temporary one only where the cluster names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` stored in the shared folder and read back, for results that several steps reuse.
+
+    Later steps start from files, also after executors are lost.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

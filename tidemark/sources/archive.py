@@ -106,7 +106,9 @@ def segment_index_scan(lines: DataFrame) -> DataFrame:
 
 def event_header_scan(lines: DataFrame) -> DataFrame:
     """One ``ts`` per event header line of a decoded log, other columns kept."""
-    return lines.withColumn("ts", X.header_time(F.col("line"))).where(F.col("ts").isNotNull()).drop("line")
+    keep = [c for c in lines.columns if c != "line"]
+    headers = lines.where(F.col("line").rlike(X.EVENT_HEADER))
+    return headers.select(*keep, F.explode(X.header_times(F.col("line"))).alias("ts"))
 
 
 def dump_coordinate_scan(lines: DataFrame) -> DataFrame:
