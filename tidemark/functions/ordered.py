@@ -57,13 +57,23 @@ def previous(value: Column) -> Carry:
 
 
 class Ordered:
-    """Rows of ``df`` seen per ``keys`` in ``order``. ``order`` must be total within a key."""
-
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[Column], chunk: str | None = None):
-        self.df, self.keys, self.order, self.chunk = df, list(keys), list(order), chunk
+    """Rows of ``df`` seen per ``keys`` in ``order``, or against it. ``order`` must be total within a key."""
+
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[Column],
+        chunk: str | None = None,
+        backward: bool = False,
+    ):
+        self.df, self.keys, self.order, self.chunk, self.backward = df, list(keys), list(order), chunk, backward
 
     def _with(self, df: DataFrame) -> Ordered:
-        return Ordered(df, self.keys, self.order, self.chunk)
+        return Ordered(df, self.keys, self.order, self.chunk, self.backward)
+
+    def _directed(self, columns: Sequence[Column]) -> list[Column]:
+        return [c.desc() if self.backward else c.asc() for c in columns]
 
     def columns(self, **cols: Column) -> Ordered:
         return self._with(self.df.withColumns(cols))
@@ -77,7 +87,8 @@ class Ordered:
             return self._with(self.df.withColumns({n: self._window(c, self.keys) for n, c in carries.items()}))
         groups = [*self.keys, self.chunk]
         summary = self.df.groupBy(*groups).agg(*[self._summary(c).alias(f"_in_{n}") for n, c in carries.items()])
-        earlier = Window.partitionBy(*self.keys).orderBy(self.chunk).rowsBetween(Window.unboundedPreceding, -1)
+        earlier = Window.partitionBy(*self.keys).orderBy(*self._directed([F.col(self.chunk)]))
+        earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
         handed = summary.select(
             *groups, *[_fold(c.kind)(F.col(f"_in_{n}")).over(earlier).alias(f"_in_{n}") for n, c in carries.items()]
         )
@@ -86,13 +97,14 @@ class Ordered:
         return self._with(joined.withColumns(own).drop(*[f"_in_{n}" for n in carries]))
 
     def _window(self, carry: Carry, keys: Sequence[str]) -> Column:
-        frame = Window.partitionBy(*keys).orderBy(*self.order)
+        frame = Window.partitionBy(*keys).orderBy(*self._directed(self.order))
         frame = frame.rowsBetween(Window.unboundedPreceding, 0 if carry.inclusive else -1)
         return _fold(carry.kind)(carry.value).over(frame)
 
     def _summary(self, carry: Carry) -> Column:
         if carry.kind == "latest":
-            return F.max_by(carry.value, F.when(carry.value.isNotNull(), F.struct(*self.order)))
+            newest = F.min_by if self.backward else F.max_by
+            return newest(carry.value, F.when(carry.value.isNotNull(), F.struct(*self.order)))
         return _fold(carry.kind)(carry.value)
 
 
@@ -123,16 +135,18 @@ def over_keys(
     build: Callable[[Ordered], DataFrame],
     rows_per_task: int = ROWS_PER_TASK,
     known_small: bool = False,
+    backward: bool = False,
 ) -> DataFrame:
     """``build`` over each key's rows: one window stage, plus a chunked branch if keys are hot.
 
     Counts rows per key first, which runs ``df`` once for its key columns, unless the caller
     has shown on something cheaper that no key is above the bound. ``order`` names ascending
-    columns; the first one must cast to a number or a timestamp.
+    columns; the first one must cast to a number or a timestamp. ``backward`` walks from the
+    last row to the first.
     """
     columns = [F.col(c) for c in order]
     if known_small:
-        return build(Ordered(df, keys, columns))
+        return build(Ordered(df, keys, columns, None, backward))
     position = columns[0].cast("double")
     hot = (
         df.groupBy(*keys)
@@ -144,7 +158,7 @@ def over_keys(
     )
     found = hot.limit(BROADCAST_KEYS + 1).collect()
     if not found:
-        return build(Ordered(df, keys, columns))
+        return build(Ordered(df, keys, columns, None, backward))
     if len(found) <= BROADCAST_KEYS:
         hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
     cold = df.join(hot.select(*keys), list(keys), "left_anti")
@@ -153,5 +167,5 @@ def over_keys(
         .withColumn(_CHUNK, F.floor((position - F.col("_lo")) / F.col("_width")))
         .drop("_lo", "_width")
     )
-    plain = build(Ordered(cold, keys, columns))
-    return plain.unionByName(build(Ordered(chunked, keys, columns, _CHUNK)).select(*plain.columns))
+    plain = build(Ordered(cold, keys, columns, None, backward))
+    return plain.unionByName(build(Ordered(chunked, keys, columns, _CHUNK, backward)).select(*plain.columns))

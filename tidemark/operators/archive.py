@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.functions.ordered import ROWS_PER_TASK, latest, over_keys, previous, total
+from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, latest, over_keys, previous, total
 
 # Cadence defaults in seconds.
 FULL_INTERVAL_S = 86400
@@ -142,69 +142,56 @@ def upload_reconcile(ledger: DataFrame, listing: DataFrame, checks: DataFrame) -
 def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """The gap-free run from each start(lineage, start_seq, start_file) and the gap that ends it.
 
-    Segments are numbered once per lineage and cut into unbroken runs; a start reads the
-    rest of its own run, so the cost does not grow with starts x segments. Two segments of
-    the same number are a gap. A start that is not archived has an empty run, and a gap
-    when anything newer exists.
+    One backward walk over a lineage's segments and starts together: a start meets the end of
+    its run and whatever lies past it, so nothing grows with starts x segments. Two segments
+    of the same number are a gap. A start that is not archived has an empty run, and a gap
+    when anything of a higher number exists.
     """
-    starts = starts.select("lineage", "start_seq", "start_file").distinct()
-    rows = (
-        numbered_segments(segments)
-        .select("lineage", "seq", F.lit(0).alias("side"), "name", "last_ts")
-        .unionByName(
-            starts.select(
-                "lineage",
-                F.col("start_seq").alias("seq"),
-                F.lit(1).alias("side"),
-                F.col("start_file").alias("name"),
-                F.lit(None).cast("timestamp").alias("last_ts"),
-            )
-        )
-    )
-    is_segment = F.col("side") == 0
-    numbered = over_keys(
-        rows,
-        ["lineage"],
-        ["seq", "side", "name"],
-        lambda r: r.carry(
-            rn=total(is_segment.cast("bigint")), before=previous(F.when(is_segment, F.col("seq")))
-        )
-        .columns(breaks=(is_segment & (F.col("seq") != F.col("before") + 1)).cast("bigint"))
-        .carry(run=total(F.coalesce("breaks", F.lit(0).cast("bigint"))))
-        .df.select("lineage", "seq", "side", "name", "last_ts", "rn", "run"),
-        rows_per_task,
+    no_name, no_time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    archived = numbered_segments(segments).select(
+        "lineage", "seq", F.lit(0).alias("above"), "name", F.lit(1).alias("side"), "last_ts", no_name.alias("start_file")
     )
-    archived = numbered.where(is_segment)
-    runs = archived.groupBy("lineage", "run").agg(
-        F.min(F.struct("rn", "name")).alias("first"), F.max(F.struct("rn", "name", "last_ts")).alias("last")
+    # Each start looks twice: at its own place, and just above every segment of its number.
+    looks = F.array(
+        F.struct(F.lit(0).alias("above"), F.col("start_file").alias("name")),
+        F.struct(F.lit(1).alias("above"), F.lit("").alias("name")),
     )
-    at_start = archived.groupBy("lineage", F.col("seq").alias("start_seq"), F.col("name").alias("start_file")).agg(
-        F.min(F.struct("rn", "run")).alias("own")
-    )
-    next_run = runs.select("lineage", (F.col("run") - 1).alias("run"), F.col("first.name").alias("next_in_run"))
-    passed = numbered.where(~is_segment).select(
-        "lineage", F.col("seq").alias("start_seq"), F.col("name").alias("start_file"), (F.col("rn") + 1).alias("rn")
+    looking = (
+        starts.select("lineage", "start_seq", "start_file").distinct().withColumn("look", F.explode(looks))
+        .select("lineage", F.col("start_seq").alias("seq"), "look.above", "look.name", F.lit(0).alias("side"), no_time.alias("last_ts"), "start_file")
+    )
+    is_segment = F.col("side") == 1
+
+    def walk(rows: Ordered) -> DataFrame:
+        rows = rows.carry(newer=previous(F.when(is_segment, F.struct("seq", "name"))))
+        ends = is_segment & F.coalesce(F.col("newer.seq") != F.col("seq") + 1, F.lit(True))
+        end = F.struct("seq", "name", "last_ts", F.col("newer.name").alias("past"))
+        rows = rows.columns(_end=F.when(ends, end)).carry(end=latest(F.col("_end")))
+        own, met = F.col("above") == 0, F.col("newer")
+        here = own & F.coalesce((met["seq"] == F.col("seq")) & (met["name"] == F.col("start_file")), F.lit(False))
+        return rows.where(~is_segment).df.select(
+            "lineage",
+            F.col("seq").alias("start_seq"),
+            "start_file",
+            F.when(here, F.col("end")).alias("end"),
+            F.when(~own, met["name"]).alias("higher"),
+        )
+
+    found = over_keys(
+        archived.unionByName(looking), ["lineage"], ["seq", "above", "name", "side"], walk, rows_per_task, backward=True
     )
-    newer = passed.join(
-        archived.select("lineage", "rn", F.col("name").alias("next_after")), ["lineage", "rn"], "left"
-    ).drop("rn")
     start_key = ["lineage", "start_seq", "start_file"]
-    found = F.col("own").isNotNull()
-    return (
-        newer.join(at_start, start_key, "left")
-        .withColumn("run", F.col("own.run"))
-        .join(runs.select("lineage", "run", "last"), ["lineage", "run"], "left")
-        .join(next_run, ["lineage", "run"], "left")
-        .select(
-            *start_key,
-            F.when(found, F.col("last.rn") - F.col("own.rn") + 1).otherwise(F.lit(0)).alias("run_length"),
-            F.col("last.name").alias("run_last"),
-            F.col("last.last_ts").alias("run_last_ts"),
-            F.when(found & F.col("next_in_run").isNotNull(), F.col("last.name"))
-            .when(~found & F.col("next_after").isNotNull(), F.lit(""))
-            .alias("gap_after"),
-            F.when(found, F.col("next_in_run")).otherwise(F.col("next_after")).alias("gap_next"),
-        )
+    merged = found.groupBy(*start_key).agg(F.max("end").alias("end"), F.max("higher").alias("higher"))
+    here = F.col("end").isNotNull()
+    return merged.select(
+        *start_key,
+        F.when(here, F.col("end.seq") - F.col("start_seq") + 1).otherwise(F.lit(0)).alias("run_length"),
+        F.col("end.name").alias("run_last"),
+        F.col("end.last_ts").alias("run_last_ts"),
+        F.when(here & F.col("end.past").isNotNull(), F.col("end.name"))
+        .when(~here & F.col("higher").isNotNull(), F.lit(""))
+        .alias("gap_after"),
+        F.when(here, F.col("end.past")).otherwise(F.col("higher")).alias("gap_next"),
     )
 
 

@@ -219,8 +219,9 @@ def pairwise_relation(answers: DataFrame, reports: DataFrame, rows_per_task: int
     """
     known = (F.col("answer") == "state") & F.col("txn_set").isNotNull()
     pairs = answers.where(known).select(*POLL, set_owner("observer").alias("a"), set_owner("peer").alias("b"))
-    compared = txnset.txn_relation(report_intervals(reports), pairs, POLL, rows_per_task)
-    return answers.join(compared.select(*POLL, "relation"), POLL, "left").fillna("Unknown", ["relation"])
+    extras = txnset.pair_extras(report_intervals(reports), pairs, POLL, rows_per_task)
+    relation = F.when(known, txnset.extras_relation()).otherwise("Unknown")
+    return answers.join(extras, POLL, "left").withColumn("relation", relation).drop("a_extra", "b_extra")
 
 
 def diverged_peer_wins(my_gen: Column, my_rank: Column, peer_gen: Column, peer_rank: Column) -> Column:

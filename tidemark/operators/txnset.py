@@ -108,10 +108,12 @@ def coalesce_intervals(
 
 def _sides(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str]) -> DataFrame:
     """Intervals of both members of each pair, marked 1 for the side they come from."""
-    own = list(pair_key)
-    mine = pairs.select(*own, F.col("a").alias("owner"), _long(1).alias("in_a"), _long(0).alias("in_b"))
-    theirs = pairs.select(*own, F.col("b").alias("owner"), _long(0).alias("in_a"), _long(1).alias("in_b"))
-    return intervals.join(mine.unionByName(theirs), "owner").drop("owner")
+    both = F.array(
+        F.struct(F.col("a").alias("owner"), _long(1).alias("in_a"), _long(0).alias("in_b")),
+        F.struct(F.col("b").alias("owner"), _long(0).alias("in_a"), _long(1).alias("in_b")),
+    )
+    members = pairs.select(*pair_key, F.explode(both).alias("_m")).select(*pair_key, "_m.*")
+    return intervals.join(members, "owner").drop("owner")
 
 
 def txn_subtract(
@@ -132,21 +134,14 @@ def txn_subtract(
     )
 
 
-def txn_relation(
-    intervals: DataFrame,
-    pairs: DataFrame,
-    pair_key: Sequence[str] = ("a", "b"),
-    rows_per_task: int = ROWS_PER_TASK,
+def pair_extras(
+    intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str] = ("a", "b"), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """How b's set stands to a's: Equal, Behind (b inside a), Ahead (a inside b) or Diverged.
-
-    ``intervals`` should be coalesced when an owner is in many pairs: each pair gets its own
-    copy of the two sets. Pairs come from ``pairs``, so empty sets keep their row.
-    """
+    """Does each side hold anything the other lacks? Pairs of two empty sets have no row."""
     keys = [*pair_key, "source"]
     depths = {"in_a": F.col("in_a"), "in_b": F.col("in_b")}
 
-    def extras(rows: Ordered) -> DataFrame:
+    def walk(rows: Ordered) -> DataFrame:
         state = rows.carry(_a=total(F.col("in_a")), _b=total(F.col("in_b"))).df
         return state.select(
             *pair_key,
@@ -156,14 +151,37 @@ def txn_relation(
 
     small = _pairs_small(intervals, rows_per_task)
     ends = _ends(_sides(intervals, pairs, pair_key), keys, depths)
-    spans = over_keys(ends, keys, ["pos"], extras, rows_per_task, small)
-    found = spans.groupBy(*pair_key).agg(F.bool_or("a_extra").alias("a_extra"), F.bool_or("b_extra").alias("b_extra"))
-    a_more, b_more = F.coalesce("a_extra", F.lit(False)), F.coalesce("b_extra", F.lit(False))
+    spans = over_keys(ends, keys, ["pos"], walk, rows_per_task, small)
+    return spans.groupBy(*pair_key).agg(F.bool_or("a_extra").alias("a_extra"), F.bool_or("b_extra").alias("b_extra"))
+
+
+def extras_relation() -> Column:
+    """The relation of a pair joined with its extras."""
+    return relation_name(~F.coalesce("b_extra", F.lit(False)), ~F.coalesce("a_extra", F.lit(False)))
+
+
+def txn_relation(
+    intervals: DataFrame,
+    pairs: DataFrame,
+    pair_key: Sequence[str] = ("a", "b"),
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """How b's set stands to a's: Equal, Behind (b inside a), Ahead (a inside b) or Diverged.
+
+    ``intervals`` should be coalesced when an owner is in many pairs: each pair gets its own
+    copy of the two sets. Pairs come from ``pairs``, so empty sets keep their row.
+    """
+    extras = pair_extras(intervals, pairs, pair_key, rows_per_task)
     return (
-        pairs.join(found, list(pair_key), "left")
-        .withColumns({"b_in_a": ~b_more, "a_in_b": ~a_more})
+        pairs.join(extras, list(pair_key), "left")
+        .withColumns(
+            {
+                "b_in_a": ~F.coalesce("b_extra", F.lit(False)),
+                "a_in_b": ~F.coalesce("a_extra", F.lit(False)),
+                "relation": extras_relation(),
+            }
+        )
         .drop("a_extra", "b_extra")
-        .withColumn("relation", relation_name(F.col("b_in_a"), F.col("a_in_b")))
     )
 
 

@@ -10,6 +10,7 @@ from tidemark.operators import archive as A
 from tidemark.operators import replay as R
 from tidemark.plans import recovery
 from tidemark.plans.tables import BASE_PATH, Tables, text
+from tidemark.session import written
 from tidemark.sources import archive as S
 
 
@@ -178,7 +179,7 @@ def point_in_time_table(t: Tables) -> DataFrame:
     approved = _readiness(t).where(F.col("verdict") == "OK")
     fields = ["request_id", "lineage", "dump_key", "start_seq", "start_pos", "target", "verdict"]
     newest = approved.groupBy("archive_id").agg(F.max_by(F.struct(*fields), "target").alias("r")).select("r.*")
-    return recovery.point_in_time_table(t.snapshot, t.change_log_late, newest)
+    return recovery.point_in_time_table(t.snapshot, t.change_log_late, written(newest))
 
 
 def point_in_time_orders(t: Tables) -> DataFrame:
