@@ -35,10 +35,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_whole_texts(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
-    """(archive_id, key, text), one row per file: the input of ``full_backup_scan``."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
-    return files.select(
+def read_backup_texts(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
+    """(archive_id, key, text) of the metadata objects below ``path``; the dumps are not opened."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json")
+    texts = files.text(path, wholetext=True)
+    return texts.select(
         F.lit(archive_id).alias("archive_id"), F.col("_metadata.file_path").alias("key"), F.col("value").alias("text")
     )
 
