@@ -77,7 +77,8 @@ def closed_segments(t: Tables) -> DataFrame:
 
 
 def _chosen(t: Tables) -> DataFrame:
-    return A.newest_full_asof(t.targets, t.fulls)
+    """The requests with their backups, stored: their size then decides how they join the log."""
+    return written(A.newest_full_asof(t.targets, t.fulls))
 
 
 def start_coordinate_filter(t: Tables) -> DataFrame:
@@ -88,7 +89,7 @@ def start_coordinate_filter(t: Tables) -> DataFrame:
 
 
 def newest_full_asof(t: Tables) -> DataFrame:
-    return _chosen(t)
+    return A.newest_full_asof(t.targets, t.fulls)
 
 
 def fallback_fulls(t: Tables) -> DataFrame:
