@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, latest, over_keys, previous, total
+from tidemark.session import written
 
 # Cadence defaults in seconds.
 FULL_INTERVAL_S = 86400
@@ -218,24 +219,25 @@ def ledger_after_purge(ledger: DataFrame, cuts: DataFrame) -> DataFrame:
     return ledger.join(cuts.select("lineage", "cut_seq"), "lineage", "left").where(~purged).drop("cut_seq")
 
 
-def stop_cut(rows: DataFrame) -> DataFrame:
-    """Request-tagged log rows(request_id, target, seq, pos, ts) up to where each replay stops.
+def stop_cut(change_log: DataFrame, requests: DataFrame) -> DataFrame:
+    """Log rows each request(request_id, lineage, start_seq, start_pos, target) replays, up to its stop.
 
     Replay ends at the first row, in log order, stamped at or after the target's whole
-    second. Later rows stay out even when stamped earlier. The stop is a small aggregate
-    per request, joined back; the log itself is never sorted.
+    second. Later rows stay out even when stamped earlier. A first pass over four columns
+    finds each request's stop; the stops are stored with the requests, whose size then
+    decides how they join the log. The log is never sorted, nor shuffled while the requests
+    are few enough to broadcast.
     """
     at = F.struct("seq", "pos")
+    reached = start_coordinate_filter(change_log.select("lineage", "seq", "pos", "ts"), requests)
     stops = (
-        rows.where(F.col("ts") >= F.date_trunc("second", "target"))
+        reached.where(F.col("ts") >= F.date_trunc("second", "target"))
         .groupBy("request_id")
         .agg(F.min(at).alias("stop"))
     )
-    return (
-        rows.join(stops, "request_id", "left")
-        .where(F.col("stop").isNull() | (at < F.col("stop")))
-        .drop("stop")
-    )
+    bounded = written(requests.join(stops, "request_id", "left"))
+    replayed = start_coordinate_filter(change_log, bounded)
+    return replayed.where(F.col("stop").isNull() | (at < F.col("stop"))).drop("stop")
 
 
 def segment_coverage(headers: DataFrame) -> DataFrame:

@@ -194,6 +194,13 @@ ORACLE = {
             SELECT *, row_number() OVER (PARTITION BY lineage, key ORDER BY seq DESC, pos DESC) AS rn FROM change_log)
         WHERE rn = 1""",
     ),
+    "live_table": with_views(
+        ["change_log"],
+        """
+        SELECT lineage, key, image FROM (
+            SELECT *, row_number() OVER (PARTITION BY lineage, key ORDER BY seq DESC, pos DESC) AS rn FROM change_log)
+        WHERE rn = 1 AND op <> 'delete'""",
+    ),
     "apply_conflicts": with_views(
         ["change_log", "snapshot"],
         """

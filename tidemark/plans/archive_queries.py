@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from tidemark.operators import archive as A
 from tidemark.operators import replay as R
 from tidemark.plans import recovery
 from tidemark.plans.tables import BASE_PATH, Tables, text
-from tidemark.session import written
+from tidemark.session import shared_folder, written
 from tidemark.sources import archive as S
+from tidemark.streaming.live_table import LiveTable
 
 
 def newest_moment(t: Tables) -> Column:
@@ -127,7 +130,7 @@ def ledger_after_purge(t: Tables) -> DataFrame:
 
 
 def stop_cut(t: Tables) -> DataFrame:
-    rows = A.stop_cut(A.start_coordinate_filter(t.change_log_late.drop("archive_id"), _chosen(t)))
+    rows = A.stop_cut(t.change_log_late.drop("archive_id"), _chosen(t))
     return rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("seq") * 250 + F.col("pos")).alias("last_at")
     )
@@ -150,6 +153,14 @@ def latest_per_key(t: Tables) -> DataFrame:
     return R.latest_per_key(t.change_log, ["lineage", "key"], ["seq", "pos"], ["op", "image"])
 
 
+def live_table(t: Tables) -> DataFrame:
+    """The keyed table after the whole change stream went through the streaming path."""
+    folder = f"{shared_folder(t.spark)}/live-{uuid.uuid4().hex}"
+    table = LiveTable(t.spark, folder, ["lineage", "key"], ["seq", "pos"], ["image"], buckets=16)
+    table.start(t.change_stream, f"{folder}/progress").awaitTermination()
+    return table.read()
+
+
 def apply_conflicts(t: Tables) -> DataFrame:
     return R.apply_conflicts(t.snapshot, t.change_log, ["lineage", "key"], ["seq", "pos"])
 
@@ -217,7 +228,7 @@ QUERIES = {
         archive_listing, full_backup_scan, full_backup_rejects, segment_index_scan, event_header_scan,
         dump_coordinate_scan, closed_segments, start_coordinate_filter, newest_full_asof, fallback_fulls,
         pending_uploads, lost_segments, upload_reconcile, segment_order, replay_plan, purge_cut,
-        ledger_after_purge, stop_cut, segment_coverage, needs_full_backup, cadence_overdue, latest_per_key,
+        ledger_after_purge, stop_cut, segment_coverage, needs_full_backup, cadence_overdue, latest_per_key, live_table,
         apply_conflicts, recovery_bound, restore_readiness, point_in_time_table, point_in_time_orders,
         scalar_functions,
     )

@@ -65,6 +65,6 @@ def point_in_time_table(
     approved = readiness.where(F.col("verdict") == "OK").select(
         "request_id", "lineage", "dump_key", "start_seq", "start_pos", "target"
     )
-    replayed = A.stop_cut(A.start_coordinate_filter(change_log, approved))
+    replayed = A.stop_cut(change_log, approved)
     base = snapshot.join(approved.select("request_id", *dump), dump)
     return R.fold(base, replayed, ["request_id", *keys], ["seq", "pos"], list(payload))

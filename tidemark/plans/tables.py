@@ -42,9 +42,19 @@ class Tables:
 
     # Archive
 
+    @cached_property
+    def change_stream(self) -> DataFrame:
+        """The change log as a stream of the files of its base table."""
+        source = self.spark.readStream.schema(self.read("events").schema).option("pathGlobFilter", "events.parquet")
+        events = source.parquet(self.dir)
+        return self._changes(events.withColumn("ts", F.col("ts").cast("timestamp")))
+
     @cached_property
     def change_log(self) -> DataFrame:
-        return self.events.select(
+        return self._changes(self.events)
+
+    def _changes(self, events: DataFrame) -> DataFrame:
+        return events.select(
             text("a", mod("user_id", 4)).alias("archive_id"),
             text("n", mod("user_id", 8)).alias("lineage"),
             (div("event_id", 250) + 1).alias("seq"),

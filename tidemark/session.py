@@ -42,7 +42,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach; a temporary one only where the cluster names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or tempfile.mkdtemp(prefix="run-")
 
 
 def written(df: DataFrame) -> DataFrame:

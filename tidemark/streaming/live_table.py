@@ -37,6 +37,7 @@ class LiveTable:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.keys, self.order, self.payload = list(keys), list(order), list(payload)
         self.columns = [*self.keys, *self.order, "op", *self.payload]
+        self._applied: tuple[int, dict[int, int]] | None = None  # spares a running stream the list
 
     def _manifest(self, before: int | None = None) -> dict[int, int]:
         try:
@@ -64,7 +65,8 @@ class LiveTable:
         touched = [r.bucket for r in changes.select(bucket.alias("bucket")).distinct().collect()]
         if not touched:
             return
-        manifest = self._manifest(before=batch_id)
+        running = self._applied is not None and self._applied[0] < batch_id
+        manifest = dict(self._applied[1]) if running else self._manifest(before=batch_id)
         current = self._rows({b: v for b, v in manifest.items() if b in set(touched)})
         if current is not None:
             folded = latest_per_key(folded.unionByName(current), self.keys, self.order, carried)
@@ -74,6 +76,7 @@ class LiveTable:
         entries = [(batch_id, b, v) for b, v in manifest.items()]
         published = self.spark.createDataFrame(entries, "batch BIGINT, bucket INT, version BIGINT").coalesce(1)
         published.write.mode("overwrite").json(f"{self.root}/published/{batch_id}")
+        self._applied = (batch_id, manifest)
 
     def start(self, changes: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         writer = changes.writeStream.foreachBatch(self.apply_batch).option("checkpointLocation", checkpoint)
