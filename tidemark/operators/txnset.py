@@ -45,14 +45,19 @@ def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     )
 
 
-def _ends(intervals: DataFrame, keys: Sequence[str], depths: dict[str, Column]) -> DataFrame:
-    """(keys, pos, one net change per depth): both ends of every interval, equal positions summed."""
+def _ends(intervals: DataFrame, keys: Sequence[str], depths: dict[str, Column], known_small: bool) -> DataFrame:
+    """(keys, pos, one net change per depth): both ends of every interval, equal positions summed.
+
+    Keys known to be small are brought together at once, so that sum and sweep share a shuffle.
+    """
     opens = [c.alias(n) for n, c in depths.items()]
     closes = [(-c).alias(n) for n, c in depths.items()]
     ends = F.array(
         F.struct(F.col("lo").alias("pos"), *opens), F.struct((F.col("hi") + 1).alias("pos"), *closes)
     )
     rows = intervals.select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.*")
+    if known_small:
+        rows = rows.repartition(*keys)
     return rows.groupBy(*keys, "pos").agg(*[F.sum(n).alias(n) for n in depths])
 
 
@@ -75,7 +80,7 @@ def _spans(
         spans = closed.where(F.col("_before")).df
         return spans.select(*keys, F.col("_open").alias("lo"), (F.col("pos") - 1).alias("hi"))
 
-    return over_keys(_ends(intervals, keys, depths), keys, ["pos"], sweep, rows_per_task, known_small)
+    return over_keys(_ends(intervals, keys, depths, known_small), keys, ["pos"], sweep, rows_per_task, known_small)
 
 
 def _pairs_small(intervals: DataFrame, rows_per_task: int) -> bool:
@@ -150,7 +155,7 @@ def pair_extras(
         )
 
     small = _pairs_small(intervals, rows_per_task)
-    ends = _ends(_sides(intervals, pairs, pair_key), keys, depths)
+    ends = _ends(_sides(intervals, pairs, pair_key), keys, depths, small)
     spans = over_keys(ends, keys, ["pos"], walk, rows_per_task, small)
     return spans.groupBy(*pair_key).agg(F.bool_or("a_extra").alias("a_extra"), F.bool_or("b_extra").alias("b_extra"))
 
