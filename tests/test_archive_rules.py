@@ -83,6 +83,7 @@ def test_replay_plan(spark):
     assert plan(spark, [3, 1, 2], 1) == (3, name(3), None, None)
     # Two files of one number are a gap; a file of the start's number is not past it.
     assert plan(spark, [1, 1, 3], 1, [name(1), "other.000001", name(3)])[0] == 1
+    assert plan(spark, [1, 2, 2, 3], 1) == (2, name(2), name(2), name(2))
     assert plan(spark, [1, 2], 1, ["other.000001", name(2)]) == (0, None, "", name(2))
     assert plan(spark, [1], 1, ["other.000001"]) == (0, None, None, None)
 

@@ -48,6 +48,12 @@ def test_chunks_change_nothing(tables, name):
     assert rows(BOUNDS.get(name, 5)) == plain
 
 
+def test_repeated_intervals_in_chunks(tables):
+    twice = tables.txn_intervals.unionByName(tables.txn_intervals)
+    rows = lambda df, n: sorted(map(repr, X.coalesce_intervals(df, rows_per_task=n).collect()))
+    assert rows(twice, 50) == rows(tables.txn_intervals, 10**9)
+
+
 def test_one_node_holds_most_rows(spark, tables):
     hot = tables.polls.withColumn("node", F.when(F.col("node") % 3 > 0, 0).otherwise(F.col("node")))
     rows = lambda n: sorted(map(repr, B.stuck_member(hot, 3600, n).collect()))

@@ -145,13 +145,16 @@ def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROW
 
     One backward walk over a lineage's segments and starts together: a start meets the end of
     its run and whatever lies past it, so nothing grows with starts x segments. Two segments
-    of the same number are a gap. A start that is not archived has an empty run, and a gap
+    of the same number are a gap, also under one name. A start that is not archived has an empty run, and a gap
     when anything of a higher number exists.
     """
     no_name, no_time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
-    archived = numbered_segments(segments).select(
-        "lineage", "seq", F.lit(0).alias("above"), "name", F.lit(1).alias("side"), "last_ts", no_name.alias("start_file")
+    copies = numbered_segments(segments).groupBy("lineage", "seq", "name").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("last_ts").alias("last_ts")
     )
+    archived = copies.select(
+        "lineage", "seq", F.lit(0).alias("above"), "name", F.lit(1).alias("side"), "last_ts", no_name.alias("start_file"), "copies"
+    )
     # Each start looks twice: at its own place, and just above every segment of its number.
     looks = F.array(
         F.struct(F.lit(0).alias("above"), F.col("start_file").alias("name")),
@@ -159,14 +162,16 @@ def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROW
     )
     looking = (
         starts.select("lineage", "start_seq", "start_file").distinct().withColumn("look", F.explode(looks))
-        .select("lineage", F.col("start_seq").alias("seq"), "look.above", "look.name", F.lit(0).alias("side"), no_time.alias("last_ts"), "start_file")
+        .select("lineage", F.col("start_seq").alias("seq"), "look.above", "look.name", F.lit(0).alias("side"), no_time.alias("last_ts"), "start_file", F.lit(0).cast("bigint").alias("copies"))
     )
     is_segment = F.col("side") == 1
 
     def walk(rows: Ordered) -> DataFrame:
         rows = rows.carry(newer=previous(F.when(is_segment, F.struct("seq", "name"))))
-        ends = is_segment & F.coalesce(F.col("newer.seq") != F.col("seq") + 1, F.lit(True))
-        end = F.struct("seq", "name", "last_ts", F.col("newer.name").alias("past"))
+        twice = F.col("copies") > 1
+        ends = is_segment & (twice | F.coalesce(F.col("newer.seq") != F.col("seq") + 1, F.lit(True)))
+        past = F.when(twice, F.col("name")).otherwise(F.col("newer.name"))
+        end = F.struct("seq", "name", "last_ts", past.alias("past"))
         rows = rows.columns(_end=F.when(ends, end)).carry(end=latest(F.col("_end")))
         own, met = F.col("above") == 0, F.col("newer")
         here = own & F.coalesce((met["seq"] == F.col("seq")) & (met["name"] == F.col("start_file")), F.lit(False))

@@ -97,8 +97,12 @@ def coalesce_intervals(
 ) -> DataFrame:
     """Overlapping and adjacent intervals merged.
 
-    An interval opens a new stretch when it starts past everything before it.
+    Of intervals with one start the longest counts, which makes the order total. An interval
+    opens a new stretch when it starts past everything before it.
     """
+    small = none_above(intervals, keys, rows_per_task)
+    rows = intervals.repartition(*keys) if small else intervals
+    longest = rows.groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
 
     def walk(rows: Ordered) -> DataFrame:
         rows = rows.carry(_reach=highest(F.col("hi"), inclusive=False))
@@ -106,7 +110,7 @@ def coalesce_intervals(
         rows = rows.columns(_opens=F.when(opens, F.col("lo"))).carry(_open=latest(F.col("_opens")))
         return rows.df.select(*keys, "_open", "hi")
 
-    stretches = over_keys(intervals.select(*keys, "lo", "hi"), keys, ["lo", "hi"], walk, rows_per_task)
+    stretches = over_keys(longest, keys, ["lo"], walk, rows_per_task, small)
     merged = stretches.groupBy(*keys, "_open").agg(F.max("hi").alias("hi"))
     return merged.select(*keys, F.col("_open").alias("lo"), "hi")
 
