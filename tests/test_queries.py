@@ -2,9 +2,10 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, oracle
 from tests.conftest import SF
+from tidemark.plans.catalog import oracle_sql, queries
 
 GLOBAL_AGGREGATE = {"needs_full_backup", "cadence_overdue"}  # the newest instant of the log, one row
 

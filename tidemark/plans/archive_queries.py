@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tidemark.operators import archive as A
 from tidemark.operators import replay as R
 from tidemark.plans import recovery
 from tidemark.plans.tables import BASE_PATH, Tables, text
-from tidemark.session import shared_folder, written
+from tidemark.session import new_path, written
 from tidemark.sources import archive as S
 from tidemark.streaming.live_table import LiveTable
 
@@ -155,7 +154,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 def live_table(t: Tables) -> DataFrame:
     """The keyed table after the whole change stream went through the streaming path."""
-    folder = f"{shared_folder(t.spark)}/live-{uuid.uuid4().hex}"
+    folder = new_path(t.spark, "live")
     table = LiveTable(t.spark, folder, ["lineage", "key"], ["seq", "pos"], ["image"], buckets=16)
     table.start(t.change_stream, f"{folder}/progress").awaitTermination()
     return table.read()

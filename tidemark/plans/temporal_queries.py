@@ -10,7 +10,7 @@ from tidemark.operators import membership as M
 from tidemark.operators import telemetry as E
 from tidemark.operators import temporal as T
 from tidemark.plans.tables import Tables, text
-from tidemark.session import shared_folder, written
+from tidemark.session import new_path, written
 from tidemark.sources import logs as S
 from tidemark.sources.versioned import VersionedTable
 
@@ -94,7 +94,7 @@ def log_signal_scan(t: Tables) -> DataFrame:
 
 def state_sink(t: Tables) -> DataFrame:
     """The ledger written as a new version of a state table and read back."""
-    table = VersionedTable(t.spark, shared_folder(t.spark) + "/ledger")
+    table = VersionedTable(t.spark, new_path(t.spark, "ledger"))
     table.write(t.ledger)
     return table.read()
 

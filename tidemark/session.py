@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -41,9 +42,24 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the cluster names none."""
+    """This application's folder under the one named by spark.checkpoint.dir, which every executor can reach.
+
+    Without that setting only a local master, whose one machine holds driver and executors, gets a folder of its own;
+    any other master is refused, since parts on the executors' own disks cannot be read back. A folder is named after
+    the application, so an expiry rule on the shared store can remove what ended applications left.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or tempfile.mkdtemp(prefix="run-")
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="run-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -51,6 +67,6 @@ def written(df: DataFrame) -> DataFrame:
 
     Later steps start from files, also after executors are lost.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
