@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, sharding
+from tidemark.llm import ann, chat, sharding, topk
 
-_MODULES = (sharding, chat)
+_MODULES = (ann, sharding, chat, topk)
 
 
 def queries() -> dict:
