@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, sharding, topk
+from tidemark.llm import ann, chat, html, lang, sharding, topk
 
-_MODULES = (ann, sharding, chat, topk)
+_MODULES = (ann, html, lang, sharding, chat, topk)
 
 
 def queries() -> dict:

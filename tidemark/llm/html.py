@@ -1,0 +1,230 @@
+"""Main text of web pages: parser events, text-to-tag ratios per line, smoothing, threshold clustering.
+
+The standard library's parser turns a page into events. Events are cut into lines: a line is the text of one block (a
+paragraph, heading, list item, cell, ...), with the number of tags and of linked characters in it. A page then goes
+through three steps:
+
+1. Lines inside elements that are boilerplate by their meaning (scripts, styles, menus, headers, footers, asides, forms,
+   hidden elements, and elements whose class, id or role names an advert, notice, comment section, share bar, ...) are
+   set aside. ``header`` inside an article is the article's own.
+2. Every other line has a ratio: unlinked characters per tag, capped at the page's typical ratio M, at which half of its text
+   lies, so that one long paragraph does not outshine the rest. Ratios are smoothed by a Gaussian over neighbouring lines,
+   and lines whose own or smoothed ratio reaches the threshold M/2 are content, the others rest. A line that is mostly links is rest; a heading
+   goes with the line after it. If the page marks an ``article`` or ``main`` element, that mark is evidence the ratio yields
+   to: lines inside count as M, lines outside as 0, and smoothing does not cross the element's border.
+3. Content lines, in page order, joined by one line break.
+
+Character references are decoded once, white space inside a block is one space, blocks are trimmed and empty ones left out.
+Nothing is capped: a page of any length is parsed in pieces, and a block is kept whole.
+
+Edge cases: NULL or empty pages have the empty text; unclosed, crossed and stray tags end where their block ends; a page cut
+off inside a tag or reference keeps what came before; a page without tags is its text; other columns are ignored by the
+query and kept by ``extracted``.
+"""
+
+from __future__ import annotations
+
+import re
+from html.parser import HTMLParser
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCKS = frozenset(
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
+    " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead"
+    " tr ul".split()
+)
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+DROPPED = frozenset(
+    "head script style template noscript iframe object svg math canvas audio video nav header footer aside form button"
+    " select textarea label fieldset menu dialog title".split()
+)
+#: Words of a class, id or role that name what is not the article.
+NAMES = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adslot|sponsor(?:ed)?|promo(?:ted|tion)?|banner|nav|navbar|navigation"
+    r"|menu|breadcrumbs?|sidebar|side|header|masthead|footer|foot|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay"
+    r"|newsletter|subscri(?:be|ption)|signup|login|comments?|commentlist|disqus|replies|respond|share|sharing|social|related"
+    r"|recommend(?:ed|ations)?|widget|pagination|pager|search|form|toolbar|copyright|legal|disclaimer|contentinfo|complementary"
+    r"|alertdialog|skip|hidden|toc|tags)(?:$|[\s_-]|\d)",
+    re.I,
+)
+#: An opening tag of one of these ends an open element of the others (their end tags may be left out).
+ENDS = {
+    "li": frozenset(["li"]),
+    "dt": frozenset(["dt", "dd"]),
+    "dd": frozenset(["dt", "dd"]),
+    "tr": frozenset(["tr", "td", "th"]),
+    "td": frozenset(["td", "th"]),
+    "th": frozenset(["td", "th"]),
+    "option": frozenset(["option"]),
+}
+SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul".split())
+SIGMA, MOST_LINKED = 1.0, 0.5
+PIECE = 1 << 20
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    inside: bool
+    heading: bool
+
+    @property
+    def links_only(self) -> bool:
+        return self.linked > MOST_LINKED * len(self.text)
+
+
+class Lines(HTMLParser):
+    """Lines of a page with their tag counts, from a stream of parser events."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, bool, bool]] = []  # name, dropped, inside the article
+        self.lines: list[Line] = []
+        self.parts: list[str] = []
+        self.tags, self.linked, self.links = 0, 0, 0
+        self.marked = False
+
+    def end_line(self) -> None:
+        text = " ".join("".join(self.parts).split())
+        if text:
+            inside = bool(self.open and self.open[-1][2])
+            heading = any(name in HEADINGS for name, _, _ in self.open)
+            self.lines.append(Line(text, self.tags, self.linked, inside, heading))
+            self.tags = self.linked = 0
+        self.parts = []
+
+    def close_to(self, depth: int) -> None:
+        for name, _, _ in self.open[depth:]:
+            self.links -= name == "a"
+        del self.open[depth:]
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self.tags += 1
+        if tag in BLOCKS:
+            self.end_line()
+        elif tag == "br":
+            self.parts.append(" ")
+        if tag in VOID:
+            return
+        if tag in ENDS or tag in BLOCKS:
+            self.imply_ends(tag)
+        dropped = bool(self.open and self.open[-1][1])
+        inside = bool(self.open and self.open[-1][2])
+        if not dropped:
+            named = {k: v or "" for k, v in attrs}
+            own = tag == "header" and inside
+            dropped = (tag in DROPPED and not own) or (tag not in ("body", "html", "article", "main") and self.boilerplate(named, own))
+        if tag in ("article", "main") and not dropped:
+            inside = self.marked = True
+        self.open.append((tag, dropped, inside))
+        self.links += tag == "a"
+
+    @staticmethod
+    def boilerplate(attrs: dict[str, str], own: bool) -> bool:
+        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+        names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
+        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names)
+        return hidden or (not own and bool(NAMES.search(names)))
+
+    def imply_ends(self, tag: str) -> None:
+        """End tags that may be left out: a block ends an open paragraph; items end items."""
+        ends = ENDS.get(tag, frozenset())
+        for at in range(len(self.open) - 1, -1, -1):
+            name = self.open[at][0]
+            if name in ends or (name == "p" and tag in BLOCKS):
+                self.close_to(at)
+                return
+            if name in SCOPE:
+                return
+
+    def handle_endtag(self, tag: str) -> None:
+        self.tags += 1
+        if tag in BLOCKS:
+            self.end_line()
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == tag:
+                self.close_to(at)
+                return
+            if self.open[at][0] in SCOPE and tag not in SCOPE:
+                return
+
+    def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][1]:
+            return
+        self.parts.append(data)
+        if self.links:
+            self.linked += len(data.strip())
+
+
+def lines_of(html: str) -> tuple[list[Line], bool]:
+    parser = Lines()
+    for at in range(0, len(html), PIECE):
+        parser.feed(html[at : at + PIECE])
+    if re.match(r"<[a-zA-Z/!?]", parser.rawdata):  # the page ends inside a tag
+        parser.rawdata = ""
+    parser.close()
+    parser.end_line()
+    return parser.lines, parser.marked
+
+
+def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
+    """Gaussian smoothing, the ends repeated."""
+    reach = max(1, int(3 * sigma))
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    return np.convolve(np.pad(values, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def typical(ratio: np.ndarray, weight: np.ndarray) -> float:
+    """The ratio at or below which half of the weight lies."""
+    order = np.argsort(ratio, kind="stable")
+    return float(ratio[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
+
+
+def chosen(lines: list[Line], marked: bool) -> list[bool]:
+    """Which lines are content."""
+    free = np.array([0 if x.links_only else len(x.text) - x.linked for x in lines], float)
+    ratio = np.maximum(free, 0) / np.array([max(x.tags, 1) for x in lines])
+    level = typical(ratio, np.maximum(free, 1e-9)) or 1.0
+    ratio = np.minimum(ratio, level)
+    inside = np.array([x.inside for x in lines])
+    if marked:
+        ratio = np.where(inside, level, 0.0)
+    border = np.flatnonzero(np.diff(inside.astype(np.int8))) + 1 if marked else []
+    smooth = np.concatenate([smoothed(part) for part in np.split(ratio, border)])
+    kept = [bool(v >= level / 2) and not x.links_only for v, x in zip(np.maximum(smooth, ratio), lines)]
+    for at in range(len(lines) - 2, -1, -1):
+        if lines[at].heading and not marked and not lines[at].links_only:
+            kept[at] = kept[at] or kept[at + 1]
+    return kept
+
+
+def content(html: str) -> str:
+    """The main text of a page."""
+    lines, marked = lines_of(html)
+    return "\n".join(x.text for x, keep in zip(lines, chosen(lines, marked)) if keep) if lines else ""
+
+
+def extracted(pages: DataFrame, html: str = "html", into: str = "main_text") -> DataFrame:
+    """``pages`` with the main text; one pass over the rows, no shuffle."""
+
+    @F.pandas_udf("string")
+    def text(column):
+        return column.map(lambda h: content(h) if h else "")
+
+    return pages.withColumn(into, text(F.coalesce(F.col(html), F.lit(""))))
+
+
+def op2_text_ratio(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extracted(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {"op2_text_ratio": op2_text_ratio}
