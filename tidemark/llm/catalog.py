@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, lang, main_text, sharding, topk
+from tidemark.llm import ann, chat, lang, main_text, packing, pieces, sharding, topk
 
-_MODULES = (ann, lang, main_text, sharding, chat, topk)
+_MODULES = (ann, lang, main_text, packing, pieces, sharding, chat, topk)
 
 
 def queries() -> dict:

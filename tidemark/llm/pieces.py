@@ -8,7 +8,8 @@ does not grow with the text.
 
 What "best" means is the model's kind:
 
-* unigram: the largest sum of scores (unknown characters cost the smallest score less ten), as the library's own search.
+* unigram: the largest sum of scores (unknown characters cost the smallest score less ten), as the library's own search,
+  up to ties: the library adds in single precision from the start of the text, here sums start at each word.
 * bpe: the piece that ends the byte-pair encoding of the text so far. A sequence of pieces is the encoding of its text
   exactly if every two neighbours are the encoding of theirs, so at each position one piece fits the path before it,
   and the same trellis finds it; neighbours are checked by running the merges on the two pieces, and remembered.
@@ -31,9 +32,7 @@ import heapq
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-WORDS_KEPT = 1 << 17
+WORDS_KEPT, PAIRS_KEPT = 1 << 18, 1 << 19
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -104,8 +103,20 @@ class Pieces:
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
         # No piece has white space behind another character: paths converge before every white-space run.
         self.words_apart = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
-        self.fits: dict[tuple[str, str], bool] = {}
+        special = {UNKNOWN: " \u2047 ", CONTROL: "", BYTE: None}
+        self.plain = [special.get(k, t) for t, k in zip(self.texts, self.types)]
+        self.sizes = [len(t) for t in self.texts] + [1]  # the last entry, [-1], is a character without a piece
+        self.fits: dict[int, bool] = {}
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        # Characters lead from node to node; 0 leads to the id of the piece that ends there.
+        self.trie: dict = {}
+        for t, i in self.ids.items():
+            if self.kind == UNIGRAM or len(t) == 1 or self.merged(t) == [t]:  # else it is in no encoding
+                node = self.trie
+                for ch in t:
+                    node = node.setdefault(ch, {})
+                node[0] = i
 
     # -- the search ---------------------------------------------------------------------------------------------
 
@@ -136,74 +147,83 @@ class Pieces:
             offer(i)
         return [p for p in parts if p is not None]
 
-    def neighbours(self, left: str, right: str) -> bool:
+    def apart(self, left: int, right: int) -> bool:
         """Whether two pieces stay apart when their joint text is byte-pair encoded."""
-        found = self.fits.get((left, right))
+        key = left << 32 | right
+        found = self.fits.get(key)
         if found is None:
-            if len(self.fits) >= WORDS_KEPT:
+            if len(self.fits) >= PAIRS_KEPT:
                 self.fits.clear()
-            found = self.fits[left, right] = self.merged(left + right) == [left, right]
+            a, b = self.texts[left], self.texts[right]
+            found = self.fits[key] = self.merged(a + b) == [a, b]
         return found
 
-    def stable(self, piece: str) -> bool:
-        """Whether a piece is its own byte-pair encoding."""
-        return len(piece) == 1 or self.neighbours("", piece)
+    def path(self, text: str) -> Iterator[int]:
+        """The best pieces of ``text`` (-1 for a character that has none), committed as soon as all surviving paths agree.
 
-    def path(self, text: str) -> Iterator[str]:
-        """The best pieces of ``text``, committed as soon as all surviving paths agree.
-
-        The window holds, for each of the last ``longest`` positions that a path ends in, the score of the best one and its last
-        piece. ``start`` is the boundary up to which pieces are out.
+        ``last`` holds, for each position of the window that a path ends in, the last piece of the best path to it, which is its
+        back-pointer, and ``score`` the path's sum. From every such position the pieces that go on are followed in the trie.
+        ``start`` is the boundary up to which pieces are out.
         """
-        longest, ids, scores, bpe = self.longest, self.ids, self.scores, self.kind == BPE
-        window: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        start, n = 0, len(text)
-        last_commit = 0
-        for end in range(1, n + 1):
-            best: tuple[float, str] | None = None
-            for begin in range(max(start, end - longest), end):
-                state = window.get(begin)
-                if state is None:
-                    continue
-                piece = text[begin:end]
-                i = ids.get(piece)
-                if i is None and end - begin > 1:
+        longest, trie, scores, bpe, fits, sizes = self.longest, self.trie, self.scores, self.kind == BPE, self.fits, self.sizes
+        last: dict[int, int] = {0: -1}
+        score: dict[int, float] = {0: 0.0}
+        start = committed = 0
+        n = len(text)
+        for begin in range(n):
+            before = last.get(begin)
+            if before is None:
+                continue
+            so_far = 0.0 if bpe else score[begin]
+            node, end, single = trie, begin, False
+            for ch in text[begin : begin + longest]:
+                node = node.get(ch)
+                if node is None:
+                    break
+                end += 1
+                i = node.get(0)
+                if i is None:
                     continue
+                if end == begin + 1:
+                    single = True
                 if bpe:
-                    if self.stable(piece) and (not state[1] or self.neighbours(state[1], piece)):
-                        best = (0.0, piece)
-                        break
-                    continue
-                score = state[0] + (self.unknown_score if i is None else scores[i])
-                if best is None or score > best[0]:
-                    best = (score, piece)
-            if best is not None:
-                window[end] = best
-            if end - last_commit >= 2 * longest:
-                last_commit = end
-                boundary = self._agreed(window, start, end)
+                    if end not in last:
+                        fit = before < 0 or fits.get(before << 32 | i)
+                        if fit or (fit is None and self.apart(before, i)):
+                            last[end] = i
+                else:
+                    total = so_far + scores[i]
+                    if end not in last or total > score[end]:
+                        last[end], score[end] = i, total
+            if not single:
+                total = so_far if bpe else so_far + self.unknown_score
+                if begin + 1 not in last or (not bpe and total > score[begin + 1]):
+                    last[begin + 1], score[begin + 1] = -1, total
+            if begin - committed >= 4 * longest:
+                committed = begin
+                boundary = self._agreed(last, start, begin)
                 if boundary > start:
-                    yield from self._back(window, start, boundary)
+                    yield from self._back(last, start, boundary)
                     start = boundary
-                for old in [p for p in window if p < start]:
-                    del window[old]
-        yield from self._back(window, start, n)
-
-    def _agreed(self, window: dict[int, tuple[float, str]], start: int, end: int) -> int:
-        """The last boundary that the paths of all positions still reachable from lead through."""
-        ends = {p for p in window if p > end - self.longest}
+                for old in [p for p in last if p < start]:
+                    del last[old]
+                    score.pop(old, None)
+        yield from self._back(last, start, n)
+
+    def _agreed(self, last: dict[int, int], start: int, front: int) -> int:
+        """The boundary that the paths of all positions still open, those beyond ``front``, lead through."""
+        ends = {p for p in last if p > front} or {front}
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(far - len(window[far][1]) if far > start else start)
-        return ends.pop()
+            ends.add(far - self.sizes[last[far]])
+        return max(min(ends), start)
 
-    @staticmethod
-    def _back(window: dict[int, tuple[float, str]], start: int, end: int) -> list[str]:
+    def _back(self, last: dict[int, int], start: int, end: int) -> list[int]:
         out = []
         while end > start:
-            out.append(window[end][1])
-            end -= len(out[-1])
+            out.append(last[end])
+            end -= self.sizes[out[-1]]
         return out[::-1]
 
     # -- texts --------------------------------------------------------------------------------------------------
@@ -211,14 +231,15 @@ class Pieces:
     def word(self, text: str) -> list[int]:
         """Ids of a text that starts at a boundary of its own."""
         out: list[int] = []
-        for piece in self.path(text):
-            i = self.ids.get(piece)
-            if i is not None:
+        at = 0
+        for i in self.path(text):
+            if i >= 0:
                 out.append(i)
             elif self.fallback:
-                out.extend(self.bytes[b] for b in piece.encode("utf-8", "replace"))
+                out.extend(self.bytes[b] for b in text[at].encode("utf-8", "replace"))
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
+            at += self.sizes[i]
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -237,10 +258,11 @@ class Pieces:
                 key = SPACE * run + w
                 found = known.get(key)
                 if found is None:
-                    if len(known) >= WORDS_KEPT:
-                        known.clear()
-                    found = self.word(key)
+                    found = self.older.get(key) or self.word(key)
                     if len(key) <= 64:
+                        if len(known) >= WORDS_KEPT:  # words not met since the last turn-over go
+                            self.older, self.known = known, {}
+                            known = self.known
                         known[key] = found
                 out += found
                 run = 0
@@ -249,7 +271,13 @@ class Pieces:
         return out
 
     def decode(self, ids) -> str:
-        out: list[str] = []
+        try:
+            text = "".join([self.plain[i] for i in ids])
+        except TypeError:  # byte pieces
+            text = "".join(self._parts(ids))
+        return text.removeprefix(SPACE).replace(SPACE, " ")
+
+    def _parts(self, ids) -> Iterator[str]:
         held = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -257,24 +285,59 @@ class Pieces:
                 held.append(b)
                 continue
             if held:
-                out.append(held.decode("utf-8", "replace"))
+                yield held.decode("utf-8", "replace")
                 held.clear()
-            kind = self.types[i]
-            if kind == UNKNOWN:
-                out.append(" ⁇ ")
-            elif kind != CONTROL:
-                out.append(self.texts[i])
+            yield self.plain[i]
         if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out).removeprefix(SPACE).replace(SPACE, " ")
+            yield held.decode("utf-8", "replace")
+
+
+_LOADED: dict[bytes, Pieces] = {}
+
+
+def loaded(model: bytes) -> Pieces:
+    """The vocabulary of a model, made once in a worker."""
+    if model not in _LOADED:
+        _LOADED.clear()
+        _LOADED[model] = Pieces(model)
+    return _LOADED[model]
+
+
+def model_bytes(path: str) -> bytes:
+    """The model file, read by the driver and sent along with the tasks (half a megabyte), which need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoded(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids") -> DataFrame:
+    """``docs`` with the ids of each whole text; one pass, no shuffle."""
+
+    @F.pandas_udf("array<int>")
+    def ids(column: pd.Series) -> pd.Series:
+        encode = loaded(model).encode
+        return pd.Series([encode(t) for t in column], dtype=object)
+
+    return docs.withColumn(into, ids(F.coalesce(F.col(text), F.lit(""))))
+
+
+def decoded(docs: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """``docs`` with the text of each list of ids."""
+
+    @F.pandas_udf("string")
+    def text(column: pd.Series) -> pd.Series:
+        decode = loaded(model).decode
+        return pd.Series([decode(i) for i in column], dtype=object)
+
+    return docs.withColumn(into, text(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
-_LOADED: dict[str, Pieces] = {}
+def op4_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Every document's ids, and whether decoding them gives the text back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = model_bytes(MODEL)
+    both = decoded(encoded(docs, model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 
 
-def loaded(path: str) -> Pieces:
-    """The model, read once in a worker."""
-    if path not in _LOADED:
-        with open(path, "rb") as f:
-            _LOADED[path] = Pieces(f.read())
-    return _LOADED[path]
+QUERIES = {"op4_sentencepiece": op4_sentencepiece}
