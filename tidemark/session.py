@@ -52,8 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not named:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
-        named = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        named = spark.sparkContext.getCheckpointDir()
     return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
