@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.llm import ann, chat, lang, main_text, packing, pieces, sharding, suffix_dedup, topk
+from tidemark.llm import ann, chat, jaccard_join, lang, main_text, packing, pieces, sharding, suffix_dedup, topk
 
-_MODULES = (ann, lang, main_text, packing, pieces, sharding, chat, suffix_dedup, topk)
+_MODULES = (ann, jaccard_join, lang, main_text, packing, pieces, sharding, chat, suffix_dedup, topk)
 
 
 def queries() -> dict:

@@ -7,8 +7,7 @@ All strings of ``length`` bytes are suffixes cut to that length, one at each pos
 contain the same ``ANCHOR``-byte strings, so both name the same one their anchor: the one of the smallest hash. Steps:
 
 1. Anchors. Every document names the anchors of its strings, about one position in 14. Their hashes, 48 bits each, are dealt by
-   their leading bits; those in two documents at least are marked in a bitmap of ``MARKS`` bits (16 MB whatever the
-   input). A mark set wrongly costs work, not correctness.
+   their leading bits; those in two documents at least are marked in a bitmap of 16 MB whatever the input (``marks``). A mark set wrongly costs work, not correctness.
 2. Contexts. A marked anchor's context is the bytes of all strings that name it: at most 76. Equal contexts in a
    batch of documents are collapsed at once: all but the smallest document's are removed there. What is left travels by anchor:
    a passage in a third of all documents reaches its task once per batch of documents, not once per document.
@@ -19,8 +18,8 @@ contain the same ``ANCHOR``-byte strings, so both name the same one their anchor
    lied, the bucket is sorted again by its bytes. The smallest document among equal strings keeps, the others lose theirs.
 4. Spans are sent to their documents, merged, and cut out.
 
-A task holds one bucket of contexts at a time; their number grows with the input (``BUCKETS``), and memory does not depend on the
-length or the number of documents. Documents of any length are read whole, in overlapping pieces.
+A task holds one bucket of contexts at a time; the number of buckets grows with the input (``BUCKET_ANCHORS``), so memory does not
+depend on the length or the number of documents. Documents of any length are read whole, in overlapping pieces.
 
 Edge cases: a NULL text is kept NULL and counts as empty; shorter texts than ``length`` never lose a byte; rows with a NULL id count
 as the largest; rows of equal ids are not smaller than each other, whatever their texts; repeated rows get the same result; an
@@ -39,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.marks import BLOBS, bitmap, marked, packed
 from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 
 ANCHOR = 24
-BUCKETS = 4096  # by the leading 12 bits of an anchor's hash
-MARKS = 27  # bits of the position in the bitmap
 PIECE = 1 << 18
+FLUSH = 1 << 19  # anchors packed together
+BATCH_BYTES = 1 << 23  # bytes of contexts collapsed together
+BUCKET_ANCHORS = 1 << 16  # anchors, marked or not, that a bucket of contexts has on average
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 INNER = ("__key", "__kind", "__spans", "__id")
@@ -103,59 +104,30 @@ def runs(data: np.ndarray, part: np.ndarray, length: int, anchor: int) -> tuple[
 
 
 def _named_anchors(length: int, anchor: int):
-    """Per batch and bucket the hashes of anchors, each once per document, 40 bits after the bucket's 12, as they lie in memory."""
+    """The anchors of a few megabytes of text at a time, each once per document, packed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t.encode() for t in b.column("text").to_pylist()]
-            found = []
-            for data, part, _, owners in pieces(texts, length):
+            found, n = [], 0
+            for data, part, _, owners in pieces(_texts(b), length):
                 _, _, _, at, h = runs(data, part, length, anchor)
                 document = owners[part[at], 0]
                 order = np.lexsort((h, document))
                 h, document = h[order], document[order]
                 fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (document[1:] != document[:-1])])[: len(h)]
-                found.append(h[fresh] >> U(12))
-            if not found:
-                continue
-            h = np.sort(np.concatenate(found))
-            # Twice is as good as often; a document cut into pieces may name an anchor twice, which only costs work.
-            if len(h) > 2:
-                h = h[np.concatenate([[True, True], h[2:] != h[:-2]])]
-            bucket = (h >> U(40)).astype(np.int32)
-            cuts = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            tail = h.view(np.uint8).reshape(-1, 8)[:, :5]
-            there = np.flatnonzero(np.diff(cuts))
-            blobs = [tail[cuts[k] : cuts[k + 1]].tobytes() for k in there]
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                found.append(h[fresh])  # a document cut into pieces may name an anchor twice, which only costs work
+                n += len(found[-1])
+                if n >= FLUSH:
+                    yield packed(np.concatenate(found))
+                    found, n = [], 0
+            if found:
+                yield packed(np.concatenate(found))
 
     return run
 
 
-def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket the bits of anchors named twice at least."""
-    for bucket, blobs in _by_bucket(batches):
-        tail = np.zeros((sum(map(len, blobs)) // 5, 8), np.uint8)
-        tail[:, :5] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
-        h = np.sort(tail.view(U).ravel())
-        again = h[1:][h[1:] == h[:-1]]
-        bits = np.zeros(1 << (MARKS - 12), bool)
-        bits[(again >> U(40 - (MARKS - 12))).astype(np.int64)] = True
-        if len(again):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "blob"])
-
-
-def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    now, held = None, []
-    for b in batches:
-        for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-            if bucket != now and held:
-                yield now, held
-                held = []
-            now = bucket
-            held.append(blob)
-    if held:
-        yield now, held
+def _texts(b: pa.RecordBatch) -> list[bytes]:
+    return b.column("text").cast(pa.binary()).to_pylist()
 
 
 # -- contexts -------------------------------------------------------------------------------------------------------
@@ -185,18 +157,17 @@ def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return data[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def first_of_equal(prefixes: Prefixes, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For substrings: the smallest document that has each, and the index of one that stands for it.
+def first_of_equal(data: np.ndarray, h: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For substrings with hashes: the smallest document that has each, and the index of one that stands for it.
 
     Equal hashes and sizes are verified byte by byte; a substring that only collides stands for itself.
     """
-    h = mixed(prefixes.hashes(start, start + size) + size.astype(U))
+    h = mixed(h + size.astype(U))
     order = np.lexsort((doc, h))
     fresh = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(order)]
-    group = np.cumsum(fresh) - 1
     head = np.zeros(len(order), np.int64)
-    head[order] = order[np.flatnonzero(fresh)][group]
-    same = (size == size[head]) & _same_sized(prefixes.data, start, start[head], size)
+    head[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    same = (size == size[head]) & _same_sized(data, start, start[head], size)
     head = np.where(same, head, np.arange(len(head)))
     return doc[head], head
 
@@ -231,50 +202,50 @@ def spans_of(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarra
     return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int64()), pa.array(blobs, pa.binary())], ["__id", "__key", "__spans"])
 
 
-SENT = "bucket int, blob binary, __id long, __key long, __spans binary"
+SENT = "bucket long, blob binary, __id long, __key long, __spans binary"
 
 
-def _contexts(length: int, anchor: int, marks):
-    """Contexts of marked anchors by bucket, and spans that a batch settles by itself."""
+def _contexts(length: int, anchor: int, marks, bits: int):
+    """Contexts of marked anchors by bucket (the leading ``bits`` of the anchor's hash), and spans settled on the way."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(marks.value, np.uint8)
         for b in batches:
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__key"))
-            texts = [t.encode() for t in b.column("text").to_pylist()]
-            rows, parts, buckets = [], [], []
-            for data, part, starts, owners in pieces(texts, length):
-                _, first, last, at, h = runs(data, part, length, anchor)
-                place = (h >> U(64 - MARKS)).astype(np.int64)
-                marked = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
-                first, last, at, h = first[marked], last[marked], at[marked], h[marked]
+            held, size = [], 0
+            for data, part, starts, owners in pieces(_texts(b), length):
+                prefixes, first, last, at, h = runs(data, part, length, anchor)
+                chosen = np.flatnonzero(marked(h, marks))
+                first, last, at, h = first[chosen], last[chosen], at[chosen], h[chosen]
                 new = np.zeros(len(first), CONTEXT)
                 document = owners[part[first], 0]
                 new["doc"], new["key"] = ids[document], keys[document]
                 new["start"] = first - starts[part[first]] + owners[part[first], 1]
                 new["size"], new["anchor"] = last - first + length, at - first
-                rows.append(new)
-                parts.append(gathered(data, first, new["size"]))
-                buckets.append((h >> U(52)).astype(np.int32))
-            if not rows:
-                continue
-            new, data, bucket = np.concatenate(rows), np.concatenate(parts), np.concatenate(buckets)
-            at = np.cumsum(new["size"]) - new["size"]
-            smallest, _ = first_of_equal(Prefixes(data), at.astype(np.int64), new["size"].astype(np.int64), new["doc"])
-            gone = new["doc"] > smallest
-            settled = spans_of(new["doc"][gone], new["key"][gone], new["start"][gone], new["start"][gone] + new["size"][gone])
-            if settled is not None:
-                yield _sent(settled.num_rows, pa.array(settled.column("__key").to_numpy() % BUCKETS, pa.int32()), None, settled)
-            left = np.flatnonzero(~gone)
-            left = left[np.argsort(bucket[left], kind="stable")]
-            cuts = np.searchsorted(bucket[left], np.arange(BUCKETS + 1))
-            there = np.flatnonzero(np.diff(cuts))
-            blobs = []
-            for k in there:
-                mine = left[cuts[k] : cuts[k + 1]]
-                blobs.append(_pack(new[mine], gathered(data, at[mine], new["size"][mine]).tobytes()))
-            for lo in range(0, len(there), 512):
-                yield _sent(len(there[lo : lo + 512]), pa.array(there[lo : lo + 512], pa.int32()), pa.array(blobs[lo : lo + 512], pa.binary()), None)
+                context = prefixes.hashes(first, first + new["size"])
+                held.append((new, gathered(data, first, new["size"].astype(np.int64)), context, (h >> U(64 - bits)).astype(np.int64)))
+                size += len(held[-1][1])
+                if size >= BATCH_BYTES:
+                    yield from collapsed(held)
+                    held, size = [], 0
+            if held:
+                yield from collapsed(held)
+
+    def collapsed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        new, data, context, bucket = (np.concatenate(c) for c in zip(*held))
+        sizes = new["size"].astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        smallest, _ = first_of_equal(data, context, at, sizes, new["doc"])
+        gone = new["doc"] > smallest
+        settled = spans_of(new["doc"][gone], new["key"][gone], new["start"][gone], new["start"][gone] + sizes[gone])
+        if settled is not None:
+            yield _sent(settled.num_rows, pa.array(settled.column("__key").to_numpy() % (1 << bits), pa.int64()), None, settled)
+        left = np.flatnonzero(~gone)
+        left = left[np.argsort(bucket[left], kind="stable")]
+        cuts = np.flatnonzero(np.diff(bucket[left], prepend=-1, append=-1)) if len(left) else np.zeros(0, np.int64)
+        for lo in range(0, max(len(cuts) - 1, 0), 512):
+            few = list(zip(cuts[lo : lo + 512], cuts[lo + 1 : lo + 513]))
+            blobs = [_pack(new[left[x:y]], gathered(data, at[left[x:y]], sizes[left[x:y]]).tobytes()) for x, y in few]
+            yield _sent(len(few), pa.array(bucket[left[[x for x, _ in few]]], pa.int64()), pa.array(blobs, pa.binary()), None)
 
     return run
 
@@ -378,7 +349,7 @@ def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBat
     size, doc = new["size"].astype(np.int64), new["doc"]
     at = np.cumsum(size) - size
     p = Prefixes(data)
-    smallest, head = first_of_equal(p, at, size, doc)
+    smallest, head = first_of_equal(data, p.hashes(at, at + size), at, size, doc)
     gone = np.flatnonzero(doc > smallest)
     lost = [(gone, np.zeros(len(gone), np.int64), size[gone])]
     heads = np.unique(head)
@@ -416,23 +387,28 @@ def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBat
 
 
 def _settled(length: int, anchor: int):
+    names = ["__id", "__key", "__spans"]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__id", "__key", "__spans"]
-
-        def contexts():
-            for b in batches:
-                held = b.filter(pc.is_valid(b.column("blob")))
-                done.append(b.filter(pc.is_null(b.column("blob"))).select(names))
-                yield held
-
-        done: list[pa.RecordBatch] = []
-        for _, blobs in _by_bucket(contexts()):
-            yield from (d for d in done if d.num_rows)
-            done.clear()
-            out = settled_bucket(blobs, length, anchor)
-            if out is not None:
-                yield out
-        yield from (d for d in done if d.num_rows)
+        now, held = None, []
+        for b in batches:
+            done = b.filter(pc.is_null(b.column("blob"))).select(names)
+            if done.num_rows:
+                yield done
+            b = b.filter(pc.is_valid(b.column("blob")))
+            for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
+                if bucket != now and held:
+                    yield from settle(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield from settle(held)
+
+    def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        out = settled_bucket(held, length, anchor)
+        if out is not None:
+            yield out
 
     return run
 
@@ -474,18 +450,12 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
     clash = [c for c in docs.columns if c.lower() in (*ADDED, *INNER)]
     if clash or not 0 < anchor <= length:
         raise ValueError(f"columns named like added ones: {clash}" if clash else "an anchor must fit into a string")
-    spark = docs.sparkSession
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
     keyed = keyed.withColumn("__key", F.xxhash64("doc_id", "text"))
     texts = keyed.where(F.octet_length("text") >= length).select("__id", "__key", "text")
-    named = texts.select("text").mapInArrow(_named_anchors(length, anchor), "bucket int, blob binary")
-    marked = named.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_marked, "bucket int, blob binary")
-    bitmap = bytearray(1 << (MARKS - 3))
-    share = len(bitmap) // BUCKETS
-    for row in marked.toLocalIterator():  # at most BUCKETS rows of a fixed size
-        bitmap[row["bucket"] * share : (row["bucket"] + 1) * share] = row["blob"]
-    marks = spark.sparkContext.broadcast(bytes(bitmap))
-    sent = texts.mapInArrow(_contexts(length, anchor, marks), SENT)
+    marks, n = bitmap(texts.select("text").mapInArrow(_named_anchors(length, anchor), BLOBS))
+    bits = min(40, max(6, (n // BUCKET_ANCHORS).bit_length()))
+    sent = texts.mapInArrow(_contexts(length, anchor, marks, bits), SENT)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), "__id long, __key long, __spans binary")
     both = keyed.withColumn("__kind", F.lit(1)).unionByName(spans.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     names = docs.columns
