@@ -3,11 +3,12 @@
 Two documents link when 100 * |intersection| >= percent * |union|. Shingles are ordered, rare ones first; two sets that link
 share a shingle in their prefixes, the first n - ceil(percent * n / 100) + 1 shingles of a set of size n. Steps:
 
-1. Order. Shingles are counted over all documents in a table of ``SLOTS`` counters (4 MB whatever the input); the order is by
-   (count, hash). Any fixed order gives the same links, a good one fewer candidates.
+1. Copies and order. Equal texts are collapsed. Over all distinct texts, shingles that occur in one only are told from the others,
+   which are counted in a table (``marks``, 20 MB whatever the input). The order is: those of one text, then by (count, hash).
+   Any fixed order gives the same links; by this one the prefix of a text with enough shingles of its own pairs with nothing.
 2. Classes and groups. Documents of equal sets are one class, which one document stands for: they link without being
    compared. Classes of one size and one prefix are one group.
-3. Group pairs. Prefix shingles that occur in one group only are left out (``marks``). In each list of groups that share a
+3. Group pairs. In each list of groups that share a
    shingle, every group is paired with one leader of about its size, whose prefix is the most frequent: of a base and its
    many variants the base. Members of a group are paired with the one that stands for it.
 4. Expand and verify: the sets of paired members are compared in full. Links make components.
@@ -31,137 +32,84 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.marks import BLOBS, bitmap, marked, packed
+from tidemark.llm.copies import first_copies
+from tidemark.llm.marks import BLOBS, bitmap, marked, members, often, packing
 from tidemark.llm.rolling import U, mixed
 from tidemark.llm.shingles import shingle_sets, sliced
 from tidemark.session import written
 
-SLOTS, CHUNK = 1 << 20, 4096
 LAST = (1 << 63) - 1
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> U(44)).astype(np.int64)
-
-
 def needed(n, percent: int):
     """Shingles a set of n must have in common with a partner at least."""
     return -(-percent * n // 100)
 
 
-# -- the order of shingles ------------------------------------------------------------------------------------------
-
-
-def _counted(words: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for lo, hi in sliced(texts):
-                h, _ = shingle_sets(texts[lo:hi], words)
-                counts += np.bincount(_slot(h), minlength=SLOTS)
-        parts = counts.reshape(-1, CHUNK)
-        there = np.flatnonzero(parts.any(axis=1))
-        blobs = [parts[k].astype("<u4").tobytes() for k in there]
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-    return run
-
-
-def _summed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
-            part = np.frombuffer(blob, "<u4").astype(np.int64)
-            held[k] = held[k] + part if k in held else part
-    if held:
-        blobs = [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in held.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+# -- sets -----------------------------------------------------------------------------------------------------------
 
+SETS = "doc long, row_key long, n int, cid long, gid long, weight double, tokens array<struct<token: long, pos: int>>"
 
-def frequencies(docs: DataFrame, words: int):
-    """A broadcast of the counters of all shingles of all documents, SLOTS numbers of four bytes."""
-    sums = docs.select("text").mapInArrow(_counted(words), BLOBS).repartition("bucket").mapInArrow(_summed, BLOBS)
-    table = bytearray(4 * SLOTS)
-    for row in sums.toLocalIterator():  # SLOTS / CHUNK rows of a fixed size
-        table[row["bucket"] * 4 * CHUNK : (row["bucket"] + 1) * 4 * CHUNK] = row["blob"]
-    return docs.sparkSession.sparkContext.broadcast(bytes(table))
 
+def _every_shingle(words: int):
+    def each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        texts = b.column("text").to_pylist()
+        for lo, hi in sliced(texts):
+            yield shingle_sets(texts[lo:hi], words)[0]
 
-# -- sets -----------------------------------------------------------------------------------------------------------
+    return packing(each)
 
-SETS = "doc_id long, row_key long, n int, cid long, prefix array<long>, weight double"
 
+def _summed(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the stretches that end at ``ends``."""
+    total = np.concatenate([[0], np.cumsum(h, dtype=h.dtype)]).astype(h.dtype)
+    return np.diff(total[np.concatenate([[0], ends])])
 
-def _set_hashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of each whole set."""
-    total = np.concatenate([[0], np.cumsum(mixed(h ^ U(0x5851F42D4C957F2D)), dtype=U)]).astype(U)
-    ends = np.cumsum(n)
-    return mixed(total[ends] - total[ends - n] + n.astype(U))
 
+def _sets(words: int, percent: int, marks, slots):
+    """Per text the size and hash of its set, the hash of its prefix, the prefix's mean frequency and its marked shingles."""
 
-def _sets(words: int, percent: int, table):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(table.value, "<u4")
         for b in batches:
             texts = b.column("text").to_pylist()
             for lo, hi in sliced(texts):
                 h, n = shingle_sets(texts[lo:hi], words)
                 of = np.repeat(np.arange(hi - lo), n)
-                often = counts[_slot(h)]
-                order = np.lexsort((h, often, of))
-                first = np.cumsum(n) - n
+                shared, count = marked(h, marks), often(h, slots)
+                cid = mixed(_summed(mixed(h ^ U(0x5851F42D4C957F2D)), np.cumsum(n)) + n.astype(U))
+                order = np.lexsort((h, count, shared, of))
                 size = np.where(n > 0, n - needed(n, percent) + 1, 0)
-                inside = np.arange(len(h)) - first[of] < size[of]
-                values = h[order][inside].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(size)])
-                heavy = np.concatenate([[0.0], np.cumsum(often[order][inside].astype(np.float64))])
-                weight = (heavy[ends[1:]] - heavy[ends[:-1]]) / np.maximum(size, 1)
-                cid = pa.array(_set_hashes(h, n).view(np.int64), mask=n == 0)
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                inside = pos < size[of]
+                order, pos, of = order[inside], pos[inside], of[inside]
+                ends = np.cumsum(size)
+                salted = mixed(h[order] + mixed(pos.astype(U)))
+                gid = mixed(_summed(salted, ends) + n.astype(U) * U(0x9E3779B97F4A7C15))
+                weight = _summed(count[order].astype(np.float64), ends) / np.maximum(size, 1)
+                kept = shared[order]
+                starts = np.concatenate([[0], np.cumsum(np.bincount(of[kept], minlength=hi - lo))])
+                pairs = pa.StructArray.from_arrays([pa.array(h[order][kept].view(np.int64)), pa.array(pos[kept], pa.int32())], ["token", "pos"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id").slice(lo, hi - lo),
-                        b.column("row_key").slice(lo, hi - lo),
+                        *b.select(["doc", "row_key"]).slice(lo, hi - lo).columns,
                         pa.array(n, pa.int32()),
-                        cid,
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                        pa.array(cid.view(np.int64), mask=n == 0),
+                        pa.array(gid.view(np.int64)),
                         pa.array(weight),
+                        pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs),
                     ],
-                    ["doc_id", "row_key", "n", "cid", "prefix", "weight"],
+                    ["doc", "row_key", "n", "cid", "gid", "weight", "tokens"],
                 )
 
     return run
 
 
-def _prefix_blobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            yield packed(mixed(b.column("prefix").flatten().to_numpy().view(U)))
-
-
-def _shared_tokens(marks):
-    """(token, position, group columns) of marked prefix shingles."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            column = b.column("prefix")
-            values, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-            of = np.repeat(np.arange(b.num_rows), sizes)
-            pos = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = np.flatnonzero(marked(mixed(values.view(U)), marks))
-            rows = b.select(["gid", "n", "weight"]).take(pa.array(of[at]))
-            yield pa.RecordBatch.from_arrays([pa.array(values[at]), pa.array(pos[at], pa.int32()), *rows.columns], ["token", "pos", "gid", "n", "weight"])
-
-    return run
-
-
 # -- verification ---------------------------------------------------------------------------------------------------
 
 
@@ -205,18 +153,20 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     ``row_key`` is a hash of id and text; ``component`` identifies the component, NULL for texts without words, and
     ``component_id`` is the smallest id in it.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
-    table = frequencies(rows, words)
-    sets = written(rows.mapInArrow(_sets(words, percent, table), SETS))
-    id_ = F.coalesce("doc_id", F.lit(LAST))
-    first = F.min(F.struct(id_.alias("doc"), "row_key", "n", "prefix", "weight"))
-    classes = sets.where(F.col("n") > 0).groupBy("cid").agg(first.alias("r")).select("cid", "r.*")
-    classes = written(classes.withColumn("gid", F.xxhash64("n", "prefix")))
-    lead = F.min(F.struct("cid", "n", "prefix", "weight"))
-    groups = written(classes.groupBy("gid").agg(lead.alias("r"), F.count("*").alias("members")).select("gid", "members", F.col("r.cid").alias("lead"), "r.n", "r.prefix", "r.weight"))
-
-    marks, _ = bitmap(groups.select("prefix").mapInArrow(_prefix_blobs, BLOBS))
-    tokens = written(groups.select("gid", "n", "weight", "prefix").mapInArrow(_shared_tokens(marks), "token long, pos int, gid long, n int, weight double"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row_key", "text")
+    once, others = first_copies(keyed, "doc")
+    marks, slots, _ = bitmap(once.select("text").mapInArrow(_every_shingle(words), BLOBS))
+    sets = written(once.mapInArrow(_sets(words, percent, marks, slots), SETS))
+    first = F.min(F.struct("doc", "row_key", "n", "gid", "weight", "tokens"))
+    classes = written(sets.where(F.col("n") > 0).groupBy("cid").agg(first.alias("r")).select("cid", "r.*"))
+    lead = F.min(F.struct("cid", "n", "weight", "tokens"))
+    groups = written(classes.groupBy("gid").agg(lead.alias("r"), F.count("*").alias("members")).select("gid", "members", F.col("r.cid").alias("lead"), "r.n", "r.weight", "r.tokens"))
+    tokens = groups.select("gid", "n", "weight", F.explode("tokens").alias("t")).select("t.token", "t.pos", "gid", "n", "weight")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("token")
+    tokens = written(tokens.join(shared, "token"))
     # Leaders: per list and size band the group of the most frequent prefix.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     banded = tokens.withColumn("band", band)
@@ -230,20 +180,24 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     inner = classes.select("cid", "gid").join(groups.where(F.col("members") > 1).select("gid", "lead"), "gid").where(F.col("cid") != F.col("lead"))
     pairs = written(star_pairs.select("a", "b").unionByName(inner.select(F.col("cid").alias("a"), F.col("lead").alias("b"))).distinct())
 
-    # Texts of the classes that have any candidate.
-    shared = tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("token")
-    listed = written(tokens.join(shared, "token"))
-    open_groups = listed.select("gid").unionByName(groups.where(F.col("members") > 1).select("gid")).distinct()
-    wanted = classes.join(open_groups, "gid", "left_semi").select("cid", "row_key")
-    texts = written(rows.select("row_key", "text").join(wanted, "row_key").dropDuplicates(["cid"]).select("cid", "text"))
+    # Texts of the classes that have any candidate; others are not moved.
+    open_groups = tokens.select("gid").unionByName(groups.where(F.col("members") > 1).select("gid")).distinct()
+    wanted = written(classes.join(open_groups, "gid", "left_semi").select("cid", "gid", "n", "row_key"))
+    there = members(wanted.select(F.xxhash64("row_key")))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(marked(h.to_numpy().view(U), there))
+
+    few = once.select("row_key", "text").where(maybe(F.xxhash64("row_key")))
+    texts = written(few.join(wanted.select("row_key", "cid"), "row_key").select("cid", "text"))
 
     links = written(verified(pairs, texts, words, percent))
     labels = components(links)
     # The rest: members of groups that share a token, or of one group, in different components.
-    placed = written(
-        classes.select("cid", "gid", "n").join(open_groups, "gid", "left_semi").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    )
-    parts = listed.select("token", "pos", "gid").join(placed, "gid")
+    placed = wanted.select("cid", "gid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = written(placed.withColumn("label", F.coalesce("label", "cid")))
+    parts = tokens.select("token", "pos", "gid").join(placed, "gid")
     several = parts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("token")
     left = parts.join(several, "token")
     right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "pos")])
@@ -260,9 +214,15 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     named = classes.select("cid", "doc").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_class = named.join(smallest, "label").select("cid", F.col("label").alias("component"), "component_id")
-    out = sets.select("doc_id", "row_key", "n", "cid").join(of_class, "cid", "left")
-    component_id = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.nullif("component_id", F.lit(LAST)))
-    return out.select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "component", component_id.alias("component_id"))
+    placed_sets = sets.select("doc", "row_key", "n", "cid").join(of_class, "cid", "left")
+    # Rows whose text occurs again take the place of the row that stands for it.
+    stands = others.where(F.col("doc") == F.col("first")).select("digest", "row_key").distinct()
+    of_text = stands.join(placed_sets.drop("doc"), "row_key").drop("row_key")
+    copies = others.select("doc", "row_key", "digest").join(of_text, "digest").drop("digest")
+    out = placed_sets.join(stands.select("row_key"), "row_key", "left_anti").unionByName(copies)
+    doc_id = F.nullif("doc", F.lit(LAST))
+    component_id = F.when(F.col("cid").isNull(), doc_id).otherwise(F.nullif("component_id", F.lit(LAST)))
+    return out.select(doc_id.alias("doc_id"), "row_key", F.col("n").cast("long").alias("n_shingles"), "component", component_id.alias("component_id"))
 
 
 def op6_grouped_prefix_join(spark, sf_dir: str) -> DataFrame:

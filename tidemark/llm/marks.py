@@ -1,47 +1,77 @@
-"""Which 64-bit hashes occur twice at least, as a bitmap of fixed size.
+"""Which 64-bit hashes occur twice at least, as a bitmap of fixed size, and how often they occur about.
 
-Tasks pack hashes into blobs by their leading 12 bits (a bucket), 40 bits of each; a bucket's blobs meet in one task, which
-remembers 36 bits of every hash it has seen, in 2 MB, and marks those that come again at their leading ``MARKS`` bits. The bitmap has
-2**MARKS bits (16 MB) whatever the input, and is broadcast. A hash that occurs twice is always marked; one that does not
-may be, and the more hashes the more often: marks save work, and no result depends on them.
+Tasks pack hashes into blobs by their leading 12 bits (a bucket), the next 24 bits of each, sorted and compressed, about two
+bytes a hash. A bucket's blobs meet in one task, which remembers what it has seen in 16 MB, and marks hashes that come again at two
+places of the bucket's share of the bitmap; it also counts hashes in 256 slots. Bitmap (2**MARKS bits, 16 MB) and counters
+(SLOTS numbers, 4 MB) have their size whatever the input, and are broadcast. A hash that occurs twice is always marked; one
+that does not may be, and the more hashes the more often: marks save work, and no result depends on them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 BUCKETS = 4096
 MARKS = 27
+SLOTS = 1 << 20
 BLOBS = "bucket int, blob binary"
+FLUSH = 1 << 21  # hashes packed together
 U = np.uint64
 
 
 def packed(h: np.ndarray) -> pa.RecordBatch:
-    """Blobs of some hashes; of one that comes more than twice, two are as good."""
-    h = np.sort(h >> U(12))
-    if len(h) > 2:
-        h = h[np.concatenate([[True, True], h[2:] != h[:-2]])]
-    cuts = np.searchsorted((h >> U(40)).astype(np.int64), np.arange(BUCKETS + 1))
-    tail = h.view(np.uint8).reshape(-1, 8)[:, :5]
+    """Blobs of some hashes: three planes of bytes, the leading one nearly constant in a sorted blob."""
+    h = np.sort(h >> U(28))
+    cuts = np.searchsorted((h >> U(24)).astype(np.int64), np.arange(BUCKETS + 1))
+    planes = h.view(np.uint8).reshape(-1, 8)[:, :3]
     there = np.flatnonzero(np.diff(cuts))
-    blobs = [tail[cuts[k] : cuts[k + 1]].tobytes() for k in there]
+    press = zstandard.ZstdCompressor(level=1).compress
+    blobs = [press(planes[cuts[k] : cuts[k + 1]].T.tobytes()) for k in there]
     return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
 
+def packing(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]):
+    """A task that packs the arrays ``hashes`` gives for a batch, FLUSH at a time."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for b in batches:
+            for h in hashes(b):
+                held.append(h)
+                n += len(h)
+                if n >= FLUSH:
+                    yield packed(np.concatenate(held))
+                    held, n = [], 0
+        if n:
+            yield packed(np.concatenate(held))
+
+    return run
+
+
+def _spots(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of the 24 bits after a bucket's 12 in its share of the bitmap."""
+    width = MARKS - 12
+    return (place >> U(24 - width)).astype(np.int64), (place & U((1 << width) - 1)).astype(np.int64)
+
+
 def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(1 << 24, bool)
     bits = np.zeros(1 << (MARKS - 12), bool)
+    slots = np.zeros(SLOTS // BUCKETS, np.int64)
     touched: list[np.ndarray] = []
     now, n = None, 0
+    read = zstandard.ZstdDecompressor().decompress
 
     def done() -> Iterator[pa.RecordBatch]:
         if now is not None:
-            blob = np.packbits(bits, bitorder="little").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([blob], pa.binary()), pa.array([n], pa.int64())], ["bucket", "blob", "n"])
+            row = [now], [np.packbits(bits, bitorder="little").tobytes()], [np.minimum(slots, 0xFFFFFFFF).astype("<u4").tobytes()], [n]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "blob", "slots", "n"])
 
     for b in batches:
         for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
@@ -54,32 +84,56 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[t] = False
                 touched, now, n = [], bucket, 0
                 bits[:] = False
-            tail = np.zeros((len(blob) // 5, 8), np.uint8)
-            tail[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-            h = tail.view(U).ravel()  # ascending, as packed
-            place = h >> U(16)
-            again = np.concatenate([h[1:][h[1:] == h[:-1]] >> U(16), place[seen[place]]])
-            bits[(again >> U(24 - (MARKS - 12))).astype(np.int64)] = True
+                slots[:] = 0
+            planes = np.frombuffer(read(blob), np.uint8).reshape(3, -1)
+            wide = np.zeros((planes.shape[1], 8), np.uint8)
+            wide[:, :3] = planes.T
+            place = wide.view(U).ravel()  # ascending, as packed
+            for again in (place[1:][place[1:] == place[:-1]], place[seen[place]]):
+                for spot in _spots(again):
+                    bits[spot] = True
             seen[place] = True
-            n += len(h)
+            slots += np.bincount((place >> U(16)).astype(np.int64), minlength=len(slots))
+            n += len(place)
             if n <= len(seen) // 8:
                 touched.append(place)
     yield from done()
 
 
 def bitmap(blobs: DataFrame):
-    """A broadcast of the marks of all hashes in ``blobs``, and the number of hashes packed."""
-    marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_twice, f"{BLOBS}, n long")
-    bits = bytearray(1 << (MARKS - 3))
-    share, n = len(bits) // BUCKETS, 0
+    """Broadcasts of the marks and of the counters of all hashes in ``blobs``, and their number."""
+    marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_twice, f"{BLOBS}, slots binary, n long")
+    bits, slots = bytearray(1 << (MARKS - 3)), bytearray(4 * SLOTS)
+    share, part, n = len(bits) // BUCKETS, len(slots) // BUCKETS, 0
     for row in marked.toLocalIterator():  # at most BUCKETS rows of a fixed size
-        bits[row["bucket"] * share : (row["bucket"] + 1) * share] = row["blob"]
+        k = row["bucket"]
+        bits[k * share : (k + 1) * share] = row["blob"]
+        slots[k * part : (k + 1) * part] = row["slots"]
         n += row["n"]
-    return blobs.sparkSession.sparkContext.broadcast(bytes(bits)), n
+    context = blobs.sparkSession.sparkContext
+    return context.broadcast(bytes(bits)), context.broadcast(bytes(slots)), n
+
+
+def members(hashes: DataFrame):
+    """A broadcast of the marks of every hash in the only column of ``hashes``."""
+
+    def each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.repeat(b.column(0).to_numpy().view(U), 2)
+
+    return bitmap(hashes.mapInArrow(packing(each), BLOBS))[0]
 
 
 def marked(h: np.ndarray, marks) -> np.ndarray:
     """Whether each hash is marked."""
     bits = np.frombuffer(marks.value, np.uint8)
-    place = (h >> U(64 - MARKS)).astype(np.int64)
-    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+    share = (h >> U(52)).astype(np.int64) << (MARKS - 12)
+    found = np.ones(len(h), bool)
+    for spot in _spots((h >> U(28)) & U(0xFFFFFF)):
+        at = share + spot
+        found &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return found
+
+
+def often(h: np.ndarray, slots) -> np.ndarray:
+    """About how often each hash occurs; never less than it does."""
+    return np.frombuffer(slots.value, "<u4")[(h >> U(44)).astype(np.int64)]

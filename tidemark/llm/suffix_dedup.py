@@ -6,7 +6,8 @@ the input, overlaps count, and nothing matches across documents.
 All strings of ``length`` bytes are suffixes cut to that length, one at each position, and far too many to move. Two equal ones
 contain the same ``ANCHOR``-byte strings, so both name the same one their anchor: the one of the smallest hash. Steps:
 
-1. Anchors. Every document names the anchors of its strings, about one position in 14. Their hashes, 48 bits each, are dealt by
+0. Copies. Of equal texts only the smallest document's goes on; the others lose everything.
+1. Anchors. Every document names the anchors of its strings, about one position in 14. Their hashes, 36 bits each, are dealt by
    their leading bits; those in two documents at least are marked in a bitmap of 16 MB whatever the input (``marks``). A mark set wrongly costs work, not correctness.
 2. Contexts. A marked anchor's context is the bytes of all strings that name it: at most 76. Equal contexts in a
    batch of documents are collapsed at once: all but the smallest document's are removed there. What is left travels by anchor:
@@ -38,14 +39,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.marks import BLOBS, bitmap, marked, packed
+from tidemark.llm.copies import first_copies
+from tidemark.llm.marks import BLOBS, bitmap, marked, packing
 from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 
 ANCHOR = 24
 PIECE = 1 << 18
-FLUSH = 1 << 19  # anchors packed together
 BATCH_BYTES = 1 << 23  # bytes of contexts collapsed together
-BUCKET_ANCHORS = 1 << 16  # anchors, marked or not, that a bucket of contexts has on average
+BUCKET_ANCHORS = 1 << 17  # anchors, marked or not, that a bucket of contexts has on average
+SORTED = 1 << 13  # contexts whose strings are sorted together
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 INNER = ("__key", "__kind", "__spans", "__id")
@@ -104,26 +106,18 @@ def runs(data: np.ndarray, part: np.ndarray, length: int, anchor: int) -> tuple[
 
 
 def _named_anchors(length: int, anchor: int):
-    """The anchors of a few megabytes of text at a time, each once per document, packed."""
+    """The anchors of a batch, each once per document."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, n = [], 0
-            for data, part, _, owners in pieces(_texts(b), length):
-                _, _, _, at, h = runs(data, part, length, anchor)
-                document = owners[part[at], 0]
-                order = np.lexsort((h, document))
-                h, document = h[order], document[order]
-                fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (document[1:] != document[:-1])])[: len(h)]
-                found.append(h[fresh])  # a document cut into pieces may name an anchor twice, which only costs work
-                n += len(found[-1])
-                if n >= FLUSH:
-                    yield packed(np.concatenate(found))
-                    found, n = [], 0
-            if found:
-                yield packed(np.concatenate(found))
+    def each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for data, part, _, owners in pieces(_texts(b), length):
+            _, _, _, at, h = runs(data, part, length, anchor)
+            document = owners[part[at], 0]
+            order = np.lexsort((h, document))
+            h, document = h[order], document[order]
+            # A document cut into pieces may name an anchor twice, which only costs work.
+            yield h[np.concatenate([[True], (h[1:] != h[:-1]) | (document[1:] != document[:-1])])[: len(h)]]
 
-    return run
+    return packing(each)
 
 
 def _texts(b: pa.RecordBatch) -> list[bytes]:
@@ -132,12 +126,13 @@ def _texts(b: pa.RecordBatch) -> list[bytes]:
 
 # -- contexts -------------------------------------------------------------------------------------------------------
 
-CONTEXT = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i4"), ("anchor", "<i4")])
+CONTEXT = np.dtype([("doc", "<i8"), ("key", "<i4"), ("start", "<i8"), ("size", "<i4"), ("anchor", "<i4")])
 
 
 def _pack(rows: np.ndarray, data: bytes) -> bytes:
-    columns = b"".join(rows[c].tobytes() for c in rows.dtype.names)
-    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=3).compress(columns + data)
+    steps = np.diff(rows["doc"], prepend=np.int64(0))  # documents come in runs and often in order
+    columns = b"".join([steps.tobytes(), *(rows[c].tobytes() for c in CONTEXT.names[1:])])
+    return len(rows).to_bytes(8, "little") + zstandard.ZstdCompressor(level=5).compress(columns + data)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +140,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob[8:])
     rows, at = np.zeros(n, CONTEXT), 0
     for c in CONTEXT.names:
-        step = CONTEXT[c].itemsize * n
         rows[c] = np.frombuffer(raw, CONTEXT[c], n, at)
-        at += step
+        at += CONTEXT[c].itemsize * n
+    rows["doc"] = np.cumsum(rows["doc"])
     return rows, np.frombuffer(raw, np.uint8, offset=at)
 
 
@@ -199,10 +194,11 @@ def spans_of(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarra
     merged = np.stack([start[first], reach[np.append(first[1:], len(start)) - 1]], axis=1).astype("<i8")
     cuts = np.append(np.searchsorted(first, at), len(first))
     blobs = [merged[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int64()), pa.array(blobs, pa.binary())], ["__id", "__key", "__spans"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int32()), pa.array(blobs, pa.binary())], ["__id", "__key", "__spans"])
 
 
-SENT = "bucket long, blob binary, __id long, __key long, __spans binary"
+SPANS = "__id long, __key int, __spans binary"
+SENT = f"bucket long, blob binary, {SPANS}"
 
 
 def _contexts(length: int, anchor: int, marks, bits: int):
@@ -251,7 +247,7 @@ def _contexts(length: int, anchor: int, marks, bits: int):
 
 
 def _sent(n: int, bucket: pa.Array, blob, settled) -> pa.RecordBatch:
-    columns = [settled.column(i) for i in range(3)] if settled is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+    columns = [settled.column(i) for i in range(3)] if settled is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
     return pa.RecordBatch.from_arrays([bucket, pa.nulls(n, pa.binary()) if blob is None else blob, *columns], ["bucket", "blob", "__id", "__key", "__spans"])
 
 
@@ -344,48 +340,68 @@ def smallest_of_equal(p: Prefixes, pos: np.ndarray, segment: np.ndarray, doc: np
 
 def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBatch | None:
     """Spans that the contexts of a bucket lose."""
-    rows, parts = zip(*map(_unpack, blobs))
-    new, data = np.concatenate(rows), np.concatenate(parts)
-    size, doc = new["size"].astype(np.int64), new["doc"]
+    read = []
+    for blob in blobs:
+        rows, data = _unpack(blob)
+        size = rows["size"].astype(np.int64)
+        at = np.cumsum(size) - size
+        p = Prefixes(data)
+        kmer = at + rows["anchor"]
+        read.append((rows, data, size, p.hashes(at, at + size), p.hashes(kmer, kmer + anchor)))
+    new, data, size, whole, kmer = (np.concatenate(c) for c in zip(*read))
+    doc = new["doc"]
     at = np.cumsum(size) - size
-    p = Prefixes(data)
-    smallest, head = first_of_equal(data, p.hashes(at, at + size), at, size, doc)
+    smallest, head = first_of_equal(data, whole, at, size, doc)
     gone = np.flatnonzero(doc > smallest)
     lost = [(gone, np.zeros(len(gone), np.int64), size[gone])]
     heads = np.unique(head)
-    kmer = p.hashes(at[heads] + new["anchor"][heads], at[heads] + new["anchor"][heads] + anchor)
-    _, group, many = np.unique(kmer, return_inverse=True, return_counts=True)
-    heads, group = heads[many[group] > 1], group[many[group] > 1]
-    if len(heads):
-        strings = size[heads] - length + 1
-        of = np.repeat(np.arange(len(heads)), strings)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
-        # Equal strings have their anchor at the same place, so they are sorted by (anchor, its place in the string).
-        segment = group[of] * length + (new["anchor"][heads][of] - offset)
-        order = np.argsort(segment, kind="stable")
-        seg = segment[order]
-        alone = np.ones(len(seg), bool)
-        alone[1:] &= seg[1:] != seg[:-1]
-        alone[:-1] &= seg[1:] != seg[:-1]
-        order = order[~alone]
-        of, offset, segment = of[order], offset[order], segment[order]
-        least = smallest_of_equal(p, at[heads][of] + offset, segment, doc[heads][of], length)
-        hit = least < doc[heads][of]
-        # What a head loses, every context equal to it in the same document loses.
-        lose_head, lose_offset = heads[of[hit]], offset[hit]
-        if len(lose_head):
-            twins = np.flatnonzero((doc == smallest) & np.isin(head, lose_head))
-            by = np.argsort(head[twins], kind="stable")
-            twins = twins[by]
-            lo, hi = np.searchsorted(head[twins], lose_head), np.searchsorted(head[twins], lose_head, side="right")
-            n = hi - lo
-            pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            lost.append((twins[pick], np.repeat(lose_offset, n), np.full(n.sum(), length)))
+    heads = heads[np.argsort(kmer[heads], kind="stable")]
+    edge = np.flatnonzero(np.concatenate([[True], kmer[heads][1:] != kmer[heads][:-1]]))
+    many = np.diff(np.append(edge, len(heads)))
+    keep = np.repeat(many > 1, many)
+    heads, many = heads[keep], many[many > 1]
+    ends = np.cumsum(many)
+    twins = np.flatnonzero(doc == smallest)
+    twins = twins[np.argsort(head[twins], kind="stable")]
+    lo = 0
+    while lo < len(heads):  # whole anchors, about SORTED contexts at a time
+        hi = int(ends[np.searchsorted(ends, min(lo + SORTED, len(heads)))])
+        few = heads[lo:hi]
+        part = gathered(data, at[few], size[few])
+        which, offset = lost_strings(part, size[few], kmer[few], new["anchor"][few].astype(np.int64), doc[few], length)
+        # What a context loses, every context equal to it in the same document loses.
+        a, b = np.searchsorted(head[twins], few[which]), np.searchsorted(head[twins], few[which], side="right")
+        n = b - a
+        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+        lost.append((twins[pick], np.repeat(offset, n), np.full(n.sum(), length)))
+        lo = hi
     row, offset, width = (np.concatenate(c) for c in zip(*lost))
     start = new["start"][row] + offset
     return spans_of(doc[row], new["key"][row], start, start + width)
 
 
+def lost_strings(data: np.ndarray, size: np.ndarray, kmer: np.ndarray, anchor_at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the strings that a smaller document has too, among contexts lying in ``data`` sorted by anchor."""
+    p = Prefixes(data)
+    at = np.cumsum(size) - size
+    strings = size - length + 1
+    of = np.repeat(np.arange(len(size)), strings)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+    group = np.cumsum(np.concatenate([[0], kmer[1:] != kmer[:-1]]))
+    # Equal strings have their anchor at the same place, so they are sorted by (anchor, its place in the string).
+    segment = group[of] * length + (anchor_at[of] - offset)
+    order = np.argsort(segment, kind="stable")
+    seg = segment[order]
+    alone = np.ones(len(seg), bool)
+    alone[1:] &= seg[1:] != seg[:-1]
+    alone[:-1] &= seg[1:] != seg[:-1]
+    order = order[~alone]
+    of, offset, segment = of[order], offset[order], segment[order]
+    least = smallest_of_equal(p, at[of] + offset, segment, doc[of], length)
+    hit = least < doc[of]
+    return of[hit], offset[hit]
+
+
 def _settled(length: int, anchor: int):
     names = ["__id", "__key", "__spans"]
 
@@ -442,6 +458,13 @@ def merged(blobs: list[bytes]) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
+def _all_of_it(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of whole texts."""
+    for b in batches:
+        ends = np.stack([np.zeros(b.num_rows, "<i8"), b.column("n").to_numpy().astype("<i8")], axis=1)
+        yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__key"), pa.array([e.tobytes() for e in ends], pa.binary())], ["__id", "__key", "__spans"])
+
+
 def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_characters: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, any others) with ``kept`` (the bytes left), ``n_bytes``, ``n_removed`` and ``n_spans``.
 
@@ -451,12 +474,15 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
     if clash or not 0 < anchor <= length:
         raise ValueError(f"columns named like added ones: {clash}" if clash else "an anchor must fit into a string")
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
-    keyed = keyed.withColumn("__key", F.xxhash64("doc_id", "text"))
-    texts = keyed.where(F.octet_length("text") >= length).select("__id", "__key", "text")
-    marks, n = bitmap(texts.select("text").mapInArrow(_named_anchors(length, anchor), BLOBS))
+    # The key tells rows of equal ids apart.
+    keyed = keyed.withColumn("__key", F.hash("doc_id", "text"))
+    long_ = keyed.where(F.octet_length("text") >= length)
+    texts, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
+    copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it, SPANS)
+    marks, _, n = bitmap(texts.select("text").mapInArrow(_named_anchors(length, anchor), BLOBS))
     bits = min(40, max(6, (n // BUCKET_ANCHORS).bit_length()))
     sent = texts.mapInArrow(_contexts(length, anchor, marks, bits), SENT)
-    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), "__id long, __key long, __spans binary")
+    spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), SPANS).unionByName(copies)
     both = keyed.withColumn("__kind", F.lit(1)).unionByName(spans.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     names = docs.columns
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:])]
