@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidemark.llm import ann, chat, jaccard_join, lang, main_text, packing, pieces, sharding, suffix_dedup, topk
 
 _MODULES = (ann, jaccard_join, lang, main_text, packing, pieces, sharding, chat, suffix_dedup, topk)
 
 
 def queries() -> dict:
-    return {name: build for m in _MODULES for name, build in m.QUERIES.items()}
+    return {name: build for m in _MODULES for name, build in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in getattr(m, "ORACLE", {}).items()}
+    sql = {name: text for m in _MODULES for name, text in getattr(m, "ORACLE", {}).items()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

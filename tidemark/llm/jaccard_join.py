@@ -32,7 +32,6 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,9 +56,9 @@ def needed(n, percent: int):
 SETS = "doc long, row_key long, n int, cid long, gid long, weight double, tokens array<struct<token: long, pos: int>>"
 
 
-def _every_shingle(words: int):
+def _every_shingle(words: int, keep):
     def each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        texts = b.column("text").to_pylist()
+        texts = keep(b).column("text").to_pylist()
         for lo, hi in sliced(texts):
             yield shingle_sets(texts[lo:hi], words)[0]
 
@@ -72,11 +71,11 @@ def _summed(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.diff(total[np.concatenate([[0], ends])])
 
 
-def _sets(words: int, percent: int, marks, slots):
+def _sets(words: int, percent: int, marks, slots, keep):
     """Per text the size and hash of its set, the hash of its prefix, the prefix's mean frequency and its marked shingles."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in map(keep, batches):
             texts = b.column("text").to_pylist()
             for lo, hi in sliced(texts):
                 h, n = shingle_sets(texts[lo:hi], words)
@@ -157,9 +156,10 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text")
     )
     keyed = rows.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "row_key", "text")
-    once, others = first_copies(keyed, "doc")
-    marks, slots, _ = bitmap(once.select("text").mapInArrow(_every_shingle(words), BLOBS))
-    sets = written(once.mapInArrow(_sets(words, percent, marks, slots), SETS))
+    once, keep, others = first_copies(keyed, "doc")
+    marks, counters, _ = bitmap(once.select("text", "text_hash").mapInArrow(_every_shingle(words, keep), BLOBS))
+    slots = docs.sparkSession.sparkContext.broadcast(counters)
+    sets = written(once.mapInArrow(_sets(words, percent, marks, slots, keep), SETS))
     first = F.min(F.struct("doc", "row_key", "n", "gid", "weight", "tokens"))
     classes = written(sets.where(F.col("n") > 0).groupBy("cid").agg(first.alias("r")).select("cid", "r.*"))
     lead = F.min(F.struct("cid", "n", "weight", "tokens"))
@@ -185,11 +185,12 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     wanted = written(classes.join(open_groups, "gid", "left_semi").select("cid", "gid", "n", "row_key"))
     there = members(wanted.select(F.xxhash64("row_key")))
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(marked(h.to_numpy().view(U), there))
+    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in map(keep, batches):
+            few = b.filter(pa.array(marked(b.column("h").to_numpy().view(U), there)))
+            yield few.select(["row_key", "text"])
 
-    few = once.select("row_key", "text").where(maybe(F.xxhash64("row_key")))
+    few = once.select("row_key", "text", "text_hash", F.xxhash64("row_key").alias("h")).mapInArrow(candidates, "row_key long, text string")
     texts = written(few.join(wanted.select("row_key", "cid"), "row_key").select("cid", "text"))
 
     links = written(verified(pairs, texts, words, percent))

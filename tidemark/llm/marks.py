@@ -2,7 +2,7 @@
 
 Tasks pack hashes into blobs by their leading 12 bits (a bucket), the next 24 bits of each, sorted and compressed, about two
 bytes a hash. A bucket's blobs meet in one task, which remembers what it has seen in 16 MB, and marks hashes that come again at two
-places of the bucket's share of the bitmap; it also counts hashes in 256 slots. Bitmap (2**MARKS bits, 16 MB) and counters
+places of the bucket's share of the bitmap; it also counts hashes in 256 slots. Bitmap (2**MARKS bits, 16 MB, less where few are set) and counters
 (SLOTS numbers, 4 MB) have their size whatever the input, and are broadcast. A hash that occurs twice is always marked; one
 that does not may be, and the more hashes the more often: marks save work, and no result depends on them.
 """
@@ -54,10 +54,10 @@ def packing(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]):
     return run
 
 
-def _spots(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two places of the 24 bits after a bucket's 12 in its share of the bitmap."""
-    width = MARKS - 12
-    return (place >> U(24 - width)).astype(np.int64), (place & U((1 << width) - 1)).astype(np.int64)
+def _spots(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of the 24 bits after a bucket's 12 in its share of 2**width bits; halving a share halves the places."""
+    low = U((1 << 24) - 1)
+    return (place >> U(24 - width)).astype(np.int64), (((place * U(0x9E3779B1)) & low) >> U(24 - width)).astype(np.int64)
 
 
 def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +90,7 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide[:, :3] = planes.T
             place = wide.view(U).ravel()  # ascending, as packed
             for again in (place[1:][place[1:] == place[:-1]], place[seen[place]]):
-                for spot in _spots(again):
+                for spot in _spots(again, MARKS - 12):
                     bits[spot] = True
             seen[place] = True
             slots += np.bincount((place >> U(16)).astype(np.int64), minlength=len(slots))
@@ -101,17 +101,24 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bitmap(blobs: DataFrame):
-    """Broadcasts of the marks and of the counters of all hashes in ``blobs``, and their number."""
+    """A broadcast of the marks of all hashes in ``blobs``, their counters (``slots``), and their number."""
     marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_twice, f"{BLOBS}, slots binary, n long")
     bits, slots = bytearray(1 << (MARKS - 3)), bytearray(4 * SLOTS)
     share, part, n = len(bits) // BUCKETS, len(slots) // BUCKETS, 0
-    for row in marked.toLocalIterator():  # at most BUCKETS rows of a fixed size
+    for row in marked.collect():  # at most BUCKETS rows of a fixed size, 20 MB
         k = row["bucket"]
         bits[k * share : (k + 1) * share] = row["blob"]
         slots[k * part : (k + 1) * part] = row["slots"]
         n += row["n"]
-    context = blobs.sparkSession.sparkContext
-    return context.broadcast(bytes(bits)), context.broadcast(bytes(slots)), n
+    return blobs.sparkSession.sparkContext.broadcast(folded(bytes(bits))), bytes(slots), n
+
+
+def folded(bits: bytes) -> bytes:
+    """The bitmap halved while one bit in 64 at most is set: neighbours share a place from then on."""
+    flags = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool)
+    while flags.sum() * 64 <= len(flags) and len(flags) > BUCKETS * 8:
+        flags = flags[::2] | flags[1::2]
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def members(hashes: DataFrame):
@@ -126,9 +133,10 @@ def members(hashes: DataFrame):
 def marked(h: np.ndarray, marks) -> np.ndarray:
     """Whether each hash is marked."""
     bits = np.frombuffer(marks.value, np.uint8)
-    share = (h >> U(52)).astype(np.int64) << (MARKS - 12)
+    width = (len(bits) * 8 // BUCKETS).bit_length() - 1
+    share = (h >> U(52)).astype(np.int64) << width
     found = np.ones(len(h), bool)
-    for spot in _spots((h >> U(28)) & U(0xFFFFFF)):
+    for spot in _spots((h >> U(28)) & U(0xFFFFFF), width):
         at = share + spot
         found &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
     return found

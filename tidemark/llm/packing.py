@@ -18,7 +18,7 @@ document, ``bin`` (unique) and ``offset`` in it. It depends on the rows and on t
 
 Edge cases: a NULL source or cluster conflicts with nothing; a NULL or negative size counts as 0 and takes part (such pieces
 need no room but obey the constraints); repeated rows are packed each, apart by their cluster; an empty table gives an empty
-result; input columns named like added ones are refused by name.
+result; the added columns replace input columns of their names, as do inner ones, whose names begin with two underscores.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.copies import without_names
 from tidemark.llm.sharding import numbered
 
 SHARE = 8192
@@ -71,10 +72,11 @@ def best_fit(items: list[tuple[int, object, object]], capacity: int) -> list[tup
 
 def packed(docs: DataFrame, size: str, source: str, cluster: str, capacity: int = CAPACITY, share: int = SHARE) -> DataFrame:
     """``docs`` (rows travel whole: leave large columns out) cut into pieces and packed."""
-    clash = [c for c in docs.columns if c.lower() in (*ADDED, "__share", "__source", "__cluster", "__n", "__less")]
-    if clash or capacity < 1:
-        raise ValueError(f"columns named like added ones: {clash}" if clash else "capacity must be positive")
-    n = F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0))
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
+    inputs = docs.select(*docs.columns, F.col(size).alias("__size"), F.col(source).alias("__source"), F.col(cluster).alias("__cluster"))
+    docs = without_names(inputs, (*ADDED, "__share", "__n", "__less"))
+    n = F.greatest(F.coalesce(F.col("__size").cast("long"), F.lit(0)), F.lit(0))
     last = F.greatest(F.ceil(n / capacity) - 1, F.lit(0))
     pieces = docs.withColumn("__n", n).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pieces = pieces.withColumn("start", F.col("piece") * capacity)
@@ -82,10 +84,8 @@ def packed(docs: DataFrame, size: str, source: str, cluster: str, capacity: int
     numbers, total = numbered(pieces.withColumn("__less", -F.col("n_tokens")), ["__less"])
     shares = -(-max(total, 1) // share)
     dealt = numbers.drop("__less").withColumn("__share", F.pmod("row_number", F.lit(shares)))
-    dealt = dealt.withColumn("__source", F.col(source)).withColumn("__cluster", F.col(cluster))
-    schema = T.StructType([*pieces.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType())])
-    names = pieces.columns
-
+    names = [c for c in pieces.columns if c not in ("__size", "__source", "__cluster")]
+    schema = T.StructType([*pieces.select(names).schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType())])
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None

@@ -23,7 +23,7 @@ ask for more are refused. Decoding turns ids back into text: byte pieces join in
 U+FFFD), the leading mark goes. Encoding and decoding a text without U+2581 gives it back.
 
 Edge cases: NULL and empty texts have no ids and decode to the empty text; U+2581 in a text is white space, as in the library;
-texts of any length are encoded whole; control ids decode to nothing and unknown ones to " \\u2047 "; other columns are kept.
+texts of any length are encoded whole; control ids decode to nothing and unknown ones to " \\u2047 "; other columns are kept, one named like the added column is replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.copies import without_names
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -315,6 +317,8 @@ def model_bytes(path: str) -> bytes:
 def encoded(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text; one pass, no shuffle."""
 
+    docs = without_names(docs, [into])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = loaded(model).encode
         for b in batches:
@@ -334,6 +338,8 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids"
 def decoded(docs: DataFrame, model: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of each list of ids."""
 
+    docs = without_names(docs, [into])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = loaded(model).decode
         for b in batches:

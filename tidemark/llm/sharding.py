@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.copies import without_names
 from tidemark.session import written
 
 ROUNDS = 6
@@ -117,9 +118,9 @@ def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
 
 def feistel_shards(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> DataFrame:
     """``df`` with ``row_number``, its permuted ``position``, ``shard`` and gapless ``slot``."""
-    clash = [c for c in df.columns if c.lower() in (*ADDED, "__tie", "__at", "__part", "__start")]
-    if clash or shards < 1:
-        raise ValueError(f"columns named like added ones: {clash}" if clash else "shards must be positive")
+    if shards < 1:
+        raise ValueError("shards must be positive")
+    df = without_names(df, (*ADDED, "__tie", "__at", "__part", "__start"))
     rows, n = numbered(df, order)
     rows = rows.withColumn("position", position_of(F.col("row_number"), n, seed))
     return rows.withColumn("shard", F.pmod("position", F.lit(shards)).cast("int")).withColumn("slot", _div(F.col("position"), shards))

@@ -24,7 +24,7 @@ depend on the length or the number of documents. Documents of any length are rea
 
 Edge cases: a NULL text is kept NULL and counts as empty; shorter texts than ``length`` never lose a byte; rows with a NULL id count
 as the largest; rows of equal ids are not smaller than each other, whatever their texts; repeated rows get the same result; an
-empty table gives an empty result; other columns are kept, ones named like added columns are refused by name.
+empty table gives an empty result; other columns are kept, the added ones replace those of their names.
 """
 
 from __future__ import annotations
@@ -44,19 +44,18 @@ from tidemark.llm.marks import BLOBS, bitmap, marked, packing
 from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 
 ANCHOR = 24
-PIECE = 1 << 18
-BATCH_BYTES = 1 << 23  # bytes of contexts collapsed together
+PIECE = 1 << 17
+BATCH_BYTES = 1 << 22  # bytes of contexts collapsed together
 BUCKET_ANCHORS = 1 << 17  # anchors, marked or not, that a bucket of contexts has on average
-SORTED = 1 << 13  # contexts whose strings are sorted together
+SORTED = 1 << 12  # contexts whose strings are sorted together
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
-INNER = ("__key", "__kind", "__spans", "__id")
 
 
 # -- the strings of a batch of documents ----------------------------------------------------------------------------
 
 
-def pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def pieces(texts: Iterable[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Bytes of several documents together, a document index per byte, and the documents' starts here and offsets in them."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
@@ -105,10 +104,11 @@ def runs(data: np.ndarray, part: np.ndarray, length: int, anchor: int) -> tuple[
 # -- marks ----------------------------------------------------------------------------------------------------------
 
 
-def _named_anchors(length: int, anchor: int):
+def _named_anchors(length: int, anchor: int, keep=lambda b: b):
     """The anchors of a batch, each once per document."""
 
     def each(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        b = keep(b)
         for data, part, _, owners in pieces(_texts(b), length):
             _, _, _, at, h = runs(data, part, length, anchor)
             document = owners[part[at], 0]
@@ -120,8 +120,9 @@ def _named_anchors(length: int, anchor: int):
     return packing(each)
 
 
-def _texts(b: pa.RecordBatch) -> list[bytes]:
-    return b.column("text").cast(pa.binary()).to_pylist()
+def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
+    for text in b.column("text").cast(pa.binary()):
+        yield text.as_py()
 
 
 # -- contexts -------------------------------------------------------------------------------------------------------
@@ -201,11 +202,11 @@ SPANS = "__id long, __key int, __spans binary"
 SENT = f"bucket long, blob binary, {SPANS}"
 
 
-def _contexts(length: int, anchor: int, marks, bits: int):
+def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b):
     """Contexts of marked anchors by bucket (the leading ``bits`` of the anchor's hash), and spans settled on the way."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in map(keep, batches):
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__key"))
             held, size = [], 0
             for data, part, starts, owners in pieces(_texts(b), length):
@@ -470,21 +471,20 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
 
     ``whole_characters`` keeps a character of which only some bytes would go, so that ``kept`` is valid UTF-8.
     """
-    clash = [c for c in docs.columns if c.lower() in (*ADDED, *INNER)]
-    if clash or not 0 < anchor <= length:
-        raise ValueError(f"columns named like added ones: {clash}" if clash else "an anchor must fit into a string")
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))))
+    if not 0 < anchor <= length:
+        raise ValueError("an anchor must fit into a string")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     # The key tells rows of equal ids apart.
-    keyed = keyed.withColumn("__key", F.hash("doc_id", "text"))
-    long_ = keyed.where(F.octet_length("text") >= length)
-    texts, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
+    keyed = docs.select(row.alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("__id"), F.hash("doc_id", "text").alias("__key"))
+    keyed_texts = keyed.select("__id", "__key", F.col("__row.text").alias("text"))
+    long_ = keyed_texts.where(F.octet_length("text") >= length)
+    texts, keep, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
     copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it, SPANS)
-    marks, _, n = bitmap(texts.select("text").mapInArrow(_named_anchors(length, anchor), BLOBS))
+    marks, _, n = bitmap(texts.select("text", "text_hash").mapInArrow(_named_anchors(length, anchor, keep), BLOBS))
     bits = min(40, max(6, (n // BUCKET_ANCHORS).bit_length()))
-    sent = texts.mapInArrow(_contexts(length, anchor, marks, bits), SENT)
+    sent = texts.drop("n").mapInArrow(_contexts(length, anchor, marks, bits, keep), SENT)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), SPANS).unionByName(copies)
     both = keyed.withColumn("__kind", F.lit(1)).unionByName(spans.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
-    names = docs.columns
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,7 +492,7 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
         for b in batches:
             ids, keys, kinds = (b.column(c).to_pylist() for c in ("__id", "__key", "__kind"))
             given = b.column("__spans").to_pylist()
-            rows, out = [], []
+            column, rows, out = b.column("__row").field("text"), [], []
             for i, here in enumerate(zip(ids, keys)):
                 if here != now:
                     now, blobs, spans_now = here, [], None
@@ -501,17 +501,19 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
                     continue
                 if spans_now is None:
                     spans_now = merged(blobs)
-                text = (b.column("text")[i].as_py() or "").encode()
+                text = (column[i].as_py() or "").encode()
                 kept, removed, count = without(text, spans_now, whole_characters)
                 rows.append(i)
                 out.append((kept, len(text), removed, count))
             if rows:
-                columns = list(b.select(names).take(pa.array(rows)).columns)
+                columns = [b.column("__row").take(pa.array(rows))]
                 types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*out), types))], [*names, *ADDED])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["__row", *ADDED])
 
     dealt = both.repartition("__key").sortWithinPartitions("__key", "__id", "__kind")
-    return dealt.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    done = dealt.mapInArrow(run, T.StructType([keyed.schema["__row"], *added]))
+    kept_names = [c for c in docs.columns if c.lower() not in ADDED]
+    return done.select(*[F.col(f"__row.`{c}`") for c in kept_names], *ADDED)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
