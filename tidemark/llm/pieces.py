@@ -32,6 +32,7 @@ import heapq
 import struct
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 WORDS_KEPT, PAIRS_KEPT = 1 << 18, 1 << 19
-NOTHING = (None, -1)
-SLICE = 1 << 21  # characters encoded between two record batches
+NOTHING = ({}, -1)
+SLICE = 1 << 20  # characters encoded between two record batches
 
 
 def fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -116,14 +117,17 @@ class Pieces:
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        # A character leads from a node to the next one and the id of the piece that ends there, or -1.
-        self.trie: dict[str, tuple[dict, int]] = {}
+    @cached_property
+    def trie(self) -> dict[str, tuple[dict, int]]:
+        """A character leads from a node to the next one and the id of the piece that ends there, or -1."""
+        trie: dict[str, tuple[dict, int]] = {}
         for t in sorted(self.ids):  # beginnings of a piece come before it
             if self.kind == UNIGRAM or len(t) == 1 or self.merged(t) == [t]:  # else it is in no encoding
-                node = self.trie
+                node = trie
                 for ch in t[:-1]:
                     node = node.setdefault(ch, ({}, -1))[0]
                 node[t[-1]] = (node.get(t[-1], ({},))[0], self.ids[t])
+        return trie
 
     # -- the search ---------------------------------------------------------------------------------------------
 
@@ -156,7 +160,7 @@ class Pieces:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether two pieces stay apart when their joint text is byte-pair encoded."""
-        key = left << 32 | right
+        key = left * len(self.texts) + right
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) >= PAIRS_KEPT:
@@ -172,7 +176,7 @@ class Pieces:
         back-pointer, and ``score`` the path's sum. From every such position the pieces that go on are followed in the trie.
         ``start`` is the boundary up to which pieces are out.
         """
-        longest, trie, scores, bpe, fits, sizes = self.longest, self.trie, self.scores, self.kind == BPE, self.fits, self.sizes
+        longest, trie, scores, bpe, fits, many = self.longest, self.trie, self.scores, self.kind == BPE, self.fits, len(self.texts)
         last: dict[int, int] = {0: -1}
         score: dict[int, float] = {0: 0.0}
         start = committed = 0
@@ -181,29 +185,38 @@ class Pieces:
             before = last.get(begin)
             if before is None:
                 continue
-            so_far = 0.0 if bpe else score[begin]
-            node, end = trie, begin
-            for ch in text[begin : begin + longest]:
-                entry = node.get(ch)
-                if entry is None:
-                    break
-                node, i = entry
-                end += 1
-                if i < 0:
-                    continue
-                if bpe:
-                    if end not in last:
-                        fit = before < 0 or fits.get(before << 32 | i)
+            node, i = trie.get(text[begin], NOTHING)
+            end = begin + 1
+            if bpe:
+                # One piece fits each position: the first one found.
+                if end not in last and (i < 0 or before < 0 or fits.get(before * many + i) or self.apart(before, i)):
+                    last[end] = i
+                row = before * many
+                for ch in text[end : begin + longest]:
+                    entry = node.get(ch)
+                    if entry is None:
+                        break
+                    node, i = entry
+                    end += 1
+                    if i >= 0 and end not in last:
+                        fit = before < 0 or fits.get(row + i)
                         if fit or (fit is None and self.apart(before, i)):
                             last[end] = i
-                else:
-                    total = so_far + scores[i]
-                    if end not in last or total > score[end]:
-                        last[end], score[end] = i, total
-            if trie.get(text[begin], NOTHING)[1] < 0:
-                total = so_far if bpe else so_far + self.unknown_score
-                if begin + 1 not in last or (not bpe and total > score[begin + 1]):
-                    last[begin + 1], score[begin + 1] = -1, total
+            else:
+                so_far = score[begin]
+                total = so_far + (scores[i] if i >= 0 else self.unknown_score)
+                if end not in last or total > score[end]:
+                    last[end], score[end] = i, total
+                for ch in text[end : begin + longest]:
+                    entry = node.get(ch)
+                    if entry is None:
+                        break
+                    node, i = entry
+                    end += 1
+                    if i >= 0:
+                        total = so_far + scores[i]
+                        if end not in last or total > score[end]:
+                            last[end], score[end] = i, total
             if begin - committed >= 4 * longest:
                 committed = begin
                 boundary = self._agreed(last, start, begin)
@@ -250,31 +263,37 @@ class Pieces:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        text = SPACE + text.replace(" ", SPACE)
+        if SPACE in text:
+            text = text.replace(SPACE, " ")
         if not self.words_apart:
-            return self.word(text)
+            return self.word(SPACE + text.replace(" ", SPACE))
         out: list[int] = []
-        known = self.known
-        words = text.split(SPACE)
-        run = 0
-        for w in words[1:]:
-            run += 1
-            if w:
-                key = SPACE * run + w
-                found = known.get(key)
+        run = 1
+        for w in text.split(" "):
+            if not w:
+                run += 1
+                continue
+            if run == 1:
+                found = self.known.get(w)
                 if found is None:
-                    found = self.older.get(key) or tuple(self.word(key))
-                    if len(key) <= 64:
-                        if len(known) >= WORDS_KEPT:  # words not met since the last turn-over go
-                            self.older, self.known = known, {}
-                            known = self.known
-                        known[key] = found
+                    found = self._kept(w)
                 out += found
-                run = 0
-        if run:
-            out += self.word(SPACE * run)
+            else:  # white space before a word may merge with it
+                out += self.word(SPACE * run + w)
+            run = 1
+        if run > 1:
+            out += self.word(SPACE * (run - 1))
         return out
 
+    def _kept(self, w: str) -> tuple[int, ...]:
+        """The ids of a word after one space, remembered until two turn-overs pass without it."""
+        found = self.older.get(w) or tuple(self.word(SPACE + w))
+        if len(w) <= 64:
+            if len(self.known) >= WORDS_KEPT:
+                self.older, self.known = self.known, {}
+            self.known[w] = found
+        return found
+
     def decode(self, ids) -> str:
         try:
             text = "".join(map(self.plain.__getitem__, ids))
@@ -323,7 +342,8 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids"
         encode = loaded(model).encode
         for b in batches:
             ids, ends, size, first = array("i"), [0], 0, 0
-            for i, t in enumerate(b.column(text).to_pylist()):
+            for i, value in enumerate(b.column(text)):
+                t = value.as_py()
                 ids.extend(encode(t))
                 ends.append(len(ids))
                 size += len(t or "")
