@@ -7,9 +7,9 @@ All strings of ``length`` bytes are suffixes cut to that length, one at each pos
 contain the same ``ANCHOR``-byte strings, so both name the same one their anchor: the one of the smallest hash. Steps:
 
 0. Copies. Of equal texts only the smallest document's goes on; the others lose everything.
-1. Anchors. Every document names the anchors of its strings, about one position in 14. Their hashes, 36 bits each, are dealt by
+1. Anchors. Every document names the anchors of its strings, about one position in 16. Their hashes, 36 bits each, are dealt by
    their leading bits; those in two documents at least are marked in a bitmap of 16 MB whatever the input (``marks``). A mark set wrongly costs work, not correctness.
-2. Contexts. A marked anchor's context is the bytes of all strings that name it: at most 76. Equal contexts in a
+2. Contexts. A marked anchor's context is the bytes of all strings that name it: at most 80. Equal contexts in a
    batch of documents are collapsed at once: all but the smallest document's are removed there. What is left travels by anchor:
    a passage in a third of all documents reaches its task once per batch of documents, not once per document.
 3. Suffix sort. In a task, contexts of one anchor are collapsed again, and the strings of what is left are sorted as suffixes, by a
@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -39,15 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.batches import small_batches
 from tidemark.llm.copies import first_copies
 from tidemark.llm.marks import BLOBS, bitmap, marked, packing
 from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 
-ANCHOR = 24
+ANCHOR = 20
 PIECE = 1 << 17
-BATCH_BYTES = 1 << 22  # bytes of contexts collapsed together
-BUCKET_ANCHORS = 1 << 17  # anchors, marked or not, that a bucket of contexts has on average
-SORTED = 1 << 12  # contexts whose strings are sorted together
+BATCH_BYTES = 1 << 23  # bytes of contexts collapsed together
+BUCKET_ANCHORS = 1 << 19  # anchors, marked or not, that a bucket of contexts has on average
+SORTED = 1 << 17  # strings sorted together
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
@@ -202,13 +204,14 @@ SPANS = "__id long, __key int, __spans binary"
 SENT = f"bucket long, blob binary, {SPANS}"
 
 
-def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b):
+def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b, key_of=lambda ids, keys: keys):
     """Contexts of marked anchors by bucket (the leading ``bits`` of the anchor's hash), and spans settled on the way."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in map(keep, batches):
             ids, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in ("__id", "__key"))
-            held, size = [], 0
+            keys = key_of(ids, keys)
             for data, part, starts, owners in pieces(_texts(b), length):
                 prefixes, first, last, at, h = runs(data, part, length, anchor)
                 chosen = np.flatnonzero(marked(h, marks))
@@ -224,8 +227,8 @@ def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b):
                 if size >= BATCH_BYTES:
                     yield from collapsed(held)
                     held, size = [], 0
-            if held:
-                yield from collapsed(held)
+        if held:
+            yield from collapsed(held)
 
     def collapsed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         new, data, context, bucket = (np.concatenate(c) for c in zip(*held))
@@ -339,8 +342,8 @@ def smallest_of_equal(p: Prefixes, pos: np.ndarray, segment: np.ndarray, doc: np
     return out
 
 
-def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBatch | None:
-    """Spans that the contexts of a bucket lose."""
+def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(document, key, start, end) of what the contexts of a bucket lose."""
     read = []
     for blob in blobs:
         rows, data = _unpack(blob)
@@ -362,11 +365,13 @@ def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBat
     keep = np.repeat(many > 1, many)
     heads, many = heads[keep], many[many > 1]
     ends = np.cumsum(many)
+    strings = np.concatenate([[0], np.cumsum(size[heads] - length + 1)])
     twins = np.flatnonzero(doc == smallest)
     twins = twins[np.argsort(head[twins], kind="stable")]
     lo = 0
-    while lo < len(heads):  # whole anchors, about SORTED contexts at a time
-        hi = int(ends[np.searchsorted(ends, min(lo + SORTED, len(heads)))])
+    while lo < len(heads):  # whole anchors, about SORTED strings at a time
+        enough = int(np.searchsorted(strings, strings[lo] + SORTED))
+        hi = int(ends[np.searchsorted(ends, min(max(enough, lo + 1), len(heads)))])
         few = heads[lo:hi]
         part = gathered(data, at[few], size[few])
         which, offset = lost_strings(part, size[few], kmer[few], new["anchor"][few].astype(np.int64), doc[few], length)
@@ -378,7 +383,7 @@ def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> pa.RecordBat
         lo = hi
     row, offset, width = (np.concatenate(c) for c in zip(*lost))
     start = new["start"][row] + offset
-    return spans_of(doc[row], new["key"][row], start, start + width)
+    return doc[row], new["key"][row], start, start + width
 
 
 def lost_strings(data: np.ndarray, size: np.ndarray, kmer: np.ndarray, anchor_at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -403,11 +408,15 @@ def lost_strings(data: np.ndarray, size: np.ndarray, kmer: np.ndarray, anchor_at
     return of[hit], offset[hit]
 
 
+MOST_SPANS = 1 << 20  # spans a task merges at a time
+
+
 def _settled(length: int, anchor: int):
     names = ["__id", "__key", "__spans"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
+        lost: list[tuple] = []
         for b in batches:
             done = b.filter(pc.is_null(b.column("blob"))).select(names)
             if done.num_rows:
@@ -415,15 +424,19 @@ def _settled(length: int, anchor: int):
             b = b.filter(pc.is_valid(b.column("blob")))
             for bucket, blob in zip(b.column("bucket").to_pylist(), b.column("blob").to_pylist()):
                 if bucket != now and held:
-                    yield from settle(held)
+                    lost.append(settled_bucket(held, length, anchor))
                     held = []
+                    if sum(len(x[0]) for x in lost) >= MOST_SPANS:
+                        yield from together(lost)
+                        lost = []
                 now = bucket
                 held.append(blob)
         if held:
-            yield from settle(held)
+            lost.append(settled_bucket(held, length, anchor))
+        yield from together(lost)
 
-    def settle(held: list[bytes]) -> Iterator[pa.RecordBatch]:
-        out = settled_bucket(held, length, anchor)
+    def together(lost: list[tuple]) -> Iterator[pa.RecordBatch]:
+        out = spans_of(*(np.concatenate(c) for c in zip(*lost))) if lost else None
         if out is not None:
             yield out
 
@@ -459,11 +472,30 @@ def merged(blobs: list[bytes]) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def _all_of_it(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_of_it(key_of):
     """Spans of whole texts."""
-    for b in batches:
-        ends = np.stack([np.zeros(b.num_rows, "<i8"), b.column("n").to_numpy().astype("<i8")], axis=1)
-        yield pa.RecordBatch.from_arrays([b.column("__id"), b.column("__key"), pa.array([e.tobytes() for e in ends], pa.binary())], ["__id", "__key", "__spans"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.stack([np.zeros(b.num_rows, "<i8"), b.column("n").to_numpy().astype("<i8")], axis=1)
+            keys = key_of(b.column("__id").to_numpy(), b.column("__key").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array(keys), pa.array([e.tobytes() for e in ends], pa.binary())], ["__id", "__key", "__spans"])
+
+    return run
+
+
+def _ids(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield mixed(b.column("__id").to_numpy().view(U))
+
+
+def _keys(keyed: DataFrame):
+    """What tells rows of equal ids apart: their key where the id is marked as occurring twice, else 0, which takes no room."""
+    marks, _, _ = bitmap(keyed.select("__id").mapInArrow(packing(_ids), BLOBS))
+
+    def key_of(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return np.where(marked(mixed(ids.astype(np.int64).view(U)), marks), keys, 0).astype(np.int32)
+
+    return key_of
 
 
 def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_characters: bool = False) -> DataFrame:
@@ -473,18 +505,24 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
     """
     if not 0 < anchor <= length:
         raise ValueError("an anchor must fit into a string")
+    small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    # The key tells rows of equal ids apart.
     keyed = docs.select(row.alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("__id"), F.hash("doc_id", "text").alias("__key"))
     keyed_texts = keyed.select("__id", "__key", F.col("__row.text").alias("text"))
+    key_of = _keys(keyed)
     long_ = keyed_texts.where(F.octet_length("text") >= length)
     texts, keep, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
-    copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it, SPANS)
+    copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it(key_of), SPANS)
     marks, _, n = bitmap(texts.select("text", "text_hash").mapInArrow(_named_anchors(length, anchor, keep), BLOBS))
     bits = min(40, max(6, (n // BUCKET_ANCHORS).bit_length()))
-    sent = texts.drop("n").mapInArrow(_contexts(length, anchor, marks, bits, keep), SENT)
+    sent = texts.drop("n").mapInArrow(_contexts(length, anchor, marks, bits, keep, key_of), SENT)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), SPANS).unionByName(copies)
-    both = keyed.withColumn("__kind", F.lit(1)).unionByName(spans.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+
+    @F.pandas_udf("int")
+    def final_key(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series(key_of(ids.to_numpy(), keys.to_numpy()))
+
+    both = keyed.withColumn("__key", final_key("__id", "__key")).withColumn("__kind", F.lit(1)).unionByName(spans.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
     added = [T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ADDED[1:])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,7 +530,7 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
         for b in batches:
             ids, keys, kinds = (b.column(c).to_pylist() for c in ("__id", "__key", "__kind"))
             given = b.column("__spans").to_pylist()
-            column, rows, out = b.column("__row").field("text"), [], []
+            column, rows, out, size = b.column("__row").field("text"), [], [], 0
             for i, here in enumerate(zip(ids, keys)):
                 if here != now:
                     now, blobs, spans_now = here, [], None
@@ -505,12 +543,18 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
                 kept, removed, count = without(text, spans_now, whole_characters)
                 rows.append(i)
                 out.append((kept, len(text), removed, count))
+                size += len(text)
+                if size >= BATCH_BYTES:
+                    yield finished(b, rows, out)
+                    rows, out, size = [], [], 0
             if rows:
-                columns = [b.column("__row").take(pa.array(rows))]
-                types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["__row", *ADDED])
+                yield finished(b, rows, out)
+
+    def finished(b: pa.RecordBatch, rows: list[int], out: list[tuple]) -> pa.RecordBatch:
+        types = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([b.column("__row").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["__row", *ADDED])
 
-    dealt = both.repartition("__key").sortWithinPartitions("__key", "__id", "__kind")
+    dealt = both.repartition("__id", "__key").sortWithinPartitions("__id", "__key", "__kind")
     done = dealt.mapInArrow(run, T.StructType([keyed.schema["__row"], *added]))
     kept_names = [c for c in docs.columns if c.lower() not in ADDED]
     return done.select(*[F.col(f"__row.`{c}`") for c in kept_names], *ADDED)
