@@ -30,12 +30,14 @@ PASSAGE = 200
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    """Id and text, and all columns in one, so that columns of any names pass through the operators."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
+    """Id, text and language, and all columns but the text in one, so that columns of any names pass through the operators."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("__all")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", rest)
 
 
 def _unwrapped(wrapped: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
-    return wrapped.select([changed[c].alias(c) if c in changed else F.col(f"__all.`{c}`") for c in docs.columns])
+    columns = {c: F.col(f"__all.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("text")} | changed
+    return wrapped.select([columns[c].alias(c) for c in docs.columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

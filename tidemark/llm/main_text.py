@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.batches import small_batches
+
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead"
@@ -214,6 +216,7 @@ def content(html: str) -> str:
 def extracted(pages: DataFrame, html: str = "html", into: str = "main_text") -> DataFrame:
     """``pages`` with the main text; one pass over the rows, no shuffle."""
 
+    small_batches(pages.sparkSession)
     @F.pandas_udf("string")
     def text(column):
         return column.map(lambda h: content(h) if h else "")
