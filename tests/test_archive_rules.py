@@ -199,13 +199,15 @@ def test_read_files(spark, tmp_path):
     (folder / "t1.meta.json").write_text(good)
     (folder / "t2.meta.json").write_text("{torn")
     (folder / "t1.sql.gz").write_text("-- CHANGE MASTER TO MASTER_LOG_FILE='b.3', MASTER_LOG_POS=7;\n")
-    texts = S.read_backup_texts(spark, str(tmp_path / "binlog"), "ar").withColumn(
-        "key", F.regexp_extract("key", "(binlog/server.*)$", 1)
-    )
+    texts = S.read_backup_texts(spark, str(tmp_path), "ar")
     row = S.full_backup_scan(texts, "binlog").first()
     assert (row.lineage, row.start_seq, row.start_pos, row.dump_key) == ("u", 3, 157, "binlog/server-u/full/t1.sql.gz")
     assert S.full_backup_rejects(texts, "binlog").count() == 1
-    assert S.list_objects(spark, str(tmp_path), "ar").count() == 3
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        listed = S.archive_listing(S.list_objects(spark, root, "ar"), "binlog").collect()
+        assert {(r.key, r.lineage, r.kind) for r in listed} == {
+            (f"binlog/server-u/full/{n}", "u", "full") for n in ("t1.meta.json", "t2.meta.json", "t1.sql.gz")
+        }
     assert S.read_lines(spark, str(folder / "t2.meta.json")).first().line == "{torn"
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 RFC3339_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 RFC3339_SHAPE = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 EVENT_HEADER = r"^#\d{6}\s*\d+:\d+:\d+\s+server\s+id(\s|$)"
+HEADER_PARTS = r"^#(\d{2})(\d{2})(\d{2})\s*(\d+):(\d+):(\d+)\s+server\s+id(?:\s|$)"
 COORDINATE_MARKS = ("CHANGE MASTER TO", "CHANGE REPLICATION SOURCE TO")
 FILE_KEYS = r"(?:MASTER_LOG_FILE|SOURCE_LOG_FILE)='([^']*)'"
 POSITION_KEYS = r"(?:MASTER_LOG_POS|SOURCE_LOG_POS)=(\d+)"
@@ -61,19 +62,18 @@ def header_times(line: Column) -> Column:
     Two-digit years 70-99 are 19xx. The epoch itself marks an artificial event, not a time.
     The line must match ``EVENT_HEADER``.
     """
-    number = lambda start: F.substring(line, start, 2).try_cast("int")
-    clock = F.split(F.trim(F.substring(line, 8, 64)), r"[:\s]+")
-    stamps = F.transform(
-        F.array(clock),
-        lambda hms: F.try_make_timestamp(
-            F.when(number(2) >= 70, number(2) + 1900).otherwise(number(2) + 2000),
-            number(4),
-            number(6),
-            hms[0].try_cast("int"),
-            hms[1].try_cast("int"),
-            F.when(hms[2].try_cast("int") < 60, hms[2].try_cast("decimal(16,6)")),
-        ),
+    part = lambda i: F.regexp_extract(line, HEADER_PARTS, i)
+    number = lambda i: part(i).try_cast("int")
+    stamp = F.try_make_timestamp(
+        F.when(number(1) >= 70, number(1) + 1900).otherwise(number(1) + 2000),
+        number(2),
+        number(3),
+        number(4),
+        number(5),
+        F.when(number(6) < 60, part(6).try_cast("decimal(16,6)")),
     )
+    # An array of one keeps the instant from being computed for each of its uses.
+    stamps = F.transform(F.array(stamp), lambda s: s)
     return F.filter(stamps, lambda s: F.unix_seconds(s) > 0)
 
 

@@ -131,12 +131,11 @@ def progress_signature(parts: DataFrame) -> DataFrame:
     """parts(node, round, part, detail) to one comparable text per node and round.
 
     Parts are ``executed`` (one row), ``received`` and ``copy`` (any number, in no order).
-    Rows are digested and added up, so no group is ever collected; absent parts read "none".
+    Both halves of every row's digest are added up, so no group is ever collected; absent parts read "none".
     """
-    digest = F.conv(F.substring(F.md5("detail"), 1, 15), 16, 10).cast("decimal(38,0)")
-    summed = lambda part: F.coalesce(
-        F.sum(F.when(F.col("part") == part, digest)).cast("string"), F.lit("none")
-    )
+    half = lambda at: F.conv(F.substring(F.md5("detail"), at, 16), 16, 10).cast("decimal(38,0)")
+    both = lambda part: [F.sum(F.when(F.col("part") == part, half(at))).cast("string") for at in (1, 17)]
+    summed = lambda part: F.coalesce(F.concat(*[x for s in both(part) for x in (s, F.lit("."))][:-1]), F.lit("none"))
     executed = F.coalesce(
         F.max(F.when(F.col("part") == "executed", F.regexp_replace("detail", r"\s+", ""))), F.lit("none")
     )

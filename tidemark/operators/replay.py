@@ -22,11 +22,14 @@ def fold(
     payload: Sequence[str],
     op: str = "op",
 ) -> DataFrame:
-    """Snapshot plus log in one aggregate. ``op = 'delete'`` removes a key."""
-    first = F.lit(-1).cast("bigint")
-    base = snapshot.select(*keys, *payload, *[first.alias(c) for c in order], F.lit("upsert").alias(op))
-    log = changes.select(*keys, *payload, *[F.col(c).cast("bigint").alias(c) for c in order], op)
-    folded = latest_per_key(base.unionByName(log), keys, order, [op, *payload])
+    """Snapshot plus log in one aggregate. ``op = 'delete'`` removes a key.
+
+    Every log row is later than the snapshot, whatever its order values, also NULL or negative ones.
+    """
+    none = F.lit(None).cast("bigint")
+    base = snapshot.select(*keys, *payload, *[none.alias(c) for c in order], F.lit("upsert").alias(op), F.lit(0).alias("_side"))
+    log = changes.select(*keys, *payload, *[F.col(c).cast("bigint").alias(c) for c in order], op, F.lit(1).alias("_side"))
+    folded = latest_per_key(base.unionByName(log), keys, ["_side", *order], [op, *payload])
     return folded.where(F.col(op) != "delete").drop(op)
 
 

@@ -110,10 +110,12 @@ ORACLE = {
         WITH parts AS (
             SELECT user_id AS node, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round,
                    CASE WHEN event_type = 'signup' THEN 'copy' ELSE 'received' END AS part,
-                   CAST('0x' || substr(md5(event_type || ':' || CAST(floor(value / 20) AS BIGINT)), 1, 15) AS BIGINT) AS digest
+                   md5(event_type || ':' || CAST(floor(value / 20) AS BIGINT)) AS digest
             FROM events),
-        sums AS (SELECT node, round, sum(digest) FILTER (WHERE part = 'received') AS received,
-                        sum(digest) FILTER (WHERE part = 'copy') AS copied FROM parts GROUP BY node, round)
+        sums AS (SELECT node, round,
+                        sum(CAST('0x' || substr(digest, 1, 16) AS UBIGINT)) FILTER (WHERE part = 'received') || '.' || sum(CAST('0x' || substr(digest, 17, 16) AS UBIGINT)) FILTER (WHERE part = 'received') AS received,
+                        sum(CAST('0x' || substr(digest, 1, 16) AS UBIGINT)) FILTER (WHERE part = 'copy') || '.' || sum(CAST('0x' || substr(digest, 17, 16) AS UBIGINT)) FILTER (WHERE part = 'copy') AS copied
+                 FROM parts GROUP BY node, round)
         SELECT s.node, s.round, coalesce(regexp_replace(r.txn_set, '\\s+', '', 'g'), 'none') || '|' ||
                coalesce(CAST(received AS VARCHAR), 'none') || '|' || coalesce(CAST(copied AS VARCHAR), 'none') AS signature
         FROM sums s LEFT JOIN reports r ON r.cluster * 5 + r.seed_rank = s.node AND r.round = s.round""",

@@ -155,8 +155,7 @@ ORACLE = {
         ["segments"],
         """
         SELECT s.lineage, 'log lost from disk before upload: ' || s.name AS message, s.name AS file
-        FROM segments s WHERE s.status = 'lost' AND EXISTS (
-            SELECT 1 FROM segments d WHERE d.name = s.name AND d.status <> 'lost')""",
+        FROM segments s WHERE s.status = 'lost'""",
     ),
     "state_sink": with_views(["ledger"], "SELECT lineage, name, status FROM ledger"),
     "heal_ledger_scan": """

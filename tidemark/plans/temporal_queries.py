@@ -88,8 +88,9 @@ def backend_up_any(t: Tables) -> DataFrame:
 
 
 def log_signal_scan(t: Tables) -> DataFrame:
-    files = t.disk.select(F.col("name").alias("file"))
-    return S.log_signal_scan(t.log_lines, files, "lost from disk")
+    """Loss reports of files the archive itself counts as lost, each in its own lineage."""
+    files = t.segments.where(F.col("status") == "lost").select("lineage", F.col("name").alias("file"))
+    return S.log_signal_scan(t.log_lines, files, "lost from disk", on=["lineage", "file"])
 
 
 def state_sink(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,10 +21,17 @@ BACKUP_META = T.StructType(
 )
 
 
-def list_objects(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
-    """(archive_id, key) of every file below ``path``; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.lit(archive_id).alias("archive_id"), F.col("path").alias("key"))
+def below_root(place: Column, root: str) -> Column:
+    """The key of a file: its place below ``root``, without scheme, bucket or folders above."""
+    at = urlsplit(root)
+    folders = f"{at.netloc}{at.path}".strip("/")
+    return F.regexp_replace(place, rf"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?/*\Q{folders}\E/*", "")
+
+
+def list_objects(spark: SparkSession, root: str, archive_id: str) -> DataFrame:
+    """(archive_id, key) of every file below ``root``, keys relative to it; file contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.lit(archive_id).alias("archive_id"), below_root(F.col("path"), root).alias("key"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -35,13 +44,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_backup_texts(spark: SparkSession, path: str, archive_id: str) -> DataFrame:
-    """(archive_id, key, text) of the metadata objects below ``path``; the dumps are not opened."""
+def read_backup_texts(spark: SparkSession, root: str, archive_id: str) -> DataFrame:
+    """(archive_id, key, text) of the metadata objects below ``root``, keys relative to it; the dumps are not opened."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.meta.json")
-    texts = files.text(path, wholetext=True)
-    return texts.select(
-        F.lit(archive_id).alias("archive_id"), F.col("_metadata.file_path").alias("key"), F.col("value").alias("text")
-    )
+    texts = files.text(root, wholetext=True)
+    key = below_root(F.col("_metadata.file_path"), root)
+    return texts.select(F.lit(archive_id).alias("archive_id"), key.alias("key"), F.col("value").alias("text"))
 
 
 def _below(base_path: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +23,14 @@ def edge_stats_scan(lines: DataFrame) -> DataFrame:
     )
 
 
-def log_signal_scan(lines: DataFrame, files: DataFrame, pattern: str) -> DataFrame:
-    """JSON log lines whose message matches ``pattern`` and whose ``file`` is one of ``files``."""
+def log_signal_scan(lines: DataFrame, files: DataFrame, pattern: str, on: Sequence[str] = ("file",)) -> DataFrame:
+    """JSON log lines whose message matches ``pattern`` and whose ``on`` columns are a row of ``files``.
+
+    ``file`` comes from the line, other columns of ``on`` from ``lines``. File names repeat in every lineage, so name what tells
+    them apart.
+    """
     parsed = F.from_json("line", "message STRING, file STRING")
     found = lines.withColumn("_p", parsed).select(
         *[c for c in lines.columns if c != "line"], F.col("_p.message").alias("message"), F.col("_p.file").alias("file")
     )
-    return found.where(F.col("message").rlike(pattern)).join(files.select("file").distinct(), "file", "left_semi")
+    return found.where(F.col("message").rlike(pattern)).join(files.select(*on).distinct(), list(on), "left_semi")
