@@ -100,7 +100,8 @@ def runs(data: np.ndarray, part: np.ndarray, length: int, anchor: int) -> tuple[
     real = at[first] >= 0
     first, last = first[real], last[real]
     at = at[first]
-    return prefixes, first, last, at, hashes[at]
+    # Anchors are minima, so their own hashes crowd near zero: mixed anew, they spread evenly over marks and buckets.
+    return prefixes, first, last, at, mixed(hashes[at] ^ U(0xD1B54A32D192ED03))
 
 
 # -- marks ----------------------------------------------------------------------------------------------------------
