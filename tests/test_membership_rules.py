@@ -111,14 +111,44 @@ def test_divergence_has_one_loser(spark):
     assert [r.w for r in df.select(there.alias("w")).collect()] == list(pinned.values())
 
 
-def test_no_peers_is_safe_and_divergence_is_settled(spark):
-    reports = spark.createDataFrame(
-        [("c", 0, "me", 1, "u:1-5,x:1", False, 0), ("c", 0, "p0", 0, "u:1-5,y:1", False, 0), ("c", 0, "alone", 2, "", False, 0)],
-        "cluster string, round bigint, node string, seed_rank int, txn_set string, prelog boolean, generation bigint",
-    )
-    polls = answers(spark, [{"peer": "p0", "seed_rank": 0, "group_active": False, "txn_set": "u:1-5,y:1", "prelog": False, "generation": 0}])
-    got = {r.observer: (r.verdict, r.peer) for r in M.bootstrap_verdict(polls, reports).collect()}
-    assert got == {"me": ("WAIT", "p0"), "p0": ("SAFE", None), "alone": ("SAFE", None)}
+REPORTS = "cluster string, round bigint, node string, seed_rank int, txn_set string, prelog boolean, generation bigint"
+
+
+def verdicts(spark, own, heard, declared=("p0", "p1"), waived=()):
+    """The verdict of one node with its own set, given what its polls heard."""
+    reports = spark.createDataFrame([("c", 0, "me", 5, own, False, 0), ("c", 0, "p0", 0, "u:1-3", False, 0)], REPORTS)
+    rows = [{"seed_rank": int(p[1]), "group_active": False, "prelog": False, "generation": 0, "peer": p, **told} for p, told in heard.items()]
+    told = spark.createDataFrame([("c", "me", p, int(p[1])) for p in declared], "cluster string, observer string, peer string, seed_rank int")
+    let_go = spark.createDataFrame([("c", 0, "me", p) for p in waived], "cluster string, round bigint, observer string, peer string")
+    got = {r.observer: (r.verdict, r.peer) for r in M.bootstrap_verdict(answers(spark, rows), reports, told, let_go).collect()}
+    assert got["p0"] == ("SAFE", None)  # declares nobody
+    return got["me"]
+
+
+def test_bootstrap_needs_every_declared_peer(spark):
+    behind = {"txn_set": "u:1-2"}
+    assert verdicts(spark, "u:1-5", {"p0": behind, "p1": behind}) == ("SAFE", None)
+    assert verdicts(spark, "u:1-5", {"p0": behind}) == ("UNDECIDABLE", None)
+    assert verdicts(spark, "u:1-5", {}) == ("UNDECIDABLE", None)
+    assert verdicts(spark, "u:1-5", {"p0": behind, "p1": {"answer": "unreachable"}}) == ("UNDECIDABLE", None)
+    assert verdicts(spark, "u:1-5", {"p0": behind, "p1": {"answer": "unreachable"}}, waived=["p1"]) == ("SAFE", None)
+    assert verdicts(spark, "u:1-5", {}, declared=[]) == ("SAFE", None)
+
+
+def test_bootstrap_compares_with_the_answer(spark):
+    """p0 reported three transactions, but told nine."""
+    assert verdicts(spark, "u:1-5", {"p0": {"txn_set": "u:1-9"}}, declared=["p0"]) == ("WAIT", "p0")
+    assert verdicts(spark, None, {"p0": {"txn_set": "u:1-9"}}, declared=["p0"]) == (None, None)
+    assert verdicts(spark, "u:1-x", {"p0": {"txn_set": "u:1-2"}}, declared=["p0"]) == ("UNDECIDABLE", None)
+    assert verdicts(spark, "u:1-5", {"p0": {"txn_set": "u:one"}}, declared=["p0"]) == ("UNDECIDABLE", None)
+    diverged = {"p0": {"txn_set": "u:1-5,y:1"}}
+    assert verdicts(spark, "u:1-5,x:1", diverged, declared=["p0"]) == ("WAIT", "p0")
+
+
+def test_waived_peers(spark):
+    polls = [(r, a) for r, a in enumerate(["state", "unreachable", "unreachable", "not_ready", "unreachable"])]
+    rows = [{"round": r, "peer": "p0", "seed_rank": 0, "answer": a} for r, a in polls]
+    assert [r.round for r in M.waived_peers(answers(spark, rows), 1).collect()] == [2]
 
 
 def test_seeds(spark):

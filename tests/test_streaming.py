@@ -75,7 +75,7 @@ def test_incidents(spark, tables, tmp_path):
 
 
 def test_stable_verdict(spark, tables, tmp_path):
-    verdicts = M.bootstrap_verdict(tables.answers, tables.reports)
+    verdicts = M.bootstrap_verdict(tables.answers, tables.reports, tables.declared)
     got = run(spark, verdicts, "round", S.stable_verdict(2), ["cluster", "observer"], tmp_path)
     same(got, B.stable_verdict(verdicts, 2))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions.ordered import ROWS_PER_TASK
 from tidemark.operators import txnset
+from tidemark.operators.temporal import held
 
 VIEW = ["cluster", "round", "observer"]
 NODE = ["cluster", "round", "node"]
@@ -202,25 +203,39 @@ def identity_collision(answers: DataFrame, reports: DataFrame) -> DataFrame:
 # History comparison
 
 
-def set_owner(node: str | Column) -> Column:
-    """Owner id of a node's set in a round."""
-    return F.concat_ws("/", F.col("cluster").cast("string"), F.col("round").cast("string"), node)
+def _own_sets(reports: DataFrame) -> DataFrame:
+    return reports.select("cluster", "round", F.col("node").alias("observer"), F.col("txn_set").alias("own_set"))
 
 
-def report_intervals(reports: DataFrame) -> DataFrame:
-    return txnset.txn_parse(reports.select(set_owner("node").alias("owner"), "txn_set"))
+def _known_polls(answers: DataFrame, reports: DataFrame) -> DataFrame:
+    """Polls with ``known``: the observer's own set and the peer's answer are both there and well formed."""
+    own = _own_sets(reports)
+    bad_own = txnset.txn_rejects(own, "own_set").withColumn("_bad_own", F.lit(True))
+    bad_peer = txnset.txn_rejects(answers.select(*POLL, "txn_set")).withColumn("_bad_peer", F.lit(True))
+    polls = answers.join(own, VIEW, "left").join(bad_own, VIEW, "left").join(bad_peer, POLL, "left")
+    there = (F.col("answer") == "state") & F.col("txn_set").isNotNull() & F.col("own_set").isNotNull()
+    known = _true(there) & F.col("_bad_own").isNull() & F.col("_bad_peer").isNull()
+    return polls.withColumn("known", known).drop("own_set", "_bad_own", "_bad_peer")
+
+
+def _heard_sides(polls: DataFrame, reports: DataFrame) -> DataFrame:
+    """Intervals of the observer (a), parsed once per report, and of what it heard from the peer (b), per poll."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    own = txnset.txn_parse(_own_sets(reports), "own_set")
+    mine = polls.select(*POLL).join(own, VIEW).select(*POLL, "source", "lo", "hi", one.alias("in_a"), none.alias("in_b"))
+    heard = txnset.txn_parse(polls.select(*POLL, "txn_set"))
+    return mine.unionByName(heard.select(*POLL, "source", "lo", "hi", none.alias("in_a"), one.alias("in_b")))
 
 
 def pairwise_relation(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Each poll with how the peer's history stands to the observer's, or Unknown.
+    """Each poll with how the peer's history, as the observer heard it, stands to the observer's own, or Unknown.
 
-    An observer without a report counts as empty; a peer without a set is Unknown.
+    Unknown are polls without a set, and all polls of an observer whose own set is missing; so are malformed sets.
     """
-    known = (F.col("answer") == "state") & F.col("txn_set").isNotNull()
-    pairs = answers.where(known).select(*POLL, set_owner("observer").alias("a"), set_owner("peer").alias("b"))
-    extras = txnset.pair_extras(report_intervals(reports), pairs, POLL, rows_per_task)
-    relation = F.when(known, txnset.extras_relation()).otherwise("Unknown")
-    return answers.join(extras, POLL, "left").withColumn("relation", relation).drop("a_extra", "b_extra")
+    polls = _known_polls(answers, reports)
+    extras = txnset.side_extras(_heard_sides(polls.where("known"), reports), POLL, rows_per_task)
+    relation = F.when(F.col("known"), txnset.extras_relation()).otherwise("Unknown")
+    return polls.join(extras, POLL, "left").withColumn("relation", relation).drop("a_extra", "b_extra", "known")
 
 
 def diverged_peer_wins(my_gen: Column, my_rank: Column, peer_gen: Column, peer_rank: Column) -> Column:
@@ -290,14 +305,37 @@ def decide(standings: DataFrame) -> DataFrame:
     return seen.withColumn("verdict", verdict).select(*VIEW, "verdict", peer.alias("peer"))
 
 
-def bootstrap_verdict(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Verdict per reporting node and round. Divergence is settled before deciding; no polls means SAFE."""
+def waived_peers(answers: DataFrame, dwell: int, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Polls (cluster, round, observer, peer) that need not be answered: unreachable now, and for ``dwell`` without a break."""
+    gone = held(answers, ["cluster", "observer", "peer"], ["round"], F.col("answer") == "unreachable", dwell, rows_per_task)
+    return gone.where("fired").select(*POLL)
+
+
+def bootstrap_verdict(
+    answers: DataFrame,
+    reports: DataFrame,
+    declared: DataFrame,
+    waived: DataFrame | None = None,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Verdict per reporting node and round.
+
+    Every peer in ``declared`` (cluster, observer, peer, seed_rank) counts, unless ``waived`` has it for the round: one that was
+    not polled or did not answer is Unknown, so silence never makes a node SAFE. A node without declared peers is SAFE; one whose
+    own set is missing has no verdict (NULL). Divergence is settled before deciding.
+    """
+    everyone = _own_sets(reports)
+    expected = everyone.select(*VIEW).join(declared.select("cluster", "observer", "peer", "seed_rank"), ["cluster", "observer"])
+    if waived is not None:
+        expected = expected.join(waived.select(*POLL), POLL, "left_anti")
     settled = diverged_winner(standings(answers, reports, rows_per_task)).withColumn(
         "relation",
         F.when(F.col("peer_wins"), "Ahead").when(~F.col("peer_wins"), "Behind").otherwise(F.col("relation")),
     )
-    everyone = reports.select("cluster", "round", F.col("node").alias("observer"))
-    return everyone.join(decide(settled), VIEW, "left").fillna("SAFE", ["verdict"])
+    heard = expected.join(settled.drop("seed_rank"), POLL, "left").fillna("Unknown", ["relation"])
+    verdict = F.when(F.col("own_set").isNotNull(), F.coalesce("verdict", F.lit("SAFE")))
+    peer = F.when(F.col("own_set").isNotNull(), F.col("peer"))
+    return everyone.join(decide(heard), VIEW, "left").select(*VIEW, verdict.alias("verdict"), peer.alias("peer"))
 
 
 def copy_required(answers: DataFrame, reports: DataFrame) -> DataFrame:
@@ -324,11 +362,10 @@ def identity_action(answers: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def divergence_report(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """What nodes hold that the first active peer's set lacks, as intervals."""
+    """What nodes hold that the first active peer's answer lacks, as intervals."""
     live = answers.where(_true(F.col("group_active")) & F.col("txn_set").isNotNull())
-    first = live.groupBy(*VIEW).agg(F.min_by("peer", "seed_rank").alias("peer"))
-    pairs = first.select(*POLL, set_owner("observer").alias("a"), set_owner("peer").alias("b"))
-    return txnset.txn_subtract(report_intervals(reports), pairs, POLL, rows_per_task)
+    first = live.groupBy(*VIEW).agg(F.min_by(F.struct("peer", "txn_set"), "seed_rank").alias("f"))
+    return txnset.side_subtract(_heard_sides(first.select(*VIEW, "f.*"), reports), POLL, rows_per_task)
 
 
 def prelog_detection(volumes: DataFrame) -> DataFrame:

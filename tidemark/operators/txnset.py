@@ -16,35 +16,52 @@ from pyspark.sql import functions as F
 from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, total
 
 
-def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
-    """Set texts ``src:1-5:7,src2:tag:3`` to rows (other columns, source, lo, hi).
-
-    White space and line breaks are dropped. An empty or NULL text gives no rows. A tagged
-    source keeps its tag in ``source``.
-    """
+def _parsed(sets: DataFrame, text: str) -> DataFrame:
+    """Every span of every set text, with NULL bounds where they are no numbers."""
     keep = [c for c in sets.columns if c != text]
     packed = F.translate(F.col(text), " \t\r\n", "")
     entries = sets.select(*keep, F.explode(F.split(packed, ",")).alias("_entry")).where(F.col("_entry") != "")
     # A tag starts a new part of the entry: src:1-3:t1:1-5:t2:7.
     marked = F.split("_entry", ":(?=[A-Za-z_])")
     parts = entries.select(
-        *keep, F.substring_index("_entry", ":", 1).alias("_id"), F.posexplode(marked).alias("_at", "_part")
+        *keep,
+        F.substring_index("_entry", ":", 1).alias("_id"),
+        F.size(marked).alias("_parts"),
+        F.posexplode(marked).alias("_at", "_part"),
     )
     tagged = F.concat_ws(":", "_id", F.substring_index("_part", ":", 1))
     spans = F.split("_part", ":")
+    only_id = (F.col("_at") == 0) & (F.col("_parts") > 1)
+    # A part without a span is malformed, unless it is the source before a tag.
+    found = F.when((F.size(spans) > 1) | only_id, F.slice(spans, 2, F.size(spans))).otherwise(F.array(F.lit("")))
     named = parts.select(
         *keep,
         F.when(F.col("_at") == 0, F.col("_id")).otherwise(tagged).alias("source"),
-        F.explode(F.slice(spans, 2, F.size(spans))).alias("_span"),
+        F.explode(found).alias("_span"),
     )
     return named.select(
         *keep,
         "source",
-        F.substring_index("_span", "-", 1).cast("bigint").alias("lo"),
-        F.substring_index("_span", "-", -1).cast("bigint").alias("hi"),
+        F.substring_index("_span", "-", 1).try_cast("bigint").alias("lo"),
+        F.substring_index("_span", "-", -1).try_cast("bigint").alias("hi"),
     )
 
 
+def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
+    """Set texts ``src:1-5:7,src2:tag:3`` to rows (other columns, source, lo, hi).
+
+    White space and line breaks are dropped. An empty or NULL text gives no rows. A tagged
+    source keeps its tag in ``source``. Spans that are no numbers give no row here and a row in ``txn_rejects``.
+    """
+    return _parsed(sets, text).where(F.col("lo").isNotNull() & F.col("hi").isNotNull())
+
+
+def txn_rejects(sets: DataFrame, text: str = "txn_set") -> DataFrame:
+    """The other columns of sets with a span that is no number or two; such a set is not known."""
+    keep = [c for c in sets.columns if c != text]
+    return _parsed(sets, text).where(F.col("lo").isNull() | F.col("hi").isNull()).select(*keep).distinct()
+
+
 def _ends(intervals: DataFrame, keys: Sequence[str], depths: dict[str, Column], known_small: bool) -> DataFrame:
     """(keys, pos, one net change per depth): both ends of every interval, equal positions summed.
 
@@ -132,21 +149,25 @@ def txn_subtract(
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """For each pair(a, b) what a holds and b lacks, as merged intervals."""
+    return side_subtract(_sides(intervals, pairs, pair_key), pair_key, rows_per_task, _pairs_small(intervals, rows_per_task))
+
+
+def side_subtract(sides: DataFrame, pair_key: Sequence[str], rows_per_task: int = ROWS_PER_TASK, small: bool = False) -> DataFrame:
+    """What side a of each pair holds and b lacks; ``sides`` has the intervals of both, marked by ``in_a`` and ``in_b``."""
     depths = {"in_a": F.col("in_a"), "in_b": F.col("in_b")}
-    return _spans(
-        _sides(intervals, pairs, pair_key),
-        [*pair_key, "source"],
-        depths,
-        lambda depth: (depth("in_a") > 0) & (depth("in_b") == 0),
-        rows_per_task,
-        _pairs_small(intervals, rows_per_task),
-    )
+    wanted = lambda depth: (depth("in_a") > 0) & (depth("in_b") == 0)
+    return _spans(sides, [*pair_key, "source"], depths, wanted, rows_per_task, small)
 
 
 def pair_extras(
     intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str] = ("a", "b"), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Does each side hold anything the other lacks? Pairs of two empty sets have no row."""
+    return side_extras(_sides(intervals, pairs, pair_key), pair_key, rows_per_task, _pairs_small(intervals, rows_per_task))
+
+
+def side_extras(sides: DataFrame, pair_key: Sequence[str], rows_per_task: int = ROWS_PER_TASK, small: bool = False) -> DataFrame:
+    """``pair_extras`` of intervals of both sides, marked by ``in_a`` and ``in_b``."""
     keys = [*pair_key, "source"]
     depths = {"in_a": F.col("in_a"), "in_b": F.col("in_b")}
 
@@ -158,8 +179,7 @@ def pair_extras(
             ((F.col("_b") > 0) & (F.col("_a") == 0)).alias("b_extra"),
         )
 
-    small = _pairs_small(intervals, rows_per_task)
-    ends = _ends(_sides(intervals, pairs, pair_key), keys, depths, small)
+    ends = _ends(sides, keys, depths, small)
     spans = over_keys(ends, keys, ["pos"], walk, rows_per_task, small)
     return spans.groupBy(*pair_key).agg(F.bool_or("a_extra").alias("a_extra"), F.bool_or("b_extra").alias("b_extra"))
 

@@ -98,11 +98,13 @@ ORACLE = {
                    FROM reports GROUP BY ALL) f ON f.cluster = v.cluster AND f.round = v.round AND f.node = v.observer""",
     ),
     "next_generation": with_views(
-        ["answers"],
+        ["waived"],
         """
         SELECT r.cluster, r.round, r.node, greatest(any_value(r.generation), coalesce(max(a.generation), 0)) + 1 AS next_generation
-        FROM reports r JOIN answers a ON a.cluster = r.cluster AND a.round = r.round AND a.observer = r.node
-        GROUP BY r.cluster, r.round, r.node HAVING bool_or(a.answer = 'unreachable')""",
+        FROM reports r JOIN (SELECT DISTINCT cluster, round, observer FROM waived) w
+             ON w.cluster = r.cluster AND w.round = r.round AND w.observer = r.node
+        JOIN answers a ON a.cluster = r.cluster AND a.round = r.round AND a.observer = r.node
+        GROUP BY r.cluster, r.round, r.node""",
     ),
     "progress_signature": with_views(
         ["reports"],
@@ -159,10 +161,19 @@ ORACLE = {
         ["settled"], "SELECT cluster, round, observer, peer, peer_wins FROM settled WHERE relation = 'Diverged'"
     ),
     "bootstrap_verdict": with_views(
-        ["settled"],
-        """
-        WITH judged AS (
-            SELECT *, CASE WHEN peer_wins THEN 'Ahead' WHEN NOT peer_wins THEN 'Behind' ELSE relation END AS final FROM settled),
+        ["settled", "declared", "waived"],
+        """
+        WITH expected AS (
+            SELECT r.cluster, r.round, r.node AS observer, d.peer, d.seed_rank FROM reports r
+            JOIN declared d ON d.cluster = r.cluster AND d.observer = r.node
+            WHERE NOT EXISTS (SELECT 1 FROM waived w WHERE w.cluster = r.cluster AND w.round = r.round
+                              AND w.observer = r.node AND w.peer = d.peer)),
+        judged AS (
+            SELECT e.*, s.group_active, s.prelog, s.my_prelog, s.my_rank,
+                   CASE WHEN s.peer IS NULL THEN 'Unknown' WHEN s.peer_wins THEN 'Ahead' WHEN NOT s.peer_wins THEN 'Behind'
+                        ELSE s.relation END AS final
+            FROM expected e LEFT JOIN settled s
+              ON s.cluster = e.cluster AND s.round = e.round AND s.observer = e.observer AND s.peer = e.peer),
         seen AS (
             SELECT cluster, round, observer, bool_or(coalesce(group_active, false)) AS live, bool_or(final = 'Unknown') AS unknown,
                    arg_min(peer, seed_rank) FILTER (WHERE final = 'Ahead') AS ahead,
@@ -172,8 +183,8 @@ ORACLE = {
         verdicts AS (
             SELECT *, CASE WHEN live THEN 'JOIN' WHEN unknown THEN 'UNDECIDABLE' WHEN ahead IS NOT NULL THEN 'WAIT'
                            WHEN winner IS NOT NULL THEN 'DEFER' ELSE 'SAFE' END AS verdict FROM seen)
-        SELECT r.cluster, r.round, r.node AS observer, coalesce(verdict, 'SAFE') AS verdict,
-               CASE verdict WHEN 'WAIT' THEN ahead WHEN 'DEFER' THEN winner END AS peer
+        SELECT r.cluster, r.round, r.node AS observer, CASE WHEN r.txn_set IS NOT NULL THEN coalesce(verdict, 'SAFE') END AS verdict,
+               CASE WHEN r.txn_set IS NULL THEN NULL WHEN verdict = 'WAIT' THEN ahead WHEN verdict = 'DEFER' THEN winner END AS peer
         FROM reports r LEFT JOIN verdicts v ON v.cluster = r.cluster AND v.round = r.round AND v.observer = r.node""",
     ),
     "copy_required": with_views(

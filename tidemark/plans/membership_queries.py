@@ -89,7 +89,7 @@ def node_state_rollup(t: Tables) -> DataFrame:
 
 
 def next_generation(t: Tables) -> DataFrame:
-    waived = t.answers.where(F.col("answer") == "unreachable").select("cluster", "round", F.col("observer").alias("node"))
+    waived = M.waived_peers(t.answers, 1).select("cluster", "round", F.col("observer").alias("node"))
     return M.next_generation(t.answers, t.reports, waived)
 
 
@@ -139,7 +139,7 @@ def diverged_winner(t: Tables) -> DataFrame:
 
 
 def bootstrap_verdict(t: Tables) -> DataFrame:
-    return M.bootstrap_verdict(t.answers, t.reports)
+    return M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1))
 
 
 def copy_required(t: Tables) -> DataFrame:

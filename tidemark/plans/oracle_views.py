@@ -76,7 +76,7 @@ VIEWS = {
         SELECT p.cluster, p.round, p.observer, p.peer, p.seed_rank, p.answer,
                CASE WHEN answer = 'state' THEN r.group_active END AS group_active,
                CASE WHEN answer = 'state' THEN r.role END AS role,
-               CASE WHEN answer = 'state' THEN r.txn_set END AS txn_set,
+               CASE WHEN answer = 'state' THEN CASE WHEN p.early THEN regexp_replace(r.txn_set, ',\s*m\d:1', '') ELSE r.txn_set END END AS txn_set,
                CASE WHEN answer = 'state' THEN r.upto END AS upto,
                CASE WHEN answer = 'state' THEN r.errant END AS errant,
                CASE WHEN answer = 'state' THEN r.prelog END AS prelog,
@@ -86,6 +86,7 @@ VIEWS = {
         FROM (SELECT h.*, CASE WHEN h.heard <> 'state' THEN h.heard WHEN r.node IS NULL THEN 'unreachable'
                                WHEN NOT r.checked THEN 'not_ready' ELSE 'state' END AS answer
               FROM (SELECT cluster, round, observer, 'm' || seed_rank AS peer, seed_rank,
+                           e.event_id % 6 = 0 AS early,
                            CASE WHEN e.event_type = 'click' THEN 'unreachable'
                                 WHEN e.event_type = 'error' AND e.event_id % 2 = 0 THEN 'not_ready' ELSE 'state' END AS heard
                     FROM (SELECT user_id // 5 AS cluster, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round,
@@ -98,12 +99,19 @@ VIEWS = {
         SELECT a.cluster, a.round, a.observer, a.peer, a.seed_rank, a.group_active, a.prelog,
                coalesce(a.generation, 0) AS generation, r.seed_rank AS my_rank, r.prelog AS my_prelog,
                r.generation AS my_generation,
-               CASE WHEN a.txn_set IS NULL THEN 'Unknown'
+               CASE WHEN a.txn_set IS NULL OR r.txn_set IS NULL THEN 'Unknown'
                     WHEN a.upto <= mine AND NOT peer_errant THEN CASE WHEN mine <= a.upto AND NOT my_errant THEN 'Equal' ELSE 'Behind' END
                     WHEN mine <= a.upto AND NOT my_errant THEN 'Ahead' ELSE 'Diverged' END AS relation
         FROM (SELECT *, errant AND txn_set LIKE '%m%' AS peer_errant FROM answers) a
         JOIN (SELECT *, upto AS mine, coalesce(errant AND txn_set LIKE '%m%', false) AS my_errant FROM reports) r
           ON r.cluster = a.cluster AND r.round = a.round AND r.node = a.observer""",
+    "declared": "SELECT DISTINCT cluster, observer, peer, seed_rank FROM answers",
+    "waived": """
+        SELECT cluster, round, observer, peer FROM (
+            SELECT *, min(round) FILTER (WHERE answer = 'unreachable') OVER (PARTITION BY cluster, observer, peer, stretch) AS since
+            FROM (SELECT *, sum(CASE WHEN answer = 'unreachable' THEN 0 ELSE 1 END)
+                                OVER (PARTITION BY cluster, observer, peer ORDER BY round) AS stretch FROM answers))
+        WHERE answer = 'unreachable' AND round - since >= 1""",
     "settled": """
         SELECT *, CASE WHEN relation = 'Diverged' THEN
                        CASE WHEN generation <> my_generation THEN generation > my_generation ELSE seed_rank < my_rank END
@@ -176,6 +184,8 @@ NEEDS = {
     "reports": [],
     "answers": ["reports"],
     "relations": ["answers"],
+    "declared": ["answers"],
+    "waived": ["answers"],
     "settled": ["relations"],
     "writable": ["member_views"],
     "txn_rows": [],

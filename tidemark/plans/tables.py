@@ -253,7 +253,9 @@ class Tables:
             .when((F.col("e.event_type") == "error") & (F.col("e.event_id") % 2 == 0), "not_ready")
             .otherwise("state")
             .alias("heard"),
+            (F.col("e.event_id") % 6 == 0).alias("early"),
         )
+        # An early answer was given before the peer wrote transactions of its own.
         fields = ["group_active", "state", "role", "txn_set", "prelog", "generation", "uuid", "group_name"]
         said = self.reports.select("cluster", "round", F.col("node").alias("peer"), "checked", *fields)
         answer = (
@@ -265,12 +267,18 @@ class Tables:
         return (
             polls.join(said, ["cluster", "round", "peer"], "left")
             .withColumn("answer", answer)
+            .withColumn("txn_set", F.when(F.col("early"), F.regexp_replace("txn_set", r",\s*m\d:1", "")).otherwise(F.col("txn_set")))
             .select(
                 "cluster", "round", "observer", "peer", "seed_rank", "answer",
                 *[F.when(F.col("answer") == "state", F.col(c)).alias(c) for c in fields],
             )
         )
 
+    @cached_property
+    def declared(self) -> DataFrame:
+        """The peers a node is told to ask: all it ever asks."""
+        return self.answers.select("cluster", "observer", "peer", "seed_rank").distinct()
+
     @cached_property
     def node_configs(self) -> DataFrame:
         """One seed list per supplier, naming itself and two neighbours in changing case and spacing."""

@@ -22,7 +22,7 @@ def continuous_dwell(t: Tables) -> DataFrame:
 
 
 def stable_verdict(t: Tables) -> DataFrame:
-    return T.stable_verdict(written(M.bootstrap_verdict(t.answers, t.reports)), 2)
+    return T.stable_verdict(written(M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1))), 2)
 
 
 def stuck_member(t: Tables) -> DataFrame:
