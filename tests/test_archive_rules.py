@@ -291,3 +291,16 @@ def test_versioned_table(spark, tmp_path):
     table.write(spark.range(4), version=1)
     spark.range(9).write.parquet(str(tmp_path / "state" / "data" / "2"))  # never published
     assert (table.current_version(), table.read().count()) == (1, 4)
+
+
+def test_a_lineage_in_two_archives(spark):
+    """A copied bucket neither doubles a lineage's segments nor fills its holes."""
+    rows = [(a, "u", name(n), n, at("10:00:00")) for a, have in (("a", (1, 2, 3)), ("b", (1, 3))) for n in have]
+    segments = spark.createDataFrame(rows, "archive_id string, lineage string, name string, seq bigint, last_ts timestamp")
+    starts = spark.createDataFrame([(a, "u", 1, name(1)) for a in "ab"], "archive_id string, lineage string, start_seq bigint, start_file string")
+    got = {r.archive_id: (r.run_length, r.gap_after, r.gap_next) for r in A.replay_plan(segments, starts).collect()}
+    assert got == {"a": (3, None, None), "b": (1, name(1), name(3))}
+    requests = starts.select("archive_id", "lineage", "start_seq", F.lit(0).cast("bigint").alias("start_pos"), F.concat(F.lit("r"), "archive_id").alias("request_id"))
+    log = segments.select("archive_id", "lineage", "seq", F.lit(4).cast("bigint").alias("pos"))
+    counts = {r.request_id: r["count"] for r in A.start_coordinate_filter(log, requests).groupBy("request_id").count().collect()}
+    assert counts == {"ra": 3, "rb": 2}

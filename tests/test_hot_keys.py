@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.ordered import latest, over_keys, total
 from tidemark.operators import archive as A
 from tidemark.operators import membership as M
 from tidemark.operators import temporal as B
@@ -58,3 +59,21 @@ def test_one_node_holds_most_rows(spark, tables):
     hot = tables.polls.withColumn("node", F.when(F.col("node") % 3 > 0, 0).otherwise(F.col("node")))
     rows = lambda n: sorted(map(repr, B.stuck_member(hot, 3600, n).collect()))
     assert rows(40) == rows(10**9)
+
+
+def test_nulls_in_key_and_order(spark):
+    rows = [(k, t, i, i % 3 == 0) for k in ("a", None) for i, t in enumerate([None, None, 5, 5, 5, 6, 7, None])]
+    df = spark.createDataFrame(rows, "node string, at_us bigint, event_id bigint, up boolean").repartition(3)
+    walk = lambda o: o.carry(seen=total(F.lit(1)), last=latest(F.when(F.col("up"), F.col("event_id")))).df.drop("_chunk")
+    for backward in (False, True):
+        run = lambda n: sorted(map(repr, over_keys(df, NODE, ORDER, walk, n, backward=backward).collect()))
+        assert len(run(10**9)) == len(rows) and run(2) == run(10**9)
+
+
+def test_bursts_split(spark):
+    """One key, one clock value for nearly all rows: no chunk holds much more than the bound."""
+    df = spark.range(5000).select(F.lit("a").alias("node"), F.when(F.col("id") < 10, F.col("id")).otherwise(99).alias("at_us"), F.col("id").alias("event_id"))
+    chunks = []
+    over_keys(df, NODE, ORDER, lambda o: chunks.append(o) or o.df.drop("_chunk"), 100)
+    hot = [o.df for o in chunks if o.chunk][0].groupBy("_chunk").count().agg(F.max("count")).first()[0]
+    assert hot <= 300

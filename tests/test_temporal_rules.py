@@ -95,12 +95,12 @@ def test_envelope(spark):
     ]
     got = E.event_envelope(spark.createDataFrame(rows, schema)).collect()
     assert [r.message for r in got] == [
-        "n started as PRIMARY",
-        "n changed role from a to b",
-        "n: server died with exit code 137",
-        "n: server died with exit code unknown",
-        "no healthy primary backend among [x, y]",
-        "c failed during ctx: e",
+        "node n is up in the role PRIMARY",
+        "node n went from role a to role b",
+        "on n the process server ended, exit code 137",
+        "on n the process server ended, exit code unknown",
+        "none of these backends is a healthy primary: x, y.",
+        "c could not finish ctx (e)",
     ]
     assert json.loads(got[3].payload) == {"type": "ProcessDied", "node": "n", "process": "server", "exit_code": None}
     assert len({r.kind for r in got}) == 5

@@ -2,10 +2,11 @@
 
 Most rules in this library are of the form "walk one node's (or one lineage's) rows in
 order and remember something": the previous value, when a condition began, a running
-count. Spark's window does that well while a key fits into one task. Keys with more than
-``rows_per_task`` rows are cut along the order column into chunks of about that many rows.
-Each chunk is summed up by an ordinary aggregate (combined map-side), the summaries of a
-key are walked by a small window, and what they carry is joined back to the chunk's rows.
+count. Spark's window does that well while a key fits into one task. Rows of keys with more than
+``rows_per_task`` rows are range-partitioned by key and whole order, so that bursts and runs of equal clock values are
+split by their real number, and stored once with their partition as chunk. Each chunk is summed up by an ordinary
+aggregate (combined map-side), the summaries of a key are walked by a small window, and what they carry is joined back
+to the chunk's rows. Both plans give the same rows; NULLs come first in the order and are keys like any other.
 
 ``over_keys`` counts rows per key first (combined map-side) and asks for the keys above the
 bound. Usually there are none and the plan is the plain window. Up to ``BROADCAST_KEYS`` hot
@@ -16,10 +17,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import written
+
 ROWS_PER_TASK = 4_000_000
 BROADCAST_KEYS = 10_000
 _CHUNK = "_chunk"
@@ -90,9 +94,10 @@ class Ordered:
         earlier = Window.partitionBy(*self.keys).orderBy(*self._directed([F.col(self.chunk)]))
         earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
         handed = summary.select(
-            *groups, *[_fold(c.kind)(F.col(f"_in_{n}")).over(earlier).alias(f"_in_{n}") for n, c in carries.items()]
+            *[F.col(g).alias(f"_of_{g}") for g in groups],
+            *[_fold(c.kind)(F.col(f"_in_{n}")).over(earlier).alias(f"_in_{n}") for n, c in carries.items()],
         )
-        joined = self.df.join(handed, groups)
+        joined = self.df.join(handed, _same(groups)).drop(*[f"_of_{g}" for g in groups])
         own = {n: _merge(c.kind, F.col(f"_in_{n}"), self._window(c, groups)) for n, c in carries.items()}
         return self._with(joined.withColumns(own).drop(*[f"_in_{n}" for n in carries]))
 
@@ -122,6 +127,11 @@ def _merge(kind: str, handed: Column, own: Column) -> Column:
     return best[kind](handed, own)
 
 
+def _same(columns: Sequence[str]) -> Column:
+    """Rows agree with the columns' copies named ``_of_...``, NULLs with NULLs."""
+    return reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns])
+
+
 def none_above(df: DataFrame, keys: Sequence[str], rows: int) -> bool:
     """Does every key have at most ``rows`` rows? One aggregate over the key columns."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -140,32 +150,24 @@ def over_keys(
     """``build`` over each key's rows: one window stage, plus a chunked branch if keys are hot.
 
     Counts rows per key first, which runs ``df`` once for its key columns, unless the caller
-    has shown on something cheaper that no key is above the bound. ``order`` names ascending
-    columns; the first one must cast to a number or a timestamp. ``backward`` walks from the
+    has shown on something cheaper that no key is above the bound. ``backward`` walks from the
     last row to the first.
     """
     columns = [F.col(c) for c in order]
     if known_small:
         return build(Ordered(df, keys, columns, None, backward))
-    position = columns[0].cast("double")
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi"))
-        .where(F.col("_n") > rows_per_task)
-        .withColumn("_width", (F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / rows_per_task))
-        .withColumn("_width", F.when(F.col("_width") > 0, F.col("_width")).otherwise(1.0))
-        .select(*keys, "_lo", "_width")
-    )
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_task)
+    hot = counts.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_n")
     found = hot.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return build(Ordered(df, keys, columns, None, backward))
+    rows = sum(r["_n"] for r in found)
     if len(found) <= BROADCAST_KEYS:
         hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    cold = df.join(hot.select(*keys), list(keys), "left_anti")
-    chunked = (
-        df.join(hot, list(keys))
-        .withColumn(_CHUNK, F.floor((position - F.col("_lo")) / F.col("_width")))
-        .drop("_lo", "_width")
-    )
+    else:
+        rows = hot.agg(F.sum("_n")).first()[0]
+    cold = df.join(hot, _same(keys), "left_anti")
+    spread = df.join(hot, _same(keys), "left_semi").repartitionByRange(-(-rows // rows_per_task) + 1, *keys, *columns)
+    chunked = written(spread.withColumn(_CHUNK, F.spark_partition_id()))
     plain = build(Ordered(cold, keys, columns, None, backward))
     return plain.unionByName(build(Ordered(chunked, keys, columns, _CHUNK, backward)).select(*plain.columns))

@@ -51,9 +51,9 @@ def from_coordinate(seq: Column, pos: Column, start_seq: Column, start_pos: Colu
 
 
 def start_coordinate_filter(change_log: DataFrame, requests: DataFrame) -> DataFrame:
-    """Log rows each request replays: (request columns) x (its lineage's rows from the start on)."""
+    """Log rows each request replays: (request columns) x (its lineage's rows, in its archive, from the start on)."""
     reach = from_coordinate(F.col("seq"), F.col("pos"), F.col("start_seq"), F.col("start_pos"))
-    return change_log.join(requests, "lineage").where(reach)
+    return change_log.join(requests, lineage_keys(change_log, requests)).where(reach)
 
 
 def newest_full_asof(targets: DataFrame, fulls: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -140,20 +140,27 @@ def upload_reconcile(ledger: DataFrame, listing: DataFrame, checks: DataFrame) -
     )
 
 
+def lineage_keys(*tables: DataFrame) -> list[str]:
+    """What names a log: its lineage, within its archive where all tables name that."""
+    return [c for c in ("archive_id", "lineage") if all(c in t.columns for t in tables)]
+
+
 def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The gap-free run from each start(lineage, start_seq, start_file) and the gap that ends it.
+    """The gap-free run from each start(archive_id, lineage, start_seq, start_file) and the gap that ends it.
 
+    Where both tables name the archive, runs stay within it: a copy of a lineage in another archive fills no hole.
     One backward walk over a lineage's segments and starts together: a start meets the end of
     its run and whatever lies past it, so nothing grows with starts x segments. Two segments
     of the same number are a gap, also under one name. A start that is not archived has an empty run, and a gap
     when anything of a higher number exists.
     """
+    keys = lineage_keys(segments, starts)
     no_name, no_time = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
-    copies = numbered_segments(segments).groupBy("lineage", "seq", "name").agg(
+    copies = numbered_segments(segments).groupBy(*keys, "seq", "name").agg(
         F.count(F.lit(1)).alias("copies"), F.max("last_ts").alias("last_ts")
     )
     archived = copies.select(
-        "lineage", "seq", F.lit(0).alias("above"), "name", F.lit(1).alias("side"), "last_ts", no_name.alias("start_file"), "copies"
+        *keys, "seq", F.lit(0).alias("above"), "name", F.lit(1).alias("side"), "last_ts", no_name.alias("start_file"), "copies"
     )
     # Each start looks twice: at its own place, and just above every segment of its number.
     looks = F.array(
@@ -161,8 +168,8 @@ def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROW
         F.struct(F.lit(1).alias("above"), F.lit("").alias("name")),
     )
     looking = (
-        starts.select("lineage", "start_seq", "start_file").distinct().withColumn("look", F.explode(looks))
-        .select("lineage", F.col("start_seq").alias("seq"), "look.above", "look.name", F.lit(0).alias("side"), no_time.alias("last_ts"), "start_file", F.lit(0).cast("bigint").alias("copies"))
+        starts.select(*keys, "start_seq", "start_file").distinct().withColumn("look", F.explode(looks))
+        .select(*keys, F.col("start_seq").alias("seq"), "look.above", "look.name", F.lit(0).alias("side"), no_time.alias("last_ts"), "start_file", F.lit(0).cast("bigint").alias("copies"))
     )
     is_segment = F.col("side") == 1
 
@@ -176,7 +183,7 @@ def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROW
         own, met = F.col("above") == 0, F.col("newer")
         here = own & F.coalesce((met["seq"] == F.col("seq")) & (met["name"] == F.col("start_file")), F.lit(False))
         return rows.where(~is_segment).df.select(
-            "lineage",
+            *keys,
             F.col("seq").alias("start_seq"),
             "start_file",
             F.when(here, F.col("end")).alias("end"),
@@ -184,9 +191,9 @@ def replay_plan(segments: DataFrame, starts: DataFrame, rows_per_task: int = ROW
         )
 
     found = over_keys(
-        archived.unionByName(looking), ["lineage"], ["seq", "above", "name", "side"], walk, rows_per_task, backward=True
+        archived.unionByName(looking), keys, ["seq", "above", "name", "side"], walk, rows_per_task, backward=True
     )
-    start_key = ["lineage", "start_seq", "start_file"]
+    start_key = [*keys, "start_seq", "start_file"]
     merged = found.groupBy(*start_key).agg(F.max("end").alias("end"), F.max("higher").alias("higher"))
     here = F.col("end").isNotNull()
     return merged.select(
@@ -234,7 +241,8 @@ def stop_cut(change_log: DataFrame, requests: DataFrame) -> DataFrame:
     are few enough to broadcast.
     """
     at = F.struct("seq", "pos")
-    reached = start_coordinate_filter(change_log.select("lineage", "seq", "pos", "ts"), requests)
+    keys = lineage_keys(change_log, requests)
+    reached = start_coordinate_filter(change_log.select(*keys, "seq", "pos", "ts"), requests)
     stops = (
         reached.where(F.col("ts") >= F.date_trunc("second", "target"))
         .groupBy("request_id")

@@ -34,13 +34,13 @@ def event_message() -> Column:
     exit_code = F.coalesce(F.col("exit_code").cast("string"), F.lit("unknown"))
     return _by_type(
         {
-            "NodeStarted": F.format_string("%s started as %s", "node", "role"),
-            "RoleChanged": F.format_string("%s changed role from %s to %s", "node", "old_role", "new_role"),
-            "ProcessDied": F.format_string("%s: %s died with exit code %s", F.col("node"), F.col("process"), exit_code),
+            "NodeStarted": F.format_string("node %s is up in the role %s", "node", "role"),
+            "RoleChanged": F.format_string("node %s went from role %s to role %s", "node", "old_role", "new_role"),
+            "ProcessDied": F.format_string("on %s the process %s ended, exit code %s", F.col("node"), F.col("process"), exit_code),
             "NoPrimary": F.concat(
-                F.lit("no healthy primary backend among ["), F.concat_ws(", ", "backends"), F.lit("]")
+                F.lit("none of these backends is a healthy primary: "), F.concat_ws(", ", "backends"), F.lit(".")
             ),
-            "ComponentError": F.format_string("%s failed during %s: %s", "component", "context", "error"),
+            "ComponentError": F.format_string("%s could not finish %s (%s)", "component", "context", "error"),
         }
     )
 

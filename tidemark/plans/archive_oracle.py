@@ -175,7 +175,8 @@ ORACLE = {
         f"""
         SELECT a.lineage, max(f.taken_at) AS last_full, max(f.taken_at) + INTERVAL 1 DAY AS due_at,
                coalesce(max(f.taken_at) + INTERVAL 1 DAY <= {_NOW}, true) AS due
-        FROM active a LEFT JOIN fulls f ON f.lineage = a.lineage AND f.archive_id <> 'a3' GROUP BY a.lineage""",
+        FROM (SELECT lineage FROM active UNION ALL SELECT 'spare-' || lineage FROM active) a
+        LEFT JOIN fulls f ON f.lineage = a.lineage GROUP BY a.lineage""",
     ),
     "cadence_overdue": with_views(
         ["archived", "fulls"],
@@ -227,8 +228,7 @@ ORACLE = {
         ["fulls", "targets", "archived", "change_log_late", "snapshot"],
         f"""WITH {_READY},
         newest AS (
-            SELECT * FROM readiness WHERE verdict = 'OK'
-            QUALIFY row_number() OVER (PARTITION BY archive_id ORDER BY target DESC) = 1),
+            SELECT * FROM readiness WHERE verdict = 'OK'),
         replay AS (
             SELECT c.request_id, c.target, g.seq, g.pos, g.ts, g.key, g.op, g.image,
                    bool_or(g.ts >= date_trunc('second', c.target)) OVER (PARTITION BY c.request_id ORDER BY g.seq, g.pos) AS stopped

@@ -84,7 +84,7 @@ def _chosen(t: Tables) -> DataFrame:
 
 
 def start_coordinate_filter(t: Tables) -> DataFrame:
-    rows = A.start_coordinate_filter(t.change_log.drop("archive_id"), _chosen(t))
+    rows = A.start_coordinate_filter(t.change_log, _chosen(t))
     return rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.col("seq") * 250 + F.col("pos")).alias("first_at")
     )
@@ -107,7 +107,9 @@ def lost_segments(t: Tables) -> DataFrame:
 
 
 def upload_reconcile(t: Tables) -> DataFrame:
-    listing = t.archived.where(F.hour("first_ts") != 3).select("lineage", "name")
+    """Uploads of hour 3 were cut off and lie under a temporary name."""
+    named = F.when(F.hour("first_ts") == 3, F.concat("name", F.lit(".part"))).otherwise(F.col("name"))
+    listing = t.archived.select("lineage", named.alias("name"))
     checks = t.active.select("lineage", (F.col("lineage") != "n5").alias("checked"))
     return A.upload_reconcile(t.ledger, listing, checks)
 
@@ -117,7 +119,7 @@ def segment_order(t: Tables) -> DataFrame:
 
 
 def replay_plan(t: Tables) -> DataFrame:
-    return A.replay_plan(t.archived, t.fulls)
+    return A.replay_plan(t.archived, t.fulls).drop("archive_id")
 
 
 def purge_cut(t: Tables) -> DataFrame:
@@ -129,7 +131,7 @@ def ledger_after_purge(t: Tables) -> DataFrame:
 
 
 def stop_cut(t: Tables) -> DataFrame:
-    rows = A.stop_cut(t.change_log_late.drop("archive_id"), _chosen(t))
+    rows = A.stop_cut(t.change_log_late, _chosen(t))
     return rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.col("seq") * 250 + F.col("pos")).alias("last_at")
     )
@@ -140,8 +142,9 @@ def segment_coverage(t: Tables) -> DataFrame:
 
 
 def needs_full_backup(t: Tables) -> DataFrame:
-    older = t.fulls.where(F.col("archive_id") != "a3")
-    return A.needs_full_backup(t.active, older, newest_moment(t))
+    """Active lineages, and for each a spare one that has no backup yet."""
+    spare = t.active.withColumn("lineage", F.concat(F.lit("spare-"), "lineage"))
+    return A.needs_full_backup(t.active.unionByName(spare), t.fulls, newest_moment(t))
 
 
 def cadence_overdue(t: Tables) -> DataFrame:
@@ -186,11 +189,10 @@ def restore_readiness(t: Tables) -> DataFrame:
 
 
 def point_in_time_table(t: Tables) -> DataFrame:
-    """Every archive's table at its newest restorable instant."""
+    """The table at the instant of every approved request."""
     approved = _readiness(t).where(F.col("verdict") == "OK")
-    fields = ["request_id", "lineage", "dump_key", "start_seq", "start_pos", "target", "verdict"]
-    newest = approved.groupBy("archive_id").agg(F.max_by(F.struct(*fields), "target").alias("r")).select("r.*")
-    return recovery.point_in_time_table(t.snapshot, t.change_log_late, written(newest))
+    fields = ["request_id", "archive_id", "lineage", "dump_key", "start_seq", "start_pos", "target", "verdict"]
+    return recovery.point_in_time_table(t.snapshot, t.change_log_late, written(approved.select(*fields)))
 
 
 def point_in_time_orders(t: Tables) -> DataFrame:

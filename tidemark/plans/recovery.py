@@ -37,7 +37,7 @@ def restore_readiness(
     lag = X.whole_seconds_between(F.col("achieved"), F.col("target"))
     bound = A.lag_bound_seconds(F.lit(rotate_s))
     return (
-        chosen.join(plans, ["lineage", "start_seq", "start_file"], "left")
+        chosen.join(plans, [*A.lineage_keys(chosen, plans), "start_seq", "start_file"], "left")
         .withColumn("achieved", F.when(~gap & F.col("lineage").isNotNull(), reach))
         .withColumn("lag_s", lag)
         .withColumn(
@@ -59,11 +59,11 @@ def point_in_time_table(
 ) -> DataFrame:
     """The keyed table at each approved request's target; requests not ``OK`` give no rows.
 
-    ``snapshot(lineage, [dump_key], key, image)`` is what the full backups hold.
+    ``snapshot([archive_id], lineage, [dump_key], key, image)`` is what the full backups hold.
     """
-    dump = [c for c in ("lineage", "dump_key") if c in snapshot.columns]
+    dump = [c for c in ("archive_id", "lineage", "dump_key") if c in snapshot.columns and c in readiness.columns]
     approved = readiness.where(F.col("verdict") == "OK").select(
-        "request_id", "lineage", "dump_key", "start_seq", "start_pos", "target"
+        "request_id", *A.lineage_keys(readiness), "dump_key", "start_seq", "start_pos", "target"
     )
     replayed = A.stop_cut(change_log, approved)
     base = snapshot.join(approved.select("request_id", *dump), dump)

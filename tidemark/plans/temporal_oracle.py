@@ -117,12 +117,12 @@ ORACLE = {
         """
         SELECT event_id, kind,
                CASE event_type
-                   WHEN 'signup' THEN node || ' started as ' || role
-                   WHEN 'click' THEN node || ' changed role from ' || role || ' to ' || new_role
-                   WHEN 'error' THEN node || ': server died with exit code '
+                   WHEN 'signup' THEN 'node ' || node || ' is up in the role ' || role
+                   WHEN 'click' THEN 'node ' || node || ' went from role ' || role || ' to role ' || new_role
+                   WHEN 'error' THEN 'on ' || node || ' the process server ended, exit code '
                        || CASE WHEN value >= 10 THEN CAST(CAST(floor(value) AS INTEGER) AS VARCHAR) ELSE 'unknown' END
-                   WHEN 'purchase' THEN 'no healthy primary backend among [' || CASE WHEN value > 90 THEN 'edge, ' ELSE '' END || node || ']'
-                   ELSE 'archiver failed during step ' || (event_id % 4) || ': ' || props END AS message,
+                   WHEN 'purchase' THEN 'none of these backends is a healthy primary: ' || CASE WHEN value > 90 THEN 'edge, ' ELSE '' END || node || '.'
+                   ELSE 'archiver could not finish step ' || (event_id % 4) || ' (' || props || ')' END AS message,
                CASE event_type
                    WHEN 'signup' THEN '{"type":"NodeStarted","node":"' || node || '","role":"' || role || '"}'
                    WHEN 'click' THEN '{"type":"RoleChanged","node":"' || node || '","old_role":"' || role || '","new_role":"' || new_role || '"}'
@@ -139,8 +139,9 @@ ORACLE = {
     "run_marker_status": """
         SELECT volume, marker, marker IN ('in_progress', 'unparseable') AS crashed FROM (
             SELECT o_orderkey AS volume,
-                   CASE WHEN o_orderpriority = '1-URGENT' THEN 'absent' WHEN o_totalprice < 120000 THEN 'unparseable'
-                        WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE 'completed' END AS marker FROM orders)""",
+                   CASE WHEN o_totalprice < 120000 THEN 'unparseable'
+                        WHEN o_orderstatus = 'O' THEN 'in_progress' ELSE 'completed' END AS marker FROM orders
+            UNION ALL SELECT -o_orderkey - 1, 'absent' FROM orders)""",
     "edge_stats_scan": """
         SELECT (user_id // 5) || '@' || strftime(ts, '%Y%m%d%H') AS poll,
                CASE WHEN event_type = 'click' THEN 'reads' ELSE 'primary_backend' END AS proxy,
