@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import small_batches
+from tidemark.llm.batches import returning, small_batches
 from tidemark.llm.components import components
 from tidemark.llm.copies import first_copies
 from tidemark.llm.marks import BLOBS, bitmap, marked, members, often, packing
@@ -107,7 +107,7 @@ def _sets(words: int, percent: int, marks, slots, keep):
                     ["doc", "row_key", "n", "cid", "gid", "weight", "tokens"],
                 )
 
-    return run
+    return returning(run)
 
 
 # -- verification ---------------------------------------------------------------------------------------------------
@@ -130,7 +130,7 @@ def _linked(words: int, percent: int):
                 ok = np.flatnonzero(100 * common >= percent * (n + m - common))
                 yield b.select(["a", "b"]).slice(lo, hi - lo).take(pa.array(ok))
 
-    return run
+    return returning(run)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

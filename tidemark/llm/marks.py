@@ -16,6 +16,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from tidemark.llm.batches import returning
+
 BUCKETS = 4096
 MARKS = 27
 SLOTS = 1 << 20
@@ -51,7 +53,7 @@ def packing(hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]]):
         if n:
             yield packed(np.concatenate(held))
 
-    return run
+    return returning(run)
 
 
 def _spots(place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +104,7 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def bitmap(blobs: DataFrame):
     """A broadcast of the marks of all hashes in ``blobs``, their counters (``slots``), and their number."""
-    marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_twice, f"{BLOBS}, slots binary, n long")
+    marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(returning(_twice), f"{BLOBS}, slots binary, n long")
     bits, slots = bytearray(1 << (MARKS - 3)), bytearray(4 * SLOTS)
     share, part, n = len(bits) // BUCKETS, len(slots) // BUCKETS, 0
     for row in marked.collect():  # at most BUCKETS rows of a fixed size, 20 MB

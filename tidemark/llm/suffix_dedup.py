@@ -40,16 +40,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.batches import small_batches
+from tidemark.llm.batches import returning, small_batches
 from tidemark.llm.copies import first_copies
 from tidemark.llm.marks import BLOBS, bitmap, marked, packing
 from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 
 ANCHOR = 20
-PIECE = 1 << 17
-BATCH_BYTES = 1 << 23  # bytes of contexts collapsed together
+PIECE = 1 << 16
+BATCH_BYTES = 1 << 22  # bytes of contexts collapsed together
 BUCKET_ANCHORS = 1 << 19  # anchors, marked or not, that a bucket of contexts has on average
-SORTED = 1 << 17  # strings sorted together
+SORTED = 1 << 16  # strings sorted together
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
 
@@ -248,7 +248,7 @@ def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b, key_
             blobs = [_pack(new[left[x:y]], gathered(data, at[left[x:y]], sizes[left[x:y]]).tobytes()) for x, y in few]
             yield _sent(len(few), pa.array(bucket[left[[x for x, _ in few]]], pa.int64()), pa.array(blobs, pa.binary()), None)
 
-    return run
+    return returning(run)
 
 
 def _sent(n: int, bucket: pa.Array, blob, settled) -> pa.RecordBatch:
@@ -409,7 +409,7 @@ def lost_strings(data: np.ndarray, size: np.ndarray, kmer: np.ndarray, anchor_at
     return of[hit], offset[hit]
 
 
-MOST_SPANS = 1 << 20  # spans a task merges at a time
+MOST_SPANS = 1 << 17  # spans a task merges at a time
 
 
 def _settled(length: int, anchor: int):
@@ -441,7 +441,7 @@ def _settled(length: int, anchor: int):
         if out is not None:
             yield out
 
-    return run
+    return returning(run)
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------
@@ -556,7 +556,7 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
         return pa.RecordBatch.from_arrays([b.column("__row").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(zip(*out), types))], ["__row", *ADDED])
 
     dealt = both.repartition("__id", "__key").sortWithinPartitions("__id", "__key", "__kind")
-    done = dealt.mapInArrow(run, T.StructType([keyed.schema["__row"], *added]))
+    done = dealt.mapInArrow(returning(run), T.StructType([keyed.schema["__row"], *added]))
     kept_names = [c for c in docs.columns if c.lower() not in ADDED]
     return done.select(*[F.col(f"__row.`{c}`") for c in kept_names], *ADDED)
 
