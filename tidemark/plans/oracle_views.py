@@ -76,7 +76,7 @@ VIEWS = {
         SELECT p.cluster, p.round, p.observer, p.peer, p.seed_rank, p.answer,
                CASE WHEN answer = 'state' THEN r.group_active END AS group_active,
                CASE WHEN answer = 'state' THEN r.role END AS role,
-               CASE WHEN answer = 'state' THEN CASE WHEN p.early THEN regexp_replace(r.txn_set, ',\s*m\d:1', '') ELSE r.txn_set END END AS txn_set,
+               CASE WHEN answer = 'state' THEN CASE WHEN p.early THEN regexp_replace(r.txn_set, ',\\s*m\\d:1', '') ELSE r.txn_set END END AS txn_set,
                CASE WHEN answer = 'state' THEN r.upto END AS upto,
                CASE WHEN answer = 'state' THEN r.errant END AS errant,
                CASE WHEN answer = 'state' THEN r.prelog END AS prelog,
