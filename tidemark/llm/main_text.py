@@ -29,7 +29,6 @@ from html.parser import HTMLParser
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
