@@ -1,5 +1,7 @@
 """Every stream gives the rows of its batch twin, also across a restart in the middle."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,7 +126,29 @@ def test_cadence(spark, tables, tmp_path):
     log = tables.change_log.select("lineage", "ts").withColumn("at", F.unix_micros("ts"))
     list(split_files(log, "at", f"{tmp_path}/in", 6))
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    silent = cadence_overdue(stream.where("lineage <> 'n0' OR ts < '2024-01-10'"), 4 * 86400)
+    silent = cadence_overdue(stream.where("lineage <> 'n0' OR ts < '2024-01-10'"), 4 * 86400, delay="0 seconds")
     query = silent.writeStream.format("memory").queryName("silent").outputMode("append")
     query.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start().awaitTermination()
     assert {r.lineage for r in spark.table("silent").collect()} == {"n0"}
+
+
+def test_cadence_when_all_are_silent(spark, tables, tmp_path):
+    """On the machines' clock the past is long over: every lineage is overdue, and one that never sent anything."""
+    S.configure(spark)
+    log = tables.change_log.select("lineage", "ts")
+    log.coalesce(1).write.parquet(f"{tmp_path}/in")
+    log.limit(1).select(F.lit("never").alias("lineage"), "ts").write.parquet(f"{tmp_path}/told")
+    read = lambda at: spark.readStream.schema(log.schema).parquet(f"{tmp_path}/{at}")
+    silent = cadence_overdue(read("in"), 86400, declared=read("told")).writeStream.format("memory").queryName("all_silent").outputMode("append")
+    query = silent.option("checkpointLocation", f"{tmp_path}/mark").trigger(processingTime="1 second").start()
+    wanted = {r.lineage for r in log.select("lineage").distinct().collect()} | {"never"}
+    found = set()
+    try:  # such a stream goes on for ever, since time does
+        for _ in range(90):
+            time.sleep(1)
+            found = {r.lineage for r in spark.table("all_silent").collect()}
+            if found == wanted:
+                break
+    finally:
+        query.stop()
+    assert found == wanted

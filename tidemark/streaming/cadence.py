@@ -35,15 +35,21 @@ class _Overdue(StatefulProcessor):
         pass
 
 
-def cadence_overdue(arrivals: DataFrame, interval_s: int, delay: str = "0 seconds") -> DataFrame:
+def cadence_overdue(arrivals: DataFrame, interval_s: int, declared: DataFrame | None = None, delay: str | None = None) -> DataFrame:
     """arrivals(lineage, ts) to (lineage, newest_ms) each time a lineage falls silent for ``interval_s``.
 
-    The clock is the stream's watermark on ``ts``, ``delay`` behind the newest arrival of any lineage.
+    Deadlines run on the machines' clock, so that lineages are reported also when all of them fall silent at once. A stream
+    ``declared``, of the same columns, starts the deadlines of lineages that may never send anything. With ``delay`` the clock is
+    the stream's watermark on ``ts`` instead, that far behind the newest arrival of any lineage: for replays of the past.
     """
-    stream = arrivals.withWatermark("ts", delay)
+    stream = arrivals.select("lineage", "ts")
+    if declared is not None:
+        stream = stream.unionByName(declared.select("lineage", "ts"))
+    if delay is not None:
+        stream = stream.withWatermark("ts", delay)
     return stream.groupBy("lineage").transformWithState(
         statefulProcessor=_Overdue(interval_s),
         outputStructType="lineage STRING, newest_ms BIGINT",
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime" if delay is None else "EventTime",
     )
