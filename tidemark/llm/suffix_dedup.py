@@ -48,7 +48,7 @@ from tidemark.llm.rolling import Prefixes, U, mixed, same_bytes
 ANCHOR = 20
 PIECE = 1 << 16
 BATCH_BYTES = 1 << 22  # bytes of contexts collapsed together
-BUCKET_ANCHORS = 1 << 19  # anchors, marked or not, that a bucket of contexts has on average
+BUCKET_ANCHORS = 1 << 19  # anchors, marked or not, that a bucket of contexts of 50-byte strings has on average
 SORTED = 1 << 16  # strings sorted together
 LAST = np.iinfo(np.int64).max
 ADDED = ("kept", "n_bytes", "n_removed", "n_spans")
@@ -374,26 +374,35 @@ def settled_bucket(blobs: list[bytes], length: int, anchor: int) -> tuple[np.nda
         enough = int(np.searchsorted(strings, strings[lo] + SORTED))
         hi = int(ends[np.searchsorted(ends, min(max(enough, lo + 1), len(heads)))])
         few = heads[lo:hi]
-        part = gathered(data, at[few], size[few])
-        which, offset = lost_strings(part, size[few], kmer[few], new["anchor"][few].astype(np.int64), doc[few], length)
-        # What a context loses, every context equal to it in the same document loses.
-        a, b = np.searchsorted(head[twins], few[which]), np.searchsorted(head[twins], few[which], side="right")
-        n = b - a
-        pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        lost.append((twins[pick], np.repeat(offset, n), np.full(n.sum(), length)))
+        p = Prefixes(gathered(data, at[few], size[few]))
+        # Strings with their anchor at different places are never equal, so an anchor of very many contexts is sorted place by place.
+        places = length - anchor + 1
+        step = places if strings[hi] - strings[lo] <= 2 * SORTED else max(1, SORTED // len(few))
+        for place in range(0, places, step):
+            which, offset = lost_strings(p, size[few], kmer[few], new["anchor"][few].astype(np.int64), doc[few], length, place, place + step)
+            # What a context loses, every context equal to it in the same document loses.
+            a, b = np.searchsorted(head[twins], few[which]), np.searchsorted(head[twins], few[which], side="right")
+            n = b - a
+            pick = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+            lost.append((twins[pick], np.repeat(offset, n), np.full(n.sum(), length)))
         lo = hi
     row, offset, width = (np.concatenate(c) for c in zip(*lost))
     start = new["start"][row] + offset
     return doc[row], new["key"][row], start, start + width
 
 
-def lost_strings(data: np.ndarray, size: np.ndarray, kmer: np.ndarray, anchor_at: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context, offset) of the strings that a smaller document has too, among contexts lying in ``data`` sorted by anchor."""
-    p = Prefixes(data)
+def lost_strings(
+    p: Prefixes, size: np.ndarray, kmer: np.ndarray, anchor_at: np.ndarray, doc: np.ndarray, length: int, low: int, high: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(context, offset) of the strings that a smaller document has too, among contexts lying in ``p.data`` sorted by anchor.
+
+    Only strings whose anchor lies from ``low`` to below ``high`` in them.
+    """
     at = np.cumsum(size) - size
-    strings = size - length + 1
+    begin = np.maximum(anchor_at - high + 1, 0)
+    strings = np.maximum(np.minimum(anchor_at - low, size - length) - begin + 1, 0)
     of = np.repeat(np.arange(len(size)), strings)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings, strings)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(strings) - strings - begin, strings)
     group = np.cumsum(np.concatenate([[0], kmer[1:] != kmer[:-1]]))
     # Equal strings have their anchor at the same place, so they are sorted by (anchor, its place in the string).
     segment = group[of] * length + (anchor_at[of] - offset)
@@ -515,7 +524,7 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
     texts, keep, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
     copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it(key_of), SPANS)
     marks, _, n = bitmap(texts.select("text", "text_hash").mapInArrow(_named_anchors(length, anchor, keep), BLOBS))
-    bits = min(40, max(6, (n // BUCKET_ANCHORS).bit_length()))
+    bits = min(40, max(6, (n * length // 50 // BUCKET_ANCHORS).bit_length()))
     sent = texts.drop("n").mapInArrow(_contexts(length, anchor, marks, bits, keep, key_of), SENT)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), SPANS).unionByName(copies)
 
