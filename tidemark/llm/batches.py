@@ -31,9 +31,14 @@ def returning(task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
+
+
+def give_back() -> None:
+    """Freed memory goes back to the machine now."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.batches import small_batches
+from tidemark.llm.batches import give_back, small_batches
 
 PER_LANG, LANDMARKS = 512, 64
 SIZES = {2: 1024, 3: 4096, 4: 4096}
@@ -209,6 +209,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
         s = model.scores(text)
+        give_back()
         best = s.argmax(axis=1)
         score = np.clip((1 + s[np.arange(len(s)), best]) / 2, 0, 1).astype(np.float64)
         return pd.DataFrame({"lang_pred": np.array(model.langs, object)[best], "score": score})
