@@ -34,6 +34,19 @@ def test_pages(page, text):
     assert content(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p>Teaser</p></article><div><h2>Title</h2><p>{LONG}</p><p>short.</p><p>{LONG}</p></div>", f"Teaser\nTitle\n{LONG.strip()}\nshort.\n{LONG.strip()}"),
+        (f"<div>{LONG}</div><article>A card.</article><ul>{'<li>x</li>' * 9}</ul>", f"{LONG.strip()}\nA card."),
+        (f"<p>Site</p><main><p>{LONG}</p><p>Of.</p></main><p>tail</p>", f"{LONG.strip()}\nOf."),
+        (f"<h1>Site</h1><main><p>{LONG}</p></main>", LONG.strip()),
+    ],
+)
+def test_ratio_chooses_outside_the_mark(page, text):
+    assert content(page) == text
+
+
 def test_very_long_block_is_whole():
     body = "long text & " * (PIECE // 4)
     assert content(f"<article><p>{body}</p></article>") == body.strip()

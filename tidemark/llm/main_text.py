@@ -9,9 +9,10 @@ through three steps:
    set aside. ``header`` inside an article is the article's own.
 2. Every other line has a ratio: unlinked characters per tag, capped at the page's typical ratio M, at which half of its text
    lies, so that one long paragraph does not outshine the rest. Ratios are smoothed by a Gaussian over neighbouring lines,
-   and lines whose own or smoothed ratio reaches the threshold M/2 are content, the others rest. A line that is mostly links is rest; a heading
-   goes with the line after it. If the page marks an ``article`` or ``main`` element, that mark is evidence the ratio yields
-   to: lines inside count as M, lines outside as 0, and smoothing does not cross the element's border.
+   and lines whose own or smoothed ratio reaches the threshold M/2 are content, the others rest. If the page marks an ``article``
+   or ``main`` element, lines inside have a bonus of M/2 after smoothing, so that its short lines stay; lines outside are
+   still chosen by their ratio, in runs of ``RUN`` unlinked characters or half of the marked text at least. A heading goes with the line after it, on the same side of the mark.
+   A line that is mostly links is rest.
 3. Content lines, in page order, joined by one line break.
 
 Character references are decoded once, white space inside a block is one space, blocks are trimmed and empty ones left out.
@@ -65,6 +66,7 @@ ENDS = {
 }
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 SIGMA, MOST_LINKED = 1.0, 0.5
+RUN = 100  # unlinked characters of a run of lines outside a page's mark, where half of the marked text is not less
 PIECE = 1 << 20
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
@@ -90,7 +92,6 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.parts: list[str] = []
         self.tags, self.linked, self.links = 0, 0, 0
-        self.marked = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -123,7 +124,7 @@ class Lines(HTMLParser):
             own = tag == "header" and inside
             dropped = (tag in DROPPED and not own) or (tag not in ("body", "html", "article", "main") and self.boilerplate(named, own))
         if tag in ("article", "main") and not dropped:
-            inside = self.marked = True
+            inside = True
         self.open.append((tag, dropped, inside))
         self.links += tag == "a"
 
@@ -164,7 +165,7 @@ class Lines(HTMLParser):
             self.linked += len(data.strip())
 
 
-def lines_of(html: str) -> tuple[list[Line], bool]:
+def lines_of(html: str) -> list[Line]:
     parser = Lines()
     for at in range(0, len(html), PIECE):
         parser.feed(html[at : at + PIECE])
@@ -172,7 +173,7 @@ def lines_of(html: str) -> tuple[list[Line], bool]:
         parser.rawdata = ""
     parser.close()
     parser.end_line()
-    return parser.lines, parser.marked
+    return parser.lines
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -188,28 +189,33 @@ def typical(ratio: np.ndarray, weight: np.ndarray) -> float:
     return float(ratio[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)])
 
 
-def chosen(lines: list[Line], marked: bool) -> list[bool]:
+def chosen(lines: list[Line]) -> list[bool]:
     """Which lines are content."""
     free = np.array([0 if x.links_only else len(x.text) - x.linked for x in lines], float)
     ratio = np.maximum(free, 0) / np.array([max(x.tags, 1) for x in lines])
     level = typical(ratio, np.maximum(free, 1e-9)) or 1.0
     ratio = np.minimum(ratio, level)
-    inside = np.array([x.inside for x in lines])
-    if marked:
-        ratio = np.where(inside, level, 0.0)
-    border = np.flatnonzero(np.diff(inside.astype(np.int8))) + 1 if marked else []
-    smooth = np.concatenate([smoothed(part) for part in np.split(ratio, border)])
-    kept = [bool(v >= level / 2) and not x.links_only for v, x in zip(np.maximum(smooth, ratio), lines)]
+    bonus = np.where([x.inside for x in lines], level / 2, 0.0)
+    score = np.maximum(smoothed(ratio), ratio) + bonus
+    kept = [bool(v >= level / 2) and not x.links_only for v, x in zip(score, lines)]
     for at in range(len(lines) - 2, -1, -1):
-        if lines[at].heading and not marked and not lines[at].links_only:
+        if lines[at].heading and lines[at].inside == lines[at + 1].inside and not lines[at].links_only:
             kept[at] = kept[at] or kept[at + 1]
+    if not bonus.any():
+        return kept
+    # A stray line beside the mark, however dense, is no text of its own.
+    run = np.array(kept) & (bonus == 0)
+    edges = np.flatnonzero(np.diff(run.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    for first, last in edges:
+        if free[first:last].sum() < min(RUN, free[bonus > 0].sum() / 2):
+            kept[first:last] = [False] * (last - first)
     return kept
 
 
 def content(html: str) -> str:
     """The main text of a page."""
-    lines, marked = lines_of(html)
-    return "\n".join(x.text for x, keep in zip(lines, chosen(lines, marked)) if keep) if lines else ""
+    lines = lines_of(html)
+    return "\n".join(x.text for x, keep in zip(lines, chosen(lines)) if keep) if lines else ""
 
 
 def extracted(pages: DataFrame, html: str = "html", into: str = "main_text") -> DataFrame:
