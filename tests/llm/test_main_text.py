@@ -47,6 +47,36 @@ def test_ratio_chooses_outside_the_mark(page, text):
     assert content(page) == text
 
 
+def page_of(wrapper, more=""):
+    return f"<body><{wrapper}><article><h1>T</h1><p>{LONG}</p><p>Of.</p></article></div>{more}<div class='ad'>x</div></body>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        *(page_of(f"div class='{c}'") for c in ("layout with-sidebar", "no-sidebar", "overflow-hidden", "post share-enabled", "hasSidebar", "header-story")),
+        page_of("div class='header-story'", f"<div id=comments>{f'<p>{LONG}' * 9}</div>"),
+        page_of("div class='page'", f"<div id=comments>{f'<article class=comment>{LONG}</article>' * 9}</div>"),
+        page_of("div class='page'", f"<div class=sidebar>{f'<p>{LONG}' * 3}</div>"),
+        page_of("div class='page'", f"<article class='related card'>{LONG}</article>"),
+        page_of("div class='side menu'><div class='popup'"),
+        f"<article class='post share-button'><h1>T</h1><p>{LONG}</p><p>Of.</p></article>",
+    ],
+)
+def test_names_are_weighed(page):
+    assert content(page) == f"T\n{LONG.strip()}\nOf."
+
+
+def test_links_inside_an_article_stay():
+    refs = "<ul><li><a href=x>One paper</a><li><a href=y>Another</a></ul><p><a href=z>all linked</a></p>"
+    assert content(f"<ul><li><a href=x>Home</a></ul><article><p>{LONG}</p>{refs}</article>") == f"{LONG.strip()}\nOne paper\nAnother\nall linked"
+
+
+def test_pages_of_readers_only_and_names_inside_a_line():
+    assert content(f"<div id=comments><article class=comment>{LONG}</article><article class=comment>other</article></div>") == f"{LONG.strip()}\nother"
+    assert content("<article><p>one <span class=share>Share</span>two</p><div class=related><p>r</p></div></article>") == "one two"
+
+
 def test_very_long_block_is_whole():
     body = "long text & " * (PIECE // 4)
     assert content(f"<article><p>{body}</p></article>") == body.strip()

@@ -5,14 +5,17 @@ paragraph, heading, list item, cell, ...), with the number of tags and of linked
 through three steps:
 
 1. Lines inside elements that are boilerplate by their meaning (scripts, styles, menus, headers, footers, asides, forms,
-   hidden elements, and elements whose class, id or role names an advert, notice, comment section, share bar, ...) are
-   set aside. ``header`` inside an article is the article's own.
+   hidden elements) are set aside, and so are elements, articles too, whose class, id or role names an advert, notice, comment
+   section, share bar, ... A name is evidence weighed against the text: an element that holds more than half of the page's unlinked
+   text stays, where text outside it counts ``MARK`` times if an article or main element without such a name marks it. Readers'
+   comments are judged first, stay only with more than ``READERS`` of the text, and else don't count for other names. Modifiers
+   (``with-sidebar``, ``overflow-hidden``, ``share-enabled``) name nothing. ``header`` inside an article is the article's own.
 2. Every other line has a ratio: unlinked characters per tag, capped at the page's typical ratio M, at which half of its text
    lies, so that one long paragraph does not outshine the rest. Ratios are smoothed by a Gaussian over neighbouring lines,
    and lines whose own or smoothed ratio reaches the threshold M/2 are content, the others rest. If the page marks an ``article``
    or ``main`` element, lines inside have a bonus of M/2 after smoothing, so that its short lines stay; lines outside are
    still chosen by their ratio, in runs of ``RUN`` unlinked characters or half of the marked text at least. A heading goes with the line after it, on the same side of the mark.
-   A line that is mostly links is rest.
+   A line outside that is mostly links is rest.
 3. Content lines, in page order, joined by one line break.
 
 Character references are decoded once, white space inside a block is one space, blocks are trimmed and empty ones left out.
@@ -54,6 +57,9 @@ NAMES = re.compile(
     r"|alertdialog|skip|hidden|toc|tags)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Those of them that name what readers wrote, and names that only say how an element is laid out.
+READER = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|respond)(?:$|[\s_-]|\d)", re.I)
+MODIFIER = re.compile(r"(?:with|without|no|not|non|has|overflow)[_-]|.*[_-](?:enabled|disabled|open|closed|on|off|layout)$", re.I)
 #: An opening tag of one of these ends an open element of the others (their end tags may be left out).
 ENDS = {
     "li": frozenset(["li"]),
@@ -66,6 +72,7 @@ ENDS = {
 }
 SCOPE = frozenset("article aside body div footer form header html main nav ol section table ul".split())
 SIGMA, MOST_LINKED = 1.0, 0.5
+MARK, READERS = 4, 0.9
 RUN = 100  # unlinked characters of a run of lines outside a page's mark, where half of the marked text is not less
 PIECE = 1 << 20
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
@@ -83,28 +90,78 @@ class Line(NamedTuple):
         return self.linked > MOST_LINKED * len(self.text)
 
 
+class Open(NamedTuple):
+    """An open element."""
+
+    name: str
+    dropped: bool
+    inside: bool  # of an article or main element
+    weight: int  # of its text against names
+    named: int  # the innermost element with a name of boilerplate, 0 for none
+
+
 class Lines(HTMLParser):
     """Lines of a page with their tag counts, from a stream of parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool]] = []  # name, dropped, inside the article
-        self.lines: list[Line] = []
-        self.parts: list[str] = []
-        self.tags, self.linked, self.links = 0, 0, 0
+        self.open: list[Open] = []
+        self.raw: list[tuple[list[tuple[str, int, int]], int, bool, bool]] = []  # parts, tags, inside, heading
+        self.parts: list[tuple[str, int, int]] = []  # data, named, linked characters
+        self.tags, self.links = 0, 0
+        # Per named element: the one around it, whether readers wrote it, its own unlinked text, plain and weighted.
+        self.around, self.reader, self.plain, self.heavy = [0], [False], [0], [0]
 
     def end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            inside = bool(self.open and self.open[-1][2])
-            heading = any(name in HEADINGS for name, _, _ in self.open)
-            self.lines.append(Line(text, self.tags, self.linked, inside, heading))
-            self.tags = self.linked = 0
+        if any(data and not data.isspace() for data, _, _ in self.parts):
+            inside = bool(self.open and self.open[-1].inside)
+            heading = any(x.name in HEADINGS for x in self.open)
+            self.raw.append((self.parts, self.tags, inside, heading))
+            self.tags = 0
         self.parts = []
 
+    def lines(self) -> list[Line]:
+        """The lines without boilerplate; tags before a line that is left out count for the next."""
+        gone, out, before = self.gone(), [], 0
+        for parts, tags, inside, heading in self.raw:
+            left = [x for x in parts if not gone[x[1]]]
+            text = " ".join("".join(x[0] for x in left).split())
+            before += tags
+            if text:
+                out.append(Line(text, before, sum(x[2] for x in left), inside, heading))
+                before = 0
+        return out
+
+    def gone(self) -> list[bool]:
+        """Which named elements are boilerplate."""
+        n = len(self.around)
+        gone, written = [False] * n, [False] * n
+        for i in range(1, n):
+            written[i] = self.reader[i] or written[self.around[i]]
+        plain, heavy = self.sums(self.plain, [False] * n), self.sums(self.heavy, written)
+        for i in range(1, n):
+            up = self.around[i]
+            if self.reader[i] and not written[up]:
+                gone[i] = plain[i] <= READERS * (plain[i] + heavy[0] - heavy[i])
+            else:
+                gone[i] = gone[up]
+        plain, heavy = self.sums(self.plain, gone), self.sums(self.heavy, gone)
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[self.around[i]]
+            if not gone[i] and not self.reader[i]:
+                gone[i] = plain[i] <= 0.5 * (plain[i] + heavy[0] - heavy[i])
+        return gone
+
+    def sums(self, own: list[int], left_out: list[bool]) -> list[int]:
+        """Text of elements with all named ones in them; an element is opened after the one around it."""
+        out = [0 if no else x for x, no in zip(own, left_out)]
+        for i in range(len(out) - 1, 0, -1):
+            out[self.around[i]] += out[i]
+        return out
+
     def close_to(self, depth: int) -> None:
-        for name, _, _ in self.open[depth:]:
-            self.links -= name == "a"
+        for x in self.open[depth:]:
+            self.links -= x.name == "a"
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -112,34 +169,44 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", 0, 0))
         if tag in VOID:
             return
         if tag in ENDS or tag in BLOCKS:
             self.imply_ends(tag)
-        dropped = bool(self.open and self.open[-1][1])
-        inside = bool(self.open and self.open[-1][2])
+        _, dropped, inside, weight, named = self.open[-1] if self.open else Open("", False, False, 1, 0)
         if not dropped:
-            named = {k: v or "" for k, v in attrs}
+            given = {k: v or "" for k, v in attrs}
             own = tag == "header" and inside
-            dropped = (tag in DROPPED and not own) or (tag not in ("body", "html", "article", "main") and self.boilerplate(named, own))
-        if tag in ("article", "main") and not dropped:
-            inside = True
-        self.open.append((tag, dropped, inside))
+            frame = tag in ("body", "html")
+            dropped = (tag in DROPPED and not own) or (not frame and self.hidden(given))
+            names = [] if dropped or own or frame else self.names(given)
+            if names:
+                self.around.append(named)
+                self.reader.append(any(map(READER.search, names)))
+                self.plain.append(0)
+                self.heavy.append(0)
+                named = len(self.around) - 1
+            if tag in ("article", "main") and not dropped:
+                inside, weight = True, weight if names else MARK
+        self.open.append(Open(tag, dropped, inside, weight, named))
         self.links += tag == "a"
 
     @staticmethod
-    def boilerplate(attrs: dict[str, str], own: bool) -> bool:
-        hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        names = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names)
-        return hidden or (not own and bool(NAMES.search(names)))
+    def hidden(attrs: dict[str, str]) -> bool:
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+    @staticmethod
+    def names(attrs: dict[str, str]) -> list[str]:
+        """Words of the class, id and role that name boilerplate."""
+        words = re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(attrs.get(k, "") for k in ("class", "id", "role"))).split()
+        return [w for w in words if NAMES.search(w) and not MODIFIER.match(w)]
 
     def imply_ends(self, tag: str) -> None:
         """End tags that may be left out: a block ends an open paragraph; items end items."""
         ends = ENDS.get(tag, frozenset())
         for at in range(len(self.open) - 1, -1, -1):
-            name = self.open[at][0]
+            name = self.open[at].name
             if name in ends or (name == "p" and tag in BLOCKS):
                 self.close_to(at)
                 return
@@ -151,18 +218,21 @@ class Lines(HTMLParser):
         if tag in BLOCKS:
             self.end_line()
         for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
+            if self.open[at].name == tag:
                 self.close_to(at)
                 return
-            if self.open[at][0] in SCOPE and tag not in SCOPE:
+            if self.open[at].name in SCOPE and tag not in SCOPE:
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][1]:
+        _, dropped, _, weight, named = self.open[-1] if self.open else Open("", False, False, 1, 0)
+        if dropped:
             return
-        self.parts.append(data)
-        if self.links:
-            self.linked += len(data.strip())
+        n = len(data.strip())
+        self.parts.append((data, named, n if self.links else 0))
+        if not self.links:
+            self.plain[named] += n
+            self.heavy[named] += weight * n
 
 
 def lines_of(html: str) -> list[Line]:
@@ -173,7 +243,7 @@ def lines_of(html: str) -> list[Line]:
         parser.rawdata = ""
     parser.close()
     parser.end_line()
-    return parser.lines
+    return parser.lines()
 
 
 def smoothed(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -197,7 +267,7 @@ def chosen(lines: list[Line]) -> list[bool]:
     ratio = np.minimum(ratio, level)
     bonus = np.where([x.inside for x in lines], level / 2, 0.0)
     score = np.maximum(smoothed(ratio), ratio) + bonus
-    kept = [bool(v >= level / 2) and not x.links_only for v, x in zip(score, lines)]
+    kept = [bool(v >= level / 2) and (x.inside or not x.links_only) for v, x in zip(score, lines)]
     for at in range(len(lines) - 2, -1, -1):
         if lines[at].heading and lines[at].inside == lines[at + 1].inside and not lines[at].links_only:
             kept[at] = kept[at] or kept[at + 1]
