@@ -69,6 +69,40 @@ def test_stream_equals_batch(spark, tables, tmp_path, name):
     same(run(spark, polls, "at_us", rule, ["node"], tmp_path), batch(polls))
 
 
+def shuffled(spark, polls, rule, delay, parts, tmp_path, then=()):
+    """The rule over polls dealt to ``parts`` files without regard to time, then over files of one row each."""
+    S.configure(spark)
+    for i in range(parts):
+        polls.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).coalesce(1).write.parquet(f"{tmp_path}/in/{i:03}")
+    for i, extra in enumerate(then):
+        time.sleep(1)  # files are read in the order of their times
+        extra.coalesce(1).write.parquet(f"{tmp_path}/in/{parts + i:03}")
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = S.apply(stream, ["node"], rule, delay).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    query.option("checkpointLocation", f"{tmp_path}/mark").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{tmp_path}/out")
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_shuffled_arrival(spark, tables, tmp_path, parts):
+    """Any order within the delay, in batches of any size, gives the rows of the batch twin; later rows are shown."""
+    polls = tables.polls.select("node", "event_id", "at_us", "state", "signature").cache()
+    low, high = polls.agg(F.min("at_us"), F.max("at_us")).first()
+    days = (high - low) // 86_400_000_000 + 1
+    end = high + days * 86_400_000_000 + 1_000_000
+    last = polls.limit(1).withColumn("node", F.lit(-1).cast("long")).withColumn("at_us", F.lit(end))
+    late = polls.orderBy("at_us").limit(1).withColumn("event_id", F.lit(-7).cast("long"))
+    got = shuffled(spark, polls, S.stuck_member(6 * HOURS), f"{days} days", parts, tmp_path, [last, late])
+    assert [(r.event_id, r.at_us, r.state) for r in got.where("late").collect()] == [(-7, low, None)]
+    same(got.where("NOT late").drop("late"), B.stuck_member(polls, 6 * HOURS))
+    polls.unpersist()
+
+
+def test_order_is_demanded_without_a_delay(spark, tables, tmp_path):
+    with pytest.raises(Exception, match="rows out of order"):
+        shuffled(spark, tables.polls, S.stuck_member(6 * HOURS), None, 3, tmp_path)
+
+
 def test_incidents(spark, tables, tmp_path):
     ended = F.col("at_us") + (F.col("value") * B.MICROS).cast("bigint")
     runs = tables.polls.select("node", F.col("at_us").alias("start_us"), ended.alias("end_us"), "event_id")

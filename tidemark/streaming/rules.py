@@ -1,12 +1,18 @@
 """The time rules as streams: keyed state in ``transformWithState``.
 
 Each rule is a state schema, an output schema and a step from (state, row) to (state, output
-or None). Rows of a key are stepped in the order of ``order`` within a micro-batch; a micro-batch is
-bounded by the source's rate limit (``maxFilesPerTrigger`` and the like). Rows that arrive
-in a later batch than newer rows of their key are dropped: a clock never runs backwards,
-and a replayed row changes nothing.
+or None). Rows of a key are stepped in the order of ``order``; a micro-batch is
+bounded by the source's rate limit (``maxFilesPerTrigger`` and the like).
 
-The batch forms in ``operators.temporal`` give the same rows.
+With a ``delay`` rows may arrive in any order. They wait in keyed state until the stream's watermark, ``delay`` behind the newest
+``order[0]`` of any key, has passed them, and are then stepped in order, so results do not depend on how rows fall into
+batches. Rows the watermark had passed when they came are not stepped but come out with ``late`` set and the rule's
+columns NULL, replays of stepped rows among them. The newest rows, within the delay, wait for more rows of any key.
+
+Without a ``delay`` each key's rows must arrive in order over batches and are stepped at once. A row older than its key's newest
+of an earlier batch ends the query with an error, since the rule has already gone past it; the newest row once more changes nothing.
+
+The batch forms in ``operators.temporal`` give the same rows, but for late ones.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,6 +38,7 @@ class Rule:
     output: str
     step: Callable[[tuple | None, Row], tuple[tuple | None, tuple | None]]
     order: Sequence[str] = ("at_us", "event_id")
+    tick_us: int = 1  # microseconds of the watermark's clock in a step of ``order[0]``
 
 
 class _Stepper(StatefulProcessor):
@@ -47,7 +55,10 @@ class _Stepper(StatefulProcessor):
         last = tuple(self.last.get()) if self.last.exists() else None
         state = tuple(self.kept.get()) if self.kept.exists() else None
         for row in sorted(rows, key=place):
-            if last is not None and place(row) <= last:
+            if last is not None and place(row) < last:
+                told = f"{dict(zip(self.rule.order, place(row)))} of {tuple(key)} came after {last}"
+                raise ValueError(f"rows out of order: {told}; give apply() a delay")
+            if place(row) == last:
                 continue
             last = place(row)
             state, out = self.rule.step(state, row)
@@ -64,12 +75,95 @@ class _Stepper(StatefulProcessor):
         pass
 
 
-def apply(stream: DataFrame, keys: Sequence[str], rule: Rule) -> DataFrame:
-    """``rule`` on a streaming DataFrame: (keys, order, the rule's output columns)."""
+class _Sorter(StatefulProcessor):
+    """Rows wait until the watermark has passed them."""
+
+    def __init__(self, rule: Rule, columns: Sequence[str], row: T.StructType):
+        self.rule, self.columns, self.row = rule, columns, row
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        order = ", ".join(f"_o{i} BIGINT" for i, _ in enumerate(self.rule.order))
+        self.handle = handle
+        self.kept = handle.getValueState("kept", self.rule.state)
+        self.due = handle.getValueState("due", "ms BIGINT")
+        self.waiting = handle.getMapState("waiting", order, self.row)
+
+    def place(self, row: Row) -> tuple:
+        return tuple(row[c] for c in self.rule.order)
+
+    def passed_ms(self, row: Row) -> int:
+        """The first watermark that is past the row."""
+        return row[self.rule.order[0]] * self.rule.tick_us // 1000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, first = timerValues.getCurrentWatermarkInMs(), None
+        for row in rows:
+            at = self.passed_ms(row)
+            if at <= now:
+                yield self.out(key, self.place(row), None, True)
+                continue
+            self.waiting.updateValue(self.place(row), tuple(row[c] for c in self.row.names))
+            first = at if first is None else min(first, at)
+        self.wake(first)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, first, ready = timerValues.getCurrentWatermarkInMs(), None, []
+        for place, values in self.waiting.iterator():
+            row = Row(*self.row.names)(*values)
+            at = self.passed_ms(row)
+            if at <= now:
+                ready.append((tuple(place), row))
+            else:
+                first = at if first is None else min(first, at)
+        state = tuple(self.kept.get()) if self.kept.exists() else None
+        for place, row in sorted(ready, key=lambda x: x[0]):
+            self.waiting.removeKey(place)
+            state, out = self.rule.step(state, row)
+            if out is not None:
+                yield self.out(key, place, out, False)
+        if state is None:
+            self.kept.clear()
+        else:
+            self.kept.update(state)
+        self.due.clear()
+        self.wake(first)
+
+    def wake(self, ms: int | None) -> None:
+        """One timer a key, at its oldest waiting row."""
+        due = self.due.get()[0] if self.due.exists() else None
+        if ms is None or (due is not None and due <= ms):
+            return
+        if due is not None:
+            self.handle.deleteTimer(due)
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def out(self, key: tuple, place: tuple, out: tuple | None, late: bool) -> Row:
+        rule = out or (None,) * (len(self.columns) - len(key) - len(place) - 1)
+        return Row(**dict(zip(self.columns, (*key, *place, *rule, late), strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def apply(stream: DataFrame, keys: Sequence[str], rule: Rule, delay: str | None = None) -> DataFrame:
+    """``rule`` on a streaming DataFrame: (keys, order, the rule's output columns, and with a ``delay`` ``late``).
+
+    ``delay`` is an interval like "2 minutes", on the clock of ``order[0]``; for rounds a second is a round.
+    """
     fields = [stream.schema[c] for c in keys] + [T.StructField(c, T.LongType()) for c in rule.order]
     output = T.StructType([*fields, *T.StructType.fromDDL(rule.output).fields])
-    return stream.groupBy(*keys).transformWithState(
-        statefulProcessor=_Stepper(rule, output.names), outputStructType=output, outputMode="Append", timeMode="None"
+    if delay is None:
+        return stream.groupBy(*keys).transformWithState(
+            statefulProcessor=_Stepper(rule, output.names), outputStructType=output, outputMode="Append", timeMode="None"
+        )
+    output = output.add("late", T.BooleanType())
+    row = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
+    at = F.timestamp_micros(F.col(rule.order[0]) * rule.tick_us)
+    # The engine drops rows whose event time has passed without a word, so the event time is not among the columns it sees.
+    timed = stream.withColumn("__event_time", at).withWatermark("__event_time", delay)
+    return timed.select(*stream.columns).groupBy(*keys).transformWithState(
+        statefulProcessor=_Sorter(rule, output.names, row), outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -88,7 +182,7 @@ def dwell(column: str, value: str, length: int, order: Sequence[str] = ("at_us",
         since = state[0] if state else row[order[0]]
         return (since,), (since, row[order[0]] - since >= length)
 
-    return Rule("since BIGINT", "since BIGINT, fired BOOLEAN", step, order)
+    return Rule("since BIGINT", "since BIGINT, fired BOOLEAN", step, order, 1_000_000 if order[0] == "round" else 1)
 
 
 def continuous_dwell(dwell_s: int = B.GONE_DWELL_S) -> Rule:
