@@ -37,3 +37,14 @@ def test_edges(spark):
     assert got[7, "語言"][0] in ("de", "en")
     assert {r.lang_pred for r in L.predicted(docs, L.trained(docs, F.lit(False))).collect()} == {"und"}
     assert L.predicted(docs.limit(0), model).count() == 0
+
+
+def test_repeated_rows_count_once(spark):
+    ids = [*range(20), *[0] * 200, *[7] * 200]
+    rows = [(i, f"text {i}" if at % 2 else f"other {i}", "en") for at, i in enumerate(ids)] + [(i, f"texte {i}", "fr") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    all_ = [(r.lang, r.text.split()[1]) for r in L.chosen_rows(docs, F.lit(True), 100).collect()]
+    assert len(all_) == len(set(all_)) == 23
+    few = [(r.lang, r.text.split()[1]) for r in L.chosen_rows(docs, F.lit(True), 5).collect()]
+    assert len(few) == len(set(few)) == 8
+    assert {lang for lang, _ in few} == {"en", "fr"}

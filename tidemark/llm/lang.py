@@ -5,8 +5,8 @@ n-grams of 2, 3 and 4 bytes that are present in it. For each n the kernel of two
 divided by the geometric mean of their numbers of grams; the blend is the mean over n. Grams are those whose presence
 varies most over the landmarks.
 
-Fit: at most ``PER_LANG`` labelled rows of each language (those with the smallest hash of their id) are the training rows,
-the first ``LANDMARKS`` of each of them landmarks. With C the kernel between training rows and landmarks and W the one
+Fit: at most ``PER_LANG`` labelled documents of each language (those with the smallest hash of their id) are the training rows,
+however often a document is repeated (of rows with one id and language the one of the smallest hash of its text), the first ``LANDMARKS`` of each of them landmarks. With C the kernel between training rows and landmarks and W the one
 among landmarks, every language has the coefficients a = (C'C + ridge W)^-1 C'y, y = 1 for its rows and -1 for others.
 
 Score: a text's kernel row against the landmarks times a. As the kernel is a product of presence vectors, landmarks and
@@ -175,18 +175,19 @@ def fit(rows: Iterable[tuple[str, str]], landmarks: int = LANDMARKS, ridge: floa
 
 
 def chosen_rows(docs: DataFrame, keep: Column, per_lang: int = PER_LANG) -> DataFrame:
-    """(text, lang) of at most ``per_lang`` rows of each language among ``keep``, those of the smallest hash of ``doc_id``.
+    """(text, lang) of at most ``per_lang`` documents of each language among ``keep``, those of the smallest hash of ``doc_id``.
 
-    Ids are ranked without texts (each task passes on ``per_lang`` rows a language at most); then the few chosen texts are read.
+    Rows are first reduced to one an id, combined before the shuffle, and ranked without texts (each task passes on ``per_lang`` ids a
+    language at most); then the few chosen texts are read, equal ones once.
     """
     rows = docs.where(F.coalesce(keep, F.lit(False)) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    hashed = F.xxhash64(F.col("doc_id").cast("string"))
+    rows = rows.select("lang", "doc_id", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.xxhash64("text").alias("t"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ranked = rows.select("lang", "doc_id", hashed.alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-    last = ranked.groupBy(F.col("lang").alias("l")).agg(F.max("h").alias("last"))
-    # A row per language, taken by the bounded number of training rows.
-    return rows.join(F.broadcast(last), (F.col("lang") == F.col("l")) & (hashed <= F.col("last"))).select("text", "lang", hashed.alias("h"))
+    ids = rows.groupBy("lang", "doc_id", "h").agg(F.min("t").alias("t"))
+    ranked = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).drop("r")
+    # A row per training document, a bounded number for each language.
+    return rows.join(F.broadcast(ranked), ["lang", "doc_id", "h", "t"], "left_semi").distinct().select("text", "lang", "h")
 
 
 def trained(docs: DataFrame, keep: Column, per_lang: int = PER_LANG, landmarks: int = LANDMARKS) -> Model | None:
