@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import ann, chat, jaccard_join, lang, main_text, packing, pieces, sharding, suffix_dedup, topk
+from tidemark.llm import (
+    ann,
+    bpe_automaton,
+    chat,
+    hard_negatives,
+    jaccard_join,
+    lang,
+    main_text,
+    packing,
+    piece_table,
+    pieces,
+    sharding,
+    suffix_dedup,
+    topk,
+)
 
-_MODULES = (ann, jaccard_join, lang, main_text, packing, pieces, sharding, chat, suffix_dedup, topk)
+_MODULES = (ann, jaccard_join, lang, main_text, packing, pieces, sharding, chat, suffix_dedup, topk, hard_negatives, bpe_automaton, piece_table)
 
 
 def queries() -> dict:
