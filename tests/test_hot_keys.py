@@ -22,8 +22,7 @@ RULES = {
     "relation": lambda t, n: X.txn_relation(t.txn_intervals, t.owner_pairs, rows_per_task=n),
     "subtract": lambda t, n: X.txn_subtract(t.txn_intervals, t.owner_pairs, rows_per_task=n),
     "containment": lambda t, n: X.interval_containment(X.coalesce_intervals(t.txn_intervals), t.owner_pairs, rows_per_task=n),
-    "verdict": lambda t, n: M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1, n), n),
-    "divergence": lambda t, n: M.divergence_report(t.answers, t.reports, n),
+    "verdict": lambda t, n: M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1, n)),
     "dwell": lambda t, n: B.continuous_dwell(t.polls, 6 * 3600, n),
     "stuck": lambda t, n: B.stuck_member(t.polls, 6 * 3600, n),
     "streak": lambda t, n: B.failure_streak(t.polls, rows_per_task=n),

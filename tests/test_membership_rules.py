@@ -141,10 +141,26 @@ def test_bootstrap_compares_with_the_answer(spark):
     assert verdicts(spark, None, {"p0": {"txn_set": "u:1-9"}}, declared=["p0"]) == (None, None)
     assert verdicts(spark, "u:1-x", {"p0": {"txn_set": "u:1-2"}}, declared=["p0"]) == ("UNDECIDABLE", None)
     assert verdicts(spark, "u:1-5", {"p0": {"txn_set": "u:one"}}, declared=["p0"]) == ("UNDECIDABLE", None)
+    for bad in ("u:1-10:8-2", "u:1-2-10", "u:0-4", ":1-3"):
+        assert verdicts(spark, "u:1-10", {"p0": {"txn_set": bad}}, declared=["p0"]) == ("UNDECIDABLE", None)
+        assert verdicts(spark, bad, {"p0": {"txn_set": bad}}, declared=["p0"]) == ("UNDECIDABLE", None)
+        assert verdicts(spark, bad, {}, declared=[]) == ("UNDECIDABLE", None)
+    assert verdicts(spark, "U:1-10", {"p0": {"txn_set": "u:1-10"}}, declared=["p0"]) == ("DEFER", "p0")
     diverged = {"p0": {"txn_set": "u:1-5,y:1"}}
     assert verdicts(spark, "u:1-5,x:1", diverged, declared=["p0"]) == ("WAIT", "p0")
 
 
+def test_no_evidence_from_a_malformed_set(spark):
+    def orphaned(own, heard):
+        reports = spark.createDataFrame([("c", 0, "me", 5, own, False, 0)], REPORTS)
+        rows = [{"seed_rank": i, "group_active": True, "peer": f"p{i}", "txn_set": t} for i, t in enumerate(heard)]
+        return sorted((r.peer, r.source, r.lo, r.hi) for r in M.divergence_report(answers(spark, rows), reports).collect())
+
+    assert orphaned("u:1-9", ["u:1-4:7"]) == [("p0", "u", 5, 6), ("p0", "u", 8, 9)]
+    assert orphaned("u:1-9", ["u:1-x", "u:1"]) == [] == orphaned("u:1-9:3-1", ["u:1"]) == orphaned(None, ["u:1"])
+    assert orphaned("u:1-9", ["U : 1-9"]) == [] and orphaned("u:1-2", [""]) == [("p0", "u", 1, 2)]
+
+
 def test_waived_peers(spark):
     polls = [(r, a) for r, a in enumerate(["state", "unreachable", "unreachable", "not_ready", "unreachable"])]
     rows = [{"round": r, "peer": "p0", "seed_rank": 0, "answer": a} for r, a in polls]

@@ -25,6 +25,72 @@ def test_parse(spark):
     assert parse(spark, f"{uuid}:1-5:11-18") == [(uuid, 1, 5), (uuid, 11, 18)]
 
 
+GOOD = ["u:1", "u:1-1", "U:1-5 , u : 7", ",u:1,,", "", " \n", "u:t:1", "u:9223372036854775806", "u:007"]
+BAD = [
+    "u", "u:", ":1-3", ":", "u:0", "u:0-4", "u:5-3", "u:1-2-10", "u:1-", "u:-1", "u:--1", "u:1:", "u:1::2", "u:x", "u:x:", "u:t:1:s", "u:1.5", "u:+1",
+    "u:1-x", "u:9223372036854775807", "u:99999999999999999999", "u:1,v", "::t:1", ":t:1", "u:" + "t" * 40 + ":1", "u:t-1:3", "u;1-3", "1-3", "u:1-3:8-2",
+]
+
+
+def test_strict_grammar(spark):
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate([*GOOD, *BAD, None])], "txn_set string, n int")
+    assert sorted(r.n for r in X.txn_rejects(rows).collect()) == list(range(len(GOOD), len(GOOD) + len(BAD)))
+    assert parse(spark, "U:1-5,u : 7,V:T1:3") == [("u", 1, 5), ("u", 7, 7), ("v:t1", 3, 3)]
+
+
+def named(spark, texts):
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    return rows.select(X.set_id(rows.text).alias("set_id"), "text")
+
+
+def test_interned_sets_are_parsed_once_and_merged(spark):
+    ids = {r.text: r.set_id for r in named(spark, ["u:1-3:4-6", "U:1-3: 4-6", "u:9-2", ""]).collect()}
+    assert ids["u:1-3:4-6"] == ids["U:1-3: 4-6"]
+    got = X.interned(named(spark, ["u:1-3:4-6", "U:1-3: 4-6", "u:9-2", "", "v:5-9:1-2:7-30"])).collect()
+    assert sorted((r.source, r.lo, r.hi) for r in got if not r.bad) == [("u", 1, 6), ("v", 1, 2), ("v", 5, 30)]
+    assert [r.set_id for r in got if r.bad] == [ids["u:9-2"]]
+
+
+def test_only_blocks_that_differ_are_compared(spark):
+    """Of two long histories that differ in one place, the spans of that block move, and the relation is that of the whole sets."""
+    long = [f"{i * 70_000 + 1}-{i * 70_000 + 9}" for i in range(400)]
+    texts = ["u:" + ":".join(long), "u:" + ":".join(long[:200] + ["14000015"] + long[200:]), "u:" + ":".join(reversed(long)), "v:1"]
+    rows = named(spark, texts).collect()
+    sets, ids = X.interned(named(spark, texts)), [r.set_id for r in rows]
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2]), (ids[0], ids[3])], "a string, b string")
+    sides = X.differing_sides(sets, pairs).collect()
+    count = {k: sum(r.b == ids[k] for r in sides) for k in (1, 2, 3)}
+    assert count[1] <= 5 and count[2] == 0 and count[3] == 401
+    extras = {r.b: (r.a_extra, r.b_extra) for r in X.side_extras(X.differing_sides(sets, pairs), ["a", "b"], small=True).collect()}
+    assert extras == {ids[1]: (False, True), ids[3]: (True, True)}
+
+
+def test_random_texts_by_digests(spark):
+    """Extras and differences by block digests equal those of plain sets; blocks of a few positions, so that they matter."""
+    rng, texts, points = random.Random(8), [], []
+    for _ in range(30):
+        spans = [(rng.choice("uv"), lo := rng.randint(1, 40), lo + rng.randint(0, 5)) for _ in range(rng.randint(0, 7))]
+        texts.append(",".join(f"{s}:{a}-{b}" for s, a, b in spans))
+        points.append({(s, n) for s, a, b in spans for n in range(a, b + 1)})
+    ids = [r.set_id for r in named(spark, texts).collect()]
+    asked = {(i, j) for i in range(30) for j in range(30) if texts[i] != texts[j]}
+    pairs = spark.createDataFrame([(ids[i], ids[j]) for i, j in asked], "a string, b string")
+    before, X.BLOCK = X.BLOCK, 4
+    try:
+        sides = X.differing_sides(X.interned(named(spark, texts)), pairs).cache()
+    finally:
+        X.BLOCK = before
+    extras = {(r.a, r.b): (r.a_extra, r.b_extra) for r in X.side_extras(sides, ["a", "b"], small=True).collect()}
+    lacking = {}
+    for r in X.side_subtract(sides, ["a", "b"], small=True).collect():
+        lacking.setdefault((r.a, r.b), set()).update((r.source, n) for n in range(r.lo, r.hi + 1))
+    sides.unpersist()
+    for i, j in asked:
+        pair, a, b = (ids[i], ids[j]), points[i], points[j]
+        assert extras.get(pair, (False, False)) == (bool(a - b), bool(b - a))
+        assert lacking.get(pair, set()) == a - b
+
+
 def test_coalesce(spark):
     rows = [("o", "s", 6, 9), ("o", "s", 1, 5), ("o", "s", 12, 20), ("o", "s", 13, 14), ("o", "s", 15, 21), ("o", "t", 7, 7)]
     got = {tuple(r) for r in X.coalesce_intervals(intervals(spark, rows)).collect()}

@@ -19,6 +19,7 @@ from tidemark.functions import text as X
 from tidemark.functions.ordered import ROWS_PER_TASK
 from tidemark.operators import txnset
 from tidemark.operators.temporal import held
+from tidemark.session import written
 
 VIEW = ["cluster", "round", "observer"]
 NODE = ["cluster", "round", "node"]
@@ -207,35 +208,40 @@ def _own_sets(reports: DataFrame) -> DataFrame:
     return reports.select("cluster", "round", F.col("node").alias("observer"), F.col("txn_set").alias("own_set"))
 
 
-def _known_polls(answers: DataFrame, reports: DataFrame) -> DataFrame:
-    """Polls with ``known``: the observer's own set and the peer's answer are both there and well formed."""
-    own = _own_sets(reports)
-    bad_own = txnset.txn_rejects(own, "own_set").withColumn("_bad_own", F.lit(True))
-    bad_peer = txnset.txn_rejects(answers.select(*POLL, "txn_set")).withColumn("_bad_peer", F.lit(True))
-    polls = answers.join(own, VIEW, "left").join(bad_own, VIEW, "left").join(bad_peer, POLL, "left")
-    there = (F.col("answer") == "state") & F.col("txn_set").isNotNull() & F.col("own_set").isNotNull()
-    known = _true(there) & F.col("_bad_own").isNull() & F.col("_bad_peer").isNull()
-    return polls.withColumn("known", known).drop("own_set", "_bad_own", "_bad_peer")
+def _compared(answers: DataFrame, reports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Polls with ``a`` and ``b``, the ids of the observer's own set and of the one it heard, and the interned sets. Both are stored.
+
+    An id is NULL where there is no text.
+    """
+    polls = answers.join(_own_sets(reports), VIEW, "left")
+    heard = F.when(F.col("answer") == "state", txnset.set_id(F.col("txn_set")))
+    polls = written(polls.withColumn("a", txnset.set_id(F.col("own_set"))).withColumn("b", heard))
+    each = F.array(F.struct(F.col("a").alias("set_id"), F.col("own_set").alias("text")), F.struct(F.col("b").alias("set_id"), F.col("txn_set").alias("text")))
+    texts = polls.select(F.explode(each).alias("e")).select("e.*").where(F.col("set_id").isNotNull())
+    return polls.drop("own_set"), written(txnset.interned(texts))
 
 
-def _heard_sides(polls: DataFrame, reports: DataFrame) -> DataFrame:
-    """Intervals of the observer (a), parsed once per report, and of what it heard from the peer (b), per poll."""
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    own = txnset.txn_parse(_own_sets(reports), "own_set")
-    mine = polls.select(*POLL).join(own, VIEW).select(*POLL, "source", "lo", "hi", one.alias("in_a"), none.alias("in_b"))
-    heard = txnset.txn_parse(polls.select(*POLL, "txn_set"))
-    return mine.unionByName(heard.select(*POLL, "source", "lo", "hi", none.alias("in_a"), one.alias("in_b")))
+def _known(polls: DataFrame, sets: DataFrame) -> DataFrame:
+    """``polls`` with ``known``: both sets are there and well formed."""
+    bad = sets.where("bad").select("set_id").withColumn("_bad", F.lit(True))
+    for side in ("a", "b"):
+        polls = polls.join(bad.withColumnRenamed("set_id", side).withColumnRenamed("_bad", f"_bad_{side}"), side, "left")
+    known = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("_bad_a").isNull() & F.col("_bad_b").isNull()
+    return polls.withColumn("known", known).drop("_bad_a", "_bad_b")
 
 
-def pairwise_relation(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def pairwise_relation(answers: DataFrame, reports: DataFrame) -> DataFrame:
     """Each poll with how the peer's history, as the observer heard it, stands to the observer's own, or Unknown.
 
-    Unknown are polls without a set, and all polls of an observer whose own set is missing; so are malformed sets.
+    Unknown are polls without a set, and all polls of an observer whose own set is missing; so are malformed sets. Each pair of
+    different sets is compared once, however many polls have it.
     """
-    polls = _known_polls(answers, reports)
-    extras = txnset.side_extras(_heard_sides(polls.where("known"), reports), POLL, rows_per_task)
+    polls, sets = _compared(answers, reports)
+    known = _known(polls, sets)
+    pairs = known.where(F.col("known") & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+    extras = txnset.side_extras(txnset.differing_sides(sets, pairs), ["a", "b"], small=True)
     relation = F.when(F.col("known"), txnset.extras_relation()).otherwise("Unknown")
-    return polls.join(extras, POLL, "left").withColumn("relation", relation).drop("a_extra", "b_extra", "known")
+    return known.join(extras, ["a", "b"], "left").withColumn("relation", relation).drop("a_extra", "b_extra", "known", "a", "b")
 
 
 def diverged_peer_wins(my_gen: Column, my_rank: Column, peer_gen: Column, peer_rank: Column) -> Column:
@@ -249,7 +255,7 @@ def diverged_winner(standings: DataFrame) -> DataFrame:
     return standings.withColumn("peer_wins", F.when(F.col("relation") == "Diverged", wins))
 
 
-def standings(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def standings(answers: DataFrame, reports: DataFrame) -> DataFrame:
     """Each poll's relation next to the observer's own rank, flag and generation."""
     own = reports.select(
         "cluster",
@@ -261,7 +267,7 @@ def standings(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_
     )
     zero = F.lit(0).cast("bigint")
     return (
-        pairwise_relation(answers, reports, rows_per_task)
+        pairwise_relation(answers, reports)
         .join(own, VIEW, "left")
         .withColumns(
             {
@@ -316,24 +322,24 @@ def bootstrap_verdict(
     reports: DataFrame,
     declared: DataFrame,
     waived: DataFrame | None = None,
-    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Verdict per reporting node and round.
 
     Every peer in ``declared`` (cluster, observer, peer, seed_rank) counts, unless ``waived`` has it for the round: one that was
     not polled or did not answer is Unknown, so silence never makes a node SAFE. A node without declared peers is SAFE; one whose
-    own set is missing has no verdict (NULL). Divergence is settled before deciding.
+    own set is missing has no verdict (NULL), and one whose own set is malformed is never SAFE. Divergence is settled before deciding.
     """
     everyone = _own_sets(reports)
     expected = everyone.select(*VIEW).join(declared.select("cluster", "observer", "peer", "seed_rank"), ["cluster", "observer"])
     if waived is not None:
         expected = expected.join(waived.select(*POLL), POLL, "left_anti")
-    settled = diverged_winner(standings(answers, reports, rows_per_task)).withColumn(
+    settled = diverged_winner(standings(answers, reports)).withColumn(
         "relation",
         F.when(F.col("peer_wins"), "Ahead").when(~F.col("peer_wins"), "Behind").otherwise(F.col("relation")),
     )
     heard = expected.join(settled.drop("seed_rank"), POLL, "left").fillna("Unknown", ["relation"])
-    verdict = F.when(F.col("own_set").isNotNull(), F.coalesce("verdict", F.lit("SAFE")))
+    unheard = F.when(txnset.malformed(F.col("own_set")), "UNDECIDABLE").otherwise("SAFE")
+    verdict = F.when(F.col("own_set").isNotNull(), F.coalesce("verdict", unheard))
     peer = F.when(F.col("own_set").isNotNull(), F.col("peer"))
     return everyone.join(decide(heard), VIEW, "left").select(*VIEW, verdict.alias("verdict"), peer.alias("peer"))
 
@@ -361,11 +367,17 @@ def identity_action(answers: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
-def divergence_report(answers: DataFrame, reports: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """What nodes hold that the first active peer's answer lacks, as intervals."""
-    live = answers.where(_true(F.col("group_active")) & F.col("txn_set").isNotNull())
-    first = live.groupBy(*VIEW).agg(F.min_by(F.struct("peer", "txn_set"), "seed_rank").alias("f"))
-    return txnset.side_subtract(_heard_sides(first.select(*VIEW, "f.*"), reports), POLL, rows_per_task)
+def divergence_report(answers: DataFrame, reports: DataFrame) -> DataFrame:
+    """What nodes hold that the first active peer's answer lacks, as intervals: the evidence of what would be discarded.
+
+    Where either set is missing or malformed nothing can be said, and there is no row.
+    """
+    polls, sets = _compared(answers, reports)
+    live = polls.where(_true(F.col("group_active")) & F.col("txn_set").isNotNull())
+    first = live.groupBy(*VIEW).agg(F.min_by(F.struct("peer", "a", "b"), "seed_rank").alias("f")).select(*VIEW, "f.*")
+    known = _known(first, sets).where(F.col("known") & (F.col("a") != F.col("b"))).drop("known")
+    orphaned = txnset.side_subtract(txnset.differing_sides(sets, known.select("a", "b").distinct()), ["a", "b"], small=True)
+    return known.join(orphaned, ["a", "b"]).drop("a", "b")
 
 
 def prelog_detection(volumes: DataFrame) -> DataFrame:

@@ -4,62 +4,141 @@ A set is rows (owner, source, lo, hi) with both ends included. Every rule here i
 over the ends of intervals: +1 where one opens, -1 just past where it closes, equal
 positions summed first. Sweeps run through ``over_keys``, so one busy source is cut along
 its positions. No interval is ever joined with another.
+
+Sets that arrive as texts are interned: each distinct text is parsed once and named by a digest, and pairs of such
+sets are compared by digests of their blocks first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, total
 
 
-def _parsed(sets: DataFrame, text: str) -> DataFrame:
-    """Every span of every set text, with NULL bounds where they are no numbers."""
-    keep = [c for c in sets.columns if c != text]
-    packed = F.translate(F.col(text), " \t\r\n", "")
-    entries = sets.select(*keep, F.explode(F.split(packed, ",")).alias("_entry")).where(F.col("_entry") != "")
-    # A tag starts a new part of the entry: src:1-3:t1:1-5:t2:7.
-    marked = F.split("_entry", ":(?=[A-Za-z_])")
-    parts = entries.select(
-        *keep,
-        F.substring_index("_entry", ":", 1).alias("_id"),
-        F.size(marked).alias("_parts"),
-        F.posexplode(marked).alias("_at", "_part"),
-    )
-    tagged = F.concat_ws(":", "_id", F.substring_index("_part", ":", 1))
-    spans = F.split("_part", ":")
-    only_id = (F.col("_at") == 0) & (F.col("_parts") > 1)
-    # A part without a span is malformed, unless it is the source before a tag.
-    found = F.when((F.size(spans) > 1) | only_id, F.slice(spans, 2, F.size(spans))).otherwise(F.array(F.lit("")))
-    named = parts.select(
-        *keep,
-        F.when(F.col("_at") == 0, F.col("_id")).otherwise(tagged).alias("source"),
-        F.explode(found).alias("_span"),
-    )
-    return named.select(
-        *keep,
-        "source",
-        F.substring_index("_span", "-", 1).try_cast("bigint").alias("lo"),
-        F.substring_index("_span", "-", -1).try_cast("bigint").alias("hi"),
-    )
+SPAN, TAG = r"^[0-9]{1,19}(-[0-9]{1,19})?$", "^[a-z_][a-z0-9_]{0,31}$"
+LAST = (1 << 63) - 2
+#: Spans of one interned set are digested in blocks of this many positions.
+BLOCK = 1 << 16
+
+
+def packed(text: Column) -> Column:
+    """A set text without white space; ids and tags are compared without case."""
+    return F.lower(F.regexp_replace(text, r"\s+", ""))
+
+
+def set_spans(text: Column) -> Column:
+    """All spans of a set text as (source, lo, hi, bad), read token by token.
+
+    A set is entries divided by commas, empty ones allowed. An entry is a source that is not empty, then spans, then tags each
+    followed by spans (``src:1-3:t1:1-5:t2:7``; a tag's source is ``src:t1``), at least one span in all. A span is ``n`` or ``n-m`` with
+    1 <= n <= m below 2^63 - 1. Whatever breaks this rule appears as a bad span.
+    """
+    return F.flatten(F.transform(F.filter(F.split(packed(text), ","), lambda e: e != ""), _entry))
+
+
+def _entry(entry: Column) -> Column:
+    marked = F.split(entry, ":(?=[a-z_])")
+    return F.flatten(F.transform(marked, lambda part, at: _part(entry, part, at, F.size(marked))))
+
+
+def _part(entry: Column, part: Column, at: Column, parts: Column) -> Column:
+    """The spans behind a source or a tag; a part that lacks them has one bad span, but for a source before a tag."""
+    bits = F.split(part, ":")
+    tagged = F.concat(F.substring_index(entry, ":", 1), F.lit(":"), bits[0])
+    source = F.when(at == 0, bits[0]).otherwise(tagged)
+    named = F.when(at == 0, bits[0] != "").otherwise(bits[0].rlike(TAG) & ~entry.startswith(":"))
+    lacking = F.when((at == 0) & (parts > 1) & (part != ""), F.slice(bits, 2, F.lit(0))).otherwise(F.array(F.lit("")))
+    given = F.when(F.size(bits) > 1, F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0)))).otherwise(lacking)
+    return F.transform(given, lambda span: _span(source, named, span))
+
+
+def _span(source: Column, named: Column, span: Column) -> Column:
+    lo = F.substring_index(span, "-", 1).try_cast("bigint")
+    hi = F.substring_index(span, "-", -1).try_cast("bigint")
+    good = F.coalesce(named & span.rlike(SPAN) & (lo >= 1) & (lo <= hi) & (hi <= LAST), F.lit(False))
+    return F.struct(source.alias("source"), lo.alias("lo"), hi.alias("hi"), (~good).alias("bad"))
+
+
+def malformed(text: Column) -> Column:
+    """Does a set text break the rule of ``set_spans``? NULL does not: it is no text."""
+    return F.coalesce(F.exists(set_spans(text), lambda s: s["bad"]), F.lit(False))
 
 
 def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     """Set texts ``src:1-5:7,src2:tag:3`` to rows (other columns, source, lo, hi).
 
-    White space and line breaks are dropped. An empty or NULL text gives no rows. A tagged
-    source keeps its tag in ``source``. Spans that are no numbers give no row here and a row in ``txn_rejects``.
+    White space, line breaks and case do not matter. An empty or NULL text gives no rows. A tagged source keeps its tag in
+    ``source``. Bad spans give no row here, and their set is in ``txn_rejects``.
     """
-    return _parsed(sets, text).where(F.col("lo").isNotNull() & F.col("hi").isNotNull())
+    keep = [c for c in sets.columns if c != text]
+    rows = sets.select(*keep, F.explode(set_spans(F.col(text))).alias("_s")).where(~F.col("_s.bad"))
+    return rows.select(*keep, "_s.source", "_s.lo", "_s.hi")
 
 
 def txn_rejects(sets: DataFrame, text: str = "txn_set") -> DataFrame:
-    """The other columns of sets with a span that is no number or two; such a set is not known."""
-    keep = [c for c in sets.columns if c != text]
-    return _parsed(sets, text).where(F.col("lo").isNull() | F.col("hi").isNull()).select(*keep).distinct()
+    """The other columns of sets with a bad span, one row a set; such a set is not known."""
+    return sets.where(malformed(F.col(text))).select(*[c for c in sets.columns if c != text])
+
+
+def set_id(text: Column) -> Column:
+    """A 128-bit name of a set text; texts that differ in white space or case share it."""
+    return F.md5(packed(text).cast("binary"))
+
+
+def interned(texts: DataFrame) -> DataFrame:
+    """Every distinct set of ``texts`` (set_id, text) parsed once: (set_id, bad, source, lo, hi, block), spans merged.
+
+    A malformed set has one row, with ``bad``; an empty one none. A set was one text, so all its spans fit into a task, and one shuffle by
+    ``set_id`` serves the choice of texts, the merging and its windows.
+    """
+    once = texts.groupBy("set_id").agg(F.first("text").alias("text"))
+    parsed = once.select("set_id", set_spans(F.col("text")).alias("all"))
+    bad = F.exists("all", lambda s: s["bad"])
+    nothing = F.struct(F.lit(None).cast("string").alias("source"), _null(), _null("hi"), F.lit(True).alias("bad"))
+    spans = parsed.select("set_id", F.explode(F.when(bad, F.array(nothing)).otherwise(F.col("all"))).alias("s")).select("set_id", "s.*")
+    order = Window.partitionBy("set_id", "source").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.when(reach.isNull() | (F.col("lo") > reach + 1), F.col("lo")))
+    opened = opened.withColumn("open", F.last("opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = opened.groupBy("set_id", "source", "open").agg(F.max("hi").alias("hi"), F.bool_or("bad").alias("bad"))
+    block = F.call_function("div", F.col("open"), _long(BLOCK))
+    return merged.select("set_id", "bad", "source", F.col("open").alias("lo"), "hi", block.alias("block"))
+
+
+def _null(name: str = "lo") -> Column:
+    return F.lit(None).cast("bigint").alias(name)
+
+
+def differing_sides(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Spans of both sets of each pair (a, b) of set ids, without the blocks that are equal: (a, b, source, lo, hi, in_a, in_b).
+
+    ``sets`` is an ``interned`` table. A block's digest is two 64-bit hashes of its spans, combined in any order, and their number. Merged spans
+    of a set are apart, so spans that both sets hold can be left out of any comparison. Equal histories are settled without a
+    sweep, and of long ones only blocks that differ move.
+    """
+    spans = sets.where(~F.col("bad"))
+    hashes = [F.expr("bit_xor(xxhash64(lo, hi))").alias("h1"), F.expr("bit_xor(xxhash64(hi, lo, 'other'))").alias("h2")]
+    blocks = spans.groupBy("set_id", "source", "block").agg(*hashes, F.count(F.lit(1)).alias("n"))
+
+    def members(table: DataFrame) -> DataFrame:
+        one, none = _long(1), _long(0)
+        each = F.array(
+            F.struct(F.col("a").alias("set_id"), one.alias("in_a"), none.alias("in_b")),
+            F.struct(F.col("b").alias("set_id"), none.alias("in_a"), one.alias("in_b")),
+        )
+        return table.withColumn("_m", F.explode(each)).select(*table.columns, "_m.*")
+
+    both = members(pairs.select("a", "b")).join(blocks, "set_id")
+    side = F.col("in_a") - F.col("in_b")
+    unequal = both.groupBy("a", "b", "source", "block").agg(
+        F.expr("bit_xor(h1)").alias("h1"), F.expr("bit_xor(h2)").alias("h2"), F.sum(side * F.col("n")).alias("n")
+    )
+    unequal = unequal.where((F.col("h1") != 0) | (F.col("h2") != 0) | (F.col("n") != 0)).select("a", "b", "source", "block")
+    return members(unequal).join(spans.drop("bad"), ["set_id", "source", "block"]).drop("set_id", "block")
 
 
 def _ends(intervals: DataFrame, keys: Sequence[str], depths: dict[str, Column], known_small: bool) -> DataFrame:

@@ -14,13 +14,18 @@ _IDENTITY = """
 
 ORACLE = {
     "txn_parse": """
-        WITH spans AS (
-            SELECT l_suppkey, l_returnflag AS source, l_orderkey AS lo, l_orderkey + l_linenumber AS hi FROM lineitem WHERE l_tax <> 0
-            UNION ALL SELECT l_suppkey, l_returnflag, l_orderkey + 20, l_orderkey + 20 FROM lineitem WHERE l_tax <> 0
-            UNION ALL SELECT l_suppkey, l_linestatus || ':tag', l_orderkey, l_orderkey FROM lineitem WHERE l_tax <> 0
-            UNION ALL SELECT l_suppkey, l_linestatus || ':old', l_orderkey + 7, l_orderkey + 9 FROM lineitem WHERE l_tax <> 0)
+        WITH texts AS (SELECT *, l_linenumber = 7 OR l_orderkey = 0 AS malformed, lower(l_returnflag) AS flag, lower(l_linestatus) AS status
+                       FROM lineitem WHERE l_tax <> 0),
+        spans AS (
+            SELECT l_suppkey, flag AS source, l_orderkey AS lo, l_orderkey + l_linenumber AS hi FROM texts
+            UNION ALL SELECT l_suppkey, flag, l_orderkey + 20, l_orderkey + 20 FROM texts
+            UNION ALL SELECT l_suppkey, status || ':tag', l_orderkey, l_orderkey FROM texts
+            UNION ALL SELECT l_suppkey, status || ':old', l_orderkey + 7, l_orderkey + 9 FROM texts
+            UNION ALL SELECT l_suppkey, CASE l_orderkey % 7 WHEN 5 THEN 'w' ELSE 'w:y' END, CASE l_orderkey % 7 WHEN 5 THEN 1 ELSE 2 END,
+                             CASE l_orderkey % 7 WHEN 5 THEN 1 ELSE 2 END FROM texts WHERE l_linenumber = 7 AND l_orderkey % 7 IN (5, 6))
         SELECT l_suppkey, source, count(*) AS n, CAST(sum(lo) AS BIGINT) AS sum_lo, CAST(sum(hi) AS BIGINT) AS sum_hi
-        FROM spans GROUP BY l_suppkey, source""",
+        FROM spans WHERE lo >= 1 GROUP BY l_suppkey, source
+        UNION ALL SELECT l_suppkey, NULL, count(*), NULL, NULL FROM texts WHERE malformed GROUP BY l_suppkey""",
     "coalesce_intervals": with_views(["islands"], "SELECT owner, source, lo, hi FROM islands"),
     "interval_containment": with_views(
         ["islands", "pairs"],
@@ -183,7 +188,8 @@ ORACLE = {
         verdicts AS (
             SELECT *, CASE WHEN live THEN 'JOIN' WHEN unknown THEN 'UNDECIDABLE' WHEN ahead IS NOT NULL THEN 'WAIT'
                            WHEN winner IS NOT NULL THEN 'DEFER' ELSE 'SAFE' END AS verdict FROM seen)
-        SELECT r.cluster, r.round, r.node AS observer, CASE WHEN r.txn_set IS NOT NULL THEN coalesce(verdict, 'SAFE') END AS verdict,
+        SELECT r.cluster, r.round, r.node AS observer,
+               CASE WHEN r.txn_set IS NOT NULL THEN coalesce(verdict, CASE WHEN r.malformed THEN 'UNDECIDABLE' ELSE 'SAFE' END) END AS verdict,
                CASE WHEN r.txn_set IS NULL THEN NULL WHEN verdict = 'WAIT' THEN ahead WHEN verdict = 'DEFER' THEN winner END AS peer
         FROM reports r LEFT JOIN verdicts v ON v.cluster = r.cluster AND v.round = r.round AND v.observer = r.node""",
     ),
@@ -215,7 +221,8 @@ ORACLE = {
         both_sets AS (
             SELECT f.*, m.upto AS mine, m.txn_set LIKE '%m%' AS my_errant, p.upto AS theirs
             FROM firsts f JOIN reports m ON m.cluster = f.cluster AND m.round = f.round AND m.node = f.observer
-            JOIN reports p ON p.cluster = f.cluster AND p.round = f.round AND p.node = f.peer)
+            JOIN reports p ON p.cluster = f.cluster AND p.round = f.round AND p.node = f.peer
+            WHERE NOT m.malformed AND NOT p.malformed)
         SELECT cluster, round, observer, peer, 'c' || cluster AS source, theirs + 1 AS lo, mine AS hi FROM both_sets WHERE mine > theirs
         UNION ALL SELECT cluster, round, observer, peer, observer, 1, 1 FROM both_sets WHERE my_errant""",
     ),

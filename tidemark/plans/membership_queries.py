@@ -13,10 +13,13 @@ from tidemark.session import written
 
 
 def txn_parse(t: Tables) -> DataFrame:
-    rows = X.txn_parse(t.txn_texts)
-    return rows.groupBy("l_suppkey", "source").agg(
+    """Per supplier and source the spans read, and under NULL the number of malformed sets."""
+    spans = X.txn_parse(t.txn_texts).groupBy("l_suppkey", "source").agg(
         F.count(F.lit(1)).alias("n"), F.sum("lo").alias("sum_lo"), F.sum("hi").alias("sum_hi")
     )
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("sum_lo", "bigint"), ("sum_hi", "bigint"))]
+    rejects = X.txn_rejects(t.txn_texts).groupBy("l_suppkey", F.lit(None).cast("string").alias("source"))
+    return spans.unionByName(rejects.agg(F.count(F.lit(1)).alias("n")).select("l_suppkey", "source", "n", *nothing))
 
 
 def coalesce_intervals(t: Tables) -> DataFrame:

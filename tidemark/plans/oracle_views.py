@@ -58,14 +58,20 @@ VIEWS = {
                CASE WHEN e.event_id % 3 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS role,
                state IN ('ONLINE', 'RECOVERING') AND round % 3 = 0 AS group_active,
                CASE WHEN e.value < 1 THEN NULL WHEN e.value BETWEEN 3 AND 8 THEN ' '
-                    ELSE 'c' || cluster || ':1-' || progress || CASE WHEN e.value > 100 THEN E',\n m' || seed_rank || ':1' ELSE '' END
+                    WHEN e.event_id % 61 = 7 THEN source || ':' || (progress + 3) || '-' || progress
+                    WHEN e.event_id % 61 = 17 THEN source || ':1-' || progress || '-9'
+                    WHEN e.event_id % 61 = 27 THEN source || ':0-' || progress
+                    WHEN e.event_id % 61 = 37 THEN ':1-' || progress
+                    ELSE source || ':1-' || progress || CASE WHEN e.value > 100 THEN E',\n m' || seed_rank || ':1' ELSE '' END
                     END AS txn_set,
+               e.value >= 1 AND e.value NOT BETWEEN 3 AND 8 AND e.event_id % 61 IN (7, 17, 27, 37) AS malformed,
                CASE WHEN e.value < 1 OR e.value BETWEEN 3 AND 8 THEN 0 ELSE progress END AS upto, e.value > 100 AS errant,
                e.event_id % 4 = 0 AS prelog, progress % 3 AS generation,
                CASE WHEN e.value >= 2 THEN CASE WHEN seed_rank % 2 = 0 THEN 'U' ELSE 'u' END || cluster || '-' || (seed_rank % 3) END AS uuid,
                CASE WHEN e.event_id % 5 <> 0 THEN 'g' || (e.event_id % 2) END AS group_name,
                e.event_id % 7 = 0 AS pinned, e.event_id % 3 = 1 AS fresh, e.event_id % 10 <> 0 AS checked
         FROM (SELECT *, (round - 19723) * 4 + hour(e.ts) // 6 + 1 AS progress,
+                     CASE WHEN seed_rank % 2 = 0 THEN 'C' ELSE 'c' END || cluster AS source,
                      CASE e.event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'RECOVERING'
                           WHEN 'click' THEN 'UNREACHABLE' ELSE 'ONLINE' END AS state
               FROM (SELECT user_id // 5 AS cluster, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS round,
@@ -79,6 +85,7 @@ VIEWS = {
                CASE WHEN answer = 'state' THEN CASE WHEN p.early THEN regexp_replace(r.txn_set, ',\\s*m\\d:1', '') ELSE r.txn_set END END AS txn_set,
                CASE WHEN answer = 'state' THEN r.upto END AS upto,
                CASE WHEN answer = 'state' THEN r.errant END AS errant,
+               answer = 'state' AND coalesce(r.malformed, false) AS malformed,
                CASE WHEN answer = 'state' THEN r.prelog END AS prelog,
                CASE WHEN answer = 'state' THEN r.generation END AS generation,
                CASE WHEN answer = 'state' THEN r.uuid END AS uuid,
@@ -99,7 +106,7 @@ VIEWS = {
         SELECT a.cluster, a.round, a.observer, a.peer, a.seed_rank, a.group_active, a.prelog,
                coalesce(a.generation, 0) AS generation, r.seed_rank AS my_rank, r.prelog AS my_prelog,
                r.generation AS my_generation,
-               CASE WHEN a.txn_set IS NULL OR r.txn_set IS NULL THEN 'Unknown'
+               CASE WHEN a.txn_set IS NULL OR r.txn_set IS NULL OR a.malformed OR r.malformed THEN 'Unknown'
                     WHEN a.upto <= mine AND NOT peer_errant THEN CASE WHEN mine <= a.upto AND NOT my_errant THEN 'Equal' ELSE 'Behind' END
                     WHEN mine <= a.upto AND NOT my_errant THEN 'Ahead' ELSE 'Diverged' END AS relation
         FROM (SELECT *, errant AND txn_set LIKE '%m%' AS peer_errant FROM answers) a

@@ -213,6 +213,7 @@ class Tables:
         ).agg(F.max(F.struct("event_id", "event_type", "value", "ts")).alias("e"))
         node = text("m", F.col("seed_rank"))
         own = F.when(F.col("e.value") > 100, text(",\n ", node, ":1")).otherwise("")
+        source = text(F.when(F.col("seed_rank") % 2 == 0, "C").otherwise("c"), F.col("cluster"))
         progress = (F.col("round") - 19723) * 4 + F.floor(F.hour("e.ts") / 6) + 1
         state = member_state(F.col("e.event_type"))
         nth = lambda n: F.col("e.event_id") % n
@@ -226,7 +227,11 @@ class Tables:
             (state.isin("ONLINE", "RECOVERING") & (F.col("round") % 3 == 0)).alias("group_active"),
             F.when(F.col("e.value") < 1, None)
             .when(F.col("e.value").between(3, 8), " ")
-            .otherwise(F.concat(text("c", F.col("cluster"), ":1-", progress), own))
+            .when(nth(61) == 7, text(source, ":", progress + 3, "-", progress))
+            .when(nth(61) == 17, text(source, ":1-", progress, "-9"))
+            .when(nth(61) == 27, text(source, ":0-", progress))
+            .when(nth(61) == 37, text(":1-", progress))
+            .otherwise(F.concat(text(source, ":1-", progress), own))
             .alias("txn_set"),
             (nth(4) == 0).alias("prelog"),
             (progress % 3).alias("generation"),
@@ -437,10 +442,13 @@ class Tables:
 
     @cached_property
     def txn_texts(self) -> DataFrame:
-        """A set text per line item, with white space, a list of spans, a single and a tagged source."""
+        """A set text per line item, with white space, a list of spans, a single and a tagged source; a seventh have a bad part."""
         key = F.col("l_orderkey")
+        bad = F.element_at(
+            F.array(*map(F.lit, ["w:9-8,", "w:1-2-3,", "w:0,", ":4,", "w,", "w:1:-2,", "w:x:y:2,"])), (key % 7).cast("int") + 1
+        )
         body = text(
-            " ", F.col("l_returnflag"), ":", key, "-", key + F.col("l_linenumber"), ":", key + 20, ",\n", F.col("l_linestatus"), ":tag:", key, ":old:", key + 7, "-", key + 9
+            F.when(F.col("l_linenumber") == 7, bad).otherwise(""), " ", F.col("l_returnflag"), ":", key, "-", key + F.col("l_linenumber"), ":", key + 20, ",\n", F.col("l_linestatus"), ":tag:", key, ":old:", key + 7, "-", key + 9
         )
         return self.read("lineitem").select(
             "l_suppkey", F.explode(F.array(F.when(F.col("l_tax") == 0, "").otherwise(body))).alias("txn_set")
