@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, latest, over_keys, previous, total
+from tidemark.operators.log_index import SegmentIndex, located, replay_segments, segment_index, stop_places
 from tidemark.session import written
 
 # Cadence defaults in seconds.
@@ -50,10 +51,20 @@ def from_coordinate(seq: Column, pos: Column, start_seq: Column, start_pos: Colu
     return (seq > start_seq) | ((seq == start_seq) & (pos >= start_pos))
 
 
-def start_coordinate_filter(change_log: DataFrame, requests: DataFrame) -> DataFrame:
-    """Log rows each request replays: (request columns) x (its lineage's rows, in its archive, from the start on)."""
+def start_coordinate_filter(change_log: DataFrame, requests: DataFrame, index: SegmentIndex | None = None) -> DataFrame:
+    """Log rows each request replays: (request columns) x (its lineage's rows, in its archive, from the start on).
+
+    Requests meet the log by segment, so rows before the start segment are not joined. ``index`` is the log's, made here if it is not kept.
+    """
+    index = index or segment_index(change_log, lineage_keys(change_log, requests))
+    placed = located(index, requests).withColumn("_last", F.lit(None).cast("bigint"))
+    return _replayed(change_log, index, placed)
+
+
+def _replayed(change_log: DataFrame, index: SegmentIndex, placed: DataFrame) -> DataFrame:
+    """The rows of each placed request's segments from its start on; one equi-join on the segment."""
     reach = from_coordinate(F.col("seq"), F.col("pos"), F.col("start_seq"), F.col("start_pos"))
-    return change_log.join(requests, lineage_keys(change_log, requests)).where(reach)
+    return change_log.join(replay_segments(index, placed), [*index.keys, "seq"]).where(reach)
 
 
 def newest_full_asof(targets: DataFrame, fulls: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
@@ -231,26 +242,17 @@ def ledger_after_purge(ledger: DataFrame, cuts: DataFrame) -> DataFrame:
     return ledger.join(cuts.select("lineage", "cut_seq"), "lineage", "left").where(~purged).drop("cut_seq")
 
 
-def stop_cut(change_log: DataFrame, requests: DataFrame) -> DataFrame:
+def stop_cut(change_log: DataFrame, requests: DataFrame, index: SegmentIndex | None = None) -> DataFrame:
     """Log rows each request(request_id, lineage, start_seq, start_pos, target) replays, up to its stop.
 
-    Replay ends at the first row, in log order, stamped at or after the target's whole
-    second. Later rows stay out even when stamped earlier. A first pass over four columns
-    finds each request's stop; the stops are stored with the requests, whose size then
-    decides how they join the log. The log is never sorted, nor shuffled while the requests
-    are few enough to broadcast.
+    Replay ends at the first row, in log order, stamped at or after the target's whole second. Later rows stay out even when stamped
+    earlier. The log's index tells in which segment that is, rows of two segments at most where in it; the requests are stored with
+    their stops and meet the log once, by segment. No row behind the stop's segment is joined.
     """
-    at = F.struct("seq", "pos")
-    keys = lineage_keys(change_log, requests)
-    reached = start_coordinate_filter(change_log.select(*keys, "seq", "pos", "ts"), requests)
-    stops = (
-        reached.where(F.col("ts") >= F.date_trunc("second", "target"))
-        .groupBy("request_id")
-        .agg(F.min(at).alias("stop"))
-    )
-    bounded = written(requests.join(stops, "request_id", "left"))
-    replayed = start_coordinate_filter(change_log, bounded)
-    return replayed.where(F.col("stop").isNull() | (at < F.col("stop"))).drop("stop")
+    index = index or segment_index(change_log, lineage_keys(change_log, requests))
+    bounded = written(stop_places(change_log, index, written(located(index, requests))))
+    replayed = _replayed(change_log, index, bounded)
+    return replayed.where(F.col("stop").isNull() | (F.struct("seq", "pos") < F.col("stop"))).drop("stop")
 
 
 def segment_coverage(headers: DataFrame) -> DataFrame:

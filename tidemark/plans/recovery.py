@@ -11,6 +11,7 @@ from tidemark.functions import text as X
 from tidemark.functions.ordered import ROWS_PER_TASK
 from tidemark.operators import archive as A
 from tidemark.operators import replay as R
+from tidemark.operators.log_index import SegmentIndex
 
 
 def restore_readiness(
@@ -56,8 +57,9 @@ def point_in_time_table(
     readiness: DataFrame,
     keys: Sequence[str] = ("key",),
     payload: Sequence[str] = ("image",),
+    index: SegmentIndex | None = None,
 ) -> DataFrame:
-    """The keyed table at each approved request's target; requests not ``OK`` give no rows.
+    """The keyed table at each approved request's target; requests not ``OK`` give no rows. ``index`` is the log's, if it is kept.
 
     ``snapshot([archive_id], lineage, [dump_key], key, image)`` is what the full backups hold.
     """
@@ -65,6 +67,6 @@ def point_in_time_table(
     approved = readiness.where(F.col("verdict") == "OK").select(
         "request_id", *A.lineage_keys(readiness), "dump_key", "start_seq", "start_pos", "target"
     )
-    replayed = A.stop_cut(change_log, approved)
+    replayed = A.stop_cut(change_log, approved, index)
     base = snapshot.join(approved.select("request_id", *dump), dump)
     return R.fold(base, replayed, ["request_id", *keys], ["seq", "pos"], list(payload))
