@@ -36,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,7 +130,7 @@ def _texts(b: pa.RecordBatch) -> Iterator[bytes]:
 
 # -- contexts -------------------------------------------------------------------------------------------------------
 
-CONTEXT = np.dtype([("doc", "<i8"), ("key", "<i4"), ("start", "<i8"), ("size", "<i4"), ("anchor", "<i4")])
+CONTEXT = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i8"), ("size", "<i4"), ("anchor", "<i4")])
 
 
 def _pack(rows: np.ndarray, data: bytes) -> bytes:
@@ -198,10 +198,10 @@ def spans_of(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarra
     merged = np.stack([start[first], reach[np.append(first[1:], len(start)) - 1]], axis=1).astype("<i8")
     cuts = np.append(np.searchsorted(first, at), len(first))
     blobs = [merged[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int32()), pa.array(blobs, pa.binary())], ["__id", "__key", "__spans"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[at], pa.int64()), pa.array(key[at], pa.int64()), pa.array(blobs, pa.binary())], ["__id", "__key", "__spans"])
 
 
-SPANS = "__id long, __key int, __spans binary"
+SPANS = "__id long, __key long, __spans binary"
 SENT = f"bucket long, blob binary, {SPANS}"
 
 
@@ -252,7 +252,7 @@ def _contexts(length: int, anchor: int, marks, bits: int, keep=lambda b: b, key_
 
 
 def _sent(n: int, bucket: pa.Array, blob, settled) -> pa.RecordBatch:
-    columns = [settled.column(i) for i in range(3)] if settled is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+    columns = [settled.column(i) for i in range(3)] if settled is not None else [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
     return pa.RecordBatch.from_arrays([bucket, pa.nulls(n, pa.binary()) if blob is None else blob, *columns], ["bucket", "blob", "__id", "__key", "__spans"])
 
 
@@ -498,14 +498,35 @@ def _ids(b: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield mixed(b.column("__id").to_numpy().view(U))
 
 
-def _keys(keyed: DataFrame):
-    """What tells rows of equal ids apart: their key where the id is marked as occurring twice, else 0, which takes no room."""
-    marks, _, _ = bitmap(keyed.select("__id").mapInArrow(packing(_ids), BLOBS))
+def _keyed(rows: DataFrame):
+    """``rows`` (__id, __text, others) with ``__key``, and what tells rows of equal ids apart in tasks.
+
+    That is a 64-bit hash of the text where the id is marked as occurring twice, else 0, which takes no room. Should two texts of one id
+    share a hash (their 128-bit digests tell), another seed is taken, so that what one row loses never goes to another.
+    """
+    marks, _, _ = bitmap(rows.select("__id").mapInArrow(packing(_ids), BLOBS))
+
+    @F.pandas_udf("boolean")
+    def again(ids: pd.Series) -> pd.Series:
+        return pd.Series(marked(mixed(ids.to_numpy().astype(np.int64).view(U)), marks))
+
+    seed, repeated = 0, rows.where(again("__id"))
+    while True:
+        key = _key(seed)
+        digest = F.md5(F.col("__text").cast("binary"))
+        texts = repeated.groupBy("__id", key.alias("__key")).agg(F.min(digest).alias("lo"), F.max(digest).alias("hi"))
+        if texts.where(F.col("lo") != F.col("hi")).limit(1).count() == 0:
+            break
+        seed += 1
 
     def key_of(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        return np.where(marked(mixed(ids.astype(np.int64).view(U)), marks), keys, 0).astype(np.int32)
+        return np.where(marked(mixed(ids.astype(np.int64).view(U)), marks), keys, 0).astype(np.int64)
+
+    return rows.withColumn("__key", key), key_of
+
 
-    return key_of
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce("__text", F.lit("")))
 
 
 def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_characters: bool = False) -> DataFrame:
@@ -517,9 +538,10 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
         raise ValueError("an anchor must fit into a string")
     small_batches(docs.sparkSession)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(row.alias("__row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("__id"), F.hash("doc_id", "text").alias("__key"))
-    keyed_texts = keyed.select("__id", "__key", F.col("__row.text").alias("text"))
-    key_of = _keys(keyed)
+    ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("__id")
+    keyed, key_of = _keyed(docs.select(row.alias("__row"), ids, F.col("text").alias("__text")))
+    keyed_texts = keyed.select("__id", "__key", F.col("__text").alias("text"))
+    keyed = keyed.drop("__text")
     long_ = keyed_texts.where(F.octet_length("text") >= length)
     texts, keep, others = first_copies(long_.select("__id", "__key", "text", F.octet_length("text").alias("n")), "__id")
     copies = others.where(F.col("__id") > F.col("first")).select("__id", "__key", "n").mapInArrow(_all_of_it(key_of), SPANS)
@@ -528,7 +550,7 @@ def deduplicated(docs: DataFrame, length: int = 50, anchor: int = ANCHOR, whole_
     sent = texts.drop("n").mapInArrow(_contexts(length, anchor, marks, bits, keep, key_of), SENT)
     spans = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settled(length, anchor), SPANS).unionByName(copies)
 
-    @F.pandas_udf("int")
+    @F.pandas_udf("long")
     def final_key(ids: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series(key_of(ids.to_numpy(), keys.to_numpy()))
 
