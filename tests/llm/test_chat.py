@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -58,3 +59,15 @@ def test_table(spark):
 def test_empty(spark):
     table = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.format_log(C.log_of(table), ["turn", "same", "tie", "step"]).count() == 0
+
+
+def test_long_messages_in_linear_time(spark):
+    """Ten million characters: deltas are cut in one pass, and none carries the whole message."""
+    text = "wörd 😀\n<|im_end|>" * 600_000
+    rows = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", text, "y")], "conv_id long, turn int, role string, text string, KIND string")
+    log = C.log_of(rows)
+    assert log.columns == ["conv_id", "turn", "same", "tie", "step", "kind", "role", "text"]
+    began = time.time()
+    got = C.digest(C.format_log(log, ["turn", "same", "tie", "step"])).collect()
+    assert time.time() - began < 120
+    assert [(r.n_turns, r.loss_chars, r.loss_sha256) for r in got] == [(2, len(text), hashlib.sha256(text.encode()).hexdigest())]

@@ -165,24 +165,24 @@ def log_of(conversations: DataFrame) -> DataFrame:
     edited, and some are regenerated after a part of an earlier attempt; every history occurs in each role.
     """
     text = F.coalesce("text", F.lit(""))
-    steps = F.greatest(F.ceil(F.length(text) / CHUNK), F.lit(1)).cast("int")
+    cut = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{CHUNK}}})"), 1)  # one pass, whole characters
+    parts = F.when(text == "", F.array(F.lit(""))).otherwise(cut)
     history = F.pmod(F.xxhash64("conv_id", "turn", "role"), F.lit(4))
 
     def event(kind: str, said) -> object:
         return F.struct(F.lit(kind).alias("kind"), said.alias("text"))
 
-    def deltas(of):
-        return F.transform(F.sequence(F.lit(0), steps - 1), lambda i: event("delta", F.substring(of, i * CHUNK + 1, F.lit(CHUNK))))
-
+    deltas = F.transform(parts, lambda part: event("delta", part))
     first = F.array(event("open", F.lit("")))
     told = (
         F.when(history == 0, F.concat(first, F.array(event("delta", F.reverse(text)), event("edit", text))))
-        .when(history == 1, F.concat(first, F.array(event("delta", F.lit("wrong <|im_end|>")), event("regenerate", F.lit(None).cast("string"))), deltas(text)))
-        .otherwise(F.concat(first, deltas(text)))
+        .when(history == 1, F.concat(first, F.array(event("delta", F.lit("wrong <|im_end|>")), event("regenerate", F.lit(None).cast("string"))), deltas))
+        .otherwise(F.concat(first, deltas))
     )
-    rows = conversations.select("conv_id", "turn", "role", text.alias("whole"), F.monotonically_increasing_id().alias("tie"), told.alias("told"))
-    opened = rows.select("conv_id", "turn", "role", "whole", "tie", F.posexplode("told").alias("step", "e"))
-    return opened.select("conv_id", "turn", F.xxhash64("role", "whole").alias("same"), "tie", "step", "e.kind", "role", "e.text")
+    same = F.xxhash64("role", text).alias("same")
+    rows = conversations.select("conv_id", "turn", "role", same, F.monotonically_increasing_id().alias("tie"), told.alias("told"))
+    opened = rows.select("conv_id", "turn", "role", "same", "tie", F.posexplode("told").alias("step", "e"))
+    return opened.select("conv_id", "turn", "same", "tie", "step", "e.kind", "role", "e.text")
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
