@@ -45,9 +45,10 @@ from pyspark.sql import types as T
 
 from tidemark.llm.batches import small_batches
 from tidemark.llm.copies import without_names
+from tidemark.llm.known import Known
 
 VOCABULARY = "word_bpe_49k.json"
-KEPT, ARCS_KEPT, LONGEST_KEPT = 1 << 17, 1 << 21, 64
+ARCS_KEPT = 1 << 21
 SLICE = 1 << 20  # characters encoded between two record batches
 NEVER = 1 << 40
 #: Unicode's White_Space characters; Python's ``split`` takes four control characters more.
@@ -134,25 +135,6 @@ class Automaton:
         return found
 
 
-class Known(dict):
-    """Ids of chunks or words, as bytes. One that is not there is encoded; short ones are kept until two turn-overs pass without them."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, text: str) -> bytes:
-        found = self.older.get(text)
-        if found is None:
-            found = self.encode(text)
-        if len(text) <= LONGEST_KEPT:
-            if len(self) >= KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[text] = found
-        return found
-
-
 class Tokenizer:
     """A vocabulary file: words, the automaton, and labels."""
 

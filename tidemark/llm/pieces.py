@@ -42,12 +42,13 @@ from pyspark.sql import types as T
 
 from tidemark.llm.batches import small_batches
 from tidemark.llm.copies import without_names
+from tidemark.llm.known import Known
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-WORDS_KEPT, PAIRS_KEPT = 1 << 18, 1 << 19
+WORDS_KEPT, PAIRS_KEPT = 1 << 19, 1 << 19
 NOTHING = ({}, -1)
 SLICE = 1 << 20  # characters encoded between two record batches
 
@@ -116,8 +117,8 @@ class Pieces:
         self.plain = [special.get(k, t) for t, k in zip(self.texts, self.types)]
         self.sizes = [len(t) for t in self.texts] + [1]  # the last entry, [-1], is a character without a piece
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known = Known(lambda w: self._packed(SPACE + w), WORDS_KEPT)  # words behind one space
+
     @cached_property
     def trie(self) -> dict[str, tuple[dict, int]]:
         """A character leads from a node to the next one and the id of the piece that ends there, or -1."""
@@ -203,6 +204,8 @@ class Pieces:
                         fit = before < 0 or fits.get(row + i)
                         if fit or (fit is None and self.apart(before, i)):
                             last[end] = i
+                if n in last:  # the one piece that fits the end: what lies between cannot change the path back from there
+                    break
             else:
                 so_far = score[begin]
                 total = so_far + (scores[i] if i >= 0 else self.unknown_score)
@@ -249,9 +252,12 @@ class Pieces:
 
     def word(self, text: str) -> list[int]:
         """Ids of a text that starts at a boundary of its own."""
+        found = list(self.path(text))
+        if not found or min(found) >= 0:
+            return found
         out: list[int] = []
         at = 0
-        for i in self.path(text):
+        for i in found:
             if i >= 0:
                 out.append(i)
             elif self.fallback:
@@ -262,38 +268,34 @@ class Pieces:
         return out
 
     def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
+
+    def encoded(self, text: str | None) -> bytes:
+        """The ids of a whole text as machine integers."""
         if not text:
-            return []
+            return b""
         if SPACE in text:
             text = text.replace(SPACE, " ")
         if not self.words_apart:
-            return self.word(SPACE + text.replace(" ", SPACE))
-        out: list[int] = []
+            return self._packed(SPACE + text.replace(" ", SPACE))
+        words = text.split(" ")
+        if "" not in words:
+            return b"".join(map(self.known.__getitem__, words))
+        out: list[bytes] = []
         run = 1
-        for w in text.split(" "):
+        for w in words:
             if not w:
                 run += 1
                 continue
-            if run == 1:
-                found = self.known.get(w)
-                if found is None:
-                    found = self._kept(w)
-                out += found
-            else:  # white space before a word may merge with it
-                out += self.word(SPACE * run + w)
+            # White space before a word may merge with it.
+            out.append(self.known[w] if run == 1 else self._packed(SPACE * run + w))
             run = 1
         if run > 1:
-            out += self.word(SPACE * (run - 1))
-        return out
+            out.append(self._packed(SPACE * (run - 1)))
+        return b"".join(out)
 
-    def _kept(self, w: str) -> tuple[int, ...]:
-        """The ids of a word after one space, remembered until two turn-overs pass without it."""
-        found = self.older.get(w) or tuple(self.word(SPACE + w))
-        if len(w) <= 64:
-            if len(self.known) >= WORDS_KEPT:
-                self.older, self.known = self.known, {}
-            self.known[w] = found
-        return found
+    def _packed(self, text: str) -> bytes:
+        return array("i", self.word(text)).tobytes()
 
     def decode(self, ids) -> str:
         try:
@@ -341,18 +343,18 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids"
     docs = without_names(docs, [into])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = loaded(model).encode
+        encode = loaded(model).encoded
         for b in batches:
-            ids, ends, size, first = array("i"), [0], 0, 0
+            parts, ends, size, first = [], [0], 0, 0
             for i, value in enumerate(b.column(text)):
                 t = value.as_py()
-                ids.extend(encode(t))
-                ends.append(len(ids))
+                parts.append(encode(t))
+                ends.append(ends[-1] + len(parts[-1]) // 4)
                 size += len(t or "")
                 if size >= SLICE or i + 1 == b.num_rows:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32)) if ids else pa.array([], pa.int32()))
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int32)))
                     yield pa.RecordBatch.from_arrays([*b.slice(first, len(lists)).columns, lists], [*b.schema.names, into])
-                    ids, ends, size, first = array("i"), [0], 0, i + 1
+                    parts, ends, size, first = [], [0], 0, i + 1
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
