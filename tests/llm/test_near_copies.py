@@ -4,7 +4,7 @@ import pytest
 
 from tidemark.llm import jaccard_join as J
 from tidemark.llm import suffix_dedup as D
-from tidemark.llm.shingles import PIECE, shingle_sets
+from tidemark.llm.shingles import PIECE, shingle_sets, word_hashes
 from pyspark.sql import functions as F
 from tests.conftest import SF
 from tests.llm import brute
@@ -113,3 +113,27 @@ def test_a_lying_hash_is_found_out(monkeypatch):
     data = np.frombuffer(b"abcdefgh" b"abcdefgx" b"abcdefgh", np.uint8)
     least = D.smallest_of_equal(Prefixes(data), np.array([0, 8, 16]), np.zeros(3, int), np.array([5, 1, 4]), 8)
     assert least.tolist() == [4, 1, 4]
+
+
+def thue_morse(n: int, first: str = "a", second: str = "b") -> str:
+    """Letters by the parity of their place's bits: words of which polynomial hashes modulo 2**64 cannot be told apart."""
+    return "".join((first, second)[i.bit_count() & 1] for i in range(n))
+
+
+def test_words_of_alike_form_do_not_link(spark):
+    x, y = thue_morse(2048), thue_morse(2048, "b", "a")
+    assert len(set(word_hashes([x, y])[0].tolist())) == 2
+    rows = [(1, x), (2, y), (3, f"{x} {y} {x}"), (4, f"{y} {x} {y}")]
+    got = J.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+@pytest.mark.parametrize("seeds", [1, 3])
+def test_rows_without_ids_keep_their_own_text(spark, monkeypatch, seeds):
+    """Keys that collide for the first seeds: another is taken, and only copies lose anything."""
+    real = D._key
+    monkeypatch.setattr(D, "_key", lambda seed: F.lit(7).cast("long") if seed < seeds else real(seed))
+    a, b = "x1 " * 22, "completely different text, of which no other document holds any part"
+    rows = [(1, a), (None, a), (None, b), (None, None), (None, "")]
+    got = D.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 50).collect()
+    assert sorted((r.n_bytes, r.n_removed) for r in got) == [(0, 0), (0, 0), (len(a), 0), (len(a), len(a)), (len(b), 0)]

@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     seen = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     out = seen.where(F.col("v") > F.col("u")) if large else edges
-    moved = out.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = out.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.where(F.col("u") > F.col("v")).distinct()
@@ -27,7 +27,7 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node in ``links`` (a, b); the label is the smallest node of the component.
 
     Every round is stored in the shared folder; rounds grow with the logarithm of the largest distance. A node with any
-    number of links is combined map-side and its join is split by adaptive execution.
+    number of links is combined map-side and its join is split by adaptive execution; tables that grow are merged, never sent to all.
     """
     ends = links.where(F.col("a") != F.col("b"))
     edges = written(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

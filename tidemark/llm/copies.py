@@ -46,6 +46,8 @@ def first_copies(rows: DataFrame, order: str) -> tuple[DataFrame, Callable[[pa.R
       with equal texts, the ones of the smallest ``order``.
     * the rows whose text occurs again, without the text: their columns, ``digest``, and ``first``, the smallest ``order`` of their text.
 
+    ``keep.release()`` frees what ``keep`` and the third table read; call it when all that is made from them is stored.
+
     Texts whose 64-bit hash is not marked as occurring twice pass by unmoved. Only the others are grouped, by a 128-bit digest;
     one row for each text leaves a task, so a text that a third of all rows have is no burden.
     """
@@ -64,10 +66,12 @@ def first_copies(rows: DataFrame, order: str) -> tuple[DataFrame, Callable[[pa.R
         for b in batches:
             yield b.filter(pa.array(repeated(b)))
 
+    keep.release = marks.destroy
+
     again = hashed.mapInArrow(others_of, hashed.schema).drop("text_hash").withColumn("digest", F.md5(F.col("text").cast("binary")))
     fields = [order, *[c for c in rows.columns if c != order]]
     firsts = written(again.groupBy("digest").agg(F.min(F.struct(*fields)).alias("r")).select("digest", "r.*"))
     # A NULL hash is kept by every user.
     once = hashed.unionByName(firsts.select(*rows.columns, F.lit(None).cast("long").alias("text_hash")))
-    others = again.drop("text").join(firsts.select("digest", F.col(order).alias("first")), "digest")
+    others = again.drop("text").join(firsts.select("digest", F.col(order).alias("first")).hint("merge"), "digest")
     return once, keep, others

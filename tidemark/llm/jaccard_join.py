@@ -16,8 +16,8 @@ share a shingle in their prefixes, the first n - ceil(percent * n / 100) + 1 shi
    components so far. All those pairs that size and position allow are compared, and the new links join components.
 
 So a thousand near copies cost a thousand comparisons, not a million, and no link between components is lost: pairs that are never
-compared are in one component anyway. Lists are joined, never collected; hot keys are combined map-side or split by
-adaptive execution.
+compared are in one component anyway. Lists are joined, never collected nor broadcast; hot keys are combined map-side or
+split by adaptive execution.
 
 Hashes are 64 bits: sets are taken for equal when the hashes of all their shingles are.
 
@@ -137,7 +137,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     """Those of ``pairs`` (a, b) whose texts link."""
     left = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(words, percent), "a long, b long")
+    return _merged(_merged(pairs, left, "a"), right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked(words, percent), "a long, b long")
+
+
+def _merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the input: neither is collected to be broadcast, however small it turns out."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def _fits(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -168,23 +173,24 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
     groups = written(classes.groupBy("gid").agg(lead.alias("r"), F.count("*").alias("members")).select("gid", "members", F.col("r.cid").alias("lead"), "r.n", "r.weight", "r.tokens"))
     tokens = groups.select("gid", "n", "weight", F.explode("tokens").alias("t")).select("t.token", "t.pos", "gid", "n", "weight")
     shared = tokens.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > 1).select("token")
-    tokens = written(tokens.join(shared, "token"))
+    tokens = written(_merged(tokens, shared, "token"))
     # Leaders: per list and size band the group of the most frequent prefix.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     banded = tokens.withColumn("band", band)
     lists = banded.groupBy("token", "band").agg(F.max(F.struct("weight", "gid", "n")).alias("leader"), F.count("*").alias("size")).where(F.col("size") > 1)
-    led = banded.join(lists.select("token", "band", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n")), ["token", "band"])
+    led = _merged(banded, lists.select("token", "band", F.col("leader.gid").alias("leader"), F.col("leader.n").alias("leader_n")), ["token", "band"])
     led = led.where((F.col("gid") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n"), percent))
     ranked = led.groupBy("gid", "leader").agg(F.count("*").alias("shared"))
     stars = ranked.groupBy("gid").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
     heads = groups.select("gid", "lead")
-    star_pairs = stars.join(heads, "gid").select("leader", F.col("lead").alias("a")).join(heads.select(F.col("gid").alias("leader"), F.col("lead").alias("b")), "leader")
-    inner = classes.select("cid", "gid").join(groups.where(F.col("members") > 1).select("gid", "lead"), "gid").where(F.col("cid") != F.col("lead"))
+    led_by = written(_merged(stars, heads, "gid").select("leader", F.col("lead").alias("a")))
+    star_pairs = _merged(led_by, heads.select(F.col("gid").alias("leader"), F.col("lead").alias("b")), "leader")
+    inner = _merged(classes.select("cid", "gid"), groups.where(F.col("members") > 1).select("gid", "lead"), "gid").where(F.col("cid") != F.col("lead"))
     pairs = written(star_pairs.select("a", "b").unionByName(inner.select(F.col("cid").alias("a"), F.col("lead").alias("b"))).distinct())
 
     # Texts of the classes that have any candidate; others are not moved.
     open_groups = tokens.select("gid").unionByName(groups.where(F.col("members") > 1).select("gid")).distinct()
-    wanted = written(classes.join(open_groups, "gid", "left_semi").select("cid", "gid", "n", "row_key"))
+    wanted = written(_merged(classes, open_groups, "gid", "left_semi").select("cid", "gid", "n", "row_key"))
     there = members(wanted.select(F.xxhash64("row_key")))
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,36 +199,40 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80) ->
             yield few.select(["row_key", "text"])
 
     few = once.select("row_key", "text", "text_hash", F.xxhash64("row_key").alias("h")).mapInArrow(candidates, "row_key long, text string")
-    texts = written(few.join(wanted.select("row_key", "cid"), "row_key").select("cid", "text"))
+    texts = written(_merged(few, wanted.select("row_key", "cid"), "row_key").select("cid", "text"))
+    others = written(others)
+    for read in (marks, slots, there):
+        read.destroy()
+    keep.release()
 
     links = written(verified(pairs, texts, words, percent))
     labels = components(links)
     # The rest: members of groups that share a token, or of one group, in different components.
-    placed = wanted.select("cid", "gid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    placed = _merged(wanted.select("cid", "gid", "n"), labels.withColumnRenamed("node", "cid"), "cid", "left")
     placed = written(placed.withColumn("label", F.coalesce("label", "cid")))
-    parts = tokens.select("token", "pos", "gid").join(placed, "gid")
+    parts = _merged(tokens.select("token", "pos", "gid"), placed, "gid")
     several = parts.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("token")
-    left = parts.join(several, "token")
+    left = _merged(parts, several, "token")
     right = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cid", "label", "n", "pos")])
     n, m = F.col("n"), F.col("n_b")
     reach = 1 + F.least(n - F.col("pos") - 1, m - F.col("pos_b") - 1)
-    crossed = left.join(right, "token").where((F.col("label") < F.col("label_b")) & _fits(n, m, percent) & (reach * (100 + percent) >= (n + m) * percent))
+    crossed = _merged(left, right, "token").where((F.col("label") < F.col("label_b")) & _fits(n, m, percent) & (reach * (100 + percent) >= (n + m) * percent))
     mixed_groups = placed.groupBy("gid").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("gid")
-    one = placed.join(mixed_groups, "gid")
-    within = one.select("gid", "cid", "label").join(one.select("gid", F.col("cid").alias("cid_b"), F.col("label").alias("label_b")), "gid").where(F.col("label") < F.col("label_b"))
+    one = _merged(placed, mixed_groups, "gid")
+    within = _merged(one.select("gid", "cid", "label"), one.select("gid", F.col("cid").alias("cid_b"), F.col("label").alias("label_b")), "gid").where(F.col("label") < F.col("label_b"))
     rest = crossed.select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).unionByName(within.select(F.col("cid").alias("a"), F.col("cid_b").alias("b"))).distinct()
     more = written(verified(written(rest), texts, words, percent))
     final = components(links.unionByName(more))
 
-    named = classes.select("cid", "doc").join(final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = _merged(classes.select("cid", "doc"), final.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_class = named.join(smallest, "label").select("cid", F.col("label").alias("component"), "component_id")
-    placed_sets = sets.select("doc", "row_key", "n", "cid").join(of_class, "cid", "left")
+    of_class = _merged(named, smallest, "label").select("cid", F.col("label").alias("component"), "component_id")
+    placed_sets = written(_merged(sets.select("doc", "row_key", "n", "cid"), of_class, "cid", "left"))
     # Rows whose text occurs again take the place of the row that stands for it.
     stands = others.where(F.col("doc") == F.col("first")).select("digest", "row_key").distinct()
-    of_text = stands.join(placed_sets.drop("doc"), "row_key").drop("row_key")
-    copies = others.select("doc", "row_key", "digest").join(of_text, "digest").drop("digest")
-    out = placed_sets.join(stands.select("row_key"), "row_key", "left_anti").unionByName(copies)
+    of_text = _merged(stands, placed_sets.drop("doc"), "row_key").drop("row_key")
+    copies = _merged(others.select("doc", "row_key", "digest"), of_text, "digest").drop("digest")
+    out = _merged(placed_sets, stands.select("row_key"), "row_key", "left_anti").unionByName(copies)
     doc_id = F.nullif("doc", F.lit(LAST))
     component_id = F.when(F.col("cid").isNull(), doc_id).otherwise(F.nullif("component_id", F.lit(LAST)))
     return out.select(doc_id.alias("doc_id"), "row_key", F.col("n").cast("long").alias("n_shingles"), "component", component_id.alias("component_id"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tidemark.llm.batches import returning
+from tidemark.llm.batches import give_back, returning
 
 BUCKETS = 4096
 MARKS = 27
@@ -107,12 +107,19 @@ def bitmap(blobs: DataFrame):
     marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(returning(_twice), f"{BLOBS}, slots binary, n long")
     bits, slots = bytearray(1 << (MARKS - 3)), bytearray(4 * SLOTS)
     share, part, n = len(bits) // BUCKETS, len(slots) // BUCKETS, 0
-    for row in marked.collect():  # at most BUCKETS rows of a fixed size, 20 MB
+    rows = marked.collect()  # at most BUCKETS rows of a fixed size, 20 MB
+    while rows:
+        row = rows.pop()
         k = row["bucket"]
         bits[k * share : (k + 1) * share] = row["blob"]
         slots[k * part : (k + 1) * part] = row["slots"]
         n += row["n"]
-    return blobs.sparkSession.sparkContext.broadcast(folded(bytes(bits))), bytes(slots), n
+    small = folded(bytes(bits))
+    del bits
+    sent = blobs.sparkSession.sparkContext.broadcast(small)
+    del small
+    give_back()
+    return sent, bytes(slots), n
 
 
 #: For a byte: the four bits that say whether each pair of its bits has any set.
