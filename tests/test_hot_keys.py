@@ -76,3 +76,14 @@ def test_bursts_split(spark):
     over_keys(df, NODE, ORDER, lambda o: chunks.append(o) or o.df.drop("_chunk"), 100)
     hot = [o.df for o in chunks if o.chunk][0].groupBy("_chunk").count().agg(F.max("count")).first()[0]
     assert hot <= 300
+
+
+CHAINS = {"budget": 5, "fall_rise": 5, "stuck": 5, "alert": 5, "coalesce": 97}
+
+
+@pytest.mark.parametrize("name", CHAINS)
+def test_a_hot_plan_reads_its_rows_twice(tables, name):
+    """However many carries a rule chains: the last one's rows and their summaries, and the keys that are not hot."""
+    plan = RULES[name](tables, CHAINS[name])._jdf.queryExecution().executedPlan().toString()
+    stored = [line for line in plan.split("\n") if "FileScan parquet" in line and "_chunk" in line]
+    assert 1 <= len(stored) <= 2

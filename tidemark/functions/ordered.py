@@ -6,7 +6,9 @@ count. Spark's window does that well while a key fits into one task. Rows of key
 ``rows_per_task`` rows are range-partitioned by key and whole order, so that bursts and runs of equal clock values are
 split by their real number, and stored once with their partition as chunk. Each chunk is summed up by an ordinary
 aggregate (combined map-side), the summaries of a key are walked by a small window, and what they carry is joined back
-to the chunk's rows. Both plans give the same rows; NULLs come first in the order and are keys like any other.
+to the chunk's rows. A carry that reads what an earlier one remembered works on rows stored with it, so each is read twice,
+once for its summaries and once for its rows, however many carries a rule chains. Both plans give the same rows; NULLs come first in
+the order and are keys like any other.
 
 ``over_keys`` counts rows per key first (combined map-side) and asks for the keys above the
 bound. Usually there are none and the plan is the plain window. Up to ``BROADCAST_KEYS`` hot
@@ -70,11 +72,13 @@ class Ordered:
         order: Sequence[Column],
         chunk: str | None = None,
         backward: bool = False,
+        carried: bool = False,
     ):
         self.df, self.keys, self.order, self.chunk, self.backward = df, list(keys), list(order), chunk, backward
+        self.carried = carried  # do rows hold what is not stored yet?
 
-    def _with(self, df: DataFrame) -> Ordered:
-        return Ordered(df, self.keys, self.order, self.chunk, self.backward)
+    def _with(self, df: DataFrame, carried: bool | None = None) -> Ordered:
+        return Ordered(df, self.keys, self.order, self.chunk, self.backward, self.carried if carried is None else carried)
 
     def _directed(self, columns: Sequence[Column]) -> list[Column]:
         return [c.desc() if self.backward else c.asc() for c in columns]
@@ -89,6 +93,8 @@ class Ordered:
         """Add one column per carry."""
         if self.chunk is None:
             return self._with(self.df.withColumns({n: self._window(c, self.keys) for n, c in carries.items()}))
+        if self.carried:
+            return self._with(written(self.df), False).carry(**carries)
         groups = [*self.keys, self.chunk]
         summary = self.df.groupBy(*groups).agg(*[self._summary(c).alias(f"_in_{n}") for n, c in carries.items()])
         earlier = Window.partitionBy(*self.keys).orderBy(*self._directed([F.col(self.chunk)]))
@@ -99,7 +105,7 @@ class Ordered:
         )
         joined = self.df.join(handed, _same(groups)).drop(*[f"_of_{g}" for g in groups])
         own = {n: _merge(c.kind, F.col(f"_in_{n}"), self._window(c, groups)) for n, c in carries.items()}
-        return self._with(joined.withColumns(own).drop(*[f"_in_{n}" for n in carries]))
+        return self._with(joined.withColumns(own).drop(*[f"_in_{n}" for n in carries]), True)
 
     def _window(self, carry: Carry, keys: Sequence[str]) -> Column:
         frame = Window.partitionBy(*keys).orderBy(*self._directed(self.order))
