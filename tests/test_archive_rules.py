@@ -39,28 +39,28 @@ def make_targets(spark, *instants):
     )
 
 
-FULLS = [("a", at("10:00:00")), ("a", at("12:00:00")), ("b", at("13:00:00")), ("a", at("15:00:00"))]
+FULLS = [("q", at("02:15:30")), ("q", at("06:40:00")), ("k", at("07:05:09")), ("q", at("21:10:00"))]
 
 
 def test_newest_full(spark):
-    targets = make_targets(spark, at("14:00:00"), at("12:00:00"), at("09:59:59"))
+    targets = make_targets(spark, at("20:00:00"), at("06:40:00"), at("02:15:29"))
     rows = {r.request_id: r for r in A.newest_full_asof(targets, make_fulls(spark, FULLS)).collect()}
-    assert (rows["0"].lineage, rows["0"].taken_at) == ("b", at("13:00:00"))
-    assert (rows["1"].lineage, rows["1"].taken_at) == ("a", at("12:00:00"))
+    assert (rows["0"].lineage, rows["0"].taken_at) == ("k", at("07:05:09"))
+    assert (rows["1"].lineage, rows["1"].taken_at) == ("q", at("06:40:00"))
     assert rows["2"].lineage is None
 
 
 def test_newest_full_tie(spark):
-    tied = make_fulls(spark, [("z", at("10:00:00")), ("a", at("10:00:00"))])
-    assert A.newest_full_asof(make_targets(spark, at("11:00:00")), tied).first().lineage == "z"
+    tied = make_fulls(spark, [("n", at("03:30:00")), ("t", at("03:30:00")), ("e", at("03:30:00"))])
+    assert A.newest_full_asof(make_targets(spark, at("03:30:00")), tied).first().lineage == "t"
 
 
 def test_fallback_fulls(spark):
     rows = A.fallback_fulls(make_fulls(spark, FULLS[:3])).orderBy("rank").collect()
-    lines = [r.line for r in rows if r.dump_key != f"a/{at('12:00:00').isoformat()}"]
+    lines = [r.line for r in rows if r.dump_key != f"q/{at('06:40:00').isoformat()}"]
     assert lines == [
-        "server-b full taken at 2026-08-13T13:00:00.000Z",
-        "server-a full taken at 2026-08-13T10:00:00.000Z",
+        "server-k full taken at 2026-08-13T07:05:09.000Z",
+        "server-q full taken at 2026-08-13T02:15:30.000Z",
     ]
     assert {r.others for r in rows} == {2}
     assert A.fallback_fulls(make_fulls(spark, FULLS[:1])).first().others == 0
@@ -76,16 +76,15 @@ def plan(spark, seqs, start, names=None):
 
 
 def test_replay_plan(spark):
-    assert plan(spark, [1, 2, 3, 5], 2) == (2, name(3), name(3), name(5))
-    assert plan(spark, [1, 2, 3, 5], 99) == (0, None, None, None)
-    assert plan(spark, [1, 4, 5], 3) == (0, None, "", name(4))
-    assert plan(spark, [1, 2, 3], 1) == (3, name(3), None, None)
-    assert plan(spark, [3, 1, 2], 1) == (3, name(3), None, None)
+    assert plan(spark, [11, 12, 13, 14, 17, 18], 13) == (2, name(14), name(14), name(17))
+    assert plan(spark, [11, 12, 17], 40) == (0, None, None, None)
+    assert plan(spark, [6, 20, 22], 9) == (0, None, "", name(20))
+    assert plan(spark, [99, 101, 100, 98], 99) == (3, name(101), None, None)
     # Two files of one number are a gap; a file of the start's number is not past it.
-    assert plan(spark, [1, 1, 3], 1, [name(1), "other.000001", name(3)])[0] == 1
-    assert plan(spark, [1, 2, 2, 3], 1) == (2, name(2), name(2), name(2))
-    assert plan(spark, [1, 2], 1, ["other.000001", name(2)]) == (0, None, "", name(2))
-    assert plan(spark, [1], 1, ["other.000001"]) == (0, None, None, None)
+    assert plan(spark, [7, 7, 8], 7, [name(7), "other.000007", name(8)])[0] == 1
+    assert plan(spark, [30, 31, 31, 32], 30) == (2, name(31), name(31), name(31))
+    assert plan(spark, [5, 6], 5, ["other.000005", name(6)]) == (0, None, "", name(6))
+    assert plan(spark, [5], 5, ["other.000005"]) == (0, None, None, None)
 
 
 def walk_plan(seqs, start):
@@ -128,12 +127,12 @@ def cut(spark, disk, active, uploaded=(), lost=()):
 
 
 def test_purge_cut(spark):
-    assert cut(spark, [1, 2, 3, 4], 4, [1, 2, 3]) == 4
-    assert cut(spark, [1, 2, 3, 4], 4, [1, 3]) == 2
-    assert cut(spark, [1, 2, 3, 4], 4, [1, 3], [2]) == 4
-    assert cut(spark, [1, 2], 1) is None
-    assert cut(spark, [1, 2], 2) is None
-    assert cut(spark, [], 1) is None
+    assert cut(spark, [20, 21, 22, 25, 26], 26, [20, 21, 22, 25]) == 26
+    assert cut(spark, [20, 21, 22, 25, 26], 26, [20, 21, 25]) == 22
+    assert cut(spark, [20, 21, 22, 25, 26], 26, [20, 25], [21, 22]) == 26
+    assert cut(spark, [20, 21, 22], 22, [21]) is None
+    assert cut(spark, [8], 8) is None
+    assert cut(spark, [], 8) is None
 
 
 def test_recovery_bound(spark):

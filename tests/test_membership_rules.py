@@ -33,10 +33,10 @@ def test_writable_primary(spark):
 
 
 def test_handoff(spark):
-    hosts = [("a", "h1", P), ("c", "mysql-3", S), ("b", "mysql-2", S)]
+    hosts = [("a", "aaa", P), ("x", "db-10", S), ("k", "db-2", S), ("z", "Edge", S)]
     rows = [("c", 0, "a", m, h, "ONLINE", r) for m, h, r in hosts] + [("c", 1, "a", "a", "h", "ONLINE", P)]
     df = spark.createDataFrame(rows, view(spark, [("a", FULL)]).schema)
-    assert [r.target for r in M.handoff_target(df).orderBy("round").collect()] == ["b", None]
+    assert [r.target for r in M.handoff_target(df).orderBy("round").collect()] == ["z", None]
 
 
 ANSWERS = (
