@@ -143,3 +143,21 @@ def test_random_sets(spark, rows_per_task):
     merged = X.coalesce_intervals(data, rows_per_task=rows_per_task)
     for r in X.interval_containment(merged, asked, rows_per_task=rows_per_task).collect():
         assert r.contained == ({(r.source, n) for n in range(r.lo, r.hi + 1)} <= points[r.b])
+
+
+@pytest.mark.parametrize("per_block,rows_per_task", [(128, 10**9), (7, 10**9), (7, 20)])
+def test_many_owners_in_blocks(spark, per_block, rows_per_task, monkeypatch):
+    """Two hundred owners over several words, and over many blocks; nested, equal, empty and diverged sets."""
+    monkeypatch.setattr(X, "OWNERS_PER_BLOCK", per_block)
+    rng, rows, points = random.Random(6), [], {}
+    for n in range(200):
+        owner, most = f"o{n}", rng.choice([3, 6, 12])
+        points[owner] = {(s, i) for s in "st" for i in range(1, most) if rng.random() < 0.93} if n % 9 else set()
+        rows += [(owner, s, i, i) for s, i in points[owner]]
+    asked = [(f"o{rng.randrange(200)}", f"o{rng.randrange(200)}") for _ in range(400)] + [("o1", "o1"), ("nobody", "o2"), ("o3", "nobody")]
+    asked = sorted(set(asked))
+    got = {(r.a, r.b): r.relation for r in X.txn_relation(intervals(spark, rows), spark.createDataFrame(asked, "a string, b string"), rows_per_task=rows_per_task).collect()}
+    names = {(True, True): "Equal", (True, False): "Behind", (False, True): "Ahead", (False, False): "Diverged"}
+    held = lambda o: points.get(o, set())
+    assert got == {(a, b): names[(held(b) <= held(a), held(a) <= held(b))] for a, b in asked}
+    assert set(got.values()) == set(names.values())

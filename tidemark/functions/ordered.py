@@ -57,6 +57,11 @@ def latest(value: Column, inclusive: bool = True) -> Carry:
     return Carry("latest", value, inclusive)
 
 
+def toggled(value: Column, inclusive: bool = True) -> Carry:
+    """The bits that an odd number of rows had set."""
+    return Carry("toggled", value, inclusive)
+
+
 def previous(value: Column) -> Carry:
     """The last non-null value strictly before the row."""
     return Carry("latest", value, False)
@@ -120,7 +125,7 @@ class Ordered:
 
 
 def _fold(kind: str) -> Callable[[Column], Column]:
-    folds = {"total": F.sum, "lowest": F.min, "highest": F.max, "latest": lambda c: F.last(c, ignorenulls=True)}
+    folds = {"total": F.sum, "lowest": F.min, "highest": F.max, "toggled": F.bit_xor, "latest": lambda c: F.last(c, ignorenulls=True)}
     return folds[kind]
 
 
@@ -129,6 +134,8 @@ def _merge(kind: str, handed: Column, own: Column) -> Column:
         return F.when(handed.isNull() & own.isNull(), None).otherwise(
             F.coalesce(handed, F.lit(0)) + F.coalesce(own, F.lit(0))
         )
+    if kind == "toggled":
+        return F.coalesce(handed, F.lit(0)).bitwiseXOR(F.coalesce(own, F.lit(0)))
     best = {"lowest": F.least, "highest": F.greatest, "latest": lambda early, late: F.coalesce(late, early)}
     return best[kind](handed, own)
 

@@ -16,7 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, total
+from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, toggled, total
+from tidemark.session import written
 
 
 SPAN, TAG = r"^[0-9]{1,19}(-[0-9]{1,19})?$", "^[a-z_][a-z0-9_]{0,31}$"
@@ -238,15 +239,73 @@ def side_subtract(sides: DataFrame, pair_key: Sequence[str], rows_per_task: int
     return _spans(sides, [*pair_key, "source"], depths, wanted, rows_per_task, small)
 
 
-def pair_extras(
-    intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str] = ("a", "b"), rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
-    """Does each side hold anything the other lacks? Pairs of two empty sets have no row."""
-    return side_extras(_sides(intervals, pairs, pair_key), pair_key, rows_per_task, _pairs_small(intervals, rows_per_task))
+OWNERS_PER_BLOCK = 128  # on average; a block's owners are bits of a few 64-bit words
+
+
+def _numbered_owners(pairs: DataFrame) -> tuple[DataFrame, int]:
+    """(owner, block, bit) of every owner in ``pairs``, stored, and the words a block needs. A block has some hundred owners at most."""
+    owners = written(pairs.select(F.explode(F.array("a", "b")).alias("owner")).where(F.col("owner").isNotNull()).distinct())
+    blocks = -(-owners.count() // OWNERS_PER_BLOCK) or 1
+    dealt = owners.withColumn("block", F.pmod(F.xxhash64("owner"), F.lit(blocks)).cast("int"))
+    bit = F.row_number().over(Window.partitionBy("block").orderBy("owner")) - 1
+    numbered = written(dealt.withColumn("bit", bit))
+    return numbered, ((numbered.agg(F.max("bit")).first()[0] or 0) // 64) + 1
+
+
+def _bits_of(word: Column, offset: int) -> Column:
+    """The numbers of the bits set in a word, from ``offset`` on."""
+    there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.call_function("getbit", word, p) == 1)
+    return F.transform(there, lambda p: p + offset)
+
+
+def covering_owners(intervals: DataFrame, pairs: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``pairs`` (a, b) of owners of merged ``intervals``, with ``b_in_a`` and ``a_in_b``.
+
+    One sweep per source carries the set of owners whose intervals are open, a bit each: the ends of an owner's merged intervals toggle its bit.
+    An owner's covering owners are those open wherever it is, the AND of the sets on its stretches; b is inside a if a is among b's. So no set is
+    copied for a pair, and pairs only look two owners up. Owners beyond a block's bits are swept by pairs of blocks that a pair needs.
+    """
+    owners, words = _numbered_owners(pairs)
+    masks = [f"w{k}" for k in range(2 * words)]
+    side = lambda s: owners.select(F.col("owner").alias(s), F.col("block").alias(f"block_{s}"), F.col("bit").alias(f"bit_{s}"))
+    placed = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    low, high = F.least("block_a", "block_b"), F.greatest("block_a", "block_b")
+    placed = written(placed.withColumns({"i": low, "j": high}))
+
+    def spot(block: str, bit: str) -> Column:
+        """Where an owner's bit is among the words of blocks i and j."""
+        return F.when(F.col(block) == F.col("i"), F.col(bit)).otherwise(F.col(bit) + 64 * words)
+
+    swept = placed.select("i", "j").distinct().select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    held = owners.join(swept, "block").select("owner", "i", "j", spot("block", "bit").alias("spot"))
+    ends = intervals.join(held, "owner").select("i", "j", "source", "spot", F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("pos"))
+    one = F.call_function("shiftleft", _long(1), F.col("spot") % 64)
+    bits = [F.bit_xor(F.when(F.floor(F.col("spot") / 64) == k, one).otherwise(_long(0))).alias(w) for k, w in enumerate(masks)]
+    changes = ends.groupBy("i", "j", "source", "pos").agg(*bits)
+
+    def sweep(rows: Ordered) -> DataFrame:
+        return rows.carry(**{f"_{w}": toggled(F.col(w)) for w in masks}).df.select("i", "j", *[F.col(f"_{w}").alias(w) for w in masks])
+
+    seen = over_keys(changes, ["i", "j", "source"], ["pos"], sweep, rows_per_task).distinct()
+    here = [_bits_of(F.col(w), 64 * k) for k, w in enumerate(masks)]
+    open_ = seen.select("i", "j", *masks, F.explode(F.flatten(F.array(*here))).alias("spot"))
+    above = open_.groupBy("i", "j", "spot").agg(*[F.bit_and(w).alias(w) for w in masks])
+
+    def among(name: str, owner: str, other: str) -> DataFrame:
+        """Per pair: is ``other`` open wherever ``owner`` is? An owner without intervals is inside all."""
+        asked = placed.select("a", "b", "i", "j", spot(f"block_{owner}", f"bit_{owner}").alias("spot"), spot(f"block_{other}", f"bit_{other}").alias("_other"))
+        word = F.element_at(F.array(*masks), (F.floor(F.col("_other") / 64) + 1).cast("int"))
+        inside = F.call_function("getbit", word, (F.col("_other") % 64).cast("int")) == 1
+        return asked.join(above, ["i", "j", "spot"], "left").select("a", "b", F.coalesce(inside, F.lit(True)).alias(name))
+
+    return among("b_in_a", "b", "a").join(among("a_in_b", "a", "b"), ["a", "b"])
 
 
 def side_extras(sides: DataFrame, pair_key: Sequence[str], rows_per_task: int = ROWS_PER_TASK, small: bool = False) -> DataFrame:
-    """``pair_extras`` of intervals of both sides, marked by ``in_a`` and ``in_b``."""
+    """Does each side hold anything the other lacks? ``sides`` has the intervals of both, marked by ``in_a`` and ``in_b``.
+
+    Pairs of two empty sets have no row.
+    """
     keys = [*pair_key, "source"]
     depths = {"in_a": F.col("in_a"), "in_b": F.col("in_b")}
 
@@ -271,26 +330,18 @@ def extras_relation() -> Column:
 def txn_relation(
     intervals: DataFrame,
     pairs: DataFrame,
-    pair_key: Sequence[str] = ("a", "b"),
     rows_per_task: int = ROWS_PER_TASK,
+    merged: bool = False,
 ) -> DataFrame:
     """How b's set stands to a's: Equal, Behind (b inside a), Ahead (a inside b) or Diverged.
 
-    ``intervals`` should be coalesced when an owner is in many pairs: each pair gets its own
-    copy of the two sets. Pairs come from ``pairs``, so empty sets keep their row.
+    All sets are swept together, once per source, however many pairs compare them. They are merged first, unless ``merged`` says they
+    are. Pairs come from ``pairs``, so empty sets keep their row.
     """
-    extras = pair_extras(intervals, pairs, pair_key, rows_per_task)
-    return (
-        pairs.join(extras, list(pair_key), "left")
-        .withColumns(
-            {
-                "b_in_a": ~F.coalesce("b_extra", F.lit(False)),
-                "a_in_b": ~F.coalesce("a_extra", F.lit(False)),
-                "relation": extras_relation(),
-            }
-        )
-        .drop("a_extra", "b_extra")
-    )
+    rows = intervals if merged else coalesce_intervals(intervals, rows_per_task=rows_per_task)
+    inside = covering_owners(rows, pairs, rows_per_task)
+    found = pairs.join(inside, ["a", "b"], "left")
+    return found.withColumn("relation", relation_name(F.col("b_in_a"), F.col("a_in_b")))
 
 
 def relation_name(b_in_a: Column, a_in_b: Column) -> Column:

@@ -36,7 +36,7 @@ def interval_containment(t: Tables) -> DataFrame:
 
 
 def txn_relation(t: Tables) -> DataFrame:
-    return X.txn_relation(_merged(t), t.owner_pairs)
+    return X.txn_relation(_merged(t), t.owner_pairs, merged=True)
 
 
 def txn_subtract(t: Tables) -> DataFrame:
