@@ -222,12 +222,14 @@ def heal_budget(
 def edge_alert(polls: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """polls(node, at_us, event_id, primary_up): the polls that raise "no primary".
 
-    One alert per outage; a failed poll (``primary_up`` NULL) changes nothing.
+    One alert per outage; a failed poll (``primary_up`` NULL) changes nothing. If polls have ``backends``, the backends that were
+    asked, an alert names those of its poll.
     """
+    named = [c for c in polls.columns if c == "backends"]
 
     def walk(rows: Ordered) -> DataFrame:
         seen = rows.where(F.col("primary_up").isNotNull()).carry(_was=previous(F.col("primary_up"))).df
-        return seen.where(~F.col("primary_up") & F.coalesce("_was", F.lit(True))).select("node", "at_us", "event_id")
+        return seen.where(~F.col("primary_up") & F.coalesce("_was", F.lit(True))).select("node", "at_us", "event_id", *named)
 
     return over_keys(polls, ["node"], ["at_us", "event_id"], walk, rows_per_task)
 

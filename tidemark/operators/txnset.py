@@ -327,6 +327,40 @@ def extras_relation() -> Column:
     return relation_name(~F.coalesce("b_extra", F.lit(False)), ~F.coalesce("a_extra", F.lit(False)))
 
 
+def text_relation(a: Column, b: Column) -> Column:
+    """The relation of two set texts of one row, as ``txn_relation`` gives it; Unknown where one is NULL or malformed.
+
+    One walk over the sorted ends of both sets: a stretch that only one set has open is an extra of that set. For sets that arrive
+    with their row, as in streams; tables of sets are interned and compared by blocks.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+
+    def ends(text: Column, in_a: Column, in_b: Column) -> Column:
+        point = lambda s, pos, sign: F.struct(
+            s["source"].alias("source"), pos.alias("pos"), (in_a * sign).alias("a"), (in_b * sign).alias("b")
+        )
+        good = F.filter(set_spans(text), lambda s: ~s["bad"])
+        return F.flatten(F.transform(good, lambda s: F.array(point(s, s["lo"], one), point(s, s["hi"] + 1, -one))))
+
+    def step(seen: Column, end: Column) -> Column:
+        moved = (seen["source"] == end["source"]) & (seen["pos"] < end["pos"])
+        return F.struct(
+            end["source"].alias("source"),
+            end["pos"].alias("pos"),
+            (seen["a"] + end["a"]).alias("a"),
+            (seen["b"] + end["b"]).alias("b"),
+            (seen["a_extra"] | (moved & (seen["a"] > 0) & (seen["b"] == 0))).alias("a_extra"),
+            (seen["b_extra"] | (moved & (seen["b"] > 0) & (seen["a"] == 0))).alias("b_extra"),
+        )
+
+    no = F.lit(False)
+    start = F.struct(F.lit("").alias("source"), none.alias("pos"), none.alias("a"), none.alias("b"), no.alias("a_extra"), no.alias("b_extra"))
+    known = a.isNotNull() & b.isNotNull() & ~malformed(a) & ~malformed(b)
+    name = lambda s: relation_name(~s["b_extra"], ~s["a_extra"])
+    points = F.array_sort(F.concat(ends(a, one, none), ends(b, none, one)))
+    return F.when(known, F.aggregate(points, start, step, name)).otherwise("Unknown")
+
+
 def txn_relation(
     intervals: DataFrame,
     pairs: DataFrame,

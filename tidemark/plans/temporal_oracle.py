@@ -79,7 +79,7 @@ ORACLE = {
     "edge_alert": with_views(
         ["polls"],
         """
-        SELECT node, at_us, event_id FROM (
+        SELECT node, at_us, event_id, CASE WHEN value > 50 THEN 'edge, ' ELSE '' END || 'primary-' || node AS backends FROM (
             SELECT *, lag(passed) OVER (PARTITION BY node ORDER BY rn) AS was FROM polls WHERE NOT gone)
         WHERE NOT passed AND coalesce(was, true)""",
     ),

@@ -42,7 +42,10 @@ def heal_budget(t: Tables) -> DataFrame:
 
 
 def edge_alert(t: Tables) -> DataFrame:
-    return T.edge_alert(t.polls)
+    """Alerts with the backends that their poll found down."""
+    asked = F.filter(F.array(F.when(F.col("value") > 50, "edge"), text("primary-", F.col("node"))), lambda b: b.isNotNull())
+    alerts = T.edge_alert(t.polls.withColumn("backends", asked))
+    return alerts.withColumn("backends", F.array_join("backends", ", "))
 
 
 def fall_rise(t: Tables) -> DataFrame:

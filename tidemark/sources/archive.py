@@ -29,7 +29,11 @@ def below_root(place: Column, root: str) -> Column:
 
 
 def list_objects(spark: SparkSession, root: str, archive_id: str) -> DataFrame:
-    """(archive_id, key) of every file below ``root``, keys relative to it; file contents are not read."""
+    """(archive_id, key) of every file below ``root``, keys relative to it; file contents are not read.
+
+    The driver lists the files, and Spark passes over empty ones and over names with a leading dot or underscore; ``listing.list_by_tasks``
+    does neither.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.select(F.lit(archive_id).alias("archive_id"), below_root(F.col("path"), root).alias("key"))
 

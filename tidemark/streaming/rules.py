@@ -12,7 +12,7 @@ columns NULL, replays of stepped rows among them. The newest rows, within the de
 Without a ``delay`` each key's rows must arrive in order over batches and are stepped at once. A row older than its key's newest
 of an earlier batch ends the query with an error, since the rule has already gone past it; the newest row once more changes nothing.
 
-The batch forms in ``operators.temporal`` give the same rows, but for late ones.
+The batch forms in ``operators.temporal`` give the same rows, but for late ones and for keys that were forgotten: see ``apply``.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import temporal as B
 
+#: A delay is cut into so many slots of waiting rows, and a slot is stored in parts of so many rows.
+SLOTS, PART_ROWS = 64, 1024
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -76,17 +79,23 @@ class _Stepper(StatefulProcessor):
 
 
 class _Sorter(StatefulProcessor):
-    """Rows wait until the watermark has passed them."""
+    """Rows wait until the watermark has passed them.
+
+    Waiting rows lie in slots of ``slot_ms`` of the clock, each in parts of at most ``PART_ROWS`` rows. A timer opens the slots that are
+    due, one after the other, so a task holds one slot of one key, however many rows the key has waiting.
+    """
 
-    def __init__(self, rule: Rule, columns: Sequence[str], row: T.StructType):
+    def __init__(self, rule: Rule, columns: Sequence[str], row: T.StructType, slot_ms: int, forget_ms: int | None):
         self.rule, self.columns, self.row = rule, columns, row
+        self.slot_ms, self.forget_ms = slot_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        order = ", ".join(f"_o{i} BIGINT" for i, _ in enumerate(self.rule.order))
         self.handle = handle
         self.kept = handle.getValueState("kept", self.rule.state)
-        self.due = handle.getValueState("due", "ms BIGINT")
-        self.waiting = handle.getMapState("waiting", order, self.row)
+        self.slots = handle.getMapState("slots", "slot BIGINT", "parts INT, first BIGINT")
+        rows = T.StructType([T.StructField("rows", T.ArrayType(self.row))])
+        self.waiting = handle.getMapState("waiting", "slot BIGINT, part INT", rows)
+        self.last = handle.getValueState("last", "stepped BIGINT, timer BIGINT")
 
     def place(self, row: Row) -> tuple:
         return tuple(row[c] for c in self.rule.order)
@@ -96,47 +105,74 @@ class _Sorter(StatefulProcessor):
         return row[self.rule.order[0]] * self.rule.tick_us // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        now, first = timerValues.getCurrentWatermarkInMs(), None
+        now, buffers, held = timerValues.getCurrentWatermarkInMs(), {}, 0
         for row in rows:
             at = self.passed_ms(row)
             if at <= now:
                 yield self.out(key, self.place(row), None, True)
                 continue
-            self.waiting.updateValue(self.place(row), tuple(row[c] for c in self.row.names))
-            first = at if first is None else min(first, at)
-        self.wake(first)
+            buffers.setdefault(at // self.slot_ms, []).append(row)
+            held += 1
+            if held == PART_ROWS:
+                self.put(buffers)
+                buffers, held = {}, 0
+        self.put(buffers)
+
+    def put(self, buffers: dict[int, list[Row]]) -> None:
+        """Append rows to their slots, with a timer at each slot's oldest row."""
+        for slot, rows in buffers.items():
+            parts, first = tuple(self.slots.getValue((slot,))) if self.slots.containsKey((slot,)) else (0, None)
+            self.waiting.updateValue((slot, parts), ([tuple(r[c] for c in self.row.names) for r in rows],))
+            oldest = min(self.passed_ms(r) for r in rows)
+            if first is None or oldest < first:
+                self.handle.registerTimer(oldest)
+                first = oldest
+            self.slots.updateValue((slot,), (parts + 1, first))
+
+    def taken(self, slot: int, parts: int, now: int) -> list[tuple[tuple, Row]]:
+        """The slot's rows the watermark has passed, in order and each place once; the rest waits on."""
+        ready, rest = {}, []
+        for part in range(parts):
+            for values in self.waiting.getValue((slot, part))[0]:
+                row = Row(*self.row.names)(*values)
+                if self.passed_ms(row) <= now:
+                    ready[self.place(row)] = row
+                else:
+                    rest.append(row)
+            self.waiting.removeKey((slot, part))
+        self.slots.removeKey((slot,))
+        for at in range(0, len(rest), PART_ROWS):
+            self.put({slot: rest[at : at + PART_ROWS]})
+        return sorted(ready.items(), key=lambda x: x[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now, first, ready = timerValues.getCurrentWatermarkInMs(), None, []
-        for place, values in self.waiting.iterator():
-            row = Row(*self.row.names)(*values)
-            at = self.passed_ms(row)
-            if at <= now:
-                ready.append((tuple(place), row))
-            else:
-                first = at if first is None else min(first, at)
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted((slot[0], info[0]) for slot, info in self.slots.iterator() if info[1] <= now)
         state = tuple(self.kept.get()) if self.kept.exists() else None
-        for place, row in sorted(ready, key=lambda x: x[0]):
-            self.waiting.removeKey(place)
-            state, out = self.rule.step(state, row)
-            if out is not None:
-                yield self.out(key, place, out, False)
+        stepped, timer = tuple(self.last.get()) if self.last.exists() else (None, None)
+        for slot, parts in due:
+            for place, row in self.taken(slot, parts, now):
+                at = self.passed_ms(row)
+                if self.forget_ms is not None and stepped is not None and at - stepped >= self.forget_ms:
+                    state = None
+                state, out = self.rule.step(state, row)
+                stepped = at
+                if out is not None:
+                    yield self.out(key, place, out, False)
+        if self.forget_ms is not None and stepped is not None:
+            fired = expiredTimerInfo.getExpiryTimeInMs()
+            if stepped + self.forget_ms <= now:
+                self.kept.clear()
+                self.last.clear()
+                return
+            if timer is None or timer <= fired:
+                timer = stepped + self.forget_ms
+                self.handle.registerTimer(timer)
+            self.last.update((stepped, timer))
         if state is None:
             self.kept.clear()
         else:
             self.kept.update(state)
-        self.due.clear()
-        self.wake(first)
-
-    def wake(self, ms: int | None) -> None:
-        """One timer a key, at its oldest waiting row."""
-        due = self.due.get()[0] if self.due.exists() else None
-        if ms is None or (due is not None and due <= ms):
-            return
-        if due is not None:
-            self.handle.deleteTimer(due)
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
 
     def out(self, key: tuple, place: tuple, out: tuple | None, late: bool) -> Row:
         rule = out or (None,) * (len(self.columns) - len(key) - len(place) - 1)
@@ -146,11 +182,22 @@ class _Sorter(StatefulProcessor):
         pass
 
 
-def apply(stream: DataFrame, keys: Sequence[str], rule: Rule, delay: str | None = None) -> DataFrame:
+def _millis(spark: SparkSession, interval: str) -> int:
+    end = F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL '{interval}'"))
+    return spark.range(1).select(end).first()[0]
+
+
+def apply(
+    stream: DataFrame, keys: Sequence[str], rule: Rule, delay: str | None = None, forget: str | None = None
+) -> DataFrame:
     """``rule`` on a streaming DataFrame: (keys, order, the rule's output columns, and with a ``delay`` ``late``).
 
-    ``delay`` is an interval like "2 minutes", on the clock of ``order[0]``; for rounds a second is a round.
+    ``delay`` is an interval like "2 minutes", on the clock of ``order[0]``; for rounds a second is a round. With ``forget``, an interval of
+    the same clock, a key without a row for that long starts anew at its next row, and its state is removed once the watermark is past
+    that time: the state holds keys of the last ``forget``, not all that ever were. Without it a key is kept for ever.
     """
+    if forget is not None and delay is None:
+        raise ValueError("forget needs a delay: without a watermark no time passes")
     fields = [stream.schema[c] for c in keys] + [T.StructField(c, T.LongType()) for c in rule.order]
     output = T.StructType([*fields, *T.StructType.fromDDL(rule.output).fields])
     if delay is None:
@@ -162,8 +209,11 @@ def apply(stream: DataFrame, keys: Sequence[str], rule: Rule, delay: str | None
     at = F.timestamp_micros(F.col(rule.order[0]) * rule.tick_us)
     # The engine drops rows whose event time has passed without a word, so the event time is not among the columns it sees.
     timed = stream.withColumn("__event_time", at).withWatermark("__event_time", delay)
+    spark = stream.sparkSession
+    slot_ms = max(_millis(spark, delay) // SLOTS, 1)
+    sorter = _Sorter(rule, output.names, row, slot_ms, None if forget is None else max(_millis(spark, forget), 1))
     return timed.select(*stream.columns).groupBy(*keys).transformWithState(
-        statefulProcessor=_Sorter(rule, output.names, row), outputStructType=output, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=sorter, outputStructType=output, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -242,14 +292,17 @@ def heal_admission(cap: int = B.HEAL_CAP, base_s: int = B.HEAL_BASE_S, reset_s:
     return Rule("attempts BIGINT, last BIGINT, online BIGINT", "attempts_before BIGINT, verdict STRING", step)
 
 
-def edge_alert() -> Rule:
+def edge_alert(backends: bool = False) -> Rule:
+    """With ``backends`` polls have such a column, and an alert names those of its poll."""
+
     def step(state, row):
         if row.primary_up is None:
             return state, None
-        down = bool(state and state[0])
-        return (not row.primary_up,), ((True,) if not row.primary_up and not down else None)
+        raised = not row.primary_up and not (state and state[0])
+        alert = (True, row.backends) if backends else (True,)
+        return (not row.primary_up,), (alert if raised else None)
 
-    return Rule("down BOOLEAN", "alert BOOLEAN", step)
+    return Rule("down BOOLEAN", "alert BOOLEAN" + (", backends ARRAY<STRING>" if backends else ""), step)
 
 
 def fall_rise(fall: int = B.FALL, rise: int = B.RISE) -> Rule:
