@@ -2,8 +2,9 @@
 
 A set is rows (owner, source, lo, hi) with both ends included. Every rule here is one sweep
 over the ends of intervals: +1 where one opens, -1 just past where it closes, equal
-positions summed first. Sweeps run through ``over_keys``, so one busy source is cut along
-its positions. No interval is ever joined with another.
+positions summed first, or over the starts of merged intervals. Long sets are cut into regions of positions: what is open
+where a region begins comes from one summary row a region, and joins the region's rows as one more row, so regions are
+swept side by side in one sort. No interval is ever joined with another.
 
 Sets that arrive as texts are interned: each distinct text is parsed once and named by a digest, and pairs of such
 sets are compared by digests of their blocks first.
@@ -16,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, toggled, total
+from tidemark.functions.ordered import _CHUNK, ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, toggled, total
 from tidemark.session import written
 
 
@@ -24,6 +25,8 @@ SPAN, TAG = r"^[0-9]{1,19}(-[0-9]{1,19})?$", "^[a-z_][a-z0-9_]{0,31}$"
 LAST = (1 << 63) - 2
 #: Spans of one interned set are digested in blocks of this many positions.
 BLOCK = 1 << 16
+#: Sweeps over sets are cut at multiples of this position.
+REGION = 1 << 16
 
 
 def packed(text: Column) -> Column:
@@ -189,27 +192,78 @@ def _long(n: int) -> Column:
     return F.lit(n).cast("bigint")
 
 
+def _region(pos: Column) -> Column:
+    """The first position of the region ``pos`` lies in."""
+    return pos - F.pmod(pos, _long(REGION))
+
+
+def _runs(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``intervals`` with those inside one word of 64 positions merged word by word: (keys, lo, hi).
+
+    Such intervals are bits of their word, so however many there are, a word is one row before anything moves. Of other intervals with one
+    start the longest stays.
+    """
+    lo, hi = F.col("lo"), F.col("hi")
+    first, last, word = lo.bitwiseAND(_long(63)), hi.bitwiseAND(_long(63)), F.shiftright(lo, 6)
+    narrow = F.coalesce((F.shiftright(hi, 6) == word) & (lo <= hi), F.lit(False))
+    ones = F.call_function("shiftrightunsigned", _long(-1), (63 - last + first).cast("int"))
+    bits = F.when(narrow, F.call_function("shiftleft", ones, first.cast("int")))
+    rows = intervals.select(*keys, (~narrow).alias("wide"), F.when(narrow, word).otherwise(lo).alias("start"), F.when(~narrow, hi).alias("hi"), bits.alias("bits"))
+    words = rows.groupBy(*keys, "wide", "start").agg(F.max("hi").alias("hi"), F.expr("bit_or(bits)").alias("bits"))
+
+    held, base = F.col("bits"), F.shiftleft(F.col("start"), 6)
+    begins = _bits_of(held.bitwiseAND(F.bitwise_not(F.shiftleft(held, 1))), base)
+    ends = _bits_of(held.bitwiseAND(F.bitwise_not(F.shiftrightunsigned(held, 1))), base)
+    span = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    runs = F.when(F.col("wide"), F.array(span(F.col("start"), F.col("hi")))).otherwise(F.zip_with(begins, ends, span))
+    return words.select(*keys, F.explode(runs).alias("r")).select(*keys, "r.lo", "r.hi")
+
+
 def coalesce_intervals(
     intervals: DataFrame, keys: Sequence[str] = ("owner", "source"), rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Overlapping and adjacent intervals merged.
 
-    Of intervals with one start the longest counts, which makes the order total. An interval
-    opens a new stretch when it starts past everything before it.
+    Runs inside a word of positions are merged first. Of intervals with one start the longest counts, which makes the order total. An interval
+    opens a new stretch when it starts past everything before it, also in the regions before. A stretch ends where the intervals before
+    the next opening ended; for the last opening of a region that is known to the next region that has one.
     """
-    small = none_above(intervals, keys, rows_per_task)
-    rows = intervals.repartition(*keys) if small else intervals
-    longest = rows.groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
+    keys = list(keys)
+    at = [*keys, "region"]
+    runs = written(_runs(intervals, keys).withColumn("region", _region(F.col("lo"))))
+    regions = written(runs.groupBy(*at).agg(F.max("hi").alias("top")))
+    handed = over_keys(regions, keys, ["region"], lambda r: r.carry(reach=highest(F.col("top"), inclusive=False)).df.select(*at, "reach"), rows_per_task)
+    handed = handed.where(F.col("reach").isNotNull()).select(*keys, _null(), F.col("reach").alias("hi"), "region")
+    longest = runs.unionByName(handed).repartition(*at).groupBy(*at, "lo").agg(F.max("hi").alias("hi"))
+
+    order = Window.partitionBy(*at).orderBy("lo")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    handed_in = F.col("lo").isNull() & F.col("region").isNotNull()
+    opens = ~handed_in & (F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1))
+    openings = longest.withColumn("reach", reach).where(opens)
+    openings = openings.select(
+        *keys,
+        F.col("region").alias(_CHUNK),
+        "lo",
+        F.when(F.col("hi").isNotNull(), F.lead("reach").over(order)).alias("hi"),
+        F.when(F.lag(F.lit(1)).over(order).isNull(), F.col("reach")).alias("before"),
+        F.lead(F.lit(1)).over(order).isNull().alias("last"),
+        F.col("hi").isNull().alias("endless"),
+    )
+    openings = written(openings)
+    inner = openings.where(~F.col("last")).select(*keys, "lo", "hi")
 
-    def walk(rows: Ordered) -> DataFrame:
-        rows = rows.carry(_reach=highest(F.col("hi"), inclusive=False))
-        opens = F.col("_reach").isNull() | (F.col("lo") > F.col("_reach") + 1)
-        rows = rows.columns(_opens=F.when(opens, F.col("lo"))).carry(_open=latest(F.col("_opens")))
-        return rows.df.select(*keys, "_open", "hi")
+    outer = openings.where(F.col("last") | F.col("before").isNotNull()).withColumnRenamed(_CHUNK, "region")
+    own = lambda name: F.when(F.col("last"), F.col(name)).alias(name)
+    outer = outer.select(*at, own("lo"), "before", "last", own("endless")).unionByName(regions.select(*at, "top"), allowMissingColumns=True)
+    outer = outer.groupBy(*at).agg(*[F.max(c).alias(c) for c in ("lo", "before", "last", "endless", "top")])
+
+    def close(rows: Ordered) -> DataFrame:
+        rows = rows.carry(_next=latest(F.col("before"), inclusive=False), _left=highest(F.col("top")))
+        hi = F.when(~F.col("endless"), F.coalesce("_next", "_left"))
+        return rows.where(F.col("last")).df.select(*keys, "lo", hi.alias("hi"))
 
-    stretches = over_keys(longest, keys, ["lo"], walk, rows_per_task, small)
-    merged = stretches.groupBy(*keys, "_open").agg(F.max("hi").alias("hi"))
-    return merged.select(*keys, F.col("_open").alias("lo"), "hi")
+    return inner.unionByName(over_keys(outer, keys, ["region"], close, rows_per_task, backward=True))
 
 
 def _sides(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str]) -> DataFrame:
@@ -252,7 +306,7 @@ def _numbered_owners(pairs: DataFrame) -> tuple[DataFrame, int]:
     return numbered, ((numbered.agg(F.max("bit")).first()[0] or 0) // 64) + 1
 
 
-def _bits_of(word: Column, offset: int) -> Column:
+def _bits_of(word: Column, offset: Column | int) -> Column:
     """The numbers of the bits set in a word, from ``offset`` on."""
     there = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda p: F.call_function("getbit", word, p) == 1)
     return F.transform(there, lambda p: p + offset)
