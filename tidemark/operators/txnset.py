@@ -276,14 +276,63 @@ def _sides(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str]) -> D
     return intervals.join(members, "owner").drop("owner")
 
 
+def _starts(intervals: DataFrame, pairs: DataFrame, pair_key: Sequence[str], rows_per_task: int) -> DataFrame:
+    """Intervals of both members of each pair in the order of their starts: (pair key, source, lo, hi, side, a_hi, b_hi, next).
+
+    ``side`` is 1 for a; at one start b comes first. ``a_hi`` and ``b_hi`` are where the last interval of a and of b ends that started so far,
+    ``next`` is where the next one starts.
+    """
+    keys = [*pair_key, "source"]
+    at = [*keys, "region"]
+    side = lambda name, side, value: F.when(F.col("in_a") == side, F.col(value)).alias(name)
+    rows = intervals.select("owner", "source", "lo", "hi", _region(F.col("lo")).alias("region"))
+    newest = F.max_by("hi", F.when(F.col("hi").isNotNull(), F.struct("lo", "hi")))
+    owned = written(rows.groupBy("owner", "source", "region").agg(F.min("lo").alias("lo"), newest.alias("hi")))
+    regions = _sides(owned, pairs, pair_key).select(*at, "lo", side("a_hi", 1, "hi"), side("b_hi", 0, "hi"))
+    regions = written(regions.groupBy(*at).agg(F.min("lo").alias("lo"), F.max("a_hi").alias("a_hi"), F.max("b_hi").alias("b_hi")))
+
+    def hand_on(rows: Ordered) -> DataFrame:
+        handed = {f"_{c}": latest(F.col(c), inclusive=False) for c in ("a_hi", "b_hi")}
+        return rows.carry(**handed).df.select(*at, "lo", *[F.col(f"_{c}").alias(c) for c in ("a_hi", "b_hi")])
+
+    def look_ahead(rows: Ordered) -> DataFrame:
+        ahead = rows.carry(next=latest(F.col("lo"), inclusive=False)).df
+        return ahead.select(*at, _null(), _null("hi"), F.lit(None).cast("bigint").alias("side"), "a_hi", "b_hi", "next")
+
+    handed = over_keys(over_keys(regions, keys, ["region"], hand_on, rows_per_task), keys, ["region"], look_ahead, rows_per_task, backward=True)
+    both = _sides(rows, pairs, pair_key).select(
+        *at, "lo", "hi", F.col("in_a").alias("side"), side("a_hi", 1, "hi"), side("b_hi", 0, "hi"), _null("next")
+    )
+    order = Window.partitionBy(*at).orderBy("lo", "side", "hi")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    known = lambda name: F.last(name, ignorenulls=True).over(so_far)
+    following = F.coalesce(F.lead("lo").over(order), known("next"))
+    state = both.unionByName(handed).select(*keys, "lo", "hi", "side", known("a_hi").alias("a_hi"), known("b_hi").alias("b_hi"), following.alias("next"))
+    return state.where(F.col("side").isNotNull())
+
+
 def txn_subtract(
     intervals: DataFrame,
     pairs: DataFrame,
     pair_key: Sequence[str] = ("a", "b"),
     rows_per_task: int = ROWS_PER_TASK,
+    merged: bool = False,
 ) -> DataFrame:
-    """For each pair(a, b) what a holds and b lacks, as merged intervals."""
-    return side_subtract(_sides(intervals, pairs, pair_key), pair_key, rows_per_task, _pairs_small(intervals, rows_per_task))
+    """For each pair(a, b) what a holds and b lacks, as merged intervals.
+
+    Between two starts at most one span of a is not in b: it begins behind b's last interval and ends with a's. Sets are merged first, unless
+    ``merged`` says they are, so spans of neighbouring starts are apart. Tables with ends that are NULL are swept by their ends.
+    """
+    if intervals.where(F.col("lo").isNull() | F.col("hi").isNull()).limit(1).count():
+        return side_subtract(_sides(intervals, pairs, pair_key), pair_key, rows_per_task, _pairs_small(intervals, rows_per_task))
+    rows = intervals if merged else written(coalesce_intervals(intervals, rows_per_task=rows_per_task))
+    spans = _starts(rows, pairs, pair_key, rows_per_task).where(F.col("a_hi").isNotNull()).select(
+        *pair_key,
+        "source",
+        F.greatest(F.col("lo"), F.col("b_hi") + 1).alias("lo"),
+        F.least(F.col("a_hi"), F.col("next") - 1).alias("hi"),
+    )
+    return spans.where(F.col("lo") <= F.col("hi"))
 
 
 def side_subtract(sides: DataFrame, pair_key: Sequence[str], rows_per_task: int = ROWS_PER_TASK, small: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ def txn_relation(t: Tables) -> DataFrame:
 
 
 def txn_subtract(t: Tables) -> DataFrame:
-    return X.txn_subtract(_merged(t), t.owner_pairs)
+    return X.txn_subtract(_merged(t), t.owner_pairs, merged=True)
 
 
 def member_view_scan(t: Tables) -> DataFrame:
