@@ -17,7 +17,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordered import _CHUNK, ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, previous, toggled, total
+from tidemark.functions.ordered import _CHUNK, ROWS_PER_TASK, Ordered, highest, latest, none_above, over_keys, toggled, total
 from tidemark.session import written
 
 
@@ -497,14 +497,5 @@ def interval_containment(
 
     Only the interval of b that starts last at or before a's can cover it.
     """
-    rows = _sides(intervals, pairs, pair_key).withColumn("side", F.col("in_a"))
-    return over_keys(
-        rows,
-        [*pair_key, "source"],
-        ["lo", "side", "hi"],
-        lambda r: r.carry(reach=previous(F.when(F.col("side") == 0, F.col("hi"))))
-        .where(F.col("side") == 1)
-        .df.select(*pair_key, "source", "lo", "hi", F.coalesce(F.col("reach") >= F.col("hi"), F.lit(False)).alias("contained")),
-        rows_per_task,
-        _pairs_small(intervals, rows_per_task),
-    )
+    starts = _starts(intervals, pairs, pair_key, rows_per_task).where(F.col("side") == 1)
+    return starts.select(*pair_key, "source", "lo", "hi", F.coalesce(F.col("b_hi") >= F.col("hi"), F.lit(False)).alias("contained"))
