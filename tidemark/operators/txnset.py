@@ -384,12 +384,18 @@ def covering_owners(intervals: DataFrame, pairs: DataFrame, rows_per_task: int =
     ends = intervals.join(held, "owner").select("i", "j", "source", "spot", F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("pos"))
     one = F.call_function("shiftleft", _long(1), F.col("spot") % 64)
     bits = [F.bit_xor(F.when(F.floor(F.col("spot") / 64) == k, one).otherwise(_long(0))).alias(w) for k, w in enumerate(masks)]
-    changes = ends.groupBy("i", "j", "source", "pos").agg(*bits)
+    at = ["i", "j", "source", "region"]
+    changes = written(ends.groupBy(*at[:3], _region(F.col("pos")).alias("region"), "pos").agg(*bits))
+    regions = changes.groupBy(*at).agg(*[F.bit_xor(w).alias(w) for w in masks])
 
-    def sweep(rows: Ordered) -> DataFrame:
-        return rows.carry(**{f"_{w}": toggled(F.col(w)) for w in masks}).df.select("i", "j", *[F.col(f"_{w}").alias(w) for w in masks])
+    def hand_on(rows: Ordered) -> DataFrame:
+        opened = rows.carry(**{f"_{w}": toggled(F.col(w), inclusive=False) for w in masks}).where(F.col(f"_{masks[0]}").isNotNull())
+        return opened.df.select(*at, _null("pos"), *[F.col(f"_{w}").alias(w) for w in masks])
 
-    seen = over_keys(changes, ["i", "j", "source"], ["pos"], sweep, rows_per_task).distinct()
+    handed = over_keys(regions, at[:3], ["region"], hand_on, rows_per_task)
+    so_far = Window.partitionBy(*at).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    swept = changes.unionByName(handed).select("i", "j", *[F.bit_xor(w).over(so_far).alias(w) for w in masks])
+    seen = swept.distinct()
     here = [_bits_of(F.col(w), 64 * k) for k, w in enumerate(masks)]
     open_ = seen.select("i", "j", *masks, F.explode(F.flatten(F.array(*here))).alias("spot"))
     above = open_.groupBy("i", "j", "spot").agg(*[F.bit_and(w).alias(w) for w in masks])
