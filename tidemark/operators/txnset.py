@@ -50,21 +50,36 @@ def _entry(entry: Column) -> Column:
 
 
 def _part(entry: Column, part: Column, at: Column, parts: Column) -> Column:
-    """The spans behind a source or a tag; a part that lacks them has one bad span, but for a source before a tag."""
+    """The spans behind a source or a tag."""
     bits = F.split(part, ":")
-    tagged = F.concat(F.substring_index(entry, ":", 1), F.lit(":"), bits[0])
-    source = F.when(at == 0, bits[0]).otherwise(tagged)
-    named = F.when(at == 0, bits[0] != "").otherwise(bits[0].rlike(TAG) & ~entry.startswith(":"))
+    return F.transform(_given(part, bits, at, parts), lambda span: _span(_source(entry, bits, at), _named(entry, bits, at), span))
+
+
+def _source(entry: Column, bits: Column, at: Column) -> Column:
+    return F.when(at == 0, bits[0]).otherwise(F.concat(F.substring_index(entry, ":", 1), F.lit(":"), bits[0]))
+
+
+def _named(entry: Column, bits: Column, at: Column) -> Column:
+    return F.when(at == 0, bits[0] != "").otherwise(bits[0].rlike(TAG) & ~entry.startswith(":"))
+
+
+def _given(part: Column, bits: Column, at: Column, parts: Column) -> Column:
+    """The span texts of a part; one that lacks them has one bad span, but for a source before a tag."""
     lacking = F.when((at == 0) & (parts > 1) & (part != ""), F.slice(bits, 2, F.lit(0))).otherwise(F.array(F.lit("")))
-    given = F.when(F.size(bits) > 1, F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0)))).otherwise(lacking)
-    return F.transform(given, lambda span: _span(source, named, span))
+    return F.when(F.size(bits) > 1, F.slice(bits, F.lit(2), F.greatest(F.size(bits) - 1, F.lit(0)))).otherwise(lacking)
+
+
+def _numbers(span: Column) -> tuple[Column, Column]:
+    return F.substring_index(span, "-", 1).try_cast("bigint"), F.substring_index(span, "-", -1).try_cast("bigint")
+
+
+def _good(named: Column, span: Column, lo: Column, hi: Column) -> Column:
+    return F.coalesce(named & span.rlike(SPAN) & (lo >= 1) & (lo <= hi) & (hi <= LAST), F.lit(False))
 
 
 def _span(source: Column, named: Column, span: Column) -> Column:
-    lo = F.substring_index(span, "-", 1).try_cast("bigint")
-    hi = F.substring_index(span, "-", -1).try_cast("bigint")
-    good = F.coalesce(named & span.rlike(SPAN) & (lo >= 1) & (lo <= hi) & (hi <= LAST), F.lit(False))
-    return F.struct(source.alias("source"), lo.alias("lo"), hi.alias("hi"), (~good).alias("bad"))
+    lo, hi = _numbers(span)
+    return F.struct(source.alias("source"), lo.alias("lo"), hi.alias("hi"), (~_good(named, span, lo, hi)).alias("bad"))
 
 
 def malformed(text: Column) -> Column:
@@ -72,20 +87,43 @@ def malformed(text: Column) -> Column:
     return F.coalesce(F.exists(set_spans(text), lambda s: s["bad"]), F.lit(False))
 
 
+#: The shape of a set that ``set_spans`` finds no fault with but in its numbers. No quantifier gives back, so length costs no stack.
+_SPANS, _TAG = "(?::[0-9]{1,19}+(?:-[0-9]{1,19}+)?+)++", ":[a-z_][a-z0-9_]{0,31}+"
+SHAPE = rf"^(?:,++|[^,:]++(?:{_SPANS}(?:{_TAG}{_SPANS})*+|(?:{_TAG}{_SPANS})++)(?=,|\z))*+\z"
+
+
+def _faulty(packed_text: Column) -> Column:
+    """``malformed`` for a packed text by its shape; left to look at are spans of 0, spans of two numbers, and numbers too long for any table."""
+    two = F.regexp_extract_all(packed_text, F.lit(":([0-9]+-[0-9]+)"), F.lit(1))
+    backward = F.exists(two, lambda s: F.substring_index(s, "-", 1).cast("bigint") > F.substring_index(s, "-", -1).cast("bigint"))
+    numbers = F.when(packed_text.rlike("[0-9]{19}"), malformed(packed_text)).otherwise(packed_text.rlike(":0+(?![0-9])") | backward)
+    return F.when(packed_text.rlike(SHAPE), numbers).otherwise(packed_text.isNotNull())
+
+
 def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     """Set texts ``src:1-5:7,src2:tag:3`` to rows (other columns, source, lo, hi).
 
     White space, line breaks and case do not matter. An empty or NULL text gives no rows. A tagged source keeps its tag in
-    ``source``. Bad spans give no row here, and their set is in ``txn_rejects``.
+    ``source``. Bad spans give no row here, and their set is in ``txn_rejects``. Entries, parts and spans become rows one after the other,
+    by the rule of ``set_spans``.
     """
     keep = [c for c in sets.columns if c != text]
-    rows = sets.select(*keep, F.explode(set_spans(F.col(text))).alias("_s")).where(~F.col("_s.bad"))
-    return rows.select(*keep, "_s.source", "_s.lo", "_s.hi")
+    entries = sets.select(*keep, F.explode(F.split(packed(F.col(text)), ",")).alias("_entry")).where(F.col("_entry") != "")
+    marked = entries.select(*keep, "_entry", F.split("_entry", ":(?=[a-z_])").alias("_parts"))
+    parts = marked.select(*keep, "_entry", F.size("_parts").alias("_n"), F.posexplode("_parts").alias("_at", "_part"))
+    parts = parts.withColumn("_bits", F.split("_part", ":"))
+    entry, part, bits, at = F.col("_entry"), F.col("_part"), F.col("_bits"), F.col("_at")
+    named = [_source(entry, bits, at).alias("source"), _named(entry, bits, at).alias("_named")]
+    spans = parts.select(*keep, *named, F.explode(_given(part, bits, at, F.col("_n"))).alias("_span"))
+    lo, hi = _numbers(F.col("_span"))
+    read = spans.select(*keep, "source", "_named", "_span", F.inline(F.array(F.struct(lo.alias("lo"), hi.alias("hi")))))
+    return read.where(_good(F.col("_named"), F.col("_span"), F.col("lo"), F.col("hi"))).select(*keep, "source", "lo", "hi")
 
 
 def txn_rejects(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     """The other columns of sets with a bad span, one row a set; such a set is not known."""
-    return sets.where(malformed(F.col(text))).select(*[c for c in sets.columns if c != text])
+    bad = F.exists(F.array(packed(F.col(text))), _faulty)
+    return sets.where(bad).select(*[c for c in sets.columns if c != text])
 
 
 def set_id(text: Column) -> Column:
