@@ -188,3 +188,30 @@ def test_server_ids(spark):
     names = ["mysql-1", "mysql-2", "hé", ""]
     df = spark.createDataFrame([(n,) for n in names], "n string").select(X.fnv1a_32(F.col("n")).alias("id"))
     assert [r.id for r in df.collect()] == [fnv(n) for n in names]
+
+
+def test_only_known_sets_that_differ_are_read(spark, monkeypatch):
+    """Texts of malformed sets, of equal ones and of unanswered polls used to be interned, and polls joined with the malformed ones."""
+    sets = {"me": "U:1-5", "n": "u:5-1", "o": None}
+    reports = spark.createDataFrame([("c", 0, n, 0, s) for n, s in sets.items()], "cluster string, round bigint, node string, seed_rank int, txn_set string")
+    heard = {"eq": "u: 1-5", "ahead": "u:1-9", "behind": "u:1", "bad": "u:0-3", "long": "u:9223372036854775807", "empty": " ", "none": None}
+    polls = [{"observer": o, "peer": p, "seed_rank": 1, "txn_set": s} for o in [*sets, "lost"] for p, s in heard.items()]
+    polls.append({"observer": "me", "peer": "mute", "seed_rank": 1, "answer": "unreachable", "txn_set": "u:7"})
+    seen, interned = [], M.txnset.interned
+    monkeypatch.setattr(M.txnset, "interned", lambda texts: seen.extend(r.text for r in texts.collect()) or interned(texts))
+    got = M.pairwise_relation(answers(spark, polls), reports).collect()
+    relations = {"eq": "Equal", "ahead": "Ahead", "behind": "Behind", "empty": "Behind"}
+    assert {(r.observer, r.peer): r.relation for r in got} == {
+        (p["observer"], p["peer"]): relations.get(p["peer"], "Unknown") if p["observer"] == "me" else "Unknown" for p in polls
+    }
+    assert len(got) == len(polls) and set(seen) == {"u:1-5", "u:1-9", "u:1", ""}
+
+
+def test_verdict_queries_make_their_inputs_once(spark):
+    """Polls and reports used to be made from the events again wherever a rule read them."""
+    from tests.conftest import SF
+    from tidemark.plans.catalog import queries
+
+    for name in ("bootstrap_verdict", "stable_verdict"):
+        assert not [f for f in queries()[name](spark, SF).inputFiles() if f.endswith("events.parquet")]
+    assert len(queries()["stable_verdict"](spark, SF).inputFiles()) > 0

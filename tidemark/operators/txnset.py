@@ -92,7 +92,7 @@ _SPANS, _TAG = "(?::[0-9]{1,19}+(?:-[0-9]{1,19}+)?+)++", ":[a-z_][a-z0-9_]{0,31}
 SHAPE = rf"^(?:,++|[^,:]++(?:{_SPANS}(?:{_TAG}{_SPANS})*+|(?:{_TAG}{_SPANS})++)(?=,|\z))*+\z"
 
 
-def _faulty(packed_text: Column) -> Column:
+def faulty(packed_text: Column) -> Column:
     """``malformed`` for a packed text by its shape; left to look at are spans of 0, spans of two numbers, and numbers too long for any table."""
     two = F.regexp_extract_all(packed_text, F.lit(":([0-9]+-[0-9]+)"), F.lit(1))
     backward = F.exists(two, lambda s: F.substring_index(s, "-", 1).cast("bigint") > F.substring_index(s, "-", -1).cast("bigint"))
@@ -122,13 +122,17 @@ def txn_parse(sets: DataFrame, text: str = "txn_set") -> DataFrame:
 
 def txn_rejects(sets: DataFrame, text: str = "txn_set") -> DataFrame:
     """The other columns of sets with a bad span, one row a set; such a set is not known."""
-    bad = F.exists(F.array(packed(F.col(text))), _faulty)
+    bad = F.exists(F.array(packed(F.col(text))), faulty)
     return sets.where(bad).select(*[c for c in sets.columns if c != text])
 
 
 def set_id(text: Column) -> Column:
     """A 128-bit name of a set text; texts that differ in white space or case share it."""
-    return F.md5(packed(text).cast("binary"))
+    return text_id(packed(text))
+
+
+def text_id(packed_text: Column) -> Column:
+    return F.md5(packed_text.cast("binary"))
 
 
 def interned(texts: DataFrame) -> DataFrame:

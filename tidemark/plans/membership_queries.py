@@ -142,7 +142,8 @@ def diverged_winner(t: Tables) -> DataFrame:
 
 
 def bootstrap_verdict(t: Tables) -> DataFrame:
-    return M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1))
+    answers, reports, declared = t.stored_polls(*M.JUDGED)
+    return M.bootstrap_verdict(answers, reports, declared, M.waived_peers(answers, 1))
 
 
 def copy_required(t: Tables) -> DataFrame:

@@ -6,13 +6,14 @@ table; the oracle builds the same views in SQL.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.session import apply_settings
+from tidemark.session import apply_settings, written
 
 BASE_PATH = "/binlog/"
 
@@ -29,6 +30,10 @@ def text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
+def _asked(answers: DataFrame) -> DataFrame:
+    return answers.select("cluster", "observer", "peer", "seed_rank").distinct()
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = apply_settings(spark), sf_dir
@@ -244,6 +249,9 @@ class Tables:
 
     @cached_property
     def answers(self) -> DataFrame:
+        return self._answers(self.reports, ["group_active", "state", "role", "txn_set", "prelog", "generation", "uuid", "group_name"])
+
+    def _answers(self, reports: DataFrame, fields: Sequence[str]) -> DataFrame:
         """Polls between the nodes of a cluster, the last of each day, joined with the peer's report."""
         peer = ((mod("user_id", 5) + 1 + mod("event_id", 4)) % 5).cast("int")
         last = self.events.groupBy(
@@ -261,8 +269,7 @@ class Tables:
             (F.col("e.event_id") % 6 == 0).alias("early"),
         )
         # An early answer was given before the peer wrote transactions of its own.
-        fields = ["group_active", "state", "role", "txn_set", "prelog", "generation", "uuid", "group_name"]
-        said = self.reports.select("cluster", "round", F.col("node").alias("peer"), "checked", *fields)
+        said = reports.select("cluster", "round", F.col("node").alias("peer"), "checked", *fields)
         answer = (
             F.when(F.col("heard") != "state", F.col("heard"))
             .when(F.col("checked").isNull(), "unreachable")
@@ -282,7 +289,16 @@ class Tables:
     @cached_property
     def declared(self) -> DataFrame:
         """The peers a node is told to ask: all it ever asks."""
-        return self.answers.select("cluster", "observer", "peer", "seed_rank").distinct()
+        return _asked(self.answers)
+
+    def stored_polls(self, *fields: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``answers``, ``reports`` and ``declared`` with these ``fields`` of what a node says, ``txn_set`` among them.
+
+        Each is made once and stored, for queries that read them several times.
+        """
+        reports = written(self.reports.select("cluster", "round", "node", "seed_rank", "checked", *fields))
+        answers = written(self._answers(reports, fields))
+        return answers, reports, _asked(answers)
 
     @cached_property
     def node_configs(self) -> DataFrame:

@@ -22,7 +22,8 @@ def continuous_dwell(t: Tables) -> DataFrame:
 
 
 def stable_verdict(t: Tables) -> DataFrame:
-    return T.stable_verdict(written(M.bootstrap_verdict(t.answers, t.reports, t.declared, M.waived_peers(t.answers, 1))), 2)
+    answers, reports, declared = t.stored_polls(*M.JUDGED)
+    return T.stable_verdict(written(M.bootstrap_verdict(answers, reports, declared, M.waived_peers(answers, 1))), 2)
 
 
 def stuck_member(t: Tables) -> DataFrame:
