@@ -69,10 +69,11 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     touched: list[np.ndarray] = []
     now, n = None, 0
     read = zstandard.ZstdDecompressor().decompress
+    press = zstandard.ZstdCompressor(level=1).compress
 
     def done() -> Iterator[pa.RecordBatch]:
         if now is not None:
-            row = [now], [np.packbits(bits, bitorder="little").tobytes()], [np.minimum(slots, 0xFFFFFFFF).astype("<u4").tobytes()], [n]
+            row = [now], [press(np.packbits(bits, bitorder="little").tobytes())], [press(np.minimum(slots, 0xFFFFFFFF).astype("<u4").tobytes())], [n]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64()))], ["bucket", "blob", "slots", "n"])
 
     for b in batches:
@@ -102,34 +103,42 @@ def _twice(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
+def _gathered(shares: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Bits and counters of all buckets, and the number of hashes.
+
+    The shares come compressed and as Arrow batches, which the driver's JVM passes on one task after the other: collected as rows
+    they would lie there several times at once, and a heap that has grown for that stays large.
+    """
+    bits, slots = np.zeros((BUCKETS, (1 << (MARKS - 3)) // BUCKETS), np.uint8), np.zeros((BUCKETS, 4 * SLOTS // BUCKETS), np.uint8)
+    read, n = zstandard.ZstdDecompressor().decompress, 0
+    for b in shares.toArrow().to_batches():  # at most BUCKETS rows of a fixed size, 20 MB before they are compressed
+        for bucket, blob, counts, some in zip(*b.columns):
+            bits[bucket.as_py()] = np.frombuffer(read(blob.as_py()), np.uint8)
+            slots[bucket.as_py()] = np.frombuffer(read(counts.as_py()), np.uint8)
+            n += some.as_py()
+    return bits.ravel(), slots.ravel(), n
+
+
 def bitmap(blobs: DataFrame):
     """A broadcast of the marks of all hashes in ``blobs``, their counters (``slots``), and their number."""
-    marked = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(returning(_twice), f"{BLOBS}, slots binary, n long")
-    bits, slots = bytearray(1 << (MARKS - 3)), bytearray(4 * SLOTS)
-    share, part, n = len(bits) // BUCKETS, len(slots) // BUCKETS, 0
-    rows = marked.collect()  # at most BUCKETS rows of a fixed size, 20 MB
-    while rows:
-        row = rows.pop()
-        k = row["bucket"]
-        bits[k * share : (k + 1) * share] = row["blob"]
-        slots[k * part : (k + 1) * part] = row["slots"]
-        n += row["n"]
-    small = folded(bytes(bits))
+    shares = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(returning(_twice), f"{BLOBS}, slots binary, n long")
+    bits, slots, n = _gathered(shares)
+    small = folded(bits)
     del bits
+    give_back()
     sent = blobs.sparkSession.sparkContext.broadcast(small)
     del small
     give_back()
-    return sent, bytes(slots), n
+    return sent, slots.tobytes(), n
 
 
 #: For a byte: the four bits that say whether each pair of its bits has any set.
 _HALVES = np.array([sum(1 << i for i in range(4) if byte >> 2 * i & 3) for byte in range(256)], np.uint8)
 
 
-def folded(bits: bytes) -> bytes:
+def folded(packed_bits: np.ndarray) -> bytes:
     """The bitmap halved while one bit in 64 at most is set: neighbours share a place from then on."""
-    packed_bits = np.frombuffer(bits, np.uint8)
-    while len(packed_bits) > BUCKETS and int(np.bitwise_count(packed_bits).sum(dtype=np.int64)) * 64 <= 8 * len(packed_bits):
+    while len(packed_bits) > BUCKETS and sum(int(np.bitwise_count(part).sum(dtype=np.int64)) for part in np.split(packed_bits, 16)) * 64 <= 8 * len(packed_bits):
         half = _HALVES[packed_bits]
         packed_bits = half[::2] | half[1::2] << 4
     return packed_bits.tobytes()
