@@ -126,3 +126,13 @@ def test_query(spark):
         want = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         raw, text = np.array(want, "<u4").tobytes(), library.decode(want, skip_special_tokens=False)
         assert tuple(r)[1:] == (len(want), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_chunks_seen_before_are_not_encoded_again():
+    """As many distinct chunks as a worker meets in tens of megabytes of text."""
+    t = bpe.Tokenizer(bpe.file_bytes(bpe.vocabulary_path()))
+    encode, encoded = t.chunks.encode, []
+    t.chunks.encode = lambda text: encoded.append(text) or encode(text)
+    text = " ".join(map(str, range(150_000)))
+    first = t.encode(text)
+    assert t.encode(text) == first and len(encoded) == 150_000

@@ -49,6 +49,7 @@ from tidemark.llm.known import Known
 
 VOCABULARY = "word_bpe_49k.json"
 ARCS_KEPT = 1 << 21
+WORDS_KEPT = 1 << 18  # chunks, and words, a worker remembers: up to twice as many of each, since a word encoded again costs far more
 SLICE = 1 << 20  # characters encoded between two record batches
 NEVER = 1 << 40
 #: Unicode's White_Space characters; Python's ``split`` takes four control characters more.
@@ -167,7 +168,7 @@ class Tokenizer:
         self.symbols = {t: i for t, i in self.ids.items() if i not in made and len(t.removesuffix(self.suffix) if self.suffix else t) == 1}
         self.automaton = Automaton(self.symbols.values(), merges, self.size)
         self.found_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.chunks = Known(self._chunk) if self._white_space_apart(file) else None
+        self.chunks = Known(self._chunk, WORDS_KEPT) if self._white_space_apart(file) else None
         self.words = Known(self._word)
         self.near_words = self._near_words(file) if self.chunks is not None else None
 
@@ -186,7 +187,7 @@ class Tokenizer:
             inside = [c for c in near if (WHITE.match(c) if letter is None else unicodedata.category(c)[0] == letter)]
             pattern = pattern.replace(group, "".join(map(re.escape, inside)))
         split = re.compile(pattern).findall
-        words = Known(lambda w: self._word("".join(map(BYTE_CHARACTERS.__getitem__, w.encode()))))
+        words = Known(lambda w: self._word("".join(map(BYTE_CHARACTERS.__getitem__, w.encode()))), WORDS_KEPT)
         return lambda text: [words[w] for w in split(text.lower() if lower else text)]
 
     @staticmethod
